@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, rule_ledger, simhash_pigeonring
-from .common import documents
+from . import bpe, exact_dedup, language_id, mixing, quality_fm, rule_ledger, simhash_pigeonring
+from .common import documents, fold, labels
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = quality_fm.score(docs, quality_fm.fit(docs, labels(spark, sf_dir)))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    named = language_id.identify(docs, language_id.learn(docs))
+    return named.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -37,7 +49,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op7_bpe": op7_bpe,
+    "op8_language_id": op8_language_id,
     "op1_exact_dedup": op1_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
