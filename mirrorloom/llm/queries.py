@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, quality_fm, rule_ledger, simhash_pigeonring
+from . import bpe, exact_dedup, language_id, line_dedup, mixing, quality_fm, rule_ledger, simhash_pigeonring
 from .common import documents, fold, labels
 
 
@@ -30,6 +30,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("text", 256).alias("text_sha256"))
+
+
 def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -50,6 +55,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_language_id": op8_language_id,
     "op1_exact_dedup": op1_exact_dedup,
@@ -84,5 +90,25 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
                   + CASE WHEN n_upper > 5 * n_lower AND n_upper > 50 THEN 32 ELSE 0 END AS failures FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        failures = 0 AS kept, CAST(failures AS INTEGER) AS failures FROM f
+""",
+    "op6_line_dedup": r"""
+WITH li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+     occ AS (SELECT doc_id, pos, l FROM li WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY doc_id, pos) AS r FROM occ),
+     rep AS (SELECT doc_id, pos, row_number() OVER (ORDER BY doc_id, pos) AS k, list_distinct(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS ws FROM ranked WHERE r = 1),
+     tok AS (SELECT k, len(ws) AS n, unnest(ws) AS w FROM rep),
+     df AS (SELECT w, count(*) AS c FROM tok GROUP BY w HAVING count(*) > 1),
+     pre AS (SELECT k, n, w FROM (SELECT k, n, w, c, row_number() OVER (PARTITION BY k ORDER BY coalesce(c, 1), w) AS at FROM tok LEFT JOIN df USING (w)) WHERE at <= n - CAST(ceil(n * 4 / 5) AS BIGINT) + 1 AND c > 1),
+     cand AS (SELECT DISTINCT a.k AS a, b.k AS b FROM pre a JOIN pre b ON a.w = b.w AND a.k < b.k AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4),
+     link AS (SELECT x.doc_id AS a_id, y.doc_id AS b_id, y.pos AS b_pos FROM cand JOIN rep x ON x.k = a JOIN rep y ON y.k = b
+              WHERE len(list_intersect(x.ws, y.ws)) * 9 >= (len(x.ws) + len(y.ws)) * 4),
+     gone AS (SELECT doc_id, pos FROM ranked WHERE r > 1 UNION SELECT b_id, b_pos FROM link),
+     cnt AS (SELECT id AS doc_id, count(*) AS n FROM (SELECT a_id AS id FROM link UNION ALL SELECT b_id FROM link) GROUP BY id),
+     stay AS (SELECT li.doc_id, string_agg(l, chr(10) ORDER BY li.pos) AS t FROM li ANTI JOIN gone ON li.doc_id = gone.doc_id AND li.pos = gone.pos GROUP BY li.doc_id),
+     nl AS (SELECT doc_id, count(*) AS n FROM occ GROUP BY doc_id),
+     nr AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(nl.n, 0) AS n_lines, coalesce(nr.n, 0) AS n_removed, coalesce(cnt.n, 0) AS n_links,
+       CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(t, '')) END AS text_sha256
+FROM documents d LEFT JOIN nl USING (doc_id) LEFT JOIN nr USING (doc_id) LEFT JOIN cnt USING (doc_id) LEFT JOIN stay USING (doc_id)
 """,
 }
