@@ -98,7 +98,7 @@ WITH li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(rang
      rep AS (SELECT doc_id, pos, row_number() OVER (ORDER BY doc_id, pos) AS k, list_distinct(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS ws FROM ranked WHERE r = 1),
      tok AS (SELECT k, len(ws) AS n, unnest(ws) AS w FROM rep),
      df AS (SELECT w, count(*) AS c FROM tok GROUP BY w HAVING count(*) > 1),
-     pre AS (SELECT k, n, w FROM (SELECT k, n, w, c, row_number() OVER (PARTITION BY k ORDER BY coalesce(c, 1), w) AS at FROM tok LEFT JOIN df USING (w)) WHERE at <= n - CAST(ceil(n * 4 / 5) AS BIGINT) + 1 AND c > 1),
+     pre AS (SELECT k, n, w FROM (SELECT k, n, w, c, row_number() OVER (PARTITION BY k ORDER BY coalesce(c, 1), w) AS spot FROM tok LEFT JOIN df USING (w)) WHERE spot <= n - CAST(ceil(n * 4 / 5) AS BIGINT) + 1 AND c > 1),
      cand AS (SELECT DISTINCT a.k AS a, b.k AS b FROM pre a JOIN pre b ON a.w = b.w AND a.k < b.k AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4),
      link AS (SELECT x.doc_id AS a_id, y.doc_id AS b_id, y.pos AS b_pos FROM cand JOIN rep x ON x.k = a JOIN rep y ON y.k = b
               WHERE len(list_intersect(x.ws, y.ws)) * 9 >= (len(x.ws) + len(y.ws)) * 4),
