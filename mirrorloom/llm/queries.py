@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, line_dedup, mixing, quality_fm, rule_ledger, simhash_pigeonring
+from . import bpe, exact_dedup, language_id, line_dedup, mixing, pii, quality_fm, rule_ledger, simhash_pigeonring
 from .common import documents, fold, labels
 
 
@@ -30,6 +30,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    base = pii.span_text(F.col("base"))
+    kinds = [F.size(F.filter("base", pii.of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), pii.span_text(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(documents(spark, sf_dir))
     return done.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("text", 256).alias("text_sha256"))
@@ -55,6 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_pii": op5_pii,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_language_id": op8_language_id,
