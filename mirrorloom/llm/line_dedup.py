@@ -9,7 +9,9 @@ similarity of at least ``NUMERATOR / DENOMINATOR``.
    hash.  Any total order is exact; rarity keeps the posting lists short.  The order is the word's 63-bit key itself,
    so a sorted set is a sorted array of longs.
 3. Each representative sends its prefix (``n - ceil(t n) + 1`` rarest words).  The join on the word keeps pairs within
-   the length bounds whose places leave room for enough overlap.
+   the length bounds whose places leave room for enough overlap and whose parity signatures do not show too many
+   differences: 128 bits, each the parity of the words that fall on it, so two sets differ in at least as many words as
+   signatures in bits.
 4. Candidates are verified by the whole sets, which only lines in a candidate pair send.
 
 Membership tests that save shuffling use a bitmap of fixed size with exact handling of what it lets through; as it
@@ -55,24 +57,30 @@ def _maybe(bitmap: Column, h: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> Column:
-    """Class of each of 2^SKETCH_BITS word buckets, a byte each, 0x40 the rarest."""
+    """Class of each of 2^SKETCH_BITS word buckets, 0 the rarest, as a constant array."""
     words = docs.select(F.explode(F.split(text_or_empty(text_col), SPACE)).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND((1 << SKETCH_BITS) - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # 2^16 rows
     top = max((r.n for r in counts), default=1)
-    classes = bytearray(b"@" * (1 << SKETCH_BITS))
+    classes = [0] * (1 << SKETCH_BITS)
     for r in counts:
-        classes[r.b] += min((1 << CLASS_BITS) - 1, r.n.bit_length() * ((1 << CLASS_BITS) - 1) // top.bit_length())
-    return F.lit(bytes(classes))
+        classes[r.b] = min((1 << CLASS_BITS) - 1, r.n.bit_length() * ((1 << CLASS_BITS) - 1) // top.bit_length())
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")  # folded once
 
 
 def word_set(line: Column, classes: Column) -> Column:
     """Sorted array of the keys of the line's distinct words, rarest first."""
-    hashes = F.transform(F.filter(F.split(line, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
-    place = lambda h: F.ascii(F.substring(classes, (h.bitwiseAND((1 << SKETCH_BITS) - 1) + 1).cast("int"), F.lit(1)).cast("string")) - 64
-    keys = F.transform(F.array_distinct(hashes), lambda h: F.shiftleft(place(h).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)))
+    hashes = F.transform(F.array_remove(F.split(line, SPACE), ""), lambda w: F.xxhash64(w))
+    place = lambda h: F.get(classes, h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int"))
+    keys = F.transform(hashes, lambda h: F.shiftleft(place(h).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)))
     return F.sort_array(F.array_distinct(keys))
 
 
+def _parity(s: Column, half: int) -> Column:
+    """64 bits: bit i is the parity of the keys whose low 7 bits are ``64 half + i``."""
+    mine = F.filter(s, lambda k: F.shiftright(k, 6).bitwiseAND(1) == half)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
+
+
 def _needed(n: Column) -> Column:
     return F.ceil(n * NUMERATOR / DENOMINATOR)
 
@@ -89,7 +97,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     twice = stored(marked.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "lines-twice")
     seen_twice = _bitmap(twice)
     # Equal texts: the first place of each stays.
-    again = marked.where(_maybe(seen_twice, F.col("h")))
+    again = stored(marked.where(_maybe(seen_twice, F.col("h"))).select("id", "pos", "line", "h", "h2"), "lines-again")
     first = stored(again.groupBy("h", "line").agg(F.min(place).alias("place")), "lines-first")
     copies = again.select("h", "h2", "id", "pos", place.alias("place")).join(first.select("h", F.xxhash64(F.lit(1), "line").alias("h2"), F.col("place").alias("first")), ["h", "h2"]).where("place > first").select("id", "pos")
 
@@ -99,17 +107,20 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     classes = rarity(docs, text_col)
     sets = reps.select("id", "pos", word_set(F.col("line"), classes).alias("s"))
+    sets = sets.withColumns({"p0": _parity(F.col("s"), 0), "p1": _parity(F.col("s"), 1)})
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), (n - _needed(n) + 1).cast("int"))
-    rows = sets.select("id", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(n.cast("long")).alias("pos_n"), F.posexplode(prefix).alias("at", "key"))
+    rows = sets.select("id", "p0", "p1", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(n.cast("long")).alias("pos_n"), F.posexplode(prefix).alias("at", "key"))
     rows = rows.repartition("key")  # both sides of the join read one shuffle
-    side = lambda p: rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "pos_n", "at")])
+    side = lambda p: rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "pos_n", "at", "p0", "p1")])
     length = lambda p: F.col(f"{p}_pos_n").bitwiseAND(F.lit((1 << 32) - 1))
     la, lb = length("a"), length("b")
     room = F.least(la - F.col("a_at"), lb - F.col("b_at"))  # words from the shared one on
     enough = F.ceil((la + lb) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    differ = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))) + F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1")))
+    alike = la + lb - differ >= enough * 2
     before = (F.col("a_id") < F.col("b_id")) | ((F.col("a_id") == F.col("b_id")) & (F.col("a_pos_n") < F.col("b_pos_n")))
-    pairs = side("a").join(side("b"), "key").where(before & (la * DENOMINATOR >= lb * NUMERATOR) & (lb * DENOMINATOR >= la * NUMERATOR) & (room >= enough))
+    pairs = side("a").join(side("b"), "key").where(before & (la * DENOMINATOR >= lb * NUMERATOR) & (lb * DENOMINATOR >= la * NUMERATOR) & (room >= enough) & alike)
     pos = lambda c: F.shiftright(c, 32).cast("int")
     pairs = stored(pairs.select("a_id", pos("a_pos_n").alias("a_pos"), "b_id", pos("b_pos_n").alias("b_pos")).distinct(), "lines-pairs")
 
