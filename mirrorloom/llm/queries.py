@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, line_dedup, mixing, pii, quality_fm, rule_ledger, simhash_pigeonring
+from . import attention_lm, bpe, exact_dedup, language_id, line_dedup, mixing, pii, quality_fm, rule_ledger, simhash_pigeonring
 from .common import documents, fold, labels
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(documents(spark, sf_dir), vocabulary())
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = quality_fm.score(docs, quality_fm.fit(docs, labels(spark, sf_dir)))
@@ -60,13 +64,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_pii": op5_pii,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_language_id": op8_language_id,
-    "op1_exact_dedup": op1_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
