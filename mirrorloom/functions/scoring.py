@@ -63,30 +63,39 @@ def best_window(first: str, second: str, loop: int, search: bool = True, stackin
     good = (a == b) & ((a == 71) | (a == 65))
     pair = np.where(good, np.where(a == 71, PAIRING_GG, PAIRING_AA), PAIRING_OTHER)
     least = min(MIN_WINDOW, arm)
-    score, run = np.zeros(arm), np.zeros(arm, dtype=np.int64)
+    tops = np.concatenate([[0.0], np.cumsum(pair)])
+    # From the first stacked step after its start on, a window sees the same runs as the whole arm does; before that its
+    # run grows from 1.  So the stacking sum of any window is a difference of two prefix sums and a table look-up.
+    steps = np.array([0.0, *stacking_steps(good.tolist())]) if stacking else np.zeros(arm)
+    upto = np.concatenate([np.cumsum(steps), [0.0]])  # upto[i]: steps 1..i
+    both = np.flatnonzero(good[1:] & good[:-1]) + 1
+    first_both = np.concatenate([both, [arm]])[np.searchsorted(both, np.arange(arm) + 1)] if stacking else np.arange(arm)
+    alone = np.concatenate([[0.0], np.cumsum(_DISCOUNTS[np.minimum(np.arange(1, arm + 1), 15)])]) if stacking else np.zeros(arm + 1)
     best, window = -np.inf, (0, arm)
-    starts = np.arange(arm)
-    for i in range(arm):  # all windows that end behind base i, one step of every start at a time
-        if i and stacking:
-            if good[i - 1] and good[i]:
-                run[:i] = 0
-                score[:i] += STACK_BONUS
-            else:
-                run[:i] += 1
-                score[:i] -= _DISCOUNTS[np.minimum(run[:i], 15)]
-        score[: i + 1] += pair[i]
-        end = i + 1
-        ok = starts[: max(0, end - least + 1)]
-        ok = ok[2 * (arm - end) + loop <= (end - ok) * SPACER_PER_ARM]
-        if len(ok):
-            values = np.round(score[ok], 3)
-            at = int(np.argmax(values))
-            top = float(values[at])
-            if top > best or (top == best and (int(ok[at]), end) < window):
-                best, window = top, (int(ok[at]), end)
+    last_start = arm - max(least, int(np.ceil(loop / SPACER_PER_ARM)))
+    for at in range(0, last_start + 1, 128):
+        lo = np.arange(at, min(last_start + 1, at + 128))[:, None]
+        hi = np.arange(min(arm, at + least), arm + 1)[None, :]
+        f = first_both[lo]
+        inside = np.maximum(hi - 1 - lo, 0)
+        stack = np.where(hi - 1 < f, -alone[np.minimum(inside, arm)], -alone[np.maximum(f - 1 - lo, 0)] + upto[hi - 1] - upto[np.maximum(f - 1, 0)]) if stacking else 0.0
+        value = np.round(tops[hi] - tops[lo] + stack, 3)
+        value = np.where((hi - lo >= least) & (2 * (arm - hi) + loop <= (hi - lo) * SPACER_PER_ARM), value, -np.inf)
+        top = int(np.argmax(value))  # the first in (L, R) order
+        i, j = divmod(top, value.shape[1])
+        if value[i, j] > best:
+            best, window = float(value[i, j]), (at + i, int(hi[0, j]))
     return window
 
 
+def ceiling(left: str, spacer: str, right: str) -> float:
+    """No window scores more: all matched purine pairs and all stacked steps, without a penalty; infinite if unknown."""
+    first, _, second = orient(left, spacer, right)
+    a, b = np.frombuffer(first.encode(), np.uint8), np.frombuffer(second.encode(), np.uint8)
+    good = (a == b) & ((a == 71) | (a == 65))
+    return float(PAIRING_GG * (good & (a == 71)).sum() + PAIRING_AA * (good & (a == 65)).sum() + STACK_BONUS * (good[1:] & good[:-1]).sum()) + 0.001
+
+
 @lru_cache(maxsize=50_000)
 def score_hit(left: str, spacer: str, right: str, stacking: bool = True, search: bool = True) -> tuple[float, float, float, str] | None:
     """(stacking, pairing, total, putative triplex) or None if a base is not A, C, G or T."""

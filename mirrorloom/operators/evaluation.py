@@ -227,9 +227,9 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks, from the counts of distinct values of each column."""
 
     def ranked(c: str) -> DataFrame:
-        per = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return per.select(F.col(c).alias(f"_{c}"), (before + (F.col("n") + 1) / 2.0).alias(f"r_{c}"))
+        per = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return per.select(F.col(c).alias(f"_{c}"), (before + (F.col("_n") + 1) / 2.0).alias(f"r_{c}"))
 
     both = df.join(ranked(a), F.col(a) == F.col(f"_{a}")).join(ranked(b), F.col(b) == F.col(f"_{b}"))
     return both.agg(F.corr(f"r_{a}", f"r_{b}").alias("rho"))
@@ -255,7 +255,7 @@ def validate_cohort(records: DataFrame, expected: DataFrame, id_col: str = "reco
     ids = records.groupBy(id_col).agg(F.count(F.lit(1)).alias("k"), F.first("seq").alias("seq"), F.first("label").alias("label"))
     both = ids.join(expected.select(id_col, F.col("seq").alias("want")), id_col, "full")
     return both.agg(
-        F.count_if("k > 1").alias("repeated"), F.count_if("k is null").alias("missing"), F.count_if(F.col("k").isNotNull() & F.col("want").isNull()).alias("unexpected"),
+        F.count_if(F.expr("k > 1")).alias("repeated"), F.count_if(F.expr("k is null")).alias("missing"), F.count_if(F.col("k").isNotNull() & F.col("want").isNull()).alias("unexpected"),
         F.count_if(F.upper("seq") != F.upper("want")).alias("changed"), F.count_if(F.col("k").isNotNull() & ~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).alias("bad_label"),
     )
 

@@ -96,7 +96,7 @@ def compare_sets(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Rows in both, only in a, only in b (distinct), by one full aggregate over the union."""
     both = a.select(*columns, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*columns, F.lit(0).alias("a"), F.lit(1).alias("b")))
     each = both.groupBy(*columns).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    return each.agg(F.count_if("a = 1 and b = 1").alias("shared"), F.count_if("b = 0").alias("only_a"), F.count_if("a = 0").alias("only_b"))
+    return each.agg(F.count_if(F.expr("a = 1 and b = 1")).alias("shared"), F.count_if(F.expr("b = 0")).alias("only_a"), F.count_if(F.expr("a = 0")).alias("only_b"))
 
 
 def outside(points: DataFrame, hits: DataFrame, pad: int, key: str = "seq_id", id_col: str = "id") -> DataFrame:

@@ -7,6 +7,7 @@ decision reaches beyond an island, so memory follows the largest island.
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -14,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scoring import ceiling, score_hit
 from ..params import STRATEGIES
+from ..schema import SCORES
 
 
 def islands(hits: DataFrame, key: str = "seq_id") -> DataFrame:
@@ -111,3 +114,86 @@ def remove_overlaps(hits: DataFrame, strategy: str = "greedy", key: tuple[str, .
     n = hits.sparkSession.conf.get("spark.sql.shuffle.partitions")
     order = [*keys, F.col("start"), F.col("arm_length").desc(), F.col("spacer_length")]
     return hits.repartition(int(n), *keys).sortWithinPartitions(*order, "full_sequence").mapInArrow(run, schema)
+
+
+def best_first_lazily(island: list[dict], drop_homopolymers: bool = False) -> list[dict]:
+    """The hits that selection by score accepts, with their scores, scoring as few as possible.
+
+    Hits wait under a score that they cannot exceed.  A hit that comes up and overlaps an accepted one goes unscored;
+    otherwise it is scored and waits again under its score, behind any that might still equal it.
+    """
+    heap = [(-ceiling(h["left_arm"], h["spacer"], h["right_arm"]), 0, i) for i, h in enumerate(island)]
+    heapq.heapify(heap)
+    taken: list[tuple[int, int, int]] = []
+    scored: dict[int, dict] = {}
+    unscorable: list[tuple] = []
+
+    def clashes(h: dict) -> bool:
+        i = bisect_right(taken, (h["end"], 1 << 62, 0))
+        return bool(i) and taken[i - 1][1] >= h["start"]
+
+    while heap:
+        _, known, *rest = heapq.heappop(heap)
+        i = rest[-1]
+        if clashes(island[i]):
+            continue
+        if known:
+            insort(taken, (island[i]["start"], island[i]["end"], i))
+            continue
+        h = island[i]
+        got = score_hit(h["left_arm"], h["spacer"], h["right_arm"])
+        h = h | dict(zip(("stacking_score", "pairing_score", "total_score", "putative_triplex"), got or (None, None, None, ""), strict=True))
+        bare = h["putative_triplex"].translate({91: None, 93: None})
+        if drop_homopolymers and len(set(bare)) == 1:
+            continue
+        scored[i] = h
+        if got is None:
+            unscorable.append((_priority(h), i))
+        else:
+            heapq.heappush(heap, (-got[2], 1, _priority(h), i))
+    for _, i in sorted(unscorable):
+        if not clashes(island[i]):
+            insort(taken, (island[i]["start"], island[i]["end"], i))
+    return [scored[i] for *_, i in taken]
+
+
+def select_lazily(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), drop_homopolymers: bool = False) -> DataFrame:
+    """Same rows as scoring all of ``hits`` and selecting by score, with the four score columns."""
+    keys = list(key)
+    schema = hits.schema
+    for part in SCORES.split(", "):
+        schema = schema.add(*part.split())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        done: list[dict] = []
+        at, upto, kind = None, 0, None
+
+        def batch_of(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(rows, schema=kind)
+
+        for batch in batches:
+            if kind is None:
+                kind = batch.schema
+                for n in ("stacking_score", "pairing_score", "total_score"):
+                    kind = kind.append(pa.field(n, pa.float64()))
+                kind = kind.append(pa.field("putative_triplex", pa.string()))
+            for h in batch.to_pylist():
+                k = tuple(h[x] for x in keys)
+                if held and (k != at or h["start"] > upto):
+                    done += best_first_lazily(held, drop_homopolymers)
+                    held = []
+                    if len(done) >= 4096:
+                        yield batch_of(done)
+                        done = []
+                upto = max(upto, h["end"]) if held else h["end"]
+                at = k
+                held.append(h)
+        if held:
+            done += best_first_lazily(held, drop_homopolymers)
+        if done:
+            yield batch_of(done)
+
+    n = hits.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    order = [*keys, F.col("start"), F.col("arm_length").desc(), F.col("spacer_length")]
+    return hits.repartition(int(n), *keys).sortWithinPartitions(*order, "full_sequence").mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import with_scores
 from ..operators import detect as D
 from ..operators import filters as C
-from ..operators.overlap import remove_overlaps
+from ..operators.overlap import remove_overlaps, select_lazily
 from ..params import ScanParams
 from ..schema import HIT_COLUMNS, SCORES
 
@@ -51,10 +51,7 @@ def scan(records: DataFrame, p: ScanParams | None = None, size: int = D.CHUNK, r
     if p.remove_overlaps and p.overlap_strategy != "greedy":
         if p.filter_homopolymers:
             hits = C.filter_homopolymers(hits, C.PRE)
-        hits = with_scores(hits)
-        if p.filter_homopolymers:
-            hits = C.filter_homopolymers(hits, C.POST)
-        return _finish(remove_overlaps(hits, p.overlap_strategy, per))
+        return _finish(select_lazily(hits, per, p.filter_homopolymers))
     if p.remove_overlaps:
         hits = remove_overlaps(hits, "greedy", per)
     if p.score:

@@ -1,6 +1,520 @@
-"""Registered queries of the engine and their DuckDB equivalents."""
+"""Registered queries of the engine and their DuckDB equivalents, named after the operators they show."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scoring, stats
+from .operators import evaluation as E
+from .operators import filters as C
+from .operators import intervals as G
+from .operators import reporting as A
+from .operators.overlap import islands, remove_overlaps
+from .params import ScanParams
+from .plans import scan as P
+from .views import HITS_SQL, INSERTS_SQL, LABELLED_SQL, MOTIFS_SQL, POINTS_SQL, dna, hits, inserts, labelled, motifs, points
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+HIT_KEY = ["seq_id", "start", "end", "arm_length", "spacer_length"]
+
+
+def query(name: str, sql: str | None = None, views: str = ""):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = f"WITH {views} {sql}" if views else sql
+        return f
+
+    return add
+
+
+# Scans of whole documents as sequences.  Their windows of every place, spacer and length are beyond SQL at full size;
+# tests hold them against a literal loop.
+
+
+@query("x1_raw_candidates")
+def x1(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators.detect import raw_candidates
+
+    return raw_candidates(dna(spark, sf), ScanParams(), extend=False).select("seq_id", "start", "end", "arm_length", "spacer_length", "ga", "ct", "mismatches")
+
+
+@query("p5_detect_candidates")
+def p5(spark: SparkSession, sf: str) -> DataFrame:
+    return P.detect_candidates(dna(spark, sf)).drop("record_ix")
+
+
+@query("p1_scan_hits")
+def p1(spark: SparkSession, sf: str) -> DataFrame:
+    return P.scan(dna(spark, sf)).drop("record_ix")
+
+
+@query("p1_scan_score_selection")
+def p1_score(spark: SparkSession, sf: str) -> DataFrame:
+    return P.scan(dna(spark, sf), ScanParams(overlap_strategy="score")).drop("record_ix")
+
+
+@query("p6_ablation_stages")
+def p6(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits, mean and highest score of each stage of the pipeline."""
+    out = None
+    for i, model in enumerate(P.ABLATION[1:]):
+        got = P.scan_ablation(dna(spark, sf), model).agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg("total_score"), 6).alias("mean_score"), F.max("total_score").alias("max_score")).select(F.lit(i).alias("step"), F.lit(model).alias("stage"), "*")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("c2_score_components")
+def c2(spark: SparkSession, sf: str) -> DataFrame:
+    base = P.scan(dna(spark, sf), ScanParams(score=False))
+    out = base.select("seq_id", "start", "end", "arm_length", "left_arm", "spacer", "right_arm", scoring.upper_bound(F.col("left_arm")).alias("bound"))
+    for m in scoring.MODELS:
+        out = scoring.with_scores(out, m).withColumnRenamed("total_score", f"score_{m}").drop("stacking_score", "pairing_score", "putative_triplex")
+    return out.drop("left_arm", "spacer", "right_arm")
+
+
+@query("d14_scan_profile")
+def d14(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences, bases and candidates per document language, the scan's volume counters."""
+    found = P.detect_candidates(dna(spark, sf)).groupBy("record_ix").agg(F.count(F.lit(1)).alias("c"))
+    per = dna(spark, sf).join(found, "record_ix", "left").select(F.length("seq").cast("long").alias("b"), F.coalesce("c", F.lit(0)).alias("c"))
+    return per.agg(F.count(F.lit(1)).alias("records"), F.sum("b").alias("bases"), F.sum("c").alias("candidates"))
+
+
+# Filters and projections over lines as spans.
+
+
+@query("f1_at_content", "SELECT doc_id, pos FROM motifs WHERE (length(full_sequence) - length(translate(full_sequence, 'at', ''))) / length(full_sequence) < 0.45", MOTIFS_SQL)
+def f1(spark: SparkSession, sf: str) -> DataFrame:
+    return C.filter_at_content(motifs(spark, sf), 0.45).select("doc_id", "pos")
+
+
+@query("f3_g_rate", """SELECT doc_id, pos FROM motifs WHERE CASE WHEN ga_pct >= ct_pct
+  THEN greatest(length(left_arm) - length(replace(left_arm, 'g', '')), length(right_arm) - length(replace(right_arm, 'g', '')))
+  ELSE greatest(length(left_arm) - length(replace(left_arm, 'c', '')), length(right_arm) - length(replace(right_arm, 'c', ''))) END / arm_length >= 0.3""", MOTIFS_SQL)
+def f3(spark: SparkSession, sf: str) -> DataFrame:
+    return C.filter_g_rate(motifs(spark, sf), 0.3).select("doc_id", "pos")
+
+
+@query("f4_homopolymers", "SELECT doc_id, CAST(count(*) AS BIGINT) AS spans, CAST(count(*) FILTER (full_sequence <> repeat(full_sequence[1], length(full_sequence))) AS BIGINT) AS kept FROM motifs GROUP BY doc_id", MOTIFS_SQL)
+def f4(spark: SparkSession, sf: str) -> DataFrame:
+    return motifs(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.count_if(~C.is_homopolymer(F.col("full_sequence"))).alias("kept"))
+
+
+@query("f7_composition_group", """SELECT CASE WHEN full_sequence = repeat(full_sequence[1], length(full_sequence)) THEN 'homopolymer'
+  WHEN length(full_sequence) - length(translate(full_sequence, 'at', '')) >= 0.8 * length(full_sequence) THEN 'at_rich' ELSE 'mixed' END AS composition, count(*) AS n FROM motifs GROUP BY 1""", MOTIFS_SQL)
+def f7(spark: SparkSession, sf: str) -> DataFrame:
+    return motifs(spark, sf).groupBy(C.composition_group(F.col("full_sequence")).alias("composition")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c9_reverse_complement", "SELECT doc_id, pos, reverse(translate(full_sequence, 'acgt', 'tgca')) AS rc FROM motifs", MOTIFS_SQL)
+def c9(spark: SparkSession, sf: str) -> DataFrame:
+    return motifs(spark, sf).select("doc_id", "pos", scoring.reverse_complement_column(F.col("full_sequence")).alias("rc"))
+
+
+@query("g26_motif_features", """SELECT doc_id, pos, CAST(length(full_sequence) AS INTEGER) AS n, CAST(length(full_sequence) - length(translate(full_sequence, 'at', '')) AS INTEGER) AS at_bases,
+  CAST((length(full_sequence) - length(translate(full_sequence, 'ga', ''))) - (length(full_sequence) - length(translate(full_sequence, 'ct', ''))) AS INTEGER) AS purine_skew,
+  CAST(list_max(list_transform(regexp_extract_all(full_sequence, 'a+|c+|g+|t+|n+'), lambda x: length(x))) AS INTEGER) AS longest_run FROM motifs""", MOTIFS_SQL)
+def g26(spark: SparkSession, sf: str) -> DataFrame:
+    m = motifs(spark, sf)
+    f = G.motif_features(F.col("full_sequence"))
+    whole = lambda c: F.round(c * F.length("full_sequence")).cast("int")
+    return m.select("doc_id", "pos", F.length("full_sequence").alias("n"), whole(f["at"]).alias("at_bases"), whole(f["skew"]).alias("purine_skew"), whole(f["run"]).alias("longest_run"))
+
+
+# The hit table: predicates, selection, summaries.
+
+
+@query("f5_hit_table", "SELECT id, arm_length, total_score FROM hits WHERE contains(lower(seq_id), 's1') AND arm_length >= 12 AND arm_length <= 25 AND mirror_identity >= 95 AND ga_pct >= 80 AND total_score >= 10", HITS_SQL)
+def f5(spark: SparkSession, sf: str) -> DataFrame:
+    return C.filter_table(hits(spark, sf), q="S1", min_arm=12, max_arm=25, min_mirror=95, min_ga=True, min_score=10).select("id", "arm_length", "total_score")
+
+
+@query("o1_greedy_sweep", """, ranked AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY start, arm_length DESC, spacer_length) AS r FROM hits),
+walk AS (SELECT seq_id, r, start, "end", arm_length, spacer_length, r AS keeper, CAST(NULL AS BIGINT) AS closed FROM ranked WHERE r = 1
+  UNION ALL SELECT n.seq_id, n.r,
+    CASE WHEN n.start > w."end" OR n.arm_length > w.arm_length OR (n.arm_length = w.arm_length AND n.spacer_length < w.spacer_length) THEN n.start ELSE w.start END,
+    CASE WHEN n.start > w."end" OR n.arm_length > w.arm_length OR (n.arm_length = w.arm_length AND n.spacer_length < w.spacer_length) THEN n."end" ELSE w."end" END,
+    CASE WHEN n.start > w."end" OR n.arm_length > w.arm_length OR (n.arm_length = w.arm_length AND n.spacer_length < w.spacer_length) THEN n.arm_length ELSE w.arm_length END,
+    CASE WHEN n.start > w."end" OR n.arm_length > w.arm_length OR (n.arm_length = w.arm_length AND n.spacer_length < w.spacer_length) THEN n.spacer_length ELSE w.spacer_length END,
+    CASE WHEN n.start > w."end" OR n.arm_length > w.arm_length OR (n.arm_length = w.arm_length AND n.spacer_length < w.spacer_length) THEN n.r ELSE w.keeper END,
+    CASE WHEN n.start > w."end" THEN w.keeper END
+  FROM walk w JOIN ranked n ON n.seq_id = w.seq_id AND n.r = w.r + 1),
+kept AS (SELECT seq_id, closed AS r FROM walk WHERE closed IS NOT NULL UNION SELECT seq_id, arg_max(keeper, r) FROM walk GROUP BY seq_id)
+SELECT ranked.seq_id, start, "end", arm_length, spacer_length FROM ranked JOIN kept USING (seq_id, r)""", "RECURSIVE " + HITS_SQL)
+def o1(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_overlaps(hits(spark, sf), "greedy").select(HIT_KEY)
+
+
+@query("o2_score_selection", """, ranked AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY total_score IS NULL, total_score DESC, arm_length DESC, spacer_length, start, "end") AS r FROM hits),
+walk AS (SELECT seq_id, r, [{'s': start, 'e': "end"}] AS taken, true AS ok FROM ranked WHERE r = 1
+  UNION ALL SELECT n.seq_id, n.r, CASE WHEN len(list_filter(w.taken, lambda x: x.s <= n."end" AND x.e >= n.start)) = 0 THEN list_append(w.taken, {'s': n.start, 'e': n."end"}) ELSE w.taken END,
+    len(list_filter(w.taken, lambda x: x.s <= n."end" AND x.e >= n.start)) = 0
+  FROM walk w JOIN ranked n ON n.seq_id = w.seq_id AND n.r = w.r + 1)
+SELECT ranked.seq_id, start, "end", arm_length, spacer_length FROM ranked JOIN walk USING (seq_id, r) WHERE ok""", "RECURSIVE " + HITS_SQL)
+def o2(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_overlaps(hits(spark, sf), "score").select(HIT_KEY)
+
+
+@query("o3_islands", """, marked AS (SELECT *, CASE WHEN max("end") OVER (PARTITION BY seq_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS n FROM hits),
+numbered AS (SELECT *, sum(n) OVER (PARTITION BY seq_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM marked)
+SELECT seq_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(start) AS start, max("end") AS "end" FROM numbered GROUP BY 1, 2""", HITS_SQL)
+def o3(spark: SparkSession, sf: str) -> DataFrame:
+    return islands(hits(spark, sf)).groupBy("seq_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+@query("a1_stats", """SELECT count(*) AS total, count(*) FILTER (is_perfect) AS perfect, count(*) FILTER (NOT is_perfect) AS imperfect, round(count(*) FILTER (is_perfect) * 100.0 / count(*), 1) AS perfect_pct,
+  count(DISTINCT seq_id) AS sequences, round(avg(arm_length), 1) AS mean_arm, round(avg(spacer_length), 1) AS mean_spacer, round(avg(mirror_identity), 1) AS mean_mirror, min(arm_length) AS min_arm, max(arm_length) AS max_arm,
+  round(avg(total_score), 1) AS mean_score, max(total_score) AS max_score, count(total_score) AS scored FROM hits""", HITS_SQL)
+def a1(spark: SparkSession, sf: str) -> DataFrame:
+    return A.compute_stats(hits(spark, sf))
+
+
+@query("a2_top_sequences", "SELECT seq_id, count(*) AS hits FROM hits GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25", HITS_SQL)
+def a2(spark: SparkSession, sf: str) -> DataFrame:
+    return A.top_sequences(hits(spark, sf))
+
+
+@query("a3_perfect_split", "SELECT is_perfect, count(*) AS n FROM hits GROUP BY 1", HITS_SQL)
+def a3(spark: SparkSession, sf: str) -> DataFrame:
+    return A.value_counts(hits(spark, sf), "is_perfect")
+
+
+@query("a4_arm_counts", "SELECT arm_length, count(*) AS n FROM hits GROUP BY 1", HITS_SQL)
+def a4(spark: SparkSession, sf: str) -> DataFrame:
+    return A.value_counts(hits(spark, sf), "arm_length")
+
+
+@query("a5_mirror_histogram", "SELECT CAST(least(floor(mirror_identity / 2), 49) AS INTEGER) AS bin, count(*) AS n FROM hits GROUP BY 1", HITS_SQL)
+def a5(spark: SparkSession, sf: str) -> DataFrame:
+    return A.histogram(hits(spark, sf), "mirror_identity", 50, 0, 100)
+
+
+@query("a6_score_histogram", """, r AS (SELECT min(total_score) AS a, (max(total_score) - min(total_score)) / 50 AS w FROM hits)
+SELECT CAST(least(floor((total_score - a) / w), 49) AS INTEGER) AS bin, count(*) AS n FROM hits, r WHERE total_score IS NOT NULL GROUP BY 1""", HITS_SQL)
+def a6(spark: SparkSession, sf: str) -> DataFrame:
+    return A.histogram(hits(spark, sf), "total_score")
+
+
+@query("a7_arm_by_spacer", "SELECT arm_length, spacer_length, count(*) AS n FROM hits GROUP BY 1, 2", HITS_SQL)
+def a7(spark: SparkSession, sf: str) -> DataFrame:
+    return A.value_counts(hits(spark, sf), "arm_length", "spacer_length")
+
+
+@query("a8_seeded_sample")
+def a8(spark: SparkSession, sf: str) -> DataFrame:
+    return A.seeded_sample(hits(spark, sf), 4000, ["id"])
+
+
+@query("a9_locus_map")
+def a9(spark: SparkSession, sf: str) -> DataFrame:
+    return A.locus_map(hits(spark, sf))
+
+
+@query("a10_page", 'SELECT id, seq_id, start, "end" FROM hits ORDER BY seq_id, start, id LIMIT 50 OFFSET 100', HITS_SQL)
+def a10(spark: SparkSession, sf: str) -> DataFrame:
+    return A.page(hits(spark, sf), 3, 50, ["seq_id", "start", "id"]).select("id", "seq_id", "start", "end")
+
+
+@query("a10_page_count", "SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 50)) AS BIGINT) AS pages FROM hits", HITS_SQL)
+def a10_count(spark: SparkSession, sf: str) -> DataFrame:
+    return A.page_count(hits(spark, sf), 50)
+
+
+@query("a12_score_range", ", s AS (SELECT total_score AS v, row_number() OVER (ORDER BY total_score) - 1 AS i, count(*) OVER () AS n FROM hits WHERE total_score IS NOT NULL) SELECT min(v) AS min_score, max(v) FILTER (i = n // 2) AS median_score, max(v) AS max_score FROM s", HITS_SQL)
+def a12(spark: SparkSession, sf: str) -> DataFrame:
+    return A.score_range(hits(spark, sf))
+
+
+@query("a15_interval_strings", """SELECT seq_id, string_agg(start || '-' || "end", ';' ORDER BY start, "end") AS intervals FROM hits GROUP BY 1""", HITS_SQL)
+def a15(spark: SparkSession, sf: str) -> DataFrame:
+    return A.interval_strings(hits(spark, sf))
+
+
+@query("a16_record_calls", """, per AS (SELECT seq_id, max(total_score) AS s, count(*) AS n FROM hits GROUP BY 1), recs AS (SELECT DISTINCT seq_id FROM inserts)
+SELECT seq_id, coalesce(s, 0.0) AS max_score, coalesce(n, 0) AS n_hits, coalesce(n, 0) > 0 AS called FROM recs LEFT JOIN per USING (seq_id)""", f"{HITS_SQL}, {INSERTS_SQL}")
+def a16(spark: SparkSession, sf: str) -> DataFrame:
+    return A.record_calls(inserts(spark, sf).select("seq_id").distinct(), hits(spark, sf), "seq_id")
+
+
+@query("a17_best_hit", """SELECT seq_id, arg_max(start, (coalesce(total_score, -1.0), mirror_identity, -start, arm_length, spacer_length)) AS start, max(coalesce(total_score, -1.0)) AS score FROM hits GROUP BY 1""", HITS_SQL)
+def a17(spark: SparkSession, sf: str) -> DataFrame:
+    h = hits(spark, sf).withColumn("score", F.coalesce("total_score", F.lit(-1.0)))
+    return A.best_hit(h, "seq_id", [F.col("score"), F.col("mirror_identity"), -F.col("start"), F.col("arm_length"), F.col("spacer_length")], ["start", "score"])
+
+
+# Intervals.
+
+
+@query("g3_best_matches", """, pairs AS (SELECT i.id, i.start, i."end", h.start AS hs, h."end" AS he, h.total_score AS t, least(i."end", h."end") - greatest(i.start, h.start) + 1 AS o FROM inserts i JOIN hits h ON i.seq_id = h.seq_id AND i.start <= h."end" AND i."end" >= h.start),
+m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN t IS NULL THEN -1 ELSE -t END, o DESC, hs, he, t) AS r, count(*) OVER (PARTITION BY id) AS c FROM pairs WHERE o / ("end" - start + 1) >= 0.5 OR o / (he - hs + 1) >= 0.5)
+SELECT inserts.id, coalesce(c, 0) AS n_matches, hs AS best_start, he AS best_end, o AS best_overlap, t AS best_score FROM inserts LEFT JOIN (SELECT * FROM m WHERE r = 1) m USING (id)""", f"{HITS_SQL}, {INSERTS_SQL}")
+def g3(spark: SparkSession, sf: str) -> DataFrame:
+    return G.best_matches(inserts(spark, sf), hits(spark, sf), 0.5).select("id", "n_matches", "best_start", "best_end", "best_overlap", "best_score")
+
+
+@query("g4_overlap_sweep", """, best AS (SELECT i.id, max(greatest((least(i."end", h."end") - greatest(i.start, h.start) + 1) / (i."end" - i.start + 1), (least(i."end", h."end") - greatest(i.start, h.start) + 1) / (h."end" - h.start + 1))) AS c FROM inserts i JOIN hits h ON i.seq_id = h.seq_id AND i.start <= h."end" AND i."end" >= h.start GROUP BY 1),
+f AS (SELECT unnest([0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS fraction) SELECT fraction, (SELECT count(*) FROM best WHERE c >= fraction) AS matched FROM f""", f"{HITS_SQL}, {INSERTS_SQL}")
+def g4(spark: SparkSession, sf: str) -> DataFrame:
+    return G.overlap_sweep(inserts(spark, sf), hits(spark, sf), [0.25, 0.5, 0.75, 1.0])
+
+
+@query("g5_coverage", """SELECT i.id, coalesce(max(CASE WHEN h.start IS NOT NULL THEN (least(i."end", h."end") - greatest(i.start, h.start) + 1) / (i."end" - i.start + 1) END), 0.0) AS max_coverage FROM inserts i LEFT JOIN hits h ON i.seq_id = h.seq_id AND i.start <= h."end" AND i."end" >= h.start GROUP BY 1""", f"{HITS_SQL}, {INSERTS_SQL}")
+def g5(spark: SparkSession, sf: str) -> DataFrame:
+    return G.coverage(inserts(spark, sf), hits(spark, sf))
+
+
+@query("g7_any_overlap", """SELECT id FROM inserts i WHERE EXISTS (SELECT 1 FROM hits h WHERE h.seq_id = i.seq_id AND h.start <= i."end" AND h."end" >= i.start)""", f"{HITS_SQL}, {INSERTS_SQL}")
+def g7(spark: SparkSession, sf: str) -> DataFrame:
+    return G.any_overlap(inserts(spark, sf), hits(spark, sf)).select("id")
+
+
+@query("g11_padded_exclusion", """SELECT id FROM inserts i WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.seq_id = i.seq_id AND h.start - 5 <= i."end" AND h."end" + 5 >= i.start)""", f"{HITS_SQL}, {INSERTS_SQL}")
+def g11(spark: SparkSession, sf: str) -> DataFrame:
+    return G.outside(inserts(spark, sf), hits(spark, sf), 5).select("id")
+
+
+@query("g8_as_of_region", """, b AS (SELECT id, seq_id, start, "end", start // 100 * 100 + 1 AS rs, start // 100 * 100 + 70 AS re0 FROM inserts), regions AS (SELECT DISTINCT seq_id, rs, re0 AS re FROM b)
+SELECT i.id, CASE WHEN r.re >= i.start THEN r.rs END AS region_start, CASE WHEN r.re >= i.start THEN r.re END AS region_end FROM inserts i ASOF LEFT JOIN regions r ON i.seq_id = r.seq_id AND i."end" >= r.rs""", INSERTS_SQL)
+def g8(spark: SparkSession, sf: str) -> DataFrame:
+    i = inserts(spark, sf)
+    first = F.floor(F.col("start") / 100) * 100 + 1
+    regions = i.select("seq_id", first.alias("start"), (first + 69).alias("end")).distinct()
+    return G.as_of_region(i, regions).select("id", "region_start", "region_end")
+
+
+@query("g9_overlapping_neighbours", """, n AS (SELECT seq_id, lead(start) OVER (PARTITION BY seq_id ORDER BY start, "end") <= "end" AS o FROM inserts) SELECT seq_id, coalesce(bool_or(o), false) AS has_overlap FROM n GROUP BY 1""", INSERTS_SQL)
+def g9(spark: SparkSession, sf: str) -> DataFrame:
+    return G.overlapping_neighbours(inserts(spark, sf))
+
+
+@query("g10_compare_sets", """, a AS (SELECT DISTINCT seq_id, start FROM hits), b AS (SELECT DISTINCT seq_id, start FROM inserts)
+SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS shared, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_b""", f"{HITS_SQL}, {INSERTS_SQL}")
+def g10(spark: SparkSession, sf: str) -> DataFrame:
+    return G.compare_sets(hits(spark, sf), inserts(spark, sf), ["seq_id", "start"])
+
+
+@query("g15_bin_counts", "SELECT chrom, CAST((pos - 1) // 200 AS BIGINT) AS bin, count(*) AS n FROM points GROUP BY 1, 2", POINTS_SQL)
+def g15(spark: SparkSession, sf: str) -> DataFrame:
+    return G.bin_counts(points(spark, sf))
+
+
+@query("g16_enriched_bins")
+def g16(spark: SparkSession, sf: str) -> DataFrame:
+    """Bins of large weights enriched over all points."""
+    p = points(spark, sf)
+    grid = G.bin_counts(p).select("chrom", "bin")
+    some = G.bin_counts(p.where("weight < 20")).join(grid, ["chrom", "bin"], "right").select("chrom", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    got = G.enriched_bins(some, G.bin_counts(p), 0.1, 1.0)
+    return got.select("chrom", "bin", "n", F.round("lam", 6).alias("lam"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
+
+
+@query("g17_merge_bins", """, b AS (SELECT DISTINCT chrom, (pos - 1) // 200 AS bin FROM points WHERE weight < 5), g AS (SELECT chrom, bin, bin - row_number() OVER (PARTITION BY chrom ORDER BY bin) AS g FROM b)
+SELECT chrom, CAST(min(bin) * 200 AS BIGINT) AS start0, CAST((max(bin) + 1) * 200 AS BIGINT) AS end0 FROM g GROUP BY chrom, g""", POINTS_SQL)
+def g17(spark: SparkSession, sf: str) -> DataFrame:
+    return G.merge_bins(G.bin_counts(points(spark, sf).where("weight < 5")))
+
+
+@query("g18_rpkm", ", c AS (SELECT chrom, count(*) AS n, max(pos) AS len FROM points GROUP BY 1), t AS (SELECT count(*) AS total FROM points) SELECT chrom, round(n * 1e9 / (len * total), 6) AS rpkm FROM c, t", POINTS_SQL)
+def g18(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    total = p.agg(F.count(F.lit(1)).alias("total"))
+    c = p.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("len"))
+    return c.join(F.broadcast(total)).select("chrom", F.round(G.rpkm(F.col("n"), F.col("len"), F.col("total")), 6).alias("rpkm"))  # one row
+
+
+@query("g19_signal_means", """, b AS (SELECT chrom, (pos - 1) // 500 AS bin, count(*) AS v FROM points GROUP BY 1, 2), f AS (SELECT DISTINCT chrom, (pos - 1) // 2500 * 5 AS b0 FROM points),
+s AS (SELECT f.chrom, f.b0, sum(v) AS t FROM f LEFT JOIN b ON b.chrom = f.chrom AND b.bin >= f.b0 AND b.bin < f.b0 + 5 GROUP BY 1, 2) SELECT chrom, CAST(b0 AS BIGINT) AS b0, CAST(t AS DOUBLE) / 5 AS mean_signal FROM s""", POINTS_SQL)
+def g19(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    b0 = (F.floor((F.col("pos") - 1) / 2500) * 5).alias("b0")
+    intervals = p.select("chrom", b0).distinct().withColumn("b1", F.col("b0") + 5)
+    ends = intervals.agg(F.max("b1").alias("top"))
+    counts = p.groupBy("chrom", F.floor((F.col("pos") - 1) / 500).alias("bin")).agg(F.count(F.lit(1)).alias("v"))
+    grid = intervals.select("chrom").distinct().join(F.broadcast(ends)).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("bin"))  # one row
+    track = grid.join(counts, ["chrom", "bin"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    return G.signal_means(intervals, track).select("chrom", "b0", F.col("mean_signal").cast("double").alias("mean_signal"))
+
+
+@query("g23_injection", """SELECT id, start + coalesce(sum("end" - start + 1) OVER (PARTITION BY seq_id ORDER BY start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new_start FROM inserts""", INSERTS_SQL)
+def g23(spark: SparkSession, sf: str) -> DataFrame:
+    i = inserts(spark, sf).select("id", "seq_id", F.col("start").alias("pos"), (F.col("end") - F.col("start") + 1).alias("len"))
+    return G.injected_places(i).select("id", F.col("start").alias("new_start"))
+
+
+@query("g12_windows")
+def g12(spark: SparkSession, sf: str) -> DataFrame:
+    return G.windows_of(dna(spark, sf), 200, 100).groupBy(F.round("gc", 2).alias("gc")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g13_matched_controls")
+def g13(spark: SparkSession, sf: str) -> DataFrame:
+    w = G.windows_of(dna(spark, sf), 200, 100).withColumn("gc_cell", F.round(F.col("gc") * 20).cast("int")).withColumn("skew_cell", F.round(F.col("asymmetry") * 10).cast("int"))
+    cases = w.where("asymmetry >= 0.3").select(F.concat_ws(":", "seq_id", F.col("pos").cast("string")).alias("id"), "gc_cell", "skew_cell")
+    return G.matched_controls(cases, w.where("asymmetry < 0.3").select("seq_id", "pos", "gc_cell", "skew_cell"), ["gc_cell", "skew_cell"], widen="skew_cell")
+
+
+# Evaluation.
+
+_CONF = "count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 1 AND p = 0) AS fn"
+_CALLED = LABELLED_SQL + ", called AS (SELECT *, CASE WHEN s >= 0.95 THEN 1 ELSE 0 END AS p FROM labelled)"
+
+
+def called(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled(spark, sf).withColumn("p", (F.col("s") >= 0.95).cast("int"))
+
+
+@query("e1_confusion", f"SELECT lang, {_CONF} FROM called GROUP BY lang", _CALLED)
+def e1(spark: SparkSession, sf: str) -> DataFrame:
+    return E.confusion(called(spark, sf), by=["lang"])
+
+
+@query("e2_metrics", f""", c AS (SELECT lang, {_CONF} FROM called GROUP BY lang)
+SELECT lang, tp, fp, tn, fn, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS sensitivity, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS specificity, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+  round(coalesce((tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc FROM c""", _CALLED)
+def e2(spark: SparkSession, sf: str) -> DataFrame:
+    m = E.with_metrics(E.confusion(called(spark, sf), by=["lang"]))
+    return m.select("lang", *E.COUNTS, *[F.round(c, 6).alias(c) for c in ("sensitivity", "specificity", "f1", "mcc")])
+
+
+@query("e4_wilson", f""", c AS (SELECT lang, {_CONF} FROM called GROUP BY lang), r AS (SELECT lang, tp AS k, tp + fn AS n FROM c WHERE tp + fn > 0), z AS (SELECT 1.959963985::DOUBLE AS z)
+SELECT lang, round(greatest(0, (k / n + z * z / (2 * n) - z * sqrt((k / n) * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) AS sens_lo,
+  round(least(1, (k / n + z * z / (2 * n) + z * sqrt((k / n) * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) AS sens_hi FROM r, z""", _CALLED)
+def e4(spark: SparkSession, sf: str) -> DataFrame:
+    w = E.with_wilson(E.confusion(called(spark, sf), by=["lang"])).where("tp + fn > 0")
+    return w.select("lang", F.round("sens_lo", 6).alias("sens_lo"), F.round("sens_hi", 6).alias("sens_hi"))
+
+
+@query("e5_auroc", """, r AS (SELECT lang, y, (rank() OVER (PARTITION BY lang ORDER BY s) + rank() OVER (PARTITION BY lang ORDER BY s DESC)) AS x, count(*) OVER (PARTITION BY lang) AS n,
+  rank() OVER (PARTITION BY lang ORDER BY s) + (count(*) OVER (PARTITION BY lang, s) - 1) / 2 AS avg_rank FROM labelled),
+t AS (SELECT lang, sum(avg_rank) FILTER (y = 1) AS sr, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM r GROUP BY 1) SELECT lang, round((sr - p * (p + 1) / 2) / (p * q), 6) AS auroc FROM t""", LABELLED_SQL)
+def e5(spark: SparkSession, sf: str) -> DataFrame:
+    return E.auroc(labelled(spark, sf), by=["lang"]).select("lang", F.round("auroc", 6).alias("auroc"))
+
+
+@query("e6_roc_points", """, t AS (SELECT DISTINCT s::DOUBLE AS threshold FROM labelled UNION SELECT 'infinity'::DOUBLE UNION SELECT '-infinity'::DOUBLE)
+SELECT threshold, count(*) FILTER (y = 1 AND s >= threshold) AS tp, count(*) FILTER (y = 0 AND s >= threshold) AS fp, count(*) FILTER (y = 0 AND s < threshold) AS tn, count(*) FILTER (y = 1 AND s < threshold) AS fn FROM t, labelled GROUP BY 1""", LABELLED_SQL)
+def e6(spark: SparkSession, sf: str) -> DataFrame:
+    return E.roc_points(labelled(spark, sf)).select("threshold", *E.COUNTS)
+
+
+@query("e8_best_youden", """, t AS (SELECT DISTINCT s AS threshold FROM labelled WHERE s > 0), r AS (SELECT threshold, count(*) FILTER (y = 1 AND s >= threshold) / count(*) FILTER (y = 1) AS sensitivity, count(*) FILTER (y = 0 AND s < threshold) / count(*) FILTER (y = 0) AS specificity FROM t, labelled GROUP BY 1)
+SELECT threshold, round(sensitivity + specificity - 1, 9) AS j, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS specificity FROM r ORDER BY round(sensitivity + specificity - 1, 12) DESC, threshold LIMIT 1""", LABELLED_SQL)
+def e8(spark: SparkSession, sf: str) -> DataFrame:
+    b = E.best_youden(E.roc_points(labelled(spark, sf)))
+    return b.select("threshold", *[F.round(c, 9).alias(c) for c in ("j", "sensitivity", "specificity")])
+
+
+_GRID = [0.7, 0.8, 0.9, 0.95, 0.97, 0.99]
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of each threshold configuration: (config_id, record_id, y, p)."""
+    configs = F.array(*[F.struct(F.lit(i).alias("config_id"), F.lit(t).alias("t")) for i, t in enumerate(_GRID)])
+    return labelled(spark, sf).select("record_id", "y", "s", "source", "lang", F.inline(configs)).withColumn("p", (F.col("s") >= F.col("t")).cast("int"))
+
+
+_PRED = LABELLED_SQL + ", configs AS (SELECT unnest(range(6)) AS config_id, unnest([0.7, 0.8, 0.9, 0.95, 0.97, 0.99]::DOUBLE[]) AS t), pred AS (SELECT CAST(config_id AS INTEGER) AS config_id, record_id, y, source, lang, CASE WHEN s >= t THEN 1 ELSE 0 END AS p FROM labelled, configs)"
+_MCC = "round(coalesce((tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 9)"
+
+
+@query("e11_select_config", f", c AS (SELECT config_id, {_CONF} FROM pred GROUP BY 1) SELECT config_id, tp, fp, tn, fn, {_MCC} AS mcc FROM c ORDER BY mcc DESC, config_id LIMIT 1", _PRED)
+def e11(spark: SparkSession, sf: str) -> DataFrame:
+    m = E.with_metrics(E.confusion(predictions(spark, sf), by=["config_id"])).withColumn("mcc", F.round("mcc", 9))
+    return m.orderBy(F.col("mcc").desc(), "config_id").limit(1).select("config_id", *E.COUNTS, "mcc")
+
+
+@query("e17_leave_one_group_out", f""", c AS (SELECT source, config_id, {_CONF} FROM pred GROUP BY 1, 2), tr AS (SELECT source, config_id, tp AS otp, fp AS ofp, tn AS otn, fn AS ofn, sum(tp) OVER w - tp AS tp, sum(fp) OVER w - fp AS fp, sum(tn) OVER w - tn AS tn, sum(fn) OVER w - fn AS fn FROM c WINDOW w AS (PARTITION BY config_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_MCC} DESC, config_id) AS k FROM tr) SELECT source, config_id, otp AS tp, ofp AS fp, otn AS tn, ofn AS fn FROM r WHERE k = 1""", _PRED)
+def e17(spark: SparkSession, sf: str) -> DataFrame:
+    return E.leave_one_group_out(predictions(spark, sf).drop("s", "t", "lang"), "source", [F.round("mcc", 9).desc(), F.col("config_id")])
+
+
+@query("e15_nested_cv")
+def e15(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold metrics of the selected threshold, five folds, four repeats."""
+    each = labelled(spark, sf).select("record_id", "y").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    folds = E.stratified_folds(each, "record_id", ["y"], 5, F.col("rep"), ["rep"]).select("rep", "record_id", "fold")
+    return E.nested_cv(predictions(spark, sf).drop("s", "t", "lang", "source"), folds, [F.round("mcc", 9).desc(), F.col("config_id")])
+
+
+@query("e14_stratified_folds")
+def e14(spark: SparkSession, sf: str) -> DataFrame:
+    return E.stratified_folds(labelled(spark, sf), "record_id", ["y", "lang"], 5).groupBy("y", "lang", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e18_collapse", "SELECT source, y, min(record_id) AS record_id FROM labelled GROUP BY 1, 2", LABELLED_SQL)
+def e18(spark: SparkSession, sf: str) -> DataFrame:
+    return E.collapse(labelled(spark, sf), ["source", "y"], "record_id").select("source", "y", "record_id")
+
+
+@query("e19_bootstrap_mcc")
+def e19(spark: SparkSession, sf: str) -> DataFrame:
+    boots = E.with_metrics(E.bootstrap_counts(E.indicator_counts(called(spark, sf)), 200))
+    return E.percentile_interval(boots, "mcc", 200)
+
+
+@query("e20_cluster_bootstrap")
+def e20(spark: SparkSession, sf: str) -> DataFrame:
+    boots = E.with_metrics(E.bootstrap_counts(E.indicator_counts(called(spark, sf)), 200, cluster="source"))
+    return E.percentile_interval(boots, "mcc", 200)
+
+
+@query("e22_mcnemar_counts", ", b AS (SELECT y, CASE WHEN s >= 0.9 THEN 1 ELSE 0 END AS a, CASE WHEN n >= 300 THEN 1 ELSE 0 END AS b FROM labelled) SELECT count(*) FILTER (a = y AND b <> y) AS only_a, count(*) FILTER (a <> y AND b = y) AS only_b FROM b", LABELLED_SQL)
+def e22(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = (F.col("s") >= 0.9).cast("int") == F.col("y"), (F.col("n") >= 300).cast("int") == F.col("y")
+    return labelled(spark, sf).agg(F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"))
+
+
+@query("e24_leakage_flags", ", test AS (SELECT * FROM labelled WHERE lang = 'de'), train AS (SELECT * FROM labelled WHERE lang <> 'de') SELECT record_id, source IN (SELECT source FROM train) AS source_in_train FROM test", LABELLED_SQL)
+def e24(spark: SparkSession, sf: str) -> DataFrame:
+    d = labelled(spark, sf)
+    return E.leakage_flags(d.where("lang = 'de'"), d.where("lang <> 'de'"), ["source"]).select("record_id", "source_in_train")
+
+
+@query("e26_selection_frequency", ", l AS (SELECT 'lang' AS parameter, lang AS value FROM labelled UNION ALL SELECT 'source', source FROM labelled) SELECT parameter, value, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY parameter), 9) AS share FROM l GROUP BY 1, 2", LABELLED_SQL)
+def e26(spark: SparkSession, sf: str) -> DataFrame:
+    return E.selection_frequency(labelled(spark, sf), ["lang", "source"]).withColumn("share", F.round("share", 9))
+
+
+@query("e30_odds_ratio", f", c AS (SELECT {_CONF} FROM called) SELECT round((tp + 0.5) * (tn + 0.5) / ((fp + 0.5) * (fn + 0.5)), 6) AS odds_ratio, round(sqrt(1 / (tp + 0.5) + 1 / (fp + 0.5) + 1 / (fn + 0.5) + 1 / (tn + 0.5)), 6) AS log_se FROM c", _CALLED)
+def e30(spark: SparkSession, sf: str) -> DataFrame:
+    o, se = stats.odds_ratio(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))
+    return E.confusion(called(spark, sf)).select(F.round(o, 6).alias("odds_ratio"), F.round(se, 6).alias("log_se"))
+
+
+@query("e31_spearman", ", r AS (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS a, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS b FROM labelled) SELECT round(corr(a, b), 6) AS rho FROM r", LABELLED_SQL)
+def e31(spark: SparkSession, sf: str) -> DataFrame:
+    return E.spearman(labelled(spark, sf), "s", "n").select(F.round("rho", 6).alias("rho"))
+
+
+@query("e31_rank_sum", ", r AS (SELECT y, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS a FROM labelled), t AS (SELECT sum(a) FILTER (y = 1) AS sr, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n2 FROM r) SELECT sr - n1 * (n1 + 1) / 2 AS u, n1, n2 FROM t", LABELLED_SQL)
+def e31_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return E.rank_sum(labelled(spark, sf), "y", "n").select("u", "n1", "n2")
+
+
+@query("e32_quartile_means", ", q AS (SELECT quantile_cont(s, 0.25) AS a, quantile_cont(s, 0.5) AS b, quantile_cont(s, 0.75) AS c FROM labelled) SELECT CAST(1 + (s > a)::INT + (s > b)::INT + (s > c)::INT AS INTEGER) AS quartile, round(avg(n), 6) AS mean, count(*) AS n FROM labelled, q GROUP BY 1", LABELLED_SQL)
+def e32(spark: SparkSession, sf: str) -> DataFrame:
+    return E.quartile_means(labelled(spark, sf), "s", "n").select("quartile", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("e33_superiority", ", p AS (SELECT c.record_id, avg(CASE WHEN c.n > d.n THEN 1.0 WHEN c.n = d.n THEN 0.5 ELSE 0.0 END) AS p FROM labelled c JOIN labelled d ON c.source = d.source AND d.y = 0 WHERE c.y = 1 GROUP BY 1) SELECT round(avg(p), 6) AS superiority, count(*) AS cases FROM p", LABELLED_SQL)
+def e33(spark: SparkSession, sf: str) -> DataFrame:
+    d = labelled(spark, sf)
+    controls = d.where("y = 0").select("source", "n")
+    cases = d.where("y = 1").select("record_id", "source", F.col("n").alias("v"))
+    paired = cases.select("record_id", "source").join(controls, "source").select("record_id", F.col("n").alias("v"))
+    return E.superiority(cases, paired, "record_id", "v").select(F.round("superiority", 6).alias("superiority"), "cases")
+
+
+@query("a18_false_positives", ", c AS (SELECT lang, CASE WHEN s >= 0.9 THEN 1 ELSE 0 END AS t1, CASE WHEN n >= 300 THEN 1 ELSE 0 END AS t2 FROM labelled WHERE y = 0) SELECT lang, CAST(sum(t1) AS BIGINT) AS by_marks, CAST(sum(t2) AS BIGINT) AS by_length FROM c GROUP BY 1", LABELLED_SQL)
+def a18(spark: SparkSession, sf: str) -> DataFrame:
+    d = labelled(spark, sf).withColumn("by_marks", (F.col("s") >= 0.9).cast("int")).withColumn("by_length", (F.col("n") >= 300).cast("int"))
+    return E.false_positives_by_class(d, "lang", ["by_marks", "by_length"])
+
+
+@query("e36_roc_band")
+def e36(spark: SparkSession, sf: str) -> DataFrame:
+    return E.roc_band(labelled(spark, sf), 100, [0.0, 0.1, 0.25, 0.5, 0.75, 1.0])
