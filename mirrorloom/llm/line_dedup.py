@@ -85,11 +85,12 @@ def _needed(n: Column) -> Column:
     return F.ceil(n * NUMERATOR / DENOMINATOR)
 
 
-def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_link: bool = True) -> tuple[DataFrame, DataFrame]:
     """(copies, links).
 
     copies: id, pos of every line whose text occurs earlier.  links: (a_id, a_pos, b_id, b_pos), a before b, first
-    places of two different texts whose similarity reaches the threshold; each pair once.
+    places of two different texts whose similarity reaches the threshold; each pair once.  Without ``every_link`` the
+    links are fewer: at least one for every line that has an earlier one like it, which is what removal needs.
     """
     lines = _lines(docs, id_col, text_col)
     place = (F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
@@ -111,8 +112,25 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), (n - _needed(n) + 1).cast("int"))
     rows = sets.select("id", "p0", "p1", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(n.cast("long")).alias("pos_n"), F.posexplode(prefix).alias("at", "key"))
-    rows = rows.repartition("key")  # both sides of the join read one shuffle
-    side = lambda p: rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "pos_n", "at", "p0", "p1")])
+    if every_link:
+        rows = rows.repartition("key")  # both sides of the join read one shuffle
+        return copies, _verified(lines, _candidates(rows, rows), classes)
+    # Most lines of a large family are like its first one.  So each line is first held against the earliest line of each
+    # of its postings; only lines that this leaves open are joined with all earlier ones.
+    rows = stored(rows, "lines-prefixes")
+    earliest = rows.groupBy("key").agg(F.min(F.struct("id", "pos_n", "at", "p0", "p1")).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v.*")
+    settled = _verified(lines, _candidates(earliest, rows), classes)
+    gone = stored(settled.select(F.col("b_id").alias("id"), F.col("b_pos").alias("pos")).distinct(), "lines-settled")
+    seen = _bitmap(gone.select(F.xxhash64("id", "pos").alias("h")))
+    place_of = rows.withColumn("pos", F.shiftright("pos_n", 32).cast("int"))
+    maybe = _maybe(seen, F.xxhash64("id", "pos"))
+    left = place_of.where(~maybe).unionByName(place_of.where(maybe).join(gone, ["id", "pos"], "left_anti")).drop("pos")
+    return copies, settled.unionByName(_verified(lines, _candidates(rows, left), classes)).distinct()
+
+
+def _candidates(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs of places (a before b) that share a prefix word and pass the length, positional and parity filters."""
+    side = lambda rows, p: rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "pos_n", "at", "p0", "p1")])
     length = lambda p: F.col(f"{p}_pos_n").bitwiseAND(F.lit((1 << 32) - 1))
     la, lb = length("a"), length("b")
     room = F.least(la - F.col("a_at"), lb - F.col("b_at"))  # words from the shared one on
@@ -120,10 +138,13 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     differ = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))) + F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1")))
     alike = la + lb - differ >= enough * 2
     before = (F.col("a_id") < F.col("b_id")) | ((F.col("a_id") == F.col("b_id")) & (F.col("a_pos_n") < F.col("b_pos_n")))
-    pairs = side("a").join(side("b"), "key").where(before & (la * DENOMINATOR >= lb * NUMERATOR) & (lb * DENOMINATOR >= la * NUMERATOR) & (room >= enough) & alike)
+    pairs = side(first, "a").join(side(second, "b"), "key").where(before & (la * DENOMINATOR >= lb * NUMERATOR) & (lb * DENOMINATOR >= la * NUMERATOR) & (room >= enough) & alike)
     pos = lambda c: F.shiftright(c, 32).cast("int")
-    pairs = stored(pairs.select("a_id", pos("a_pos_n").alias("a_pos"), "b_id", pos("b_pos_n").alias("b_pos")).distinct(), "lines-pairs")
+    return stored(pairs.select("a_id", pos("a_pos_n").alias("a_pos"), "b_id", pos("b_pos_n").alias("b_pos")).distinct(), "lines-pairs")
 
+
+def _verified(lines: DataFrame, pairs: DataFrame, classes: Column) -> DataFrame:
+    """The pairs whose whole sets reach the threshold."""
     ends = pairs.select(F.col("a_id").alias("id"), F.col("a_pos").alias("pos")).union(pairs.select("b_id", "b_pos"))
     wanted = _bitmap(ends.select(F.xxhash64("id", "pos").alias("h")))
     # Of the lines in a candidate pair, and the few others that the bitmap lets through, the whole sets.
@@ -132,10 +153,10 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = pairs.join(end("a"), ["a_id", "a_pos"]).join(end("b"), ["b_id", "b_pos"])
     shared = F.size(F.array_intersect("a_s", "b_s"))
     links = both.where(shared * (NUMERATOR + DENOMINATOR) >= (F.size("a_s") + F.size("b_s")) * NUMERATOR).select("a_id", "a_pos", "b_id", "b_pos").distinct()
-    return copies, stored(links, "lines-links")
+    return stored(links, "lines-links")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, every_link: bool = True) -> DataFrame:
     """One row per document: id, n_lines, n_removed, n_links and the text that stays; with ``keep``, also those columns.
 
     n_lines counts lines with a word; n_links the links in which a line of the document takes part, as the first place
@@ -143,7 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id are one document, so equal lines at one place stay in each; a null id stands after all others; a document whose
     lines all go has the empty text; an empty table gives no rows.
     """
-    copies, links = similar_lines(docs, id_col, text_col)
+    copies, links = similar_lines(docs, id_col, text_col, every_link)
     gone = copies.union(links.select("b_id", "b_pos")).groupBy("id").agg(F.collect_set("pos").alias("gone"))  # at most a document's lines
     count = links.select(F.col("a_id").alias("id")).union(links.select("b_id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     about = gone.join(count, "id", "full").select(F.col("id").alias("__id"), F.col("gone").alias("__gone"), F.col("n").alias("__n"))
@@ -163,5 +184,5 @@ def rewrite_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` with the lines removed and all other columns as they were."""
     shown = docs.columns
     at = {c: f"c{i}" for i, c in enumerate(shown)}
-    out = dedup_lines(docs.toDF(*at.values()), at[id_col], at[text_col], keep=list(at.values()))
+    out = dedup_lines(docs.toDF(*at.values()), at[id_col], at[text_col], keep=list(at.values()), every_link=False)
     return out.select(*[F.col(at[c]).alias(c) for c in shown])
