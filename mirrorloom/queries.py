@@ -389,7 +389,7 @@ def e4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e5_auroc", """, r AS (SELECT lang, y, (rank() OVER (PARTITION BY lang ORDER BY s) + rank() OVER (PARTITION BY lang ORDER BY s DESC)) AS x, count(*) OVER (PARTITION BY lang) AS n,
   rank() OVER (PARTITION BY lang ORDER BY s) + (count(*) OVER (PARTITION BY lang, s) - 1) / 2 AS avg_rank FROM labelled),
-t AS (SELECT lang, sum(avg_rank) FILTER (y = 1) AS sr, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM r GROUP BY 1) SELECT lang, round((sr - p * (p + 1) / 2) / (p * q), 6) AS auroc FROM t""", LABELLED_SQL)
+t AS (SELECT lang, sum(avg_rank) FILTER (y = 1) AS sr, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM r GROUP BY 1) SELECT lang, round((sr - p * (p + 1) / 2) / nullif(p * q, 0), 6) AS auroc FROM t""", LABELLED_SQL)
 def e5(spark: SparkSession, sf: str) -> DataFrame:
     return E.auroc(labelled(spark, sf), by=["lang"]).select("lang", F.round("auroc", 6).alias("auroc"))
 
