@@ -30,8 +30,9 @@ def dna(spark: SparkSession, sf: str) -> DataFrame:
 
 def motifs(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of documents as candidate spans: two arms of a third each and what lies between."""
-    lines = _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    s = lines.select("doc_id", "pos", _dna(F.col("line")).alias("full_sequence")).where(F.length("full_sequence") >= 24)
+    bases = F.translate(F.regexp_replace(F.lower("text"), "[^a-z\n]", ""), LETTERS, BASES)
+    # cut after the letters are read, so that a span is a column of its own and not an expression repeated in all others
+    s = _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(bases, "\n")).alias("pos", "full_sequence")).where(F.length("full_sequence") >= 24)
     n = F.length("full_sequence")
     arm = F.floor(n / 3).cast("int")
     s = s.withColumn("arm_length", arm).withColumn("left_arm", F.substring("full_sequence", F.lit(1), F.col("arm_length"))).withColumn("right_arm", F.substring("full_sequence", n - F.col("arm_length") + 1, F.col("arm_length")))
