@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, text_or_empty
+from .common import SPACE, drop_stored, stored, text_or_empty
 
 #: Jaccard threshold as a fraction, so that the test is exact.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -97,6 +97,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = lines.withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
     twice = stored(marked.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "lines-twice")
     seen_twice = _bitmap(twice)
+    drop_stored(twice)
     # Equal texts: the first place of each stays.
     again = stored(marked.where(_maybe(seen_twice, F.col("h"))).select("id", "pos", "line", "h", "h2"), "lines-again")
     first = stored(again.groupBy("h", "line").agg(F.min(place).alias("place")), "lines-first")
@@ -125,7 +126,10 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place_of = rows.withColumn("pos", F.shiftright("pos_n", 32).cast("int"))
     maybe = _maybe(seen, F.xxhash64("id", "pos"))
     left = place_of.where(~maybe).unionByName(place_of.where(maybe).join(gone, ["id", "pos"], "left_anti")).drop("pos")
-    return copies, settled.unionByName(_verified(lines, _candidates(rows, left), classes)).distinct()
+    rest = _verified(lines, _candidates(rows, left), classes)
+    drop_stored(rows)
+    drop_stored(gone)
+    return copies, settled.unionByName(rest).distinct()
 
 
 def _candidates(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -153,7 +157,9 @@ def _verified(lines: DataFrame, pairs: DataFrame, classes: Column) -> DataFrame:
     both = pairs.join(end("a"), ["a_id", "a_pos"]).join(end("b"), ["b_id", "b_pos"])
     shared = F.size(F.array_intersect("a_s", "b_s"))
     links = both.where(shared * (NUMERATOR + DENOMINATOR) >= (F.size("a_s") + F.size("b_s")) * NUMERATOR).select("a_id", "a_pos", "b_id", "b_pos").distinct()
-    return stored(links, "lines-links")
+    out = stored(links, "lines-links")
+    drop_stored(pairs)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, every_link: bool = True) -> DataFrame:
