@@ -240,6 +240,7 @@ def test_line_dedup(spark, odd, none):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
     assert got == brute_lines(rows)
+    assert {r.doc_id: r.text for r in line_dedup.rewrite_documents(docs).collect()} == got  # links for removal alone
     assert line_dedup.dedup_lines(odd).count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
     assert line_dedup.rewrite_documents(odd).columns == odd.columns
 
