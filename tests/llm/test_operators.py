@@ -106,6 +106,12 @@ def test_lm_scores(spark, odd, none):
     assert attention_lm.score(none, VOCAB, sample=10).count() == 0
 
 
+def test_lm_score_does_not_depend_on_the_table_of_common_words(spark, odd):
+    docs = spark.createDataFrame(list(enumerate(prose(150, 5))), "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    few, all_ = ([(r.n_known, r.base_score, r.score) for r in attention_lm.score(docs, VOCAB, hot=hot, sample=60).collect()] for hot in (50, 1_000_000))
+    assert np.array(sorted(few)) == pytest.approx(np.array(sorted(all_)), rel=1e-6)
+
+
 def test_each_place_is_scored_once():
     for n in (1, 7, 8, 31, 32, 33, 100, 1000):
         doc, first, skip = attention_lm.windows(np.array([n, 5]))
