@@ -112,6 +112,25 @@ def test_lm_score_does_not_depend_on_the_table_of_common_words(spark, odd):
     assert np.array(sorted(few)) == pytest.approx(np.array(sorted(all_)), rel=1e-6)
 
 
+def test_lm_learns_from_every_document(spark, monkeypatch):
+    texts = prose(300, 6)
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, t string, h long")
+    own = attention_lm.encoder(VOCAB)
+    ids = [own.document(t.encode().lower().split()) for t in texts]
+    counts = np.bincount(np.concatenate(ids), minlength=own.size).astype(float)
+    bucket = attention_lm._buckets(counts)
+    pairs = attention_lm.pair_counts(docs.select("t"), bucket, VOCAB)
+    a, b = attention_lm.Model(counts, pairs), attention_lm.Model(counts, ids)
+    assert (a.cls == b.cls).all() and a.after == pytest.approx(b.after, abs=1e-5)
+    assert sum(r.n for r in pairs.table.collect()) == sum(map(len, ids))
+    used = [attention_lm.train_windows(a, docs.where(f"doc_id < {n}").select("h", "t"), VOCAB).count() for n in (100, 200, 300)]
+    assert 100 <= used[0] and used[0] + 100 <= used[1] and used[1] + 100 <= used[2]
+    seen = []
+    monkeypatch.setattr(attention_lm, "train_all", lambda model, train, *_: seen.append(train.count()) or model)
+    model = attention_lm.train(docs, attention_lm.word_counts(docs, "doc_id", "t", 5, 9)[0], 300, VOCAB, "doc_id", "t", 5, 9, sample=5)
+    assert seen == [300] and model.after == pytest.approx(a.after, abs=1e-5)  # not the counts of the five documents
+
+
 def test_each_place_is_scored_once():
     for n in (1, 7, 8, 31, 32, 33, 100, 1000):
         doc, first, skip = attention_lm.windows(np.array([n, 5]))
