@@ -55,6 +55,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, id_col: str, key: str = "__row") -> DataFrame:
+    """``docs`` with a column ``key`` of unique longs in the order of the ids, nulls last.
+
+    Ids that are unique are the key themselves.  Otherwise the rows are stored in order, ties by a hash of the row, with
+    their numbers.
+    """
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    ids = docs.select(F.col(id_col).alias("id"))
+    if whole and ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").isEmpty():
+        return docs.withColumn(key, F.col(id_col).cast("long"))
+    ordered = docs.withColumn("__tie", F.xxhash64(*docs.columns)).orderBy(F.col(id_col).asc_nulls_last(), "__tie").drop("__tie")
+    return stored(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` once nothing reads it any more."""
     spark = df.sparkSession

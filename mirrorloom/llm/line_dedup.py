@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_stored, stored, text_or_empty
+from .common import SPACE, drop_stored, keyed, stored, text_or_empty
 
 #: Jaccard threshold as a fraction, so that the test is exact.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -167,21 +167,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     n_lines counts lines with a word; n_links the links in which a line of the document takes part, as the first place
     of its text.  Defined cases: lines without a word stay; a null text stays null and has no lines; rows that share an
-    id are one document, so equal lines at one place stay in each; a null id stands after all others; a document whose
+    id are documents of their own, in the order of a hash of the row; null ids stand after all others; a document whose
     lines all go has the empty text; an empty table gives no rows.
     """
-    copies, links = similar_lines(docs, id_col, text_col, every_link)
+    docs = keyed(docs, id_col)
+    copies, links = similar_lines(docs, "__row", text_col, every_link)
     gone = copies.union(links.select("b_id", "b_pos")).groupBy("id").agg(F.collect_set("pos").alias("gone"))  # at most a document's lines
     count = links.select(F.col("a_id").alias("id")).union(links.select("b_id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     about = gone.join(count, "id", "full").select(F.col("id").alias("__id"), F.col("gone").alias("__gone"), F.col("n").alias("__n"))
-    all_ = docs.select(*[F.col(c) for c in dict.fromkeys([id_col, *(keep or []), text_col])])
-    joined = all_.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).join(about, F.col("__key") == F.col("__id"), "left")
+    all_ = docs.select(*[F.col(c) for c in dict.fromkeys([id_col, *(keep or []), text_col, "__row"])])
+    joined = all_.join(about, F.col("__row") == F.col("__id"), "left")
     split = F.split(text_col, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
     n_lines = F.coalesce(F.size(F.filter(split, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
     return joined.select(
-        *[c for c in all_.columns if c != text_col], F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        *[c for c in all_.columns if c not in (text_col, "__row")], F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
         F.greatest(F.lit(0), F.coalesce(F.size("__gone"), F.lit(0))).cast("long").alias("n_removed"), F.coalesce("__n", F.lit(0)).cast("long").alias("n_links"), text.alias(text_col),
     )
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_or_empty
+from .common import WORD, keyed, stored, text_or_empty
 
 #: Weights by place, repeated along the sources in code-point order (null last).
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -185,6 +185,6 @@ def _cuts(rated: DataFrame, need: dict[str, float]) -> dict[str, int]:
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **policy) -> DataFrame:
     """``docs`` with every row as often as the mix takes it, all columns kept."""
-    plan = mix(docs, id_col, text_col, source_col, **policy).select(F.col(id_col).alias("__id"), F.col("copies").cast("int").alias("__n")).where("__n > 0").dropDuplicates(["__id"])
-    taken = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]))
-    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])
+    rows = keyed(docs, id_col)
+    plan = mix(rows, "__row", text_col, source_col, **policy).select("__row", F.col("copies").cast("int").alias("__n")).where("__n > 0")
+    return rows.join(plan, "__row").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

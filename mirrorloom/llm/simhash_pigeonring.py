@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import keyed, stored, text_or_empty
 
 BITS, BOXES, WIDTH, DISTANCE, SHINGLE, SEED = 64, 8, 8, 3, 3, 42
 _BLOCK = 1 << 16
@@ -143,6 +143,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which one per component stays: the one with the smallest id."""
-    roots = simhash_groups(docs, id_col, text_col).select(F.col("component_id").alias(id_col)).distinct()
-    return docs.join(roots, id_col, "left_semi")
+    """The rows of ``docs`` of which one per component stays: one with the smallest id, a null id being the largest."""
+    rows = keyed(docs, id_col)
+    roots = simhash_groups(rows, "__row", text_col).select(F.col("component_id").alias("__row")).distinct()
+    return rows.join(roots, "__row", "left_semi").select(*docs.columns)

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from mirrorloom.llm import attention_lm, bpe, exact_dedup, language_id, line_dedup, mixing, pii, quality_fm, rule_ledger, simhash_pigeonring
+from mirrorloom.llm.common import keyed
 
 from .conftest import ODD
 
@@ -357,6 +358,21 @@ def test_ledger(spark, odd, none):
     assert rule_ledger.apply_policy(rule_ledger.ledger(none)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_are_apart(spark):
+    same, own = "alpha beta gamma delta", [f"only{i} here{i} once{i} said{i}" for i in range(4)]
+    rows = [(1, same, "a"), (7, f"{same}\n{own[0]}", "a"), (7, f"{own[1]}\n{same} ", "b"), (None, f"{same}\n{own[2]}", "a"), (None, own[3], "b"), (None, own[3], "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = [r.text for r in line_dedup.rewrite_documents(docs).collect()]
+    assert sorted(x for t in left for x in t.split("\n") if x.strip()) == sorted([same, *own])
+    once = simhash_pigeonring.drop_near_duplicates(docs.where("doc_id is null"))
+    assert sorted(r.text for r in once.collect()) == sorted([rows[3][1], own[3]])
+    texts = spark.createDataFrame([(None if i % 2 else 5, "word " * (1 + 40 * i), "a") for i in range(6)], docs.schema)
+    with_keys = keyed(texts, "doc_id")
+    plan = {r["__row"]: r.copies for r in mixing.mix(with_keys, "__row").collect()}
+    want = collections.Counter({r.text: plan[r["__row"]] for r in with_keys.collect() if plan[r["__row"]]})
+    assert len(plan) == 6 and collections.Counter(r.text for r in mixing.repeat_documents(with_keys.drop("__row")).collect()) == want
+
+
 # 10
 
 
