@@ -109,26 +109,29 @@ def bin_counts(points: DataFrame, width: int = 200, key: str = "chrom", pos: str
 
 
 def poisson_tail(lam: Column, k: Column) -> Column:
-    """P(X >= k) for counts as they occur: the lower sum, term by term."""
-    terms = F.aggregate(F.sequence(F.lit(0), F.greatest(k.cast("int") - 1, F.lit(0))), F.struct(F.exp(-lam).alias("t"), F.lit(0.0).alias("s")), lambda a, i: F.struct((a["t"] * lam / (i + 1)).alias("t"), (a["s"] + a["t"]).alias("s")), lambda a: a["s"])
-    return F.when(k <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - terms))
+    """P(X >= k) for counts as they occur: the lower sum, term by term, in logs so that no mean is too large."""
+    step = lambda a, i: F.struct((a["t"] + F.log(lam) - F.log(i + 1)).alias("t"), (a["s"] + F.exp(a["t"])).alias("s"))
+    terms = F.aggregate(F.sequence(F.lit(0), F.greatest(k.cast("int") - 1, F.lit(0))), F.struct((-lam.cast("double")).alias("t"), F.lit(0.0).alias("s")), step, lambda a: a["s"])
+    return F.when(k <= 0, 1.0).when(lam <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - terms))
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q", key: list[str] | None = None) -> DataFrame:
-    """Adjusted p-values within ``key`` (required at scale: the ranks of one key are one task)."""
-    keys = key or [F.lit(0)]
-    w = Window.partitionBy(*keys)
-    raw = F.col(p) * F.count(F.lit(1)).over(w) / F.row_number().over(w.orderBy(p))
-    return df.withColumn("_raw", raw).withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(w.orderBy(F.col(p).desc(), F.col("_raw").desc()).rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
+def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q") -> DataFrame:
+    """Adjusted p-values over all rows, from the counts per distinct p."""
+    per = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = per.withColumn("_raw", F.col("_p") * F.sum("_n").over(Window.partitionBy()) / F.sum("_n").over(up))
+    down = Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    adjusted = ranked.select("_p", F.least(F.lit(1.0), F.min("_raw").over(down)).alias(out))
+    return df.join(adjusted, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def enriched_bins(counts: DataFrame, control: DataFrame, scale: float, genome_mean: float, key: str = "chrom", half: int = 25, fdr: float = 0.01) -> DataFrame:
-    """Bins whose count beats scale * max(control, mean of 50 bins around, genome mean); bins must be complete per key."""
+    """Bins whose count beats scale * max(control, mean of 50 bins around, genome mean), among the bins of all keys; bins must be complete per key."""
     both = counts.join(control.withColumnRenamed("n", "c"), [key, "bin"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     around = F.sum("c").over(Window.partitionBy(key).orderBy("bin").rowsBetween(-half, half - 1)) / (2 * half)
     lam = F.lit(scale) * F.greatest(F.col("c").cast("double"), around, F.lit(genome_mean))
     tested = both.withColumn("lam", lam).withColumn("p", poisson_tail(F.col("lam"), F.col("n")))
-    return benjamini_hochberg(tested, key=[key]).where(F.col("q") <= fdr)
+    return benjamini_hochberg(tested).where(F.col("q") <= fdr)
 
 
 def merge_bins(bins: DataFrame, width: int = 200, key: str = "chrom") -> DataFrame:

@@ -1,5 +1,8 @@
 """Engine queries against their SQL on the smallest tables, and that they come without the training-data operators."""
 
+import math
+import random
+
 import duckdb
 import pytest
 
@@ -7,6 +10,7 @@ from mirrorloom import queries
 from mirrorloom.functions import stats
 from mirrorloom.operators import evaluation as E
 from mirrorloom.operators import generators as N
+from mirrorloom.operators import intervals as G
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,6 +43,25 @@ def test_tails():
     assert stats.welch_t(1, 1, 10, 0, 1, 10)[1] == pytest.approx(18)
 
 
+def test_enriched_bins_equal_brute_force(spark):
+    rng = random.Random(3)
+    control = [(c, b, rng.randint(5_000, 12_000) if c == "a" else rng.randint(0, 40)) for c in "ab" for b in range(60)]
+    counts = [(c, b, max(0, n // 10 + rng.choice([0, 0, 0, 60, 150, 300]) // (1 if c == "a" else 30))) for c, b, n in control]
+    bins = {(c, b): n for c, b, n in control}
+    p = {}
+    for c, b, k in counts:
+        around = sum(bins.get((c, x), 0) for x in range(b - 25, b + 25)) / 50
+        lam = 0.1 * max(bins[c, b], around, 1.0)
+        p[c, b] = max(0.0, 1 - math.fsum(math.exp(i * math.log(lam) - lam - math.lgamma(i + 1)) for i in range(k)))
+    order, q, least = sorted(p, key=p.get), {}, 1.0
+    for i in range(len(order), 0, -1):
+        q[order[i - 1]] = least = min(least, p[order[i - 1]] * len(p) / i)
+    table = lambda rows: spark.createDataFrame(rows, "chrom string, bin long, n long")
+    got = {(r.chrom, r.bin): (r.lam, r.q) for r in G.enriched_bins(table(counts), table(control), 0.1, 1.0).collect()}
+    assert {k: v for k, (_, v) in got.items()} == pytest.approx({k: v for k, v in q.items() if v <= 0.01}, abs=1e-9)
+    assert any(lam > 745 for lam, _ in got.values())
+
+
 def test_auroc_is_pairs(spark):
     rows = [(y, s) for y, s in [(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1), (1, 0.1)]]
     wins = sum(1 if a > b else 0.5 if a == b else 0 for y, a in rows if y for z, b in rows if not z) / 6
