@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 #: Fixed value: the pattern that cuts a text before merges, as the vocabulary's publisher states it.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -148,35 +148,33 @@ def load(file: str) -> Bpe:
     return Bpe(file)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep``, ids (array<int>) and decoded (string).
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 and what ``keep`` names: ids (array<int>), decoded (string).
 
     ``vocabulary`` is the path of a tokenizer file that every worker can read.  Defined cases: a null or empty text
     has no tokens and decodes to the empty text; a null or repeated id passes through, row by row; an empty table gives
     no rows; texts are encoded whole, whatever their length; other columns of ``docs`` are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    small_batches(docs.sparkSession)
+    fields = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+    fields = {n: t for n, t in fields.items() if n not in ("ids", "decoded") or n in keep}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                rows = []
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                cols: dict[str, list] = {n: [] for n in fields}
                 for text in batch.column(1).to_pylist():
                     ids = bpe.encode(text)
                     decoded = bpe.decode(ids)
-                    row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    rows.append((*row, ids.astype(np.int32), decoded) if keep else row)
-                cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(5 if keep else 3)]
-                arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-                if keep:
-                    sizes = np.concatenate([[0], np.cumsum([len(x) for x in cols[3]])]).astype(np.int32)
-                    flat = np.concatenate(cols[3]) if rows else np.zeros(0, dtype=np.int32)
-                    arrays += [pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(cols[4], pa.string())]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(arrays)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    kind = base.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
+                    made = {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest(), "ids": ids.astype(np.int32), "decoded": decoded}
+                    for n, col in cols.items():
+                        col.append(made[n])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, fields[n][1]) for n, c in cols.items())], names=["id", *fields])
+        bpe.pieces.clear()  # the worker lives on
+        bpe.pairs.clear()
+
+    schema = f"id {base.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, (t, _) in fields.items())
     return base.mapInArrow(run, schema).withColumnRenamed("id", id_col)

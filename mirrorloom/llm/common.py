@@ -55,6 +55,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch in this session: texts differ in length a thousandfold, so the default of 10,000 rows can be gigabytes."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def keyed(docs: DataFrame, id_col: str, key: str = "__row") -> DataFrame:
     """``docs`` with a column ``key`` of unique longs in the order of the ids, nulls last.
 

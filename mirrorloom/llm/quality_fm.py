@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_or_empty
+from .common import fold, small_batches, text_or_empty
 
 #: Labelled rows at most that fitting reads.
 SAMPLE = 12_000
@@ -151,9 +151,13 @@ def _inputs(docs: DataFrame, text_col: str, chars_col: str | None) -> list:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str | None = "n_chars", folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Machine:
-    """A machine from at most ``sample`` labelled rows outside the held-out fold; untrained if there is none."""
+    """A machine from at most ``sample`` labelled rows outside the held-out fold; untrained if there is none.
+
+    Of several labels of one id the smallest counts, so a document is learnt once however often it is labelled.
+    """
     usable = labels.where((fold(id_col, folds) != held) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64(F.col("id").cast("string")), "label").limit(sample)
+    one = usable.groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
+    chosen = one.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), *_inputs(docs, text_col, chars_col)).join(F.broadcast(chosen), "id")  # sample rows at most
     got = rows.select("label", "text", "chars").mapInArrow(_featured, "label int, feature array<int>, value array<float>").toArrow()
     if not got.num_rows:
@@ -170,34 +174,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Machine().fit(ends, f[at], v[at], label[order].astype(np.float64))
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", keep: list[str] | None = None) -> DataFrame:
-    """id and score of every document; with ``keep``, those columns of ``docs`` instead of the id, and the score.
-
-    Defined cases: a null text counts as empty; an empty text is scored by its statistics alone; a null ``n_chars``
-    has an indicator of its own; ids pass through; an empty table gives no rows.
-    """
+def score_column(docs: DataFrame, machine: Machine, text_col: str, chars_col: str | None) -> Column:
+    """Score of a row as a column: only text and ``n_chars`` go to the Python workers, and a number comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(machine))  # 2^15 words by 9 numbers: 1.2 MB
-    passed = keep or [id_col]
-    base = docs.select(*_inputs(docs, text_col, chars_col), *[F.col(c).alias(f"__{i}") for i, c in enumerate(passed)])
+    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def of(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         own = pickle.loads(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                s = own.score(*features(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(s, pa.float64())], names=[*[f"__{i}" for i in range(len(passed))], "__score"])
+        for texts, chars in parts:
+            got = [own.score(*features(texts.slice(at, 256).to_pylist(), chars.slice(at, 256).to_pylist())) for at in range(0, len(texts), 256)]
+            yield pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
+        _BUCKETS.clear()  # the worker lives on
 
-    schema = ", ".join(f"__{i} {base.schema[f'__{i}'].dataType.simpleString()}" for i in range(len(passed))) + ", __score double"
-    out = base.mapInArrow(run, schema)
-    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(passed)], F.col("__score").alias("score"))
+    return of(*_inputs(docs, text_col, chars_col))
+
+
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """id and score of every document.
+
+    Defined cases: a null text counts as empty; an empty text is scored by its statistics alone; a null ``n_chars``
+    has an indicator of its own; ids pass through; an empty table gives no rows.
+    """
+    return docs.select(F.col(id_col), score_column(docs, machine, text_col, chars_col).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
     machine = fit(docs, labels, id_col, text_col, chars_col=chars_col)
     shown = docs.columns
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(shown))])
     at = {c: f"c{i}" for i, c in enumerate(shown)}
-    scored = score(renamed, machine, at[id_col], at[text_col], at.get(chars_col), keep=renamed.columns)
-    return scored.where(F.col("score") >= threshold).drop("score").toDF(*shown)
+    renamed = docs.toDF(*at.values())
+    return renamed.where(score_column(renamed, machine, at[text_col], at.get(chars_col)) >= threshold).toDF(*shown)

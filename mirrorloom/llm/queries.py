@@ -51,7 +51,7 @@ def vocabulary() -> str:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(documents(spark, sf_dir), vocabulary(), keep=False)
+    return bpe.encode_decode(documents(spark, sf_dir), vocabulary(), keep=())
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

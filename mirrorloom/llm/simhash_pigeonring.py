@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, stored, text_or_empty
+from .common import keyed, small_batches, stored, text_or_empty
 
 BITS, BOXES, WIDTH, DISTANCE, SHINGLE, SEED = 64, 8, 8, 3, 3, 42
 _BLOCK = 1 << 16
@@ -56,6 +56,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the 64 bits as a signed long.  One narrow pass."""
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     return base.mapInArrow(_fingerprint_batches, f"id {base.schema['id'].dataType.simpleString()}, fp long")
 
 
