@@ -33,7 +33,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text decoded from them."""
-    return bpe.encode_decode(docs, vocabulary()).drop("decoded")
+    return bpe.encode_decode(docs, vocabulary(), keep=("ids",))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing", mixture), ("BPE", encode)]
