@@ -47,7 +47,9 @@ def _last_at_least(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, val
 
 
 def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend: bool = True) -> dict[str, np.ndarray]:
-    """Longest valid arm per (centre, spacer) with its centre in ``own``, extended inwards and without repeats.
+    """Longest valid arm per (centre, spacer) whose midpoint lies in ``own``, extended inwards and without repeats.
+
+    Extension keeps the midpoint and equal spans share it, so ownership by midpoint leaves no repeats between stretches.
 
     Returns arrays ``start`` (0-based), ``end`` (exclusive), ``arm``, ``spacer``, ``ga``, ``ct``, ``mis``.
     """
@@ -55,8 +57,8 @@ def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend
     n = len(d)
     none = {k: np.zeros(0, dtype=np.int64) for k in ("start", "end", "arm", "spacer", "ga", "ct", "mis")}
     lo, hi = own or (0, n)
-    lo, hi = max(lo, p.minrep - 1), min(hi, n - p.minrep)
-    if hi <= lo:
+    first, last = p.minrep - 1, n - p.minrep  # centres with room for an arm on either side
+    if hi <= lo or last <= first:
         return none
     cls = _CLASS[d]
     ga = np.concatenate([[0], np.cumsum(cls == 1)]).astype(np.int64)
@@ -64,7 +66,7 @@ def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend
     bad = np.flatnonzero(cls == 0)
     P, M, B = p.purity_percent, p.mismatch_percent, p.mismatch_budget
 
-    r = np.arange(lo + 1, min(n - p.minrep, hi + p.maxspacer) + 1, dtype=np.int64)
+    r = np.arange(max(lo, first) + 1, min(n - p.minrep, hi + p.maxspacer) + 1, dtype=np.int64)
     stop = np.concatenate([bad, [n]])[np.searchsorted(bad, r)]
     longest = np.minimum(stop - r, p.maxrep)
     r, longest = r[longest >= p.minrep], longest[longest >= p.minrep]
@@ -74,8 +76,8 @@ def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend
     place = np.arange(n + 1, dtype=np.int64)
     for counts in (ga, ct):
         f = 100 * counts - P * place
-        last = _last_at_least(_range_maxima(f, int(longest.max())), r + p.minrep, r + longest, f[r])
-        reach = np.maximum(reach, last - r)
+        until = _last_at_least(_range_maxima(f, int(longest.max())), r + p.minrep, r + longest, f[r])
+        reach = np.maximum(reach, until - r)
     r, reach = r[reach >= p.minrep], reach[reach >= p.minrep]
 
     found = []
@@ -86,7 +88,8 @@ def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend
         most = np.repeat(reach[at : at + step], len(sp))
         left = right - np.tile(sp, len(right) // len(sp)) - 1
         most = np.minimum(most, left + 1)
-        keep = (left >= lo) & (left < hi) & (most >= p.minrep)
+        middle = (left + right) >> 1
+        keep = (middle >= lo) & (middle < hi) & (left >= first) & (left < last) & (most >= p.minrep)
         keep[keep] = cls[left[keep]] != 0
         left, right, most = left[keep], right[keep], most[keep]
         best, best_mis = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)

@@ -1,4 +1,4 @@
-"""Detection as DataFrame stages: chunk records by centre, run the kernel on Arrow batches, build hit rows."""
+"""Detection as DataFrame stages: chunk records by midpoint, run the kernel on Arrow batches, build hit rows."""
 
 from __future__ import annotations
 
@@ -17,21 +17,21 @@ CHUNK = 1 << 18
 
 
 def chunked(records: DataFrame, p: ScanParams, size: int = CHUNK, rebalance: bool = False) -> DataFrame:
-    """Chunks of records: every centre belongs to one chunk, with all the context that its arms may reach.
+    """Chunks of records: every midpoint belongs to one chunk, with all the context that its arms may reach.
 
-    The result of a scan therefore does not depend on ``size``.  ``rebalance`` deals the chunks out evenly, which a few
+    The result of a scan therefore does not depend on ``size``, and no candidate comes from two chunks.  ``rebalance`` deals the chunks out evenly, which a few
     long records (chromosomes) need and many short ones do not.
     """
     binary = records.select("record_ix", "seq_id", "seq_offset", F.col("seq").cast("binary").alias("b")).withColumn("n", F.octet_length("b").cast("long"))
     at = binary.withColumn("c0", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0).cast("long")), F.lit(size).cast("long"))))
-    lead, tail = p.maxrep, p.maxspacer + p.maxrep + 2
+    lead, tail = p.maxrep + p.maxspacer + 1, p.maxspacer + p.maxrep + 2
     first = F.greatest(F.col("c0") - lead, F.lit(0))
     last = F.least(F.col("c0") + size + tail, F.col("n"))
     out = at.select(
         "record_ix", "seq_id", "seq_offset", first.alias("shift"), (F.col("c0") - first).cast("int").alias("own_from"),
         (F.least(F.col("c0") + size, F.col("n")) - first).cast("int").alias("own_to"), F.substring("b", (first + 1).cast("int"), (last - first).cast("int")).alias("b"),
     )
-    return out.hint("rebalance") if rebalance else out
+    return out.repartition(4 * records.sparkSession.sparkContext.defaultParallelism) if rebalance else out
 
 
 def _hits(p: ScanParams, extend: bool):
@@ -65,11 +65,12 @@ def _hits(p: ScanParams, extend: bool):
 
 
 def raw_candidates(records: DataFrame, p: ScanParams, extend: bool = True, size: int = CHUNK, rebalance: bool = False) -> DataFrame:
-    """Detector rows (one per centre and spacer), extended inwards; a geometry appears once per chunk."""
+    """Detector rows (one per centre and spacer), extended inwards; a geometry appears once."""
     return chunked(records, p, size, rebalance).mapInArrow(_hits(p, extend), RAW_HIT)
 
 
 def deduplicate_geometry(raw: DataFrame) -> DataFrame:
+    """Candidates from elsewhere once per geometry; those of :func:`raw_candidates` need no such shuffle."""
     return raw.dropDuplicates(["record_ix", "start", "end", "arm_length"])
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,20 +82,35 @@ def select_config(scored: DataFrame, order: Sequence[Column], by: Sequence[str]
     return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def _hash(seed: int | Column, id_col: str) -> Column:
-    return F.xxhash64(F.lit(seed) if isinstance(seed, int) else seed, F.col(id_col))
+def seeded(seed: int | Column, *cols: Column | str) -> Column:
+    """A hexadecimal digest of a seed and values, which any engine can repeat: the order of seeded choices."""
+    parts = [F.lit(seed) if isinstance(seed, int) else seed, *[F.col(c) if isinstance(c, str) else c for c in cols]]
+    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
+
+
+def uniform(digest: Column) -> Column:
+    """A number in (0, 1) from a digest."""
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
+
+
+#: Upper ends of the ranges of a uniform number in which a Poisson(1) weight is 0, 1, ..., 7.
+POISSON = [math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+
+
+def poisson_weight(u: Column) -> Column:
+    return sum(((u > t).cast("int") for t in POISSON), F.lit(0))
 
 
 def stratified_split(df: DataFrame, id_col: str, strata: Sequence[str], share: float, seed: int = 0) -> DataFrame:
     """``train`` marks round(share * n) records of each stratum, in the order of a seeded hash."""
     w = Window.partitionBy(*strata)
-    r = F.row_number().over(w.orderBy(_hash(seed, id_col), id_col))
+    r = F.row_number().over(w.orderBy(seeded(seed, id_col), id_col))
     return df.withColumn("train", r <= F.round(F.count(F.lit(1)).over(w) * share))
 
 
 def stratified_folds(df: DataFrame, id_col: str, strata: Sequence[str], k: int, seed: int | Column = 0, by: Sequence[str] = ()) -> DataFrame:
     """Round-robin folds within each stratum."""
-    r = F.row_number().over(Window.partitionBy(*by, *strata).orderBy(_hash(seed, id_col), id_col))
+    r = F.row_number().over(Window.partitionBy(*by, *strata).orderBy(seeded(seed, id_col), id_col))
     return df.withColumn("fold", (r - 1) % k)
 
 
@@ -141,12 +157,7 @@ def bootstrap_counts(df: DataFrame, n_boot: int, seed: int = 1, cluster: str = "
     in parallel; rows of a cluster are summed first.
     """
     per = df.groupBy(cluster).agg(*[F.sum(c).alias(c) for c in cols])
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("b")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight, tail, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        tail += term
-        weight = weight + (u > tail).cast("int")
-        term /= k
+    weight = poisson_weight(uniform(seeded(seed, cluster, "b")))
     each = per.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", weight).where("w > 0")
     return each.groupBy("b").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in cols])
 
@@ -174,24 +185,22 @@ def verdict(lo: Column, hi: Column, p: Column, alpha: float = 0.05) -> Column:
     return F.when((lo > 0) & (p < alpha), "better").when((hi < 0) & (p < alpha), "worse").when((lo > 0) | (hi < 0), "inconclusive").otherwise("equivalent")
 
 
-def nearest_train(test: DataFrame, train: DataFrame, id_col: str = "record_id", seq: str = "seq") -> DataFrame:
-    """Per test record the training record of equal length with most equal bases.
+def nearest_train(test: DataFrame, train: DataFrame, id_col: str = "record_id", seq: str = "seq", block: int = 256) -> DataFrame:
+    """Per test record the training record of equal length with most equal bases, the smallest id on ties, exactly.
 
-    Joined on (length, one of ten slices): a partner with 90 % equal bases shares a slice unless its differences hit all
-    ten, so pairs below that are only found if a slice agrees; ``identity`` is null for records without a partner.
+    The test records are a query set against all of training: both go to (length, block of the training ids), so each
+    task holds one block of the training records of one length, and only the best of a block leaves it.  A record
+    without a partner of its length has null.
     """
-    parts = 10
-
-    def sliced(df: DataFrame, p: str) -> DataFrame:
-        s = F.upper(F.col(seq))
-        n = F.length(s)
-        cut = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(i.alias("i"), F.substring(s, (F.floor(n * i / parts) + 1).cast("int"), (F.floor(n * (i + 1) / parts) - F.floor(n * i / parts)).cast("int")).alias("x")))
-        return df.select(F.col(id_col).alias(f"{p}_id"), s.alias(f"{p}_s"), n.alias("len"), F.inline(cut))
-
-    pairs = sliced(test, "a").join(sliced(train, "b"), ["len", "i", "x"]).dropDuplicates(["a_id", "b_id"])
-    same = F.aggregate(F.zip_with(F.split("a_s", ""), F.split("b_s", ""), lambda x, y: ((x == y) & (x != "")).cast("int")), F.lit(0), lambda a, x: a + x)
-    best = pairs.withColumn("identity", same / F.col("len")).groupBy("a_id").agg(F.max(F.struct("identity", (-F.xxhash64("b_id")).alias("h"), "b_id")).alias("m"))
-    return test.join(best, test[id_col] == best["a_id"], "left").select(*[test[c] for c in test.columns], F.col("m.b_id").alias("nearest"), F.col("m.identity").alias("identity"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
+    s = F.upper(F.col(seq))
+    per = train.groupBy(F.length(seq).alias("len")).agg(F.count(F.lit(1)).alias("n")).select("len", parts.alias("parts"))
+    b = train.select(F.col(id_col).alias("b_id"), s.alias("b_s"), F.length(seq).alias("len")).join(per, "len").withColumn("part", F.pmod(F.xxhash64("b_id"), F.col("parts")).cast("int")).drop("parts")
+    a = test.select(F.col(id_col).alias("a_id"), s.alias("a_s"), F.length(seq).alias("len")).join(per, "len").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    differ = F.length("a_s") - F.aggregate(F.zip_with(F.split("a_s", ""), F.split("b_s", ""), lambda x, y: ((x == y) & (x != "")).cast("int")), F.lit(0), lambda t, x: t + x)
+    best = a.join(b, ["len", "part"]).groupBy("a_id").agg(F.min(F.struct(differ.alias("d"), F.col("b_id"), F.col("len"))).alias("m"))
+    found = test.join(best, test[id_col] == best["a_id"], "left")
+    return found.select(*[test[c] for c in test.columns], F.col("m.b_id").alias("nearest"), (1 - F.col("m.d") / F.col("m.len")).alias("identity"))
 
 
 def leakage_flags(test: DataFrame, train: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -243,11 +252,19 @@ def quartile_means(df: DataFrame, score: str, value: str) -> DataFrame:
     return both.where(s.isNotNull()).groupBy(bucket.alias("quartile")).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def superiority(cases: DataFrame, controls: DataFrame, id_col: str, value: str) -> DataFrame:
-    """Mean probability that a case exceeds its own controls, ties one half."""
-    both = cases.select(id_col, F.col(value).alias("a")).join(controls.select(id_col, F.col(value).alias("b")), id_col)
-    win = F.when(F.col("a") > F.col("b"), 1.0).when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)
-    return both.groupBy(id_col).agg(F.avg(win).alias("p")).agg(F.avg("p").alias("superiority"), F.count(F.lit(1)).alias("cases"))
+def superiority(cases: DataFrame, controls: DataFrame, group: str, value: str) -> DataFrame:
+    """Mean probability that a case exceeds a control of its group, ties one half; cases without controls do not count.
+
+    Controls are counted per distinct value and cases look up how many lie below, so no pair of both is made.
+    """
+    both = cases.groupBy(group, value).agg(F.count(F.lit(1)).alias("_a"), F.lit(0).cast("long").alias("_b")).unionByName(
+        controls.groupBy(group, value).agg(F.lit(0).cast("long").alias("_a"), F.count(F.lit(1)).alias("_b")))
+    per = both.groupBy(group, value).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    p = (F.coalesce(F.sum("_b").over(w), F.lit(0)) + F.col("_b") / 2) / F.sum("_b").over(Window.partitionBy(group))
+    ranked = per.withColumn("_p", F.when(F.sum("_b").over(Window.partitionBy(group)) > 0, p))
+    met = ranked.where((F.col("_a") > 0) & F.col("_p").isNotNull())
+    return met.agg((F.sum(F.col("_p") * F.col("_a")) / F.sum("_a")).alias("superiority"), F.sum("_a").alias("cases"))
 
 
 def validate_cohort(records: DataFrame, expected: DataFrame, id_col: str = "record_id") -> DataFrame:
@@ -260,18 +277,50 @@ def validate_cohort(records: DataFrame, expected: DataFrame, id_col: str = "reco
     )
 
 
+def prediction_matrix(records: DataFrame, configs: Sequence[dict], calls: Callable[[DataFrame, dict], DataFrame], id_col: str = "record_ix") -> DataFrame:
+    """(config_id, record, p) of every configuration and record; ``calls`` gives the ids that a configuration calls.
+
+    A plan of one branch per configuration over the same records; the grid is small by construction.
+    """
+    out = None
+    for i, c in enumerate(configs):
+        called = calls(records, c).select(id_col).distinct().withColumn("_p", F.lit(1))
+        mine = records.select(id_col).join(called, id_col, "left").select(F.lit(i).alias("config_id"), id_col, F.coalesce("_p", F.lit(0)).alias("p"))
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
+def split_stability(pred: DataFrame, splits: DataFrame, order: Sequence[Column], default: int, id_col: str = "record_id") -> DataFrame:
+    """Per split the configuration chosen on its training records, its MCC on the others and how far that is from the default's.
+
+    pred: (config_id, id, y, p, ...); splits: (seed, id, train).  Predictions are joined with the splits once.
+    """
+    extra = [c for c in pred.columns if c not in ("config_id", id_col, "y", "p")]
+    per = with_metrics(confusion(pred.join(splits, id_col), by=["seed", "train", "config_id", *extra]))
+    chosen = select_config(per.where("train"), order, ["seed"]).select("seed", F.col("config_id").alias("chosen"))
+    held = per.where(~F.col("train")).select("seed", "config_id", "mcc", "sensitivity", "specificity")
+    base = held.where(F.col("config_id") == default).select("seed", F.col("mcc").alias("default_mcc"))
+    got = held.join(chosen, "seed").where("config_id = chosen").join(base, "seed")
+    return got.select("seed", "config_id", "mcc", "sensitivity", "specificity", "default_mcc", (F.col("mcc") - F.col("default_mcc")).alias("delta"))
+
+
+def paired_difference(df: DataFrame, a: str, b: str, n_boot: int, seed: int = 1, cluster: str = "record_id", y: str = "y") -> DataFrame:
+    """(b, d_mcc, d_sensitivity, d_specificity): call ``a`` minus call ``b`` on the same resamples of clusters."""
+    cols = [f"{t}_{c}" for t in ("a", "b") for c in COUNTS]
+    both = indicator_counts(indicator_counts(df, y, a, "a_"), y, b, "b_")
+    boots = bootstrap_counts(both, n_boot, seed, cluster, cols)
+    m = {t: stats.metrics(*(F.col(f"{t}_{c}") for c in COUNTS)) for t in ("a", "b")}
+    usable = boots.where("a_tp + a_fn > 0 and a_tn + a_fp > 0")  # resamples with both labels
+    return usable.select("b", *[(m["a"][k] - m["b"][k]).alias(f"d_{k}") for k in ("mcc", "sensitivity", "specificity")])
+
+
 def false_positives_by_class(df: DataFrame, cls: str, tools: Sequence[str], y: str = "y") -> DataFrame:
     return df.where(F.col(y) == 0).groupBy(cls).agg(*[F.sum((F.col(t) == 1).cast("long")).alias(t) for t in tools])
 
 
 def roc_band(df: DataFrame, n_boot: int, grid: Sequence[float], seed: int = 1, y: str = "y", s: str = "s", id_col: str = "record_id") -> DataFrame:
     """Sensitivity at given false-positive rates over Poisson resamples: 2.5 %, median and 97.5 %."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("b")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight, tail, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        tail += term
-        weight = weight + (u > tail).cast("int")
-        term /= k
+    weight = poisson_weight(uniform(seeded(seed, id_col, "b")))
     each = df.where(F.col(s).isNotNull()).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", weight)
     per = each.groupBy("b", s).agg(F.sum(F.when(F.col(y) == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) != 1, F.col("w")).otherwise(0)).alias("neg"))
     w, all_ = Window.partitionBy("b").orderBy(F.col(s).desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("b")

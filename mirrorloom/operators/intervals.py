@@ -7,10 +7,29 @@ needed.  Adaptive execution can split a bin that holds too many rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import odds_ratio
+from .evaluation import seeded, uniform
+
 BIN = 1024
+#: Positions of a bin within which running values are windowed; between bins they are carried.
+STRETCH = 1 << 16
+
+
+def carried(df: DataFrame, key: tuple[str, ...], at: str, of: Column, how: Callable[[Column], Column], width: int = STRETCH) -> DataFrame:
+    """``df`` with ``_bin``, the stretch of ``at`` a row lies in, and ``_carry``: ``how`` of ``of`` over all earlier stretches of its key.
+
+    What runs along a sequence is so split into windows within stretches and one over a row per stretch: a hot
+    sequence is spread over tasks.
+    """
+    binned = df.withColumn("_bin", F.floor(F.col(at) / width).cast("long"))
+    per = binned.groupBy(*key, "_bin").agg(how(of).alias("_own"))
+    before = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return binned.join(per.select(*key, "_bin", how(F.col("_own")).over(before).alias("_carry")), [*key, "_bin"])
 
 
 def overlap_length(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -86,12 +105,23 @@ def as_of_region(points: DataFrame, regions: DataFrame, key: str = "seq_id") ->
     """
     a = points.select(key, F.col("id"), F.col("start"), F.col("end"), F.lit(None).cast("long").alias("rs"), F.lit(None).cast("long").alias("re"), F.col("end").alias("at"), F.lit(1).alias("kind"))
     b = regions.select(key, F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.col("start").alias("rs"), F.col("end").alias("re"), F.col("start").alias("at"), F.lit(0).alias("kind"))
-    w = Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = a.unionByName(b).withColumn("last", F.last(F.when(F.col("kind") == 0, F.struct("rs", "re")), ignorenulls=True).over(w)).where("kind = 1")
+    region = F.when(F.col("kind") == 0, F.struct("rs", "re"))  # the last one is the greatest
+    both = carried(a.unionByName(b), (key,), "at", region, F.max)
+    w = Window.partitionBy(key, "_bin").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("last", F.coalesce(F.max(region).over(w), "_carry")).where("kind = 1")
     ok = F.col("last.re") >= F.col("start")
     return seen.select(key, "id", "start", "end", F.when(ok, F.col("last.rs")).alias("region_start"), F.when(ok, F.col("last.re")).alias("region_end"))
 
 
+SIGNATURE = ["seq_id", "start", "end", "arm_length", "spacer_length", "ga_pct", "ct_pct", "mirror_identity"]
+
+
+def same_hits(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Counts of :func:`compare_sets` over coordinates and percentages rounded to four places."""
+    rounded = lambda df: df.select(*[F.round(c, 4).alias(c) if c in SIGNATURE[5:] else F.col(c) for c in SIGNATURE])
+    return compare_sets(rounded(a), rounded(b), SIGNATURE)
+
+
 def compare_sets(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Rows in both, only in a, only in b (distinct), by one full aggregate over the union."""
     both = a.select(*columns, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*columns, F.lit(0).alias("a"), F.lit(1).alias("b")))
@@ -145,7 +175,9 @@ def rpkm(count: Column, length: Column, total: Column | int) -> Column:
 
 
 def prefix_sums(track: DataFrame, key: str = "chrom", pos: str = "bin", value: str = "v") -> DataFrame:
-    return track.withColumn("upto", F.sum(value).over(Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = carried(track, (key,), pos, F.col(value), F.sum)
+    within = Window.partitionBy(key, "_bin").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("upto", F.coalesce("_carry", F.lit(0)) + F.sum(value).over(within)).drop("_bin", "_carry")
 
 
 def signal_means(intervals: DataFrame, track: DataFrame, key: str = "chrom") -> DataFrame:
@@ -165,37 +197,96 @@ def windows_of(records: DataFrame, width: int, step: int) -> DataFrame:
     return w.select("seq_id", "pos", (n("GC") / width).alias("gc"), (F.abs(n("GA") - n("CT")) / width).alias("asymmetry"))
 
 
-def matched_controls(cases: DataFrame, pool: DataFrame, cells: list[str], per_cell: int = 200, draws: int = 10, widen: str | None = None, seed: int = 1) -> DataFrame:
-    """``draws`` controls with replacement per case from the pool of its cell; an empty cell widens ``widen`` by 1, then 2.
+def matched_controls(cases: DataFrame, pool: DataFrame, cells: list[str], per_cell: int = 200, draws: int = 10, widen: str | None = None, seed: int = 1, key: str = "seq_id") -> DataFrame:
+    """``draws`` controls with replacement per case (id, cells) from the pool of its cell.
 
-    Each cell of the pool keeps ``per_cell`` rows in the order of a seeded hash (the feature's documented cap), so the
-    join is on (cell, rank) and one row comes back per draw.
+    A cell of the pool keeps ``per_cell`` windows of each sequence, in the order of a seeded digest (the feature's cap).
+    If a cell is empty, the pool is that of all cells with ``widen`` within 1, then within 2.  A cell's pool is numbered,
+    so the join is on (cell, number) and one row comes back per draw.
     """
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in pool.columns])
-    ranked = pool.withColumn("_r", F.row_number().over(Window.partitionBy(*cells).orderBy(h)) - 1).where(F.col("_r") < per_cell)
-    sizes = ranked.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
-    got = None
-    for shift in [0, 1, -1, 2, -2] if widen else [0]:
-        side = sizes.select(*[(F.col(c) + shift).alias(c) if c == widen else F.col(c) for c in cells], F.col("_n").alias("_n2"), F.lit(shift).alias("_shift2"))
-        cases_left = cases if got is None else cases.join(got.select("id"), "id", "left_anti")
-        step = cases_left.join(side, cells)
-        got = step if got is None else got.unionByName(step)
-    each = got.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_r", F.pmod(F.xxhash64(F.lit(seed), "id", "draw"), F.col("_n2")).cast("int"))
+    names = [c for c in pool.columns if c not in cells]
+    order = Window.partitionBy(*cells, key).orderBy(seeded(seed, *names), *names)
+    kept = pool.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_cell).drop("_r")
     if widen:
-        each = each.withColumn(widen, F.col(widen) - F.col("_shift2"))
-    return each.join(ranked.select(*cells, "_r", *[F.col(c).alias(f"control_{c}") for c in pool.columns if c not in cells]), [*cells, "_r"]).drop("_r", "_n2", "_shift2")
+        kept = kept.withColumn("_far", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn(widen, (F.col(widen) + F.col("_far")).cast(pool.schema[widen].dataType)).withColumn("_far", F.abs("_far"))
+    else:
+        kept = kept.withColumn("_far", F.lit(0))
+    cell = Window.partitionBy(*cells)
+    within = kept.withColumn("_least", F.min("_far").over(cell)).where("_far <= _least")
+    numbered = within.withColumn("_k", F.row_number().over(cell.orderBy(seeded(seed, *names), *names)) - 1)
+    sizes = within.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"), F.first("_least").alias("widened"))
+    each = cases.select("id", *cells).join(sizes, cells).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    each = each.withColumn("_k", F.floor(uniform(seeded(seed, "id", "draw")) * F.col("_n")).cast("int"))
+    return each.join(numbered.select(*cells, "_k", *[F.col(c).alias(f"control_{c}") for c in names]), [*cells, "_k"]).select("id", *cells, "draw", "widened", *[f"control_{c}" for c in names])
+
+
+def selectivity(motifs: DataFrame, hits: DataFrame, called: Column, key: str = "seq_id", id_col: str = "id") -> DataFrame:
+    """One row: motifs with and without a hit by call, the odds ratio, and the mean best score of either kind of call."""
+    best = overlap_pairs(motifs.select(id_col, key, "start", "end"), hits.select(key, "start", "end", "total_score"), key).groupBy(id_col).agg(F.max("r_total_score").alias("_best"), F.count(F.lit(1)).alias("_n"))
+    rows = motifs.join(best, id_col, "left").select(called.alias("plus"), F.col("_n").isNotNull().alias("hit"), F.col("_best"))
+    n = lambda h, p: F.count_if((F.col("hit") == h) & (F.col("plus") == p))
+    got = rows.agg(n(True, True).alias("hit_plus"), n(True, False).alias("hit_minus"), n(False, True).alias("no_hit_plus"), n(False, False).alias("no_hit_minus"),
+                   F.avg(F.when(F.col("plus"), F.col("_best"))).alias("score_plus"), F.avg(F.when(~F.col("plus"), F.col("_best"))).alias("score_minus"))
+    return got.withColumn("odds_ratio", odds_ratio(F.col("hit_plus"), F.col("hit_minus"), F.col("no_hit_plus"), F.col("no_hit_minus"))[0])
+
+
+def recall(called: DataFrame, hits: DataFrame, key: str = "seq_id", id_col: str = "id") -> DataFrame:
+    """One row: called intervals, those that a hit overlaps, and their share."""
+    met = any_overlap(called, hits, key, id_col).agg(F.count(F.lit(1)).alias("overlapped"))
+    return called.agg(F.count(F.lit(1)).alias("called")).join(F.broadcast(met)).withColumn("fraction", F.try_divide(F.col("overlapped").cast("double"), F.col("called")))  # one row each
+
+
+def analysed_universe(motifs: DataFrame, repeats: DataFrame, half: int = 250, key: str = "seq_id", id_col: str = "id") -> DataFrame:
+    """Motifs with no repeat within ``half`` positions of their midpoint."""
+    mid = F.floor((F.col("start") + F.col("end")) / 2).cast("long")
+    around = motifs.select(id_col, key, (mid - half).alias("start"), (mid + half).alias("end"))
+    return motifs.join(any_overlap(around, repeats, key, id_col, keep=False).select(id_col), id_col, "left_semi")
+
+
+#: Classes of arm length, each from this length on.
+ARM_CLASSES = (8, 10, 12, 15, 20)
+
+
+def isolated(motifs: DataFrame, others: DataFrame, starts: DataFrame, mappability: str, least: float = 0.5, pad: int = 100, start_pad: int = 2000, key: str = "seq_id", id_col: str = "id") -> DataFrame:
+    """Mappable motifs away from other motifs and from transcription starts, with the class of their arm length."""
+    good = motifs.where(F.col(mappability) >= least)
+    apart = outside(outside(good, others, pad, key, id_col), starts, start_pad, key, id_col)
+    return apart.withColumn("arm_class", sum(((F.col("arm_length") >= c).cast("int") for c in ARM_CLASSES), F.lit(0)))
+
+
+def local_controls(cases: DataFrame, pool: DataFrame, cells: list[str], reach: int = 50_000, most: int = 30, seed: int = 1, key: str = "seq_id") -> DataFrame:
+    """Up to ``most`` windows of the case's own cell per case: ``local`` ones within ``reach``, and ones of the whole ``chromosome``.
+
+    Both come from one numbering of the pool.  Local windows are joined by (sequence, cell, stretch of ``reach``); for the
+    chromosome a case takes ``most`` numbers in a row from a seeded place on, so no case meets the whole pool.
+    """
+    b = lambda c: F.floor(F.col(c) / reach).cast("long")
+    near = cases.select("id", key, *cells, F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.array(b("start") - 1, b("start"), b("start") + 1, b("end") + 1)).alias("_b")).distinct()
+    own = pool.select(key, *cells, "pos", b("pos").alias("_b"))
+    order = Window.partitionBy("id").orderBy(seeded(seed, "id", "pos"), "pos")
+    local = near.join(own, [key, *cells, "_b"]).where((F.col("pos") >= F.col("_s") - reach) & (F.col("pos") < F.col("_e") + reach)).select("id", "pos").distinct()
+    local = local.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("id", F.lit("local").alias("scope"), "pos")
+    cell = Window.partitionBy(key, *cells)
+    numbered = pool.select(key, *cells, "pos", (F.row_number().over(cell.orderBy(seeded(seed, "pos"), "pos")) - 1).alias("_k"))
+    sizes = pool.groupBy(key, *cells).agg(F.count(F.lit(1)).alias("_n"))
+    asked = cases.select("id", key, *cells).join(sizes, [key, *cells]).withColumn("_i", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.col("_n")).cast("int") - 1)))
+    asked = asked.withColumn("_k", F.pmod(F.floor(uniform(seeded(seed, "id")) * F.col("_n")) + F.col("_i"), F.col("_n")).cast("int"))
+    whole = asked.join(numbered, [key, *cells, "_k"]).select("id", F.lit("chromosome").alias("scope"), "pos")
+    return local.unionByName(whole)
 
 
 def injected_places(inserts: DataFrame, key: str = "seq_id") -> DataFrame:
     """Places after insertion: each moves by the lengths of the inserts before it (columns pos, len)."""
-    w = Window.partitionBy(key).orderBy("pos", "id").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("pos") + F.coalesce(F.sum("len").over(w), F.lit(0))
-    return inserts.withColumn("start", start).withColumn("end", start + F.col("len") - 1)
+    w = Window.partitionBy(key, "_bin").orderBy("pos", "id").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.col("pos") + F.coalesce("_carry", F.lit(0)) + F.coalesce(F.sum("len").over(w), F.lit(0))
+    placed = carried(inserts, (key,), "pos", F.col("len"), F.sum).withColumn("start", moved).drop("_bin", "_carry")
+    return placed.withColumn("end", F.col("start") + F.col("len") - 1)
 
 
 def verify_manifest(manifest: DataFrame, records: DataFrame) -> DataFrame:
-    """Per manifest row whether the record holds its sequence at its place (1-based)."""
+    """Per manifest row whether the record holds its sequence at its place (1-based), and whether it stands there only once in the manifest."""
     both = manifest.join(records.select("seq_id", "seq"), "seq_id", "left")
+    both = both.withColumn("unique", F.count(F.lit(1)).over(Window.partitionBy("seq_id", "start")) == 1)
     return both.withColumn("found", F.coalesce(F.substring("seq", F.col("start").cast("int"), F.length("sequence")) == F.col("sequence"), F.lit(False))).drop("seq")
 
 

@@ -1,8 +1,8 @@
 """Non-overlapping selection of hits.
 
-Hits are dealt out by sequence and sorted by place inside each partition, so one pass sees every sequence in order.
-``greedy`` keeps a state of one hit.  ``score`` collects one island of transitively overlapping hits at a time: no
-decision reaches beyond an island, so memory follows the largest island.
+No decision reaches beyond an island of transitively overlapping hits, so hits are dealt out by island: a sequence with
+most of all hits is spread over many tasks.  Within a partition they are sorted by place, so one pass sees every island in
+order.  ``greedy`` keeps a state of one hit, ``score`` one island, so memory follows the largest island.
 """
 
 from __future__ import annotations
@@ -14,18 +14,25 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scoring import ceiling, score_hit
 from ..params import STRATEGIES
 from ..schema import SCORES
+from .intervals import carried
 
 
-def islands(hits: DataFrame, key: str = "seq_id") -> DataFrame:
+def islands(hits: DataFrame, key: str | tuple[str, ...] = "seq_id", out: str = "island") -> DataFrame:
     """``hits`` with ``island``: hits of a sequence that overlap, directly or through others, share it."""
-    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.coalesce(F.max("end").over(before) < F.col("start"), F.lit(True))
-    upto = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    return hits.withColumn("_new", starts.cast("long")).withColumn("island", F.sum("_new").over(upto)).drop("_new")
+    keys = (key,) if isinstance(key, str) else tuple(key)
+    rows = carried(hits, keys, "start", F.col("end"), F.max)
+    within = Window.partitionBy(*keys, "_bin").orderBy("start", "end")
+    reach = F.greatest("_carry", F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = rows.withColumn("_new", F.coalesce(reach < F.col("start"), F.lit(True)).cast("long")).drop("_carry", "_bin")
+    numbered = carried(marked, keys, "start", F.col("_new"), F.sum)
+    # hits at the same place are peers, so they get the same number whichever of them opens the island
+    upto = within.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return numbered.withColumn(out, F.coalesce("_carry", F.lit(0)) + F.sum("_new").over(upto)).drop("_new", "_carry", "_bin")
 
 
 def _priority(h: dict) -> tuple:
@@ -80,7 +87,7 @@ def remove_overlaps(hits: DataFrame, strategy: str = "greedy", key: tuple[str, .
         raise ValueError("selection by score needs scored hits")
     needed = ["start", "end", "arm_length", "spacer_length", "full_sequence"] + ["total_score"] * (strategy != "greedy")
     choose = greedy_sweep if strategy == "greedy" else _by_islands
-    keys, schema = list(key), hits.schema
+    keys, schema = [*key, "_island"], T.StructType([*hits.schema.fields, T.StructField("_island", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, pa.RecordBatch]] = []  # batches that may still give rows, with the number of their first row
@@ -111,9 +118,14 @@ def remove_overlaps(hits: DataFrame, strategy: str = "greedy", key: tuple[str, .
             picked.append(at)
         yield from flush(total)
 
-    n = hits.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    order = [*keys, F.col("start"), F.col("arm_length").desc(), F.col("spacer_length")]
-    return hits.repartition(int(n), *keys).sortWithinPartitions(*order, "full_sequence").mapInArrow(run, schema)
+    return _by_island(hits, key).mapInArrow(run, schema).drop("_island")
+
+
+def _by_island(hits: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """``hits`` with ``_island``, each island in one partition, in the order of the sweep."""
+    placed = islands(hits, key, "_island")
+    order = [*key, "_island", F.col("start"), F.col("arm_length").desc(), F.col("spacer_length")]
+    return placed.select(*hits.columns, "_island").repartition(*key, "_island").sortWithinPartitions(*order, "full_sequence")
 
 
 def best_first_lazily(island: list[dict], drop_homopolymers: bool = False) -> list[dict]:
@@ -159,8 +171,8 @@ def best_first_lazily(island: list[dict], drop_homopolymers: bool = False) -> li
 
 def select_lazily(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), drop_homopolymers: bool = False) -> DataFrame:
     """Same rows as scoring all of ``hits`` and selecting by score, with the four score columns."""
-    keys = list(key)
-    schema = hits.schema
+    keys = [*key, "_island"]
+    schema = T.StructType([*hits.schema.fields, T.StructField("_island", T.LongType())])
     for part in SCORES.split(", "):
         schema = schema.add(*part.split())
 
@@ -194,6 +206,4 @@ def select_lazily(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), drop_homo
         if done:
             yield batch_of(done)
 
-    n = hits.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    order = [*keys, F.col("start"), F.col("arm_length").desc(), F.col("spacer_length")]
-    return hits.repartition(int(n), *keys).sortWithinPartitions(*order, "full_sequence").mapInArrow(run, schema)
+    return _by_island(hits, key).mapInArrow(run, schema).drop("_island")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import seeded
+
 
 def compute_stats(hits: DataFrame) -> DataFrame:
     """One row of totals; zeros for an empty table."""
@@ -43,19 +45,16 @@ def histogram(hits: DataFrame, col: str, bins: int = 50, lo: float | None = None
 
 def seeded_sample(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
     """``n`` rows in the order of a seeded hash of ``key``: the same rows whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    return df.orderBy(seeded(seed, *key), *key).limit(n)
 
 
 def locus_map(hits: DataFrame, sequences: int = 15, per: int = 600, seed: int = 42) -> DataFrame:
     """Sampled hits of the sequences with most of them: midpoint and a clipped size."""
     top = hits.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "seq_id").limit(sequences)
     mine = hits.join(F.broadcast(top), "seq_id")  # ``sequences`` rows
-    # a bound on the hash first, so that a hot sequence's rows are mostly gone before they are ranked
-    h = F.xxhash64(F.lit(seed), "start", "end", "arm_length")
-    part = F.least(F.lit(1.0), F.lit(4.0 * per) / F.col("n"))
-    near = mine.where(F.pmod(h, F.lit(1 << 30)) < part * (1 << 30))
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("seq_id").orderBy(h, "start", "end"))).where(F.col("r") <= per)
-    return ranked.select("seq_id", ((F.col("start") + F.col("end")) / 2).alias("mid"), F.least(F.greatest(F.coalesce("total_score", F.lit(5.0)), F.lit(4.0)), F.lit(30.0)).alias("size"))
+    order = Window.partitionBy("seq_id").orderBy(seeded(seed, "start", "end", "arm_length"), "start", "end")
+    ranked = mine.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per)  # Spark limits each group before the shuffle too
+    return ranked.select("seq_id", ((F.col("start") + F.col("end")) / 2).alias("mid"), (F.least(F.col("arm_length"), F.lit(30)) * 0.65).alias("size"))
 
 
 def page(hits: DataFrame, number: int, size: int, order: list[str]) -> DataFrame:

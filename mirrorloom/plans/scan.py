@@ -29,7 +29,7 @@ def records_of(spark: SparkSession, seq: str, seq_id: str = "", seq_offset: int
 def detect_candidates(records: DataFrame, p: ScanParams | None = None, size: int = D.CHUNK, rebalance: bool = False) -> DataFrame:
     """Detection, inward extension and geometry dedup, without filters or selection."""
     p = p or ScanParams()
-    return D.materialise(D.deduplicate_geometry(D.raw_candidates(records, p, True, size, rebalance)))
+    return D.materialise(D.raw_candidates(records, p, True, size, rebalance))
 
 
 def composition(hits: DataFrame, p: ScanParams) -> DataFrame:
@@ -95,3 +95,47 @@ def scan_ablation(records: DataFrame, model: str = "complete", p: ScanParams | N
         strategy = p.overlap_strategy if "total_score" in hits.columns else "greedy"
         hits = remove_overlaps(hits, strategy, ("record_ix",))
     return _finish(hits)
+
+
+#: Steps by which a scan is relaxed one after the other; a step that relaxes nothing is left out.
+LADDER = (
+    ("AT filter", {"at_threshold": None}), ("homopolymer filter", {"filter_homopolymers": False}), ("arm length 8-9", {"minrep": 8}), ("arm length 6-7", {"minrep": 6}),
+    ("mirror mismatch 10-20%", {"mismatch": 0.2}), ("purity 80-90%", {"purity": 0.8}),
+)
+KEPT, NEVER = "overlap removal", "not recovered by any relaxation"
+
+
+def ladder(p: ScanParams) -> list[tuple[str, ScanParams]]:
+    """(reason, parameters) of the scan itself and of every relaxation so far."""
+    out = [(KEPT, p)]
+    for reason, change in LADDER:
+        name, value = next(iter(change.items()))
+        now = getattr(p, name)
+        if {"at_threshold": now is not None, "filter_homopolymers": now is True}.get(name, now is not None and value is not None and (now < value if name == "mismatch" else now > value)):
+            p = p.but(**change)
+            out.append((reason, p))
+    return out
+
+
+def reasons(windows: DataFrame, motifs: DataFrame, p: ScanParams) -> DataFrame:
+    """(record_ix, reason): why a scan of the genome missed the motif (start, end) that each window holds.
+
+    The first parameters of the ladder under which a scan of the window has a hit on the motif; a hit with none relaxed
+    means that in the whole sequence a longer neighbour was kept instead.
+    """
+    steps, met = ladder(p), None
+    for i, (_, q) in enumerate(steps):
+        hits = scan(windows, q).select("record_ix", F.col("start").alias("s"), F.col("end").alias("e"), F.lit(i).alias("step"))
+        met = hits if met is None else met.unionByName(hits)
+    on = met.join(motifs, "record_ix").where("s <= end and e >= start").groupBy("record_ix").agg(F.min("step").alias("step"))
+    names = F.array(*[F.lit(n) for n, _ in steps])
+    return motifs.join(on, "record_ix", "left").select("record_ix", F.coalesce(F.get(names, F.col("step")), F.lit(NEVER)).alias("reason"))
+
+
+def panel(records: DataFrame, filters: dict[str, dict], p: ScanParams | None = None) -> DataFrame:
+    """Per record whether it is called under each named change of the parameters."""
+    p, out = p or ScanParams(), records.select("record_ix", "seq_id")
+    for name, change in filters.items():
+        called = scan(records, p.but(**change)).select("record_ix").distinct().withColumn(name, F.lit(True))
+        out = out.join(called, "record_ix", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out.drop("record_ix")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import detector_sql as Q
 from .functions import scoring, stats
 from .operators import evaluation as E
 from .operators import filters as C
@@ -13,7 +14,8 @@ from .operators import reporting as A
 from .operators.overlap import islands, remove_overlaps
 from .params import ScanParams
 from .plans import scan as P
-from .views import HITS_SQL, INSERTS_SQL, LABELLED_SQL, MOTIFS_SQL, POINTS_SQL, dna, hits, inserts, labelled, motifs, points
+from .schema import RECORD
+from .views import DNA_SQL, HITS_SQL, INSERTS_SQL, LABELLED_SQL, MOTIFS_SQL, POINTS_SQL, dna, dna_of, hits, inserts, labelled, motifs, points
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,33 +32,37 @@ def query(name: str, sql: str | None = None, views: str = ""):
     return add
 
 
-# Scans of whole documents as sequences.  Their windows of every place, spacer and length are beyond SQL at full size;
-# tests hold them against a literal loop.
+# Scans of whole documents as sequences, with all places, spacers and lengths in both engines.
 
 
-@query("x1_raw_candidates")
+@query("x1_raw_candidates", Q.x1_sql(ScanParams()))
 def x1(spark: SparkSession, sf: str) -> DataFrame:
     from .operators.detect import raw_candidates
 
     return raw_candidates(dna(spark, sf), ScanParams(), extend=False).select("seq_id", "start", "end", "arm_length", "spacer_length", "ga", "ct", "mismatches")
 
 
-@query("p5_detect_candidates")
+@query("p5_detect_candidates", Q.p5_sql(ScanParams()))
 def p5(spark: SparkSession, sf: str) -> DataFrame:
     return P.detect_candidates(dna(spark, sf)).drop("record_ix")
 
 
-@query("p1_scan_hits")
+def rounded_scores(hits: DataFrame) -> DataFrame:
+    """Parts of a score to three places, the precision of the model's weights; the sums differ in their last bits."""
+    return hits.drop("record_ix").withColumns({c: F.round(c, 3) for c in ("stacking_score", "pairing_score")})
+
+
+@query("p1_scan_hits", Q.p1_sql(ScanParams()))
 def p1(spark: SparkSession, sf: str) -> DataFrame:
-    return P.scan(dna(spark, sf)).drop("record_ix")
+    return rounded_scores(P.scan(dna(spark, sf)))
 
 
-@query("p1_scan_score_selection")
+@query("p1_scan_score_selection", Q.p1_sql(ScanParams(overlap_strategy="score")))
 def p1_score(spark: SparkSession, sf: str) -> DataFrame:
-    return P.scan(dna(spark, sf), ScanParams(overlap_strategy="score")).drop("record_ix")
+    return rounded_scores(P.scan(dna(spark, sf), ScanParams(overlap_strategy="score")))
 
 
-@query("p6_ablation_stages")
+@query("p6_ablation_stages", Q.stages_sql(ScanParams()))
 def p6(spark: SparkSession, sf: str) -> DataFrame:
     """Hits, mean and highest score of each stage of the pipeline."""
     out = None
@@ -66,21 +72,102 @@ def p6(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("c2_score_components")
+SHORT = ScanParams(maxrep=12, maxspacer=3)
+
+
+@query("p6_detection_stage", Q.detection_sql(SHORT))
+def p6_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """The first stage, without purity, for arms of up to twelve bases."""
+    return P.scan_ablation(dna(spark, sf), "detection", SHORT).select(HIT_KEY)
+
+
+@query("c2_score_components", Q.c2_sql(ScanParams()))
 def c2(spark: SparkSession, sf: str) -> DataFrame:
     base = P.scan(dna(spark, sf), ScanParams(score=False))
-    out = base.select("seq_id", "start", "end", "arm_length", "left_arm", "spacer", "right_arm", scoring.upper_bound(F.col("left_arm")).alias("bound"))
+    out = base.select("seq_id", "start", "end", "arm_length", "left_arm", "spacer", "right_arm", F.round(scoring.upper_bound(F.col("left_arm")), 3).alias("bound"))
     for m in scoring.MODELS:
         out = scoring.with_scores(out, m).withColumnRenamed("total_score", f"score_{m}").drop("stacking_score", "pairing_score", "putative_triplex")
     return out.drop("left_arm", "spacer", "right_arm")
 
 
-@query("d14_scan_profile")
+@query("d14_scan_profile", f"WITH {DNA_SQL}, {Q.candidates_sql(ScanParams())}, n AS (SELECT record_ix, count(*) AS c FROM cand GROUP BY 1) SELECT lang, count(*) AS records, CAST(sum(length(seq)) AS BIGINT) AS bases, CAST(sum(coalesce(c, 0)) AS BIGINT) AS candidates FROM dna JOIN documents ON doc_id = record_ix LEFT JOIN n USING (record_ix) GROUP BY 1")
 def d14(spark: SparkSession, sf: str) -> DataFrame:
     """Sequences, bases and candidates per document language, the scan's volume counters."""
-    found = P.detect_candidates(dna(spark, sf)).groupBy("record_ix").agg(F.count(F.lit(1)).alias("c"))
-    per = dna(spark, sf).join(found, "record_ix", "left").select(F.length("seq").cast("long").alias("b"), F.coalesce("c", F.lit(0)).alias("c"))
-    return per.agg(F.count(F.lit(1)).alias("records"), F.sum("b").alias("bases"), F.sum("c").alias("candidates"))
+    records = dna(spark, sf)
+    found = P.detect_candidates(records).groupBy("record_ix").agg(F.count(F.lit(1)).alias("c"))
+    langs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("record_ix"), "lang")
+    per = records.select("record_ix", F.length("seq").cast("long").alias("b")).join(found, "record_ix", "left").join(langs, "record_ix")
+    return per.groupBy("lang").agg(F.count(F.lit(1)).alias("records"), F.sum("b").alias("bases"), F.sum(F.coalesce("c", F.lit(0))).alias("candidates"))
+
+
+# Grids, ladders and panels of scans over the benchmark's passages as short records.
+
+_BENCH = DNA_SQL.replace("doc_id", "item_id").replace("documents", "benchmark")
+
+
+def passages(spark: SparkSession, sf: str) -> DataFrame:
+    return dna_of(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id")
+
+
+GRID = [{"minrep": m, "mismatch": x, "at_threshold": t} for m in (8, 10) for x in (0.1, 0.2) for t in (None, 0.8)]
+
+
+@query("e10_prediction_matrix", " UNION ALL ".join(f"SELECT {i} AS config_id, record_ix, CASE WHEN record_ix IN (SELECT record_ix FROM ({Q.p1_sql(ScanParams(**c), _BENCH, 'DISTINCT record_ix')})) THEN 1 ELSE 0 END AS p FROM (SELECT item_id AS record_ix FROM benchmark)" for i, c in enumerate(GRID)))
+def e10(spark: SparkSession, sf: str) -> DataFrame:
+    records = passages(spark, sf)
+    return E.prediction_matrix(records, GRID, lambda r, c: P.scan(r, ScanParams(**c)))
+
+
+VARY = [("minrep", 8), ("minrep", 10), ("maxspacer", 4), ("maxspacer", 10), ("purity", 0.8), ("mismatch", 0.2)]
+
+
+@query("e27_one_at_a_time", " UNION ALL ".join(f"SELECT '{n}' AS parameter, {v}::DOUBLE AS value, {str(getattr(ScanParams(), n) == v).lower()} AS is_default, count(DISTINCT record_ix) AS called, count(*) AS hits FROM ({Q.p1_sql(ScanParams(**{n: v}), _BENCH, 'record_ix')})" for n, v in VARY))
+def e27(spark: SparkSession, sf: str) -> DataFrame:
+    """Called records and hits with one parameter changed at a time."""
+    records, out = passages(spark, sf), None
+    for name, value in VARY:
+        got = P.scan(records, ScanParams(**{name: value})).agg(F.countDistinct("record_ix").alias("called"), F.count(F.lit(1)).alias("hits"))
+        row = got.select(F.lit(name).alias("parameter"), F.lit(float(value)).alias("value"), F.lit(getattr(ScanParams(), name) == value).alias("is_default"), "called", "hits")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+MODES = {"retain_all": {"remove_overlaps": False}, "greedy": {}, "score": {"overlap_strategy": "score"}}
+
+
+@query("e28_overlap_modes", " UNION ALL ".join(f"SELECT '{m}' AS overlap_mode, record_ix, count(*) AS n_hits, max(total_score) AS max_score FROM ({Q.p1_sql(ScanParams(**k), _BENCH, 'record_ix, total_score')}) GROUP BY ALL" for m, k in MODES.items()))
+def e28(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits and highest score of each called record under each way to treat overlaps."""
+    records, out = passages(spark, sf), None
+    for mode, kw in MODES.items():
+        row = P.scan(records, ScanParams(**kw)).groupBy("record_ix").agg(F.count(F.lit(1)).alias("n_hits"), F.max("total_score").alias("max_score")).select(F.lit(mode).alias("overlap_mode"), "record_ix", "n_hits", "max_score")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_STRICT = ScanParams(minrep=10, at_threshold=0.8)
+_STEPS = P.ladder(_STRICT)
+
+
+@query("g25_reasons", f"WITH m AS (SELECT item_id AS record_ix, length(seq) // 3 + 1 AS s, 2 * (length(seq) // 3) AS e FROM (WITH {_BENCH} SELECT record_ix AS item_id, seq FROM dna)), met AS (" + " UNION ALL ".join(f"SELECT DISTINCT record_ix, {i} AS step FROM ({Q.p1_sql(p, _BENCH, 'record_ix, start, "end"')}) h JOIN m USING (record_ix) WHERE h.start <= m.e AND h.\"end\" >= m.s" for i, (_, p) in enumerate(_STEPS))
+       + f"), f AS (SELECT record_ix, min(step) AS step FROM met GROUP BY 1) SELECT record_ix, coalesce(list_extract({[n for n, _ in _STEPS]}, CAST(step + 1 AS INTEGER)), 'not recovered by any relaxation') AS reason FROM m LEFT JOIN f USING (record_ix)")
+def g25(spark: SparkSession, sf: str) -> DataFrame:
+    """For the middle third of each passage the first relaxation of a strict scan that has a hit on it."""
+    records = passages(spark, sf)
+    third = F.floor(F.length("seq") / 3)
+    return P.reasons(records, records.select("record_ix", (third + 1).alias("start"), (2 * third).alias("end")), _STRICT)
+
+
+PANEL = [("poly_a15", "A" * 15), ("poly_a30", "A" * 30), ("poly_t25", "T" * 25), ("poly_g30", "G" * 30), ("poly_c20", "C" * 20), ("mixed", "GGAAGAAGAAGGAGGAGAGAGGGAAGGAA")]
+PANEL_FILTERS = {"none": {"at_threshold": None, "filter_homopolymers": False}, "at_only": {"at_threshold": 0.8, "filter_homopolymers": False}, "homopolymer_only": {"at_threshold": None}, "both": {"at_threshold": 0.8}}
+_PANEL_DNA = "dna AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{x.lower()}')" for i, (n, x) in enumerate(PANEL)) + ") t(record_ix, seq_id, seq))"
+
+
+@query("e35_homopolymer_panel", "SELECT seq_id, " + ", ".join(f"count(*) FILTER (state = '{f}') > 0 AS {f}" for f in PANEL_FILTERS) + " FROM (SELECT unnest(" + str([n for n, _ in PANEL]) + ") AS seq_id) LEFT JOIN (" + " UNION ALL ".join(f"SELECT '{f}' AS state, seq_id FROM ({Q.p1_sql(ScanParams(**k), _PANEL_DNA, 'seq_id')})" for f, k in PANEL_FILTERS.items()) + ") USING (seq_id) GROUP BY seq_id")
+def e35(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether runs of one base are called under each state of the filters."""
+    records = spark.createDataFrame([(i, n, x, 1) for i, (n, x) in enumerate(PANEL)], RECORD)
+    return P.panel(records, PANEL_FILTERS)
 
 
 # Filters and projections over lines as spans.
@@ -203,12 +290,13 @@ def a7(spark: SparkSession, sf: str) -> DataFrame:
     return A.value_counts(hits(spark, sf), "arm_length", "spacer_length")
 
 
-@query("a8_seeded_sample")
+@query("a8_seeded_sample", "SELECT * EXCLUDE (n), '' AS full_sequence FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', 42, id)), id) AS n FROM hits) WHERE n <= 4000", HITS_SQL)
 def a8(spark: SparkSession, sf: str) -> DataFrame:
     return A.seeded_sample(hits(spark, sf), 4000, ["id"])
 
 
-@query("a9_locus_map")
+@query("a9_locus_map", """, top AS (SELECT seq_id FROM hits GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15), r AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY md5(concat_ws(':', 42, start, "end", arm_length)), start, "end") AS r FROM hits JOIN top USING (seq_id))
+SELECT seq_id, (start + "end") / 2 AS mid, least(arm_length, 30) * 0.65::DOUBLE AS size FROM r WHERE r <= 600""", HITS_SQL)
 def a9(spark: SparkSession, sf: str) -> DataFrame:
     return A.locus_map(hits(spark, sf))
 
@@ -301,13 +389,18 @@ def g15(spark: SparkSession, sf: str) -> DataFrame:
     return G.bin_counts(points(spark, sf))
 
 
-@query("g16_enriched_bins")
+@query("g16_enriched_bins", """, a AS (SELECT chrom, (pos - 1) // 200 AS bin, count(*) AS c, count(*) FILTER (weight < 20) AS n FROM points GROUP BY 1, 2), g AS (SELECT chrom, unnest(range(min(bin), max(bin) + 1)) AS bin FROM a GROUP BY 1),
+b AS (SELECT chrom, bin, coalesce(c, 0) AS c, coalesce(n, 0) AS n FROM g LEFT JOIN a USING (chrom, bin)), l AS (SELECT *, 0.1 * greatest(c::DOUBLE, sum(c) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) / 50, 1.0) AS lam FROM b),
+t AS (SELECT *, CASE WHEN n = 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, n), lambda i: exp(i * ln(lam) - lam - lgamma(i + 1.0))))) END AS p FROM l),
+r AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM t), q AS (SELECT *, least(1.0, min(raw) OVER (ORDER BY p DESC)) AS q FROM r)
+SELECT chrom, CAST(bin AS BIGINT) AS bin, n, round(lam, 6) AS lam, round(p, 9) AS p, round(q, 9) AS q FROM q WHERE q <= 0.01""", POINTS_SQL)
 def g16(spark: SparkSession, sf: str) -> DataFrame:
-    """Bins of large weights enriched over all points."""
+    """Bins of large weights enriched over all points, on a grid without gaps."""
     p = points(spark, sf)
-    grid = G.bin_counts(p).select("chrom", "bin")
-    some = G.bin_counts(p.where("weight < 20")).join(grid, ["chrom", "bin"], "right").select("chrom", "bin", F.coalesce("n", F.lit(0)).alias("n"))
-    got = G.enriched_bins(some, G.bin_counts(p), 0.1, 1.0)
+    all_ = G.bin_counts(p)
+    grid = all_.groupBy("chrom").agg(F.explode(F.sequence(F.min("bin"), F.max("bin"))).alias("bin"))
+    full = lambda c: grid.join(c, ["chrom", "bin"], "left").select("chrom", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    got = G.enriched_bins(full(G.bin_counts(p.where("weight < 20"))), full(all_), 0.1, 1.0)
     return got.select("chrom", "bin", "n", F.round("lam", 6).alias("lam"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
 
 
@@ -344,16 +437,47 @@ def g23(spark: SparkSession, sf: str) -> DataFrame:
     return G.injected_places(i).select("id", F.col("start").alias("new_start"))
 
 
-@query("g12_windows")
+_WINDOWS = "w{n} AS (SELECT seq_id, pos, (200 - length(translate(w, 'GC', ''))) / 200 AS gc, abs((200 - length(translate(w, 'GA', ''))) - (200 - length(translate(w, 'CT', '')))) / 200 AS asymmetry FROM (SELECT seq_id, pos, upper(substr(seq, pos + 1, 200)) AS w FROM (SELECT seq_id, seq, unnest(range(0, greatest(length(seq) - 200, 0) + 1, {n})) AS pos FROM dna)) WHERE regexp_full_match(w, '[ACGT]{{200}}'))"
+
+
+@query("g12_windows", f"WITH {DNA_SQL}, {_WINDOWS.format(n=100)} SELECT CAST(round(gc * 200) AS INTEGER) AS gc_bases, count(*) AS n FROM w100 GROUP BY 1")
 def g12(spark: SparkSession, sf: str) -> DataFrame:
-    return G.windows_of(dna(spark, sf), 200, 100).groupBy(F.round("gc", 2).alias("gc")).agg(F.count(F.lit(1)).alias("n"))
+    return G.windows_of(dna(spark, sf), 200, 100).groupBy(F.round(F.col("gc") * 200).cast("int").alias("gc_bases")).agg(F.count(F.lit(1)).alias("n"))
+
 
+_CELLS = "CAST(round(gc * 20) AS INTEGER) AS gc_cell, CAST(round(asymmetry * 10) AS INTEGER) AS skew_cell"
+_CASES = f"""cases AS (SELECT seq_id || ':' || pos AS id, seq_id, pos AS start, pos + 199 AS "end", {_CELLS} FROM w100 WHERE asymmetry >= 0.3),
+pool AS (SELECT seq_id, pos, {_CELLS} FROM w10 WHERE asymmetry < 0.35 AND NOT EXISTS (SELECT 1 FROM cases c WHERE c.seq_id = w10.seq_id AND c.start - 100 <= w10.pos + 199 AND c."end" + 100 >= w10.pos))"""
 
-@query("g13_matched_controls")
+
+def cases_and_pool(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Lopsided windows, and windows every ten bases that keep a hundred away from them, with their composition cells."""
+    cells = {"gc_cell": F.round(F.col("gc") * 20).cast("int"), "skew_cell": F.round(F.col("asymmetry") * 10).cast("int")}
+    seqs = dna(spark, sf)
+    cases = G.windows_of(seqs, 200, 100).where("asymmetry >= 0.3").withColumns(cells).select(F.concat_ws(":", "seq_id", F.col("pos").cast("string")).alias("id"), "seq_id", F.col("pos").alias("start"), (F.col("pos") + 199).alias("end"), *cells)
+    pool = G.windows_of(seqs, 200, 10).where("asymmetry < 0.35").withColumns(cells).select(F.concat_ws(":", "seq_id", F.col("pos").cast("string")).alias("id"), "seq_id", "pos", F.col("pos").alias("start"), (F.col("pos") + 199).alias("end"), *cells)
+    return cases, G.outside(pool, cases, 100).select("seq_id", "pos", *cells)
+
+
+@query("g13_matched_controls", f"""WITH {DNA_SQL}, {_WINDOWS.format(n=100)}, {_WINDOWS.format(n=10)}, {_CASES},
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gc_cell, skew_cell, seq_id ORDER BY md5(concat_ws(':', 1, seq_id, pos)), seq_id, pos) AS r FROM pool) WHERE r <= 200),
+wide AS (SELECT seq_id, pos, gc_cell, CAST(skew_cell + d AS INTEGER) AS skew_cell, abs(d) AS far FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS d FROM kept)), near AS (SELECT *, min(far) OVER (PARTITION BY gc_cell, skew_cell) AS least FROM wide),
+num AS (SELECT *, row_number() OVER (PARTITION BY gc_cell, skew_cell ORDER BY md5(concat_ws(':', 1, seq_id, pos)), seq_id, pos) - 1 AS k FROM near WHERE far <= least), size AS (SELECT gc_cell, skew_cell, count(*) AS n, any_value(least) AS widened FROM near WHERE far <= least GROUP BY ALL),
+each AS (SELECT id, gc_cell, skew_cell, n, widened, unnest(range(1, 11)) AS draw FROM cases JOIN size USING (gc_cell, skew_cell)), drawn AS (SELECT *, CAST(floor((('0x' || md5(concat_ws(':', 1, id, draw))[1:8])::BIGINT + 0.5) / 4294967296.0 * n) AS BIGINT) AS k FROM each)
+SELECT id, gc_cell, skew_cell, CAST(draw AS INTEGER) AS draw, CAST(d.widened AS INTEGER) AS widened, num.seq_id AS control_seq_id, CAST(num.pos AS INTEGER) AS control_pos FROM drawn d JOIN num USING (gc_cell, skew_cell, k)""")
 def g13(spark: SparkSession, sf: str) -> DataFrame:
-    w = G.windows_of(dna(spark, sf), 200, 100).withColumn("gc_cell", F.round(F.col("gc") * 20).cast("int")).withColumn("skew_cell", F.round(F.col("asymmetry") * 10).cast("int"))
-    cases = w.where("asymmetry >= 0.3").select(F.concat_ws(":", "seq_id", F.col("pos").cast("string")).alias("id"), "gc_cell", "skew_cell")
-    return G.matched_controls(cases, w.where("asymmetry < 0.3").select("seq_id", "pos", "gc_cell", "skew_cell"), ["gc_cell", "skew_cell"], widen="skew_cell")
+    cases, pool = cases_and_pool(spark, sf)
+    return G.matched_controls(cases, pool, ["gc_cell", "skew_cell"], widen="skew_cell")
+
+
+@query("g14_local_controls", f"""WITH {DNA_SQL}, {_WINDOWS.format(n=100)}, {_WINDOWS.format(n=10)}, {_CASES},
+loc AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws(':', 1, id, pos)), pos) AS r FROM (SELECT c.id, p.pos FROM cases c JOIN pool p USING (seq_id, gc_cell, skew_cell) WHERE p.pos >= c.start - 1000 AND p.pos < c."end" + 1000)),
+num AS (SELECT *, row_number() OVER (PARTITION BY seq_id, gc_cell, skew_cell ORDER BY md5(concat_ws(':', 1, pos)), pos) - 1 AS k FROM pool), size AS (SELECT seq_id, gc_cell, skew_cell, count(*) AS n FROM pool GROUP BY ALL),
+asked AS (SELECT id, seq_id, gc_cell, skew_cell, n, unnest(range(0, least(30, n))) AS i FROM cases JOIN size USING (seq_id, gc_cell, skew_cell)), numbered AS (SELECT *, CAST(floor((('0x' || md5(concat_ws(':', 1, id))[1:8])::BIGINT + 0.5) / 4294967296.0 * n) + i AS BIGINT) % n AS k FROM asked)
+SELECT id, 'local' AS scope, CAST(pos AS INTEGER) AS pos FROM loc WHERE r <= 30 UNION ALL SELECT id, 'chromosome', CAST(pos AS INTEGER) FROM numbered JOIN num USING (seq_id, gc_cell, skew_cell, k)""")
+def g14(spark: SparkSession, sf: str) -> DataFrame:
+    cases, pool = cases_and_pool(spark, sf)
+    return G.local_controls(cases, pool, ["gc_cell", "skew_cell"], reach=1000)
 
 
 # Evaluation.
@@ -432,17 +556,21 @@ def e17(spark: SparkSession, sf: str) -> DataFrame:
     return E.leave_one_group_out(predictions(spark, sf).drop("s", "t", "lang"), "source", [F.round("mcc", 9).desc(), F.col("config_id")])
 
 
-@query("e15_nested_cv")
+@query("e15_nested_cv", f""", fo AS (SELECT record_id, rep, (row_number() OVER (PARTITION BY rep, y ORDER BY md5(concat_ws(':', rep, record_id)), record_id) - 1) % 5 AS fold FROM (SELECT record_id, y, unnest(range(4)) AS rep FROM labelled)),
+c AS (SELECT rep, fold, config_id, {_CONF} FROM pred JOIN fo USING (record_id) GROUP BY 1, 2, 3), tr AS (SELECT rep, fold, config_id, tp AS otp, fp AS ofp, tn AS otn, fn AS ofn, sum(tp) OVER w - tp AS tp, sum(fp) OVER w - fp AS fp, sum(tn) OVER w - tn AS tn, sum(fn) OVER w - fn AS fn FROM c WINDOW w AS (PARTITION BY rep, config_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY rep, fold ORDER BY {_MCC} DESC, config_id) AS k FROM tr), o AS (SELECT rep, CAST(sum(otp) AS BIGINT) AS tp, CAST(sum(ofp) AS BIGINT) AS fp, CAST(sum(otn) AS BIGINT) AS tn, CAST(sum(ofn) AS BIGINT) AS fn FROM r WHERE k = 1 GROUP BY 1)
+SELECT CAST(rep AS INTEGER) AS rep, tp, fp, tn, fn, {_MCC} AS mcc FROM o""", _PRED)
 def e15(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold metrics of the selected threshold, five folds, four repeats."""
     each = labelled(spark, sf).select("record_id", "y").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(3))))
     folds = E.stratified_folds(each, "record_id", ["y"], 5, F.col("rep"), ["rep"]).select("rep", "record_id", "fold")
-    return E.nested_cv(predictions(spark, sf).drop("s", "t", "lang", "source"), folds, [F.round("mcc", 9).desc(), F.col("config_id")])
+    got = E.nested_cv(predictions(spark, sf).drop("s", "t", "lang", "source"), folds, [F.round("mcc", 9).desc(), F.col("config_id")])
+    return got.select("rep", *E.COUNTS, F.round("mcc", 9).alias("mcc"))
 
 
-@query("e14_stratified_folds")
+@query("e14_stratified_folds", "SELECT record_id, y, lang, CAST((row_number() OVER (PARTITION BY y, lang ORDER BY md5(concat_ws(':', 0, record_id)), record_id) - 1) % 5 AS INTEGER) AS fold FROM labelled", LABELLED_SQL)
 def e14(spark: SparkSession, sf: str) -> DataFrame:
-    return E.stratified_folds(labelled(spark, sf), "record_id", ["y", "lang"], 5).groupBy("y", "lang", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return E.stratified_folds(labelled(spark, sf), "record_id", ["y", "lang"], 5).select("record_id", "y", "lang", "fold")
 
 
 @query("e18_collapse", "SELECT source, y, min(record_id) AS record_id FROM labelled GROUP BY 1, 2", LABELLED_SQL)
@@ -450,16 +578,28 @@ def e18(spark: SparkSession, sf: str) -> DataFrame:
     return E.collapse(labelled(spark, sf), ["source", "y"], "record_id").select("source", "y", "record_id")
 
 
-@query("e19_bootstrap_mcc")
+_WEIGHT = " + ".join(f"(u > {t!r}::DOUBLE)::INTEGER" for t in E.POISSON)
+
+
+def _boot(of: str, cols: str) -> str:
+    """Sums of ``cols`` over 200 Poisson resamples of the values of ``of``."""
+    return f"""per AS (SELECT {of} AS g, {cols} FROM src GROUP BY 1), u AS (SELECT *, (('0x' || md5(concat_ws(':', 1, g, b))[1:8])::BIGINT + 0.5) / 4294967296.0 AS u FROM (SELECT *, unnest(range(1, 201)) AS b FROM per)), wt AS (SELECT *, {_WEIGHT} AS w FROM u)"""
+
+
+def _mcc_interval(of: str) -> str:
+    return f""", src AS (SELECT * FROM called), {_boot(of, _CONF)}, boots AS (SELECT b, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(tn * w) AS tn, sum(fn * w) AS fn FROM wt WHERE w > 0 GROUP BY 1), m AS (SELECT {_MCC} AS mcc FROM boots), s AS (SELECT list_sort(list(mcc)) AS v FROM m) SELECT v[6] AS lo, v[least(len(v), 196)] AS hi FROM s"""
+
+
+@query("e19_bootstrap_mcc", _mcc_interval("record_id"), _CALLED)
 def e19(spark: SparkSession, sf: str) -> DataFrame:
     boots = E.with_metrics(E.bootstrap_counts(E.indicator_counts(called(spark, sf)), 200))
-    return E.percentile_interval(boots, "mcc", 200)
+    return E.percentile_interval(boots.withColumn("mcc", F.round("mcc", 9)), "mcc", 200)
 
 
-@query("e20_cluster_bootstrap")
+@query("e20_cluster_bootstrap", _mcc_interval("source"), _CALLED)
 def e20(spark: SparkSession, sf: str) -> DataFrame:
     boots = E.with_metrics(E.bootstrap_counts(E.indicator_counts(called(spark, sf)), 200, cluster="source"))
-    return E.percentile_interval(boots, "mcc", 200)
+    return E.percentile_interval(boots.withColumn("mcc", F.round("mcc", 9)), "mcc", 200)
 
 
 @query("e22_mcnemar_counts", ", b AS (SELECT y, CASE WHEN s >= 0.9 THEN 1 ELSE 0 END AS a, CASE WHEN n >= 300 THEN 1 ELSE 0 END AS b FROM labelled) SELECT count(*) FILTER (a = y AND b <> y) AS only_a, count(*) FILTER (a <> y AND b = y) AS only_b FROM b", LABELLED_SQL)
@@ -503,10 +643,7 @@ def e32(spark: SparkSession, sf: str) -> DataFrame:
 @query("e33_superiority", ", p AS (SELECT c.record_id, avg(CASE WHEN c.n > d.n THEN 1.0 WHEN c.n = d.n THEN 0.5 ELSE 0.0 END) AS p FROM labelled c JOIN labelled d ON c.source = d.source AND d.y = 0 WHERE c.y = 1 GROUP BY 1) SELECT round(avg(p), 6) AS superiority, count(*) AS cases FROM p", LABELLED_SQL)
 def e33(spark: SparkSession, sf: str) -> DataFrame:
     d = labelled(spark, sf)
-    controls = d.where("y = 0").select("source", "n")
-    cases = d.where("y = 1").select("record_id", "source", F.col("n").alias("v"))
-    paired = cases.select("record_id", "source").join(controls, "source").select("record_id", F.col("n").alias("v"))
-    return E.superiority(cases, paired, "record_id", "v").select(F.round("superiority", 6).alias("superiority"), "cases")
+    return E.superiority(d.where("y = 1"), d.where("y = 0"), "source", "n").select(F.round("superiority", 6).alias("superiority"), "cases")
 
 
 @query("a18_false_positives", ", c AS (SELECT lang, CASE WHEN s >= 0.9 THEN 1 ELSE 0 END AS t1, CASE WHEN n >= 300 THEN 1 ELSE 0 END AS t2 FROM labelled WHERE y = 0) SELECT lang, CAST(sum(t1) AS BIGINT) AS by_marks, CAST(sum(t2) AS BIGINT) AS by_length FROM c GROUP BY 1", LABELLED_SQL)
@@ -515,6 +652,10 @@ def a18(spark: SparkSession, sf: str) -> DataFrame:
     return E.false_positives_by_class(d, "lang", ["by_marks", "by_length"])
 
 
-@query("e36_roc_band")
+@query("e36_roc_band", f""", u AS (SELECT b, s, y, (('0x' || md5(concat_ws(':', 1, record_id, b))[1:8])::BIGINT + 0.5) / 4294967296.0 AS u FROM (SELECT *, unnest(range(1, 101)) AS b FROM labelled) WHERE s IS NOT NULL), wt AS (SELECT *, {_WEIGHT} AS w FROM u),
+per AS (SELECT b, s, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y <> 1 THEN w ELSE 0 END) AS neg FROM wt GROUP BY 1, 2), pts AS (SELECT b, sum(pos) OVER d / nullif(sum(pos) OVER (PARTITION BY b), 0) AS tpr, sum(neg) OVER d / nullif(sum(neg) OVER (PARTITION BY b), 0) AS fpr FROM per WINDOW d AS (PARTITION BY b ORDER BY s DESC)),
+at_ AS (SELECT b, x, coalesce(max(CASE WHEN fpr <= x THEN tpr END), 0.0) AS tpr FROM (SELECT *, unnest([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS x FROM pts) GROUP BY 1, 2)
+SELECT x, round(quantile_cont(tpr, 0.025), 9) AS lo, round(quantile_cont(tpr, 0.5), 9) AS mid, round(quantile_cont(tpr, 0.975), 9) AS hi FROM at_ GROUP BY 1""", LABELLED_SQL)
 def e36(spark: SparkSession, sf: str) -> DataFrame:
-    return E.roc_band(labelled(spark, sf), 100, [0.0, 0.1, 0.25, 0.5, 0.75, 1.0])
+    band = E.roc_band(labelled(spark, sf), 100, [0.0, 0.1, 0.25, 0.5, 0.75, 1.0])
+    return band.select("x", *[F.round(c, 9).alias(c) for c in ("lo", "mid", "hi")])

@@ -49,6 +49,19 @@ def read_wig(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_extract("header", r"chrom=(\S+)", 1).alias("chrom"), F.get(f, F.lit(0)).cast("long").alias("pos"), span.alias("span"), F.get(f, F.lit(1)).cast("double").alias("value"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt out evenly if their source has fewer pieces than the session has cores.
+
+    One row group or one gzip file is one task however large it is, and the scan after it costs far more than moving its
+    rows.  A source of many files is read where it lies, and nothing is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= 2 * cores:
+        return rows
+    pieces = rows.select(F.spark_partition_id().alias("p")).distinct().count()  # of a few files, by their footers
+    return rows.repartition(4 * cores) if pieces < cores else rows
+
+
 def write_csv(tables: list[DataFrame], path: str) -> None:
     """Tables one below the other with the union of their columns; arrays, maps and structs as JSON."""
     out = tables[0]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.tables import spread
+
 #: Fixed value: base by letter.
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "gactgatcaaggcagtcgatgcatgn"
 _DNA_SQL = f"translate(regexp_replace(lower({{0}}), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}')"
@@ -19,20 +21,28 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(_table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def _dna(c: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(c), "[^a-z]", ""), LETTERS, BASES)
 
 
+def dna_of(texts: DataFrame, id_col: str) -> DataFrame:
+    """Records (record_ix, seq_id, seq, seq_offset) of the column ``text``."""
+    return texts.select(F.col(id_col).alias("record_ix"), F.concat(F.lit("d"), F.col(id_col).cast("string")).alias("seq_id"), _dna(F.coalesce("text", F.lit(""))).alias("seq"), F.lit(1).cast("long").alias("seq_offset"))
+
+
 def dna(spark: SparkSession, sf: str) -> DataFrame:
-    d = _table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("record_ix"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("seq_id"), _dna(F.coalesce("text", F.lit(""))).alias("seq"), F.lit(1).cast("long").alias("seq_offset"))
+    return dna_of(_texts(spark, sf), "doc_id")
 
 
 def motifs(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of documents as candidate spans: two arms of a third each and what lies between."""
     bases = F.translate(F.regexp_replace(F.lower("text"), "[^a-z\n]", ""), LETTERS, BASES)
     # cut after the letters are read, so that a span is a column of its own and not an expression repeated in all others
-    s = _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(bases, "\n")).alias("pos", "full_sequence")).where(F.length("full_sequence") >= 24)
+    s = _texts(spark, sf).select("doc_id", F.posexplode(F.split(bases, "\n")).alias("pos", "full_sequence")).where(F.length("full_sequence") >= 24)
     n = F.length("full_sequence")
     arm = F.floor(n / 3).cast("int")
     s = s.withColumn("arm_length", arm).withColumn("left_arm", F.substring("full_sequence", F.lit(1), F.col("arm_length"))).withColumn("right_arm", F.substring("full_sequence", n - F.col("arm_length") + 1, F.col("arm_length")))
@@ -40,6 +50,9 @@ def motifs(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumn("ga_pct", share("ga")).withColumn("ct_pct", share("ct"))
 
 
+DNA_SQL = f"""dna AS (SELECT doc_id AS record_ix, 'd' || doc_id AS seq_id, {_DNA_SQL.format("coalesce(text, '')")} AS seq FROM documents)"""
+
+
 MOTIFS_SQL = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 spans AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, {_DNA_SQL.format('line')} AS full_sequence FROM lines),
 arms AS (SELECT *, CAST(length(full_sequence) // 3 AS INTEGER) AS arm_length FROM spans WHERE length(full_sequence) >= 24),
@@ -83,7 +96,7 @@ POINTS_SQL = "points AS (SELECT event_type AS chrom, CAST(floor(value * 50) + 1
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    d, y = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    d, y = _texts(spark, sf), _table(spark, sf, "labels")
     n = F.length("text")
     marks = n - F.length(F.translate("text", "#*$%&|!", ""))
     s = F.when(n > 0, F.round(1 - marks / n, 4)).otherwise(0.0)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tempfile
 
 import duckdb
 import pytest
@@ -18,7 +19,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 @pytest.fixture(scope="module")
 def con():
-    c = duckdb.connect()
+    c = duckdb.connect(config={"temp_directory": tempfile.mkdtemp()})
     for t in TABLES:
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
