@@ -10,16 +10,17 @@ similarity of at least ``NUMERATOR / DENOMINATOR``.
    so a sorted set is a sorted array of longs.
 3. Each representative sends its prefix (``n - ceil(t n) + 1`` rarest words).  The join on the word keeps pairs within
    the length bounds whose places leave room for enough overlap and whose parity signatures do not show too many
-   differences: 128 bits, each the parity of the words that fall on it, so two sets differ in at least as many words as
-   signatures in bits.
+   differences: 64 bits, each the parity of the words that fall on it, so two sets differ in at least as many words as
+   signatures in bits.  Words that occur once in the corpus, which no other line shares, are not sent.
 4. Candidates are verified by the whole sets, which only lines in a candidate pair send.
 
-Membership tests that save shuffling use a bitmap of fixed size with exact handling of what it lets through; as it
-fills, more rows take the exact way.  All of it is DataFrame code.
+Membership tests that save shuffling use a bitmap of eight bits a member, up to 8 MB, with exact handling of what it lets
+through; beyond 8 million members it fills, and more rows take the exact way.  All of it is DataFrame code.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ from .common import SPACE, drop_stored, keyed, stored, text_or_empty
 #: Jaccard threshold as a fraction, so that the test is exact.
 NUMERATOR, DENOMINATOR = 4, 5
 SKETCH_BITS, CLASS_BITS = 16, 4
-BITMAP_BITS = 23
+#: Bits of a bitmap: eight per member, within these powers of two; a bitmap is 8 MB at most.
+LEAST_BITS, MOST_BITS = 16, 26
 _HASH_BITS = 63 - CLASS_BITS
 #: A null id stands for a document after all others.
 _LAST = (1 << 63) - 1
@@ -40,45 +42,50 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _bitmap(hashes: DataFrame) -> Column:
-    """A set of long hashes (column h) as a one-row scalar: array of 2^BITMAP_BITS bits.  False positives only."""
-    slot = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
-    words = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("b")).collect()
-    bits = [0] * (1 << BITMAP_BITS - 6)
-    for r in words:
-        bits[r.w] = r.b
-    return hashes.sparkSession.createDataFrame([(bits,)], "bits array<long>").scalar()
+class _Bitmap:
+    """A set of long hashes as a one-row scalar array of bits.  False positives only."""
 
+    def __init__(self, hashes: DataFrame):
+        """From column h of a stored table."""
+        n = hashes.count()
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
+        slot = F.shiftrightunsigned("h", 64 - self.bits)
+        words = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("b")).toArrow()
+        at = np.zeros(1 << self.bits - 6, dtype=np.int64)
+        at[words.column("w").to_numpy()] = words.column("b").to_numpy()
+        self.words = hashes.sparkSession.createDataFrame([(at.tolist(),)], "bits array<long>").scalar()
 
-def _maybe(bitmap: Column, h: Column) -> Column:
-    slot = F.shiftrightunsigned(h, 64 - BITMAP_BITS)
-    word = F.element_at(bitmap, (F.shiftright(slot, 6) + 1).cast("int"))
-    return F.call_function("shiftrightunsigned", word, slot.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1).cast("long")) != 0
+    def maybe(self, h: Column) -> Column:
+        slot = F.shiftrightunsigned(h, 64 - self.bits)
+        word = F.element_at(self.words, (F.shiftright(slot, 6) + 1).cast("int"))
+        return F.call_function("shiftrightunsigned", word, slot.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1).cast("long")) != 0
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> Column:
-    """Class of each of 2^SKETCH_BITS word buckets, 0 the rarest, as a constant array."""
+def rarity(docs: DataFrame, text_col: str = "text") -> tuple[Column, _Bitmap]:
+    """(classes, common): the class of each of 2^SKETCH_BITS word buckets, 0 the rarest, in the topmost bits of a long, as a
+    constant array; and the words that occur more than once, for no other can be shared."""
     words = docs.select(F.explode(F.split(text_or_empty(text_col), SPACE)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND((1 << SKETCH_BITS) - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # 2^16 rows
-    top = max((r.n for r in counts), default=1)
+    counts = stored(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count(F.lit(1)).alias("n")), "lines-words")
+    buckets = counts.groupBy(F.col("h").bitwiseAND((1 << SKETCH_BITS) - 1).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect()  # 2^16 rows
+    top = max((r.n for r in buckets), default=1)
     classes = [0] * (1 << SKETCH_BITS)
-    for r in counts:
-        classes[r.b] = min((1 << CLASS_BITS) - 1, r.n.bit_length() * ((1 << CLASS_BITS) - 1) // top.bit_length())
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")  # folded once
+    for r in buckets:
+        classes[r.b] = min((1 << CLASS_BITS) - 1, r.n.bit_length() * ((1 << CLASS_BITS) - 1) // top.bit_length()) << _HASH_BITS
+    common = _Bitmap(counts.where("n > 1").select("h"))
+    drop_stored(counts)
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>"), common  # folded once
 
 
 def word_set(line: Column, classes: Column) -> Column:
     """Sorted array of the keys of the line's distinct words, rarest first."""
     hashes = F.transform(F.array_remove(F.split(line, SPACE), ""), lambda w: F.xxhash64(w))
-    place = lambda h: F.get(classes, h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int"))
-    keys = F.transform(hashes, lambda h: F.shiftleft(place(h).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)))
+    keys = F.transform(hashes, lambda h: F.get(classes, h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)))
     return F.sort_array(F.array_distinct(keys))
 
 
-def _parity(s: Column, half: int) -> Column:
-    """64 bits: bit i is the parity of the keys whose low 7 bits are ``64 half + i``."""
-    mine = F.filter(s, lambda k: F.shiftright(k, 6).bitwiseAND(1) == half)
-    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
+def _parity(s: Column) -> Column:
+    """64 bits: bit i is the parity of the number of keys whose low 6 bits are i."""
+    return F.aggregate(s, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
 
 
 def _needed(n: Column) -> Column:
@@ -96,35 +103,35 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = (F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
     marked = lines.withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
     twice = stored(marked.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "lines-twice")
-    seen_twice = _bitmap(twice)
+    seen_twice = _Bitmap(twice)
     drop_stored(twice)
     # Equal texts: the first place of each stays.
-    again = stored(marked.where(_maybe(seen_twice, F.col("h"))).select("id", "pos", "line", "h", "h2"), "lines-again")
+    again = stored(marked.where(seen_twice.maybe(F.col("h"))).select("id", "pos", "line", "h", "h2"), "lines-again")
     first = stored(again.groupBy("h", "line").agg(F.min(place).alias("place")), "lines-first")
     copies = again.select("h", "h2", "id", "pos", place.alias("place")).join(first.select("h", F.xxhash64(F.lit(1), "line").alias("h2"), F.col("place").alias("first")), ["h", "h2"]).where("place > first").select("id", "pos")
 
     one = lambda c: F.floor(c / F.lit(1 << 31).cast("decimal(10,0)"))
-    reps = marked.where(~_maybe(seen_twice, F.col("h"))).select("id", "pos", "line").unionByName(
+    reps = marked.where(~seen_twice.maybe(F.col("h"))).select("id", "pos", "line").unionByName(
         first.select(one(F.col("place")).cast("long").alias("id"), (F.col("place") - one(F.col("place")) * F.lit(1 << 31).cast("decimal(10,0)")).cast("int").alias("pos"), "line")
     )
-    classes = rarity(docs, text_col)
-    sets = reps.select("id", "pos", word_set(F.col("line"), classes).alias("s"))
-    sets = sets.withColumns({"p0": _parity(F.col("s"), 0), "p1": _parity(F.col("s"), 1)})
+    classes, common = rarity(docs, text_col)
+    sets = reps.select("id", "pos", word_set(F.col("line"), classes).alias("s")).withColumn("p", _parity(F.col("s")))
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), (n - _needed(n) + 1).cast("int"))
-    rows = sets.select("id", "p0", "p1", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(n.cast("long")).alias("pos_n"), F.posexplode(prefix).alias("at", "key"))
+    rows = sets.select("id", "p", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(n.cast("long")).alias("pos_n"), F.posexplode(prefix).alias("at", "key"))
+    rows = rows.where(common.maybe(F.shiftleft("key", 64 - _HASH_BITS)))  # the class falls off, what is left are the hash's first bits
     if every_link:
         rows = rows.repartition("key")  # both sides of the join read one shuffle
         return copies, _verified(lines, _candidates(rows, rows), classes)
     # Most lines of a large family are like its first one.  So each line is first held against the earliest line of each
     # of its postings; only lines that this leaves open are joined with all earlier ones.
     rows = stored(rows, "lines-prefixes")
-    earliest = rows.groupBy("key").agg(F.min(F.struct("id", "pos_n", "at", "p0", "p1")).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v.*")
+    earliest = rows.groupBy("key").agg(F.min(F.struct("id", "pos_n", "at", "p")).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v.*")
     settled = _verified(lines, _candidates(earliest, rows), classes)
     gone = stored(settled.select(F.col("b_id").alias("id"), F.col("b_pos").alias("pos")).distinct(), "lines-settled")
-    seen = _bitmap(gone.select(F.xxhash64("id", "pos").alias("h")))
+    seen = _Bitmap(gone.select(F.xxhash64("id", "pos").alias("h")))
     place_of = rows.withColumn("pos", F.shiftright("pos_n", 32).cast("int"))
-    maybe = _maybe(seen, F.xxhash64("id", "pos"))
+    maybe = seen.maybe(F.xxhash64("id", "pos"))
     left = place_of.where(~maybe).unionByName(place_of.where(maybe).join(gone, ["id", "pos"], "left_anti")).drop("pos")
     rest = _verified(lines, _candidates(rows, left), classes)
     drop_stored(rows)
@@ -134,12 +141,12 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _candidates(first: DataFrame, second: DataFrame) -> DataFrame:
     """Pairs of places (a before b) that share a prefix word and pass the length, positional and parity filters."""
-    side = lambda rows, p: rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "pos_n", "at", "p0", "p1")])
+    side = lambda rows, p: rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "pos_n", "at", "p")])
     length = lambda p: F.col(f"{p}_pos_n").bitwiseAND(F.lit((1 << 32) - 1))
     la, lb = length("a"), length("b")
     room = F.least(la - F.col("a_at"), lb - F.col("b_at"))  # words from the shared one on
     enough = F.ceil((la + lb) * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    differ = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))) + F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1")))
+    differ = F.bit_count(F.col("a_p").bitwiseXOR(F.col("b_p")))
     alike = la + lb - differ >= enough * 2
     before = (F.col("a_id") < F.col("b_id")) | ((F.col("a_id") == F.col("b_id")) & (F.col("a_pos_n") < F.col("b_pos_n")))
     pairs = side(first, "a").join(side(second, "b"), "key").where(before & (la * DENOMINATOR >= lb * NUMERATOR) & (lb * DENOMINATOR >= la * NUMERATOR) & (room >= enough) & alike)
@@ -150,9 +157,9 @@ def _candidates(first: DataFrame, second: DataFrame) -> DataFrame:
 def _verified(lines: DataFrame, pairs: DataFrame, classes: Column) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
     ends = pairs.select(F.col("a_id").alias("id"), F.col("a_pos").alias("pos")).union(pairs.select("b_id", "b_pos"))
-    wanted = _bitmap(ends.select(F.xxhash64("id", "pos").alias("h")))
+    wanted = _Bitmap(ends.select(F.xxhash64("id", "pos").alias("h")))
     # Of the lines in a candidate pair, and the few others that the bitmap lets through, the whole sets.
-    whole = lines.where(_maybe(wanted, F.xxhash64("id", "pos"))).select("id", "pos", word_set(F.col("line"), classes).alias("s"))
+    whole = lines.where(wanted.maybe(F.xxhash64("id", "pos"))).select("id", "pos", word_set(F.col("line"), classes).alias("s"))
     end = lambda p: whole.select(F.col("id").alias(f"{p}_id"), F.col("pos").alias(f"{p}_pos"), F.col("s").alias(f"{p}_s"))
     both = pairs.join(end("a"), ["a_id", "a_pos"]).join(end("b"), ["b_id", "b_pos"])
     shared = F.size(F.array_intersect("a_s", "b_s"))
