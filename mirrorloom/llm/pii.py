@@ -3,14 +3,23 @@
 Base spans are exact patterns with their checks (Luhn, octets, digit counts); they always stay.  They are leftmost and
 greedy, so a run of digits that swallows a neighbour fails whole.  High-recall generators therefore propose overlapping
 candidates: every sequence of neighbouring digit groups inside a run that has the shape of a card, phone number or
-address, and e-mail addresses with spelt-out signs.  Boosted trees score a candidate by its format (checks, digits,
-groups, separators) and context (neighbouring characters, cue words before it).  They learn from weak labels: a
-candidate that is a base span is positive, any other negative.  Per kind the threshold is the lowest at which held-out
-candidates reach ``PRECISION``; accepted candidates that overlap no base span are added, best score first.
-
-The features of a candidate are packed into one integer of ``CODE_BITS`` bits, so learning is one aggregate to a
-table of at most 2^CODE_BITS rows per kind, whatever the input; the trees become one CASE expression.  Scoring is a narrow
-pass of DataFrame expressions: no Python runs on the executors, and nothing is shuffled.
+address and passes its check, e-mail addresses with spelt-out signs, and long strings of letters and digits that may be
+secrets (keys, tokens).  Boosted trees score a candidate by its format and context.
+
+No table labels personal data, so labels come from where the truth is plain, and no feature repeats the label's test:
+
+* Numbers and addresses: of the candidates that overlap base spans, those that are one are positive and all others
+  negative.  What the model then decides are the candidates that overlap none.
+* Secrets: a candidate that is assigned to a name like ``token`` or ``password`` is positive, any other negative; the
+  features see its characters and length, neither the name nor the quotes that come with one.
+
+Per kind the threshold is the lowest at which held-out labelled candidates reach ``PRECISION``, smoothed by one success
+and one failure.  An accepted candidate is added if it beats every accepted one that overlaps it and touches no base span.
+
+Texts are read in one narrow pass.  Spans and candidates go on as rows: they meet by (document, stretch of text), so a
+text with a hundred thousand numbers costs as many rows and no list is walked for each.  The features of a candidate are
+one integer of ``CODE_BITS`` bits, so learning is an aggregate to at most 2^CODE_BITS rows per kind; the trees become one
+CASE expression.  All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -20,9 +29,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_or_empty
+from .common import fold, keyed, stored, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
+#: Kinds of added spans: those of the base, and secrets.
+ALL_KINDS = [*KINDS, "secret"]
 #: The base patterns.  Possessive forms and look-behinds match the same spans without backtracking over long runs.
 LOCAL = "A-Za-z0-9._%+-"
 BASE = {
@@ -36,28 +47,51 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][ -][0-9]",
 #: Generators: runs of digit groups, and e-mail addresses with spelt-out signs.
 RUN = r"\+?+\(?+[0-9]++(?:[\x20().-]{1,2}+[0-9]++)*+"
 SPELT = rf"(?<![{LOCAL}])[{LOCAL}]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++"
-LONGEST = 7  # groups in a candidate
+#: Strings that may be secrets, the character before them, and the names that they are assigned to.
+SECRET = r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])(?=[0-9_/+=-]*+[A-Za-z])[A-Za-z0-9_/+=-]{16,}+"
+ASSIGNED = r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|credential)[\x20]{0,2}[:=][\x20]{0,2}[\x22']?$"
+LONGEST = 19  # digits, and so groups, in a candidate
 #: Cue words, in front of a candidate within 24 characters.
 CUES = r"(?i)(?:mail|contact|write|tel|phone|call|fon|mobil|card|visa|master|amex|carte|karte|tarjeta|ip|host|addr|server)\b?[^\n]{0,12}$"
-SPAN = "array<struct<s:int,e:int,m:string>>"
+#: A match: its place, its text, and up to 32 characters before and 2 after it that belong to no other match.
+SPAN = "array<struct<s:int,e:int,m:string,b:string,a:string>>"
 #: Bits of each feature in a candidate's code, lowest first.
-FEATURES = {"checked": 1, "digits": 4, "groups": 3, "before": 2, "after": 2, "cue": 1, "plus": 1, "marks": 2}
+FEATURES = {"hex": 1, "digits": 4, "groups": 3, "before": 2, "after": 2, "cue": 1, "plus": 1, "marks": 2}
 CODE_BITS = sum(FEATURES.values())
-ROUNDS, SHRINK, PRECISION, LEAST = 12, 0.4, 0.99, 20
+ROUNDS, SHRINK, PRECISION = 12, 0.4, 0.95
+#: Characters of a stretch, and matches that are placed together.
+STRETCH, TOGETHER = 64, 256
 
 
 def spans_of(text: Column, pattern: str, needs: str) -> Column:
-    """All leftmost non-overlapping matches with their places in code points."""
+    """All leftmost non-overlapping matches with their places in code points.
+
+    Places are running sums.  They are taken within groups of ``TOGETHER`` matches, then over the groups, so the time
+    is linear for any number of matches that fits a row.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
+    n = F.size(found)
+    steps = F.zip_with(F.zip_with(found, F.slice(gaps, F.lit(1), n), lambda m, g: F.struct(m.alias("m"), g.alias("g"))), F.slice(gaps, F.lit(2), n), lambda x, g: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("n"), x["m"].alias("m"), F.right(x["g"], F.lit(32)).alias("b"), F.left(g, F.lit(2)).alias("a")))
     empty = F.array().cast(SPAN)
-    walked = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, z: F.struct((a["at"] + z["g"] + z["n"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + z["g"]).alias("s"), (a["at"] + z["g"] + z["n"]).alias("e"), z["m"].alias("m")))).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike(needs), walked).otherwise(empty)
+
+    def walk(group: Column) -> Column:
+        return F.aggregate(
+            group, F.struct(F.lit(0).alias("at"), empty.alias("out")),
+            lambda a, z: F.struct((a["at"] + z["g"] + z["n"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + z["g"]).alias("s"), (a["at"] + z["g"] + z["n"]).alias("e"), z["m"].alias("m"), z["b"].alias("b"), z["a"].alias("a")))).alias("out")),
+        )
+
+    def place(groups: Column) -> Column:
+        starts = F.aggregate(groups, F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + w["at"])))
+        moved = F.zip_with(groups, F.slice(starts, F.lit(1), F.size(groups)), lambda w, by: F.transform(w["out"], lambda x: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a"))))
+        return F.flatten(moved)
+
+    def grouped(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / TOGETHER).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: walk(F.slice(all_, i * TOGETHER + 1, F.lit(TOGETHER))))
+        return F.flatten(F.transform(F.array(cut), place))  # the arrays of one bind their value, so that it is made once
+
+    return F.when(text.rlike(needs), F.flatten(F.transform(F.array(steps), grouped))).otherwise(empty)
 
 
 def _digits(m: Column) -> Column:
@@ -91,19 +125,21 @@ def _class(c: Column) -> Column:
     return F.when(c.rlike(r"^\s?$"), 0).when(c.rlike(r"^\p{L}"), 1).when(c.rlike("^[0-9]"), 2).otherwise(3)
 
 
-def _code(text: Column, kind: str, c: Column) -> Column:
+def _code(kind: str, c: Column) -> Column:
     m = c["m"]
-    d = F.length(_digits(m))
-    groups = F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)))
     # past a separator, what stands next to the candidate
-    before = F.regexp_extract(F.substring(text, F.greatest(c["s"] - 1, F.lit(1)), F.least(c["s"], F.lit(2))), r"(.)[\x20().-]?$", 1)
-    after = F.regexp_extract(F.substring(text, c["e"] + 1, F.lit(2)), r"^[\x20().-]?(.)", 1)
-    lead = F.substring(text, F.greatest(c["s"] - 23, F.lit(1)), F.least(c["s"], F.lit(24)))
-    values = {
-        "checked": checked(kind, m).cast("int"), "digits": F.least(d, F.lit(19)) - F.least(d, F.lit(4)), "groups": F.least(groups, F.lit(7)), "before": _class(before), "after": _class(after),
-        "cue": lead.rlike(CUES).cast("int"), "plus": m.startswith("+").cast("int"),
-        "marks": F.when(m.contains("."), 3).when(m.contains("("), 2).when(m.rlike("[ -]"), 1).otherwise(0),
-    }
+    before, after = F.regexp_extract(F.right(c["b"], F.lit(2)), r"(.)[\x20().-]?$", 1), F.regexp_extract(c["a"], r"^[\x20().-]?(.)", 1)
+    if kind == "secret":
+        kinds = sum((m.rlike(x).cast("int") for x in ("[a-z]", "[A-Z]", "[_/+=-]")), F.lit(0))
+        values = {"hex": m.rlike("^[0-9a-fA-F]+$").cast("int"), "digits": F.floor(F.least(F.length(m), F.lit(64)) / 4) - 1, "groups": F.least(F.floor(F.length(_digits(m)) * 8 / F.length(m)), F.lit(7)), "cue": F.lit(0), "plus": F.lit(0), "marks": kinds}
+    else:
+        d, groups = F.length(_digits(m)), F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)))
+        values = {
+            "hex": F.lit(0), "digits": F.least(d, F.lit(19)) - F.least(d, F.lit(4)), "groups": F.least(groups, F.lit(7)), "cue": F.right(c["b"], F.lit(24)).rlike(CUES).cast("int"), "plus": m.startswith("+").cast("int"),
+            "marks": F.when(m.contains("."), 3).when(m.contains("("), 2).when(m.rlike("[ -]"), 1).otherwise(0),
+        }
+    # quotes go with the names that label secrets, so a secret's model sees its format alone
+    values |= {"before": F.lit(0), "after": F.lit(0)} if kind == "secret" else {"before": _class(before), "after": _class(after)}
     code, at = F.lit(0), 0
     for name, bits in FEATURES.items():
         code = code + F.least(values[name], F.lit((1 << bits) - 1)) * (1 << at)
@@ -115,10 +151,12 @@ def _windows(run: Column) -> Column:
     """Of a run {s, e, m}: every sequence of neighbouring digit groups with its place in the text."""
 
     def cut(groups: Column, i: Column, j: Column) -> Column:
-        # a plus sign or bracket that opens the run belongs to its first group
-        s = F.when(i == 0, F.lit(0)).otherwise(F.get(groups, i)["s"])
-        e = F.get(groups, j)["e"]
-        return F.struct((run["s"] + s).alias("s"), (run["s"] + e).alias("e"), F.substring(run["m"], s + 1, e - s).alias("m"))
+        first, last, more = F.get(groups, i), F.get(groups, j), F.slice(groups, i + 2, j - i)
+        # a plus sign or bracket that opens the run belongs to its first group; inside a run the neighbours are digits
+        lead = F.when(i == 0, first["b"]).otherwise("")
+        text = F.concat(lead, first["m"], F.array_join(F.transform(more, lambda g: F.concat(g["b"], g["m"])), ""))
+        s = F.when(i == 0, F.lit(0)).otherwise(first["s"])
+        return F.struct((run["s"] + s).alias("s"), (run["s"] + last["e"]).alias("e"), text.alias("m"), F.when(i == 0, run["b"]).otherwise("0").alias("b"), F.when(j == F.size(groups) - 1, run["a"]).otherwise("0").alias("a"))
 
     def all_of(groups: Column) -> Column:
         last = F.size(groups) - 1
@@ -142,30 +180,50 @@ def _good(kind: str, c: Column) -> Column:
 
 
 def _shaped(kind: str, c: Column) -> Column:
-    return c["m"].rlike(SHAPE[kind])
+    return c["m"].rlike(SHAPE[kind]) & checked(kind, c["m"])
 
 
 def _tag(i: int, c: Column) -> Column:
-    return F.struct(F.lit(i).alias("kind"), c["s"].alias("s"), c["e"].alias("e"))
+    return F.struct(c["s"].alias("s"), F.lit(i).alias("kind"), c["e"].alias("e"))
 
 
 def _candidate(i: int, kind: str, c: Column) -> Column:
-    known = F.array_contains(F.col("base"), _tag(i, c))
-    return F.struct(F.lit(i).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), _code(F.col("t"), kind, c).alias("code"), known.alias("known"))
+    named = c["b"].rlike(ASSIGNED) if kind == "secret" else F.lit(None).cast("boolean")
+    return F.struct(F.lit(i).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), _code(kind, c).alias("code"), named.alias("named"))
 
 
 def examined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, base spans and candidates of every document: arrays of {kind, s, e} and {kind, s, e, code, known}."""
-    out = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
+    """__row, id, base spans and candidates of every document: sorted arrays of {s, kind, e}, and {kind, s, e, code, named}."""
+    out = docs.select("__row", F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     out = out.withColumns({f"raw_{k}": spans_of(F.col("t"), BASE[k], NEEDS[k]) for k in KINDS})
     tagged = [F.transform(F.filter(f"raw_{k}", _only(_good, k)), _only(_tag, i)) for i, k in enumerate(KINDS)]
-    out = out.withColumn("base", F.concat(*tagged)).withColumn("runs", F.filter(spans_of(F.col("t"), RUN, "[0-9]"), lambda c: F.length(c["m"]) >= 7))
-    out = out.withColumn("windows", F.flatten(F.transform("runs", _windows))).withColumn("spelt", spans_of(F.col("t"), SPELT, r"(?i)[\[(]at[\])]"))
-    made = []
-    for i, k in enumerate(KINDS):
-        shaped = F.concat(F.col("spelt"), F.col("raw_email")) if k == "email" else F.filter("windows", _only(_shaped, k))
-        made.append(F.transform(shaped, _only(_candidate, i, k)))
-    return out.withColumn("cands", F.concat(*made)).select("id", "t", "base", "cands")
+    out = out.withColumn("base", F.array_sort(F.concat(*tagged))).withColumn("runs", F.filter(spans_of(F.col("t"), RUN, "[0-9]"), lambda c: F.length(c["m"]) >= 7))
+    out = out.withColumn("windows", F.flatten(F.transform("runs", _windows)))
+    shaped = {
+        "email": F.concat(spans_of(F.col("t"), SPELT, r"(?i)[\[(]at[\])]"), F.col("raw_email")), "secret": spans_of(F.col("t"), SECRET, "[0-9A-Za-z_/+=-]{16}"),
+        **{k: F.filter("windows", _only(_shaped, k)) for k in SHAPE},
+    }
+    made = [F.transform(shaped[k], _only(_candidate, i, k)) for i, k in enumerate(ALL_KINDS)]
+    return out.withColumn("cands", F.concat(*made)).select("__row", "id", "base", "cands")
+
+
+def _stretches(spans: DataFrame) -> DataFrame:
+    """A row per stretch of text that a span (s, e) touches."""
+    at = lambda c: F.floor(c / STRETCH).cast("int")
+    return spans.withColumn("_at", F.explode(F.sequence(at(F.col("s")), at(F.greatest(F.col("s"), F.col("e") - 1)))))
+
+
+def candidates(seen: DataFrame) -> DataFrame:
+    """__row, test, kind, s, e, code, known (true, false, or null if nothing tells) and free (overlaps no base span)."""
+    own = seen.where(F.size("cands") > 0)
+    cands = own.select("__row", (fold("id", 2) == 0).alias("test"), F.inline("cands")).distinct()
+    base = own.select("__row", F.inline("base")).select("__row", "s", "e", F.col("kind").alias("b_kind"), F.col("s").alias("b_s"), F.col("e").alias("b_e"))
+    met = _stretches(cands.select("__row", "kind", "s", "e")).join(_stretches(base).drop("s", "e"), ["__row", "_at"]).where("s < b_e and e > b_s")
+    same = F.bool_or(F.expr("kind = b_kind and s = b_s and e = b_e"))
+    told = met.groupBy("__row", "kind", "s", "e").agg(same.alias("is_base"))
+    both = cands.join(told, ["__row", "kind", "s", "e"], "left")
+    known = F.when(F.col("kind") == ALL_KINDS.index("secret"), F.col("named")).otherwise(F.col("is_base"))
+    return both.select("__row", "test", "kind", "s", "e", "code", known.alias("known"), F.col("is_base").isNull().alias("free"))
 
 
 def _value(code: int, feature: str) -> int:
@@ -239,60 +297,63 @@ def score_column(code: Column, model: tuple[float, list[tuple]]) -> Column:
     return total
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[int, tuple]:
-    """By kind: (model, threshold).  A kind without candidates of both labels has no model and adds nothing."""
-    rows = examined(docs, id_col, text_col).where(F.size("cands") > 0)
-    cands = rows.select((fold("id", 2) == 0).alias("test"), F.explode("cands").alias("c"))
-    table = cands.groupBy("test", F.col("c.kind").alias("kind"), F.col("c.code").alias("code")).agg(F.count_if(~F.col("c.known")).alias("neg"), F.count_if(F.col("c.known")).alias("pos")).collect()
+def learn(cands: DataFrame) -> dict[int, tuple]:
+    """By kind: (model, threshold) from :func:`candidates`.  A kind without both labels has no model and adds nothing."""
+    told = cands.where("known is not null")
+    table = told.groupBy("test", "kind", "code").agg(F.count_if(~F.col("known")).alias("neg"), F.count_if("known").alias("pos")).collect()
     models = {}
-    for kind in range(len(KINDS)):
+    for kind in range(len(ALL_KINDS)):
         fit = sorted((r.code, r.neg, r.pos) for r in table if r.kind == kind and not r.test)
         held = sorted((r.code, r.neg, r.pos) for r in table if r.kind == kind and r.test)
         if not any(n for _, n, _ in fit) or not any(p for *_, p in fit):
             continue
         model = boost(fit)
         ranked = sorted(((tree_score(c, model), n, p) for c, n, p in held), reverse=True)
-        threshold, neg, pos, last = math.inf, 0, 0, None
+        threshold, neg, pos = math.inf, 0, 0
         for i, (s, n, p) in enumerate(ranked):
-            neg, pos, last = neg + n, pos + p, s
-            if (i + 1 == len(ranked) or ranked[i + 1][0] < s) and pos >= LEAST and pos >= PRECISION * (pos + neg):
-                threshold = last
+            neg, pos = neg + n, pos + p
+            below = ranked[i + 1][0] if i + 1 < len(ranked) else s - 2.0
+            if below < s and pos + 1 >= PRECISION * (pos + neg + 2):
+                threshold = (s + below) / 2  # half-way to the next score that was seen
         models[kind] = (model, threshold)
     return models
 
 
+def added(cands: DataFrame, models: dict[int, tuple]) -> DataFrame:
+    """(__row, s, kind, e) of the candidates that are added."""
+    score = F.lit(None).cast("double")
+    for kind, (model, threshold) in models.items():
+        if math.isfinite(threshold):
+            full = score_column(F.col("code"), model)
+            score = F.when((F.col("kind") == kind) & (full >= threshold), full).otherwise(score)
+    fine = cands.where("free").withColumn("score", score).where("score is not null").select("__row", "s", "kind", "e", F.struct((-F.col("score")).alias("a"), "s", (-F.col("e")).alias("b"), "kind").alias("rank"))
+    wide = _stretches(fine)
+    other = wide.select("__row", "_at", F.col("s").alias("o_s"), F.col("e").alias("o_e"), F.col("rank").alias("o_rank"))
+    beaten = wide.join(other, ["__row", "_at"]).where("s < o_e and e > o_s and o_rank < rank").select("__row", "s", "kind", "e").distinct()
+    return fine.join(beaten, ["__row", "s", "kind", "e"], "left_anti").select("__row", "s", "kind", "e")
+
+
 def find(docs: DataFrame, models: dict[int, tuple] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, base and added spans ({kind, s, e}, by start then kind), one row per document.
+    """__row, id, base and added spans ({s, kind, e}, in that order), one row per document.
 
-    Defined cases: a null or empty text has no spans; ids pass through; places are code points, ends exclusive; equal
-    scores go to the earlier, then longer candidate; an empty table gives no rows; other columns are not read.
+    Without ``models`` they are learnt from ``docs``.  Defined cases: a null or empty text has no spans; null and
+    repeated ids are documents of their own; places are code points, ends exclusive; equal scores go to the earlier,
+    then longer candidate; an empty table gives no rows; other columns are only read where ids repeat.
     """
-    models = learn(docs, id_col, text_col) if models is None else models
-    rows = examined(docs, id_col, text_col)
-    usable = [(k, m, t) for k, (m, t) in models.items() if math.isfinite(t)]
-    ordered = F.array_sort(F.transform("base", lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"))))
-    if not usable:
-        return rows.select(F.col("id").alias(id_col), ordered.alias("base"), F.array().cast("array<struct<s:int,kind:int,e:int>>").alias("added"), F.col("t").alias(text_col))
-
-    def ranked(c: Column) -> Column:
-        s = F.lit(-1e9)
-        for kind, model, threshold in usable:
-            full = score_column(c["code"], model)
-            s = F.when((c["kind"] == kind) & (full >= threshold), full).otherwise(s)
-        return F.struct((-s).alias("rank"), c["s"].alias("s"), (-c["e"]).alias("far"), c["kind"].alias("kind"))
-
-    apart = lambda spans, s, e: F.forall(spans, lambda b: (b["e"] <= s) | (b["s"] >= e))
-    free = F.filter("cands", lambda c: ~c["known"] & apart(F.col("base"), c["s"], c["e"]))
-    accepted = F.array_sort(F.filter(F.transform(free, ranked), lambda c: c["rank"] < 1e8))
-    chosen = F.aggregate(
-        accepted, F.array().cast("array<struct<s:int,kind:int,e:int>>"),
-        lambda out, c: F.when(apart(out, c["s"], -c["far"]), F.concat(out, F.array(F.struct(c["s"].alias("s"), c["kind"].alias("kind"), (-c["far"]).alias("e"))))).otherwise(out),
-    )
-    return rows.select(F.col("id").alias(id_col), ordered.alias("base"), F.array_sort(chosen).alias("added"), F.col("t").alias(text_col))
+    return _found(keyed(docs, id_col), models, id_col, text_col)
+
+
+def _found(rows: DataFrame, models: dict[int, tuple] | None, id_col: str, text_col: str) -> DataFrame:
+    seen = stored(examined(rows, id_col, text_col), "pii-seen")
+    cands = stored(candidates(seen), "pii-candidates")
+    models = learn(cands) if models is None else models
+    more = added(cands, models).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("s", "kind", "e"))).alias("added"))  # at most a document's
+    none = F.array().cast("array<struct<s:int,kind:int,e:int>>")
+    return seen.join(more, "__row", "left").select("__row", F.col("id").alias(id_col), "base", F.coalesce("added", none).alias("added"))
 
 
 def span_text(spans: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, ALL_KINDS))
     return F.array_join(F.transform(spans, lambda c: F.concat_ws(":", F.get(names, c["kind"]), c["s"].cast("string"), c["e"].cast("string"))), ",")
 
 
@@ -301,14 +362,15 @@ def of_kind(kind: int):
     return lambda c: c["kind"] == kind
 
 
-def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """``found`` with every span of the text replaced by its kind in angle brackets, from the last to the first."""
-    names = F.array(*map(F.lit, KINDS))
-    spans = F.reverse(F.array_sort(F.concat("base", "added")))
+def redact(docs: DataFrame, models: dict[int, tuple] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``redacted``, the text in which every span is its kind in angle brackets; of overlapping spans the last."""
+    rows = keyed(docs, id_col)
+    found = _found(rows, models, id_col, text_col).select("__row", F.reverse(F.array_sort(F.concat("base", "added"))).alias("__spans"))
+    names = F.array(*map(F.lit, ALL_KINDS))
     start = F.struct(F.col(text_col).alias("t"), F.lit((1 << 31) - 1).alias("upto"))
     done = F.aggregate(
-        spans, start,
+        "__spans", start,
         lambda a, c: F.when(c["e"] <= a["upto"], F.struct(F.concat(F.substring(a["t"], F.lit(1), c["s"]), F.lit("<"), F.get(names, c["kind"]), F.lit(">"), F.substring(a["t"], c["e"] + 1, F.length(a["t"]))).alias("t"), c["s"].alias("upto"))).otherwise(a),
         lambda a: a["t"],
     )
-    return found.withColumn("redacted", done)
+    return rows.join(found, "__row").select(*docs.columns, done.alias("redacted"))
