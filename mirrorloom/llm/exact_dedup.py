@@ -8,8 +8,8 @@ Parquet table in the shared folder, range-partitioned by (bucket, key), so one o
 
 Collisions.  Entries of one key form a chain.  Chain members are told apart by their bytes: the aggregate that builds
 the pages groups by (key, text) and Spark compares the whole text on every probe of its hash map.  Copies collapse on
-the map side, so a group holding a third of all rows sends one row per task; the look-up that follows is a plain join
-that adaptive execution can split.
+the map side, so a group holding a third of all rows sends one row per task; the look-up that follows goes from the
+directory to (bucket, key), a join that adaptive execution can split.
 
 Everything is DataFrame code; only the directory (at most ``2^max_depth`` slots) comes to the driver.
 """
@@ -19,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, text_or_empty
+from .common import SPACE, keyed, stored, text_or_empty
 
 #: Bits by which the directory starts, and by which it may grow at most: 2^16 slots of 16 bytes are 1 MB.
 INITIAL_DEPTH, MAX_DEPTH = 4, 16
-#: Distinct keys that a bucket holds before it splits.
+#: Distinct keys that a bucket holds before it splits.  Beyond 2^16 full buckets (268 million keys) a bucket keeps its depth
+#: and its pages overflow: they are written by key range, so their size bounds no task.
 CAPACITY = 4096
 
 
@@ -74,47 +75,62 @@ def grow_directory(counts: list[tuple[int, int]], capacity: int, initial: int, d
     return depth, sorted(slots)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, initial: int = INITIAL_DEPTH, deepest: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(rows, pages): rows (id, key, text_sha256) of every document, and the index pages.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, initial: int = INITIAL_DEPTH, deepest: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(rows, pages, directory, depth) of documents with a unique ``__row`` in the order of their ids.
 
-    Pages have bucket, local_depth, key, chain (place in the key's chain), text_sha256, keep_id, group_size.
+    rows: __row, id, key, text_sha256 of every document.  pages: bucket, local_depth, key, chain (place in the key's
+    chain), chained (length of the chain), text_sha256, keep_row, keep_id, group_size.  directory: slot, bucket, local_depth.
     """
-    base = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("key", F.xxhash64("norm"))
-    rows = stored(base.select("id", "key", F.sha2("norm", 256).alias("text_sha256")), "dedup-rows")
+    base = _base(docs, id_col, text_col)
+    rows = stored(base.select("__row", "id", "key", F.sha2("norm", 256).alias("text_sha256")), "dedup-rows")
     prefixes = rows.groupBy("key").count().groupBy(_slot(F.col("key"), deepest).alias("p")).count()
     counts = [(r[0], r[1]) for r in prefixes.collect()]  # 2^deepest rows at most
-    keys = sum(n for _, n in counts)
-    depth, slots = grow_directory(counts, max(capacity, keys >> (deepest - 2)), initial, deepest)
+    depth, slots = grow_directory(counts, capacity, initial, deepest)
     directory = docs.sparkSession.createDataFrame(slots, "slot long, bucket long, local_depth int")
     entries = (
         base.groupBy("key", "norm")
-        .agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+        .agg(F.min(F.struct("__row", "id")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        .select("key", F.sha2("norm", 256).alias("text_sha256"), F.col("keep.__row").alias("keep_row"), F.col("keep.id").alias("keep_id"), "group_size")
         .withColumn("slot", _slot(F.col("key"), depth))
         .join(F.broadcast(directory), "slot")  # 2^deepest slots at most
     )
-    chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
-    pages = entries.repartitionByRange("bucket", "key").withColumn("chain", F.row_number().over(chain))
-    return rows, stored(pages.select("bucket", "local_depth", "key", "chain", "text_sha256", "keep_id", "group_size"), "dedup-pages")
+    key = Window.partitionBy("bucket", "key")
+    pages = entries.repartitionByRange("bucket", "key").withColumn("chain", F.row_number().over(key.orderBy("text_sha256"))).withColumn("chained", F.count(F.lit(1)).over(key))
+    return rows, stored(pages.select("bucket", "local_depth", "key", "chain", "chained", "text_sha256", "keep_row", "keep_id", "group_size"), "dedup-pages"), directory, depth
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select("__row", F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("key", F.xxhash64("norm"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256, bucket, chain.
+    """One row per document: id, keep_id, group_size, kept, text_sha256, bucket, chain, __row.
 
-    Defined cases: a null text counts as empty, so all null and empty texts form one group; a row whose id repeats with
-    the smallest id of its group is kept every time it appears; a null id loses against every other id, and a group
-    that has only null ids keeps none (kept false, keep_id null); an empty table gives no rows; other columns of
-    ``docs`` are not read.
+    Look-up.  A key's leading bits name a slot of the directory, the slot a bucket, and its page holds every text of the
+    key.  Where that is one text, the row's text is equal to it; where keys collide, the rows' bytes are compared with
+    those of the chain.
+
+    Defined cases: a null text counts as empty, so all null and empty texts form one group; exactly one row of a group
+    is kept, the one with the smallest id, a null id being the largest and rows of one id in the order of a hash of the
+    row; a group of null ids has a null keep_id; an empty table gives no rows; other columns of ``docs`` are only read
+    where ids repeat.
     """
-    rows, pages = build_index(docs, id_col, text_col, **index)
-    found = rows.join(pages, ["key", "text_sha256"], "left")
-    return found.select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"),
-        "text_sha256", "bucket", "chain",
-    )
+    docs = keyed(docs, id_col)
+    rows, pages, directory, depth = build_index(docs, id_col, text_col, **index)
+    shown = ["bucket", "key", "chain", "keep_row", "keep_id", "group_size"]
+    asked = rows.withColumn("slot", _slot(F.col("key"), depth)).join(F.broadcast(directory.select("slot", "bucket")), "slot")
+    found = asked.join(pages.where("chained = 1").select(*shown), ["bucket", "key"]).select("__row", "id", "text_sha256", *shown)
+    several = pages.where("chained > 1")
+    if not several.isEmpty():
+        texts = _base(docs, id_col, text_col).join(several.select("key").distinct(), "key", "left_semi")
+        chains = texts.groupBy("key", "norm").agg(F.min("__row").alias("keep_row")).join(several.select(*shown), ["key", "keep_row"])
+        met = texts.join(chains, ["key", "norm"])  # whole texts, byte by byte
+        found = found.unionByName(met.select("__row", "id", F.sha2("norm", 256).alias("text_sha256"), *shown))
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("__row") == F.col("keep_row")).alias("kept"), "text_sha256", "bucket", "chain", "__row")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    _, pages = build_index(docs, id_col, text_col, **index)
-    return docs.join(pages.select(F.col("keep_id").alias(id_col)), id_col, "left_semi")
+    """The rows of ``docs`` that stay, one of each group, with all their columns."""
+    rows = keyed(docs, id_col)
+    _, pages, *_ = build_index(rows, id_col, text_col, **index)
+    return rows.join(pages.select(F.col("keep_row").alias("__row")), "__row", "left_semi").select(*docs.columns)
