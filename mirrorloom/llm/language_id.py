@@ -1,13 +1,13 @@
-"""Language identification by prediction by partial matching.
+"""Language identification by prediction by partial matching over bytes.
 
-Bytes are mapped to at most 62 classes (the commonest bytes of the learning texts, A-Z folded; all others share one),
-so a context of three classes and its symbol is a number below 2^24.  Each language has a context tree of orders 3 to 0.
-A symbol seen in the longest context costs ``-log2(c / (n + k))`` bits, with ``n`` symbols and ``k`` distinct ones seen
-there (escape method C); otherwise the escape ``-log2(k / (n + k))`` is paid and the next shorter context asked, down to
-a uniform code.  The statistics are frozen, so the cost of any symbol is a fixed sum and a text's code length is exact.
+Each language has a context tree of orders 3 to 0: what follows the last three bytes, the last two, one, none.  A byte
+seen in the longest context costs ``-log2(c / (n + k))`` bits, with ``n`` bytes and ``k`` distinct ones seen there (escape
+method C); otherwise the escape ``-log2(k / (n + k))`` is paid and the next shorter context asked, down to a uniform
+code.  The statistics are frozen, so the cost of any byte is a fixed sum and a text's code length is exact.
 
-Texts are scored whole: dense maps give the row of each seen context and symbol, and costs of all languages lie side by
-side in a row.  Counting reads a documented sample of labelled rows per language, on the executors.
+Texts are scored whole.  The trees are sparse: sorted arrays of the contexts and continuations that were seen, in which a
+batch of places is looked up at once; costs of all languages lie side by side in a row.  Counting reads a documented
+sample of labelled rows per language, on the executors.
 """
 
 from __future__ import annotations
@@ -21,63 +21,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, text_or_empty
+from .common import fold, small_batches
 
 #: Learning rows per language at most, taken in the order of a hash of the id.
 SAMPLE = 1500
-ORDER, BITS = 3, 6
-CLASSES = 1 << BITS
-_OTHER, _START = CLASSES - 1, CLASSES - 2
-_BLOCK = 1 << 18
+ORDER = 3
+_BLOCK = 1 << 17
 UNKNOWN = "und"
 
 
-def byte_classes(freq: np.ndarray) -> np.ndarray:
-    """Class of each byte: the commonest ``CLASSES - 2`` bytes have their own."""
-    out = np.full(256, _OTHER, dtype=np.uint8)
-    folded = freq.copy()
-    folded[97:123] += folded[65:91]
-    folded[65:91] = 0
-    best = np.lexsort((np.arange(256), -folded))[: CLASSES - 2]
-    best = best[folded[best] > 0]
-    out[best] = np.arange(len(best), dtype=np.uint8)
-    out[65:91] = out[97:123]
-    return out
-
-
-def grams(raw: bytes, classes: np.ndarray) -> np.ndarray:
-    """For each byte the number of its last ``ORDER`` classes and itself; a text begins after start symbols."""
-    sym = np.empty(len(raw) + ORDER, dtype=np.uint32)
-    sym[:ORDER] = _START
-    sym[ORDER:] = classes[np.frombuffer(raw, dtype=np.uint8)]
+def grams(raw: bytes) -> np.ndarray:
+    """For each byte the number of its last ``ORDER`` bytes and itself; a text begins after zero bytes."""
+    sym = np.zeros(len(raw) + ORDER, dtype=np.uint32)
+    sym[ORDER:] = np.frombuffer(raw, dtype=np.uint8)
     code = sym[ORDER:].copy()
     for k in range(1, ORDER + 1):
-        code |= sym[ORDER - k : len(sym) - k] << np.uint32(BITS * k)
+        code |= sym[ORDER - k : len(sym) - k] << np.uint32(8 * k)
     return code
 
 
+def _find(table: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Place of each number in a sorted table, or -1."""
+    if not len(table):
+        return np.full(len(asked), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(table, asked), len(table) - 1)
+    return np.where(table[at] == asked, at, -1)
+
+
 class Trees:
     """Frozen context trees of all languages.
 
-    ``counts``: (gram, language, count) of order 3; lower orders are their sums.
+    From (gram, language, count) of the longest order; shorter orders are their sums.
     """
 
-    def __init__(self, langs: list[str], classes: np.ndarray, gram: np.ndarray, lang: np.ndarray, count: np.ndarray):
-        self.langs, self.classes, self.source = langs, classes, (gram, lang, count)
+    def __init__(self, langs: list[str], gram: np.ndarray, lang: np.ndarray, count: np.ndarray):
+        self.langs, self.source = langs, (gram, lang, count)
         n_lang = len(langs)
-        self.symbol_row: list[np.ndarray] = []  # by order: dense map of context and symbol to a row, or -1
-        self.cost: list[np.ndarray] = []  # by order: bits of each row by language, inf where the language has not seen it
-        self.context_row: list[np.ndarray] = []
-        self.escape: list[np.ndarray] = []  # by order: bits of leaving the context; 0 where the language has not seen it
+        self.seen: list[np.ndarray] = []  # by order: contexts with what follows, sorted
+        self.cost: list[np.ndarray] = []  # bits of each by language, inf where the language has not seen it
+        self.context: list[np.ndarray] = []
+        self.escape: list[np.ndarray] = []  # bits of leaving each context; 0 where the language has not seen it
         for order in range(ORDER + 1):
-            mask = np.int64((1 << BITS * (order + 1)) - 1)
-            key = (gram & mask) * n_lang + lang
-            seen, inverse = np.unique(key, return_inverse=True)
+            mask = np.int64((1 << 8 * (order + 1)) - 1)
+            seen, inverse = np.unique((gram & mask) * n_lang + lang, return_inverse=True)
             c = np.bincount(inverse, weights=count)
-            g, w = seen // n_lang, seen % n_lang
-            ctx, ctx_of = np.unique(g >> BITS, return_inverse=True)
-            n = np.zeros((len(ctx), n_lang))
-            k = np.zeros((len(ctx), n_lang))
+            g, w = seen // max(1, n_lang), seen % max(1, n_lang)
+            ctx, ctx_of = np.unique(g >> 8, return_inverse=True)
+            n, k = np.zeros((len(ctx), n_lang)), np.zeros((len(ctx), n_lang))
             np.add.at(n, (ctx_of, w), c)
             np.add.at(k, (ctx_of, w), 1)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -86,44 +76,38 @@ class Trees:
             rows, row_of = np.unique(g, return_inverse=True)
             cost = np.full((len(rows), n_lang), np.inf)
             cost[row_of, w] = bits
-            at = np.full(1 << BITS * (order + 1), -1, dtype=np.int32)
-            at[rows] = np.arange(len(rows), dtype=np.int32)
-            ctx_at = np.full(1 << BITS * order, -1, dtype=np.int32)
-            ctx_at[ctx] = np.arange(len(ctx), dtype=np.int32)
-            self.symbol_row.append(at)
+            self.seen.append(rows.astype(np.uint32))
             self.cost.append(cost)
-            self.context_row.append(ctx_at)
+            self.context.append(ctx.astype(np.uint32))
             self.escape.append(escape)
-        self.uniform = float(BITS)
         # Where a gram of the longest order is known to any language, its cost is worked out for all of them.
-        rows = np.flatnonzero(self.symbol_row[ORDER] >= 0)
-        self.whole = self._by_escapes(rows).astype(np.float64)
+        self.whole = self._by_escapes(self.seen[ORDER].astype(np.int64))
 
     def _by_escapes(self, code: np.ndarray) -> np.ndarray:
         """Bits of each gram in each language, from the longest context down."""
         total = np.zeros((len(code), len(self.langs)))
         open_ = np.ones((len(code), len(self.langs)), dtype=bool)
         for order in range(ORDER, -1, -1):
-            g = code & ((1 << BITS * (order + 1)) - 1)
-            row = self.symbol_row[order][g]
+            g = (code & ((1 << 8 * (order + 1)) - 1)).astype(np.uint32)
+            row = _find(self.seen[order], g)
             bits = np.full_like(total, np.inf)
             bits[row >= 0] = self.cost[order][row[row >= 0]]
             here = open_ & np.isfinite(bits)
             total[here] += bits[here]
             open_ &= ~here
-            ctx = self.context_row[order][g >> BITS]
+            ctx = _find(self.context[order], g >> np.uint32(8))
             esc = np.zeros_like(total)
             esc[ctx >= 0] = self.escape[order][ctx[ctx >= 0]]
             total += np.where(open_, esc, 0.0)
-        return total + np.where(open_, self.uniform, 0.0)
+        return total + np.where(open_, 8.0, 0.0)
 
     def code_lengths(self, raw: bytes) -> np.ndarray:
         """Bits of the whole text in each language."""
         total = np.zeros(len(self.langs))
         for at in range(0, len(raw), _BLOCK):  # bounded memory for very long texts
             lead = max(0, at - ORDER)
-            code = grams(raw[lead : at + _BLOCK], self.classes)[at - lead :]
-            row = self.symbol_row[ORDER][code]
+            code = grams(raw[lead : at + _BLOCK])[at - lead :]
+            row = _find(self.seen[ORDER], code)
             known = row >= 0
             total += self.whole[row[known]].sum(axis=0)
             if not known.all():
@@ -139,31 +123,22 @@ class Trees:
         return self.langs[best], float(1.0 / np.exp2(np.clip(bits[best] - bits, -1000, 0)).sum())
 
 
-def _count_batches(classes: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            by: dict[int, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(grams(text.encode(), classes))
-            for lang, parts in by.items():
-                g, c = np.unique(np.concatenate(parts), return_counts=True)
-                if lang in held:
-                    g, inverse = np.unique(np.concatenate([held[lang][0], g]), return_inverse=True)
-                    c = np.bincount(inverse, weights=np.concatenate([held[lang][1], c])).astype(np.int64)
-                held[lang] = (g, c)
-        for lang, (g, c) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), lang), pa.int32()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "n"])
-
-    return run
-
-
-def _byte_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, dtype=np.int64)
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            total += np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
+        by: dict[int, list[np.ndarray]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by.setdefault(lang, []).append(grams(text.encode()))
+        for lang, parts in by.items():
+            g, c = np.unique(np.concatenate(parts), return_counts=True)
+            if lang in held:
+                g, inverse = np.unique(np.concatenate([held[lang][0], g]), return_inverse=True)
+                c = np.bincount(inverse, weights=np.concatenate([held[lang][1], c])).astype(np.int64)
+            held[lang] = (g, c)
+    for lang, (g, c) in held.items():
+        for at in range(0, len(g), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g[part]), lang), pa.int32()), pa.array(g[part].astype(np.int64)), pa.array(c[part].astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, sample: int = SAMPLE) -> Trees:
@@ -173,32 +148,28 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     langs = sorted(per, key=lambda s: s.encode())
     if not langs:
-        return Trees([], byte_classes(np.zeros(256, dtype=np.int64)), *(np.zeros(0, dtype=np.int64) for _ in range(3)))
+        return Trees([], *(np.zeros(0, dtype=np.int64) for _ in range(3)))
     # A hash threshold that lets about twice the sample through, then the exact number by rank.
     limits = [(s, i, min((1 << 63) - 1, int(min(1.0, 2.0 * (sample + 50) / per[s]) * float(1 << 64)) - (1 << 63))) for i, s in enumerate(langs)]
     wanted = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, k int, upto long"))
     near = rows.join(wanted, "lang").where("h <= upto")
-    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("h", "text"))).where(F.col("r") <= sample).select("k", "text").persist()
-    try:
-        freq = np.zeros(256, dtype=np.int64)
-        for r in chosen.select("text").mapInArrow(_byte_batches, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-            freq[r.byte] = r.n
-        classes = byte_classes(freq)
-        table = chosen.mapInArrow(_count_batches(classes), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    finally:
-        chosen.unpersist()
-    return Trees(langs, classes, table["gram"].to_numpy(), table["lang"].to_numpy().astype(np.int64), table["n"].to_numpy())
+    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("h", "text"))).where(F.col("r") <= sample).select("k", "text")
+    small_batches(docs.sparkSession)
+    # a bounded sample's grams: at most ``sample`` texts a language
+    table = chosen.mapInArrow(_count_batches, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    return Trees(langs, *(table.column(c).to_numpy().astype(np.int64) for c in ("gram", "lang", "n")))
 
 
 def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score.  One narrow pass; the trees, at most 2^24 cells and the sample's grams, are broadcast.
+    """id, lang_pred, score.  One narrow pass; the trees, the counts of a bounded sample, are broadcast.
 
     Defined cases: a null text and a text without a letter are ``und`` with score 0, and so is every text if nothing
     was learned; ids pass through; an empty table gives no rows; other columns of ``docs`` are not read.
     """
     key = uuid.uuid4().hex
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((trees.langs, trees.classes, *trees.source)))
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((trees.langs, *trees.source)))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _restored(key, shared.value)

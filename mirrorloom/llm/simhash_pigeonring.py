@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, small_batches, stored, text_or_empty
+from .common import drop_stored, keyed, small_batches, stored, text_or_empty
 
 BITS, BOXES, WIDTH, DISTANCE, SHINGLE, SEED = 64, 8, 8, 3, 3, 42
 _BLOCK = 1 << 16
@@ -111,7 +111,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     components and stop at stars.  Each round is written to the shared folder, so a lost executor costs one round.
     """
     now = stored(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), name)
-    before = None
+    size = now.count()
     while True:
         both = now.unionByName(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         smallest = both.groupBy("lo").agg(F.min("hi").alias("m")).select(F.col("lo").alias("u"), F.least("lo", "m").alias("m"))
@@ -119,10 +119,13 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("m").alias("x"), F.explode(F.array("lo", "hi")).alias("y")).where("x < y").select(F.col("x").alias("lo"), F.col("y").alias("hi")).distinct()
         after = stored(small, name)
-        total = after.agg(F.count(F.lit(1)), F.sum(F.hash("lo", "hi").cast("long"))).first()
-        if before == total:
+        n = after.count()
+        # sets of as many edges of which one holds the other are equal
+        still = n == size and now.join(after, ["lo", "hi"], "left_anti").isEmpty()
+        drop_stored(now)
+        now, size = after, n
+        if still:
             break
-        before, now = total, after
     return after.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(after.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
