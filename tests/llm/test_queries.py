@@ -28,3 +28,13 @@ def test_pipeline(spark):
         assert after.columns == docs.columns
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none):
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, SF).collect(), odd.schema)
+            assert docs.columns == odd.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
