@@ -1,4 +1,9 @@
-"""Corpus pipeline: classify quality, drop repeated lines, drop near-duplicates, mix sources, encode."""
+"""Corpus pipeline: classify quality, drop repeated lines, drop near-duplicates, mix sources, encode.
+
+Defined cases: a null text is classified as an empty one, has no lines, has fingerprint zero, has no words to mix and
+encodes to no ids; rows that share an id or have none are documents of their own; columns beyond those of ``documents``
+are carried along up to the last stage; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from mirrorloom.llm import bpe, line_dedup, mixing, quality_fm, simhash_pigeonring
-from mirrorloom.llm.common import documents, labels, shared_folder
+from mirrorloom.llm.common import documents, drop_stored, labels, shared_folder
 from mirrorloom.llm.queries import vocabulary
 
 
@@ -44,9 +49,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and read back by the next."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
+        if before is not None:
+            drop_stored(before)  # the stage that read it is written
+        before = docs
     return docs
