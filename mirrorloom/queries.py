@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +13,14 @@ from .functions import scoring, stats
 from .operators import evaluation as E
 from .operators import filters as C
 from .operators import intervals as G
+from .operators import generators as N
 from .operators import reporting as A
 from .operators.overlap import islands, remove_overlaps
 from .params import ScanParams
 from .plans import scan as P
 from .schema import RECORD
+from .sources import tables
+from .sources.fasta import read_fasta, read_fasta_named, write_fasta, write_hits
 from .views import DNA_SQL, HITS_SQL, INSERTS_SQL, LABELLED_SQL, MOTIFS_SQL, POINTS_SQL, dna, dna_of, hits, inserts, labelled, motifs, points
 
 QUERIES: dict = {}
@@ -659,3 +665,199 @@ SELECT x, round(quantile_cont(tpr, 0.025), 9) AS lo, round(quantile_cont(tpr, 0.
 def e36(spark: SparkSession, sf: str) -> DataFrame:
     band = E.roc_band(labelled(spark, sf), 100, [0.0, 0.1, 0.25, 0.5, 0.75, 1.0])
     return band.select("x", *[F.round(c, 9).alias(c) for c in ("lo", "mid", "hi")])
+
+
+@query("e3_rates", f", c AS (SELECT lang, {_CONF} FROM called GROUP BY lang) SELECT lang, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tn / nullif(tn + fn, 0), 0), 6) AS npv, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy FROM c", _CALLED)
+def e3(spark: SparkSession, sf: str) -> DataFrame:
+    m = E.with_metrics(E.confusion(called(spark, sf), by=["lang"]))
+    return m.select("lang", *[F.round(c, 6).alias(c) for c in ("precision", "npv", "accuracy")])
+
+
+@query("e4_wilson_specificity", f""", c AS (SELECT lang, {_CONF} FROM called GROUP BY lang), r AS (SELECT lang, tn AS k, tn + fp AS n FROM c WHERE tn + fp > 0), z AS (SELECT 1.959963985::DOUBLE AS z)
+SELECT lang, round(greatest(0, (k / n + z * z / (2 * n) - z * sqrt((k / n) * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) AS spec_lo,
+  round(least(1, (k / n + z * z / (2 * n) + z * sqrt((k / n) * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) AS spec_hi FROM r, z""", _CALLED)
+def e4_spec(spark: SparkSession, sf: str) -> DataFrame:
+    w = E.with_wilson(E.confusion(called(spark, sf), by=["lang"])).where("tn + fp > 0")
+    return w.select("lang", F.round("spec_lo", 6).alias("spec_lo"), F.round("spec_hi", 6).alias("spec_hi"))
+
+
+@query("e7_youden_of_all_points", """, t AS (SELECT DISTINCT s::DOUBLE AS threshold FROM labelled UNION SELECT 'infinity'::DOUBLE UNION SELECT '-infinity'::DOUBLE), r AS (SELECT threshold, count(*) FILTER (y = 1 AND s >= threshold) / count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0 AND s < threshold) / count(*) FILTER (y = 0) AS b FROM t, labelled GROUP BY 1)
+SELECT threshold, round(a + b - 1, 9) AS j FROM r ORDER BY round(a + b - 1, 12) DESC, threshold LIMIT 1""", LABELLED_SQL)
+def e7(spark: SparkSession, sf: str) -> DataFrame:
+    return E.best_youden(E.roc_points(labelled(spark, sf)), positive_only=False).select("threshold", F.round("j", 9).alias("j"))
+
+
+@query("e9_parameter_grid", "SELECT row_number() OVER (ORDER BY f, m, s, p, x) - 1 AS config_id, ['none', 'at', 'homopolymer', 'both'][f] AS filters, m AS minrep, s AS maxspacer, p AS purity, x AS mismatch FROM (SELECT unnest([1, 2, 3, 4]) AS f), (SELECT unnest([8, 10, 12, 14]::BIGINT[]) AS m), (SELECT unnest([5, 7, 10, 15]::BIGINT[]) AS s), (SELECT unnest([0.8, 0.9, 1.0]::DOUBLE[]) AS p), (SELECT unnest([0.0, 0.1, 0.2]::DOUBLE[]) AS x)")
+def e9(spark: SparkSession, sf: str) -> DataFrame:
+    return E.parameter_grid(spark, filters=["none", "at", "homopolymer", "both"], minrep=[8, 10, 12, 14], maxspacer=[5, 7, 10, 15], purity=[0.8, 0.9, 1.0], mismatch=[0.0, 0.1, 0.2])
+
+
+@query("e11_select_by_six_keys", f", c AS (SELECT config_id, {_CONF} FROM pred GROUP BY 1) SELECT config_id, {_MCC} AS mcc FROM c ORDER BY {_MCC} DESC, tp / (tp + fn) DESC, config_id % 2, config_id // 2 DESC, config_id % 3, config_id LIMIT 1", _PRED)
+def e11_six(spark: SparkSession, sf: str) -> DataFrame:
+    """The tie-break order: MCC, sensitivity, fewer filters, larger arms, smaller spacers, fewer mismatches."""
+    c = F.col("config_id")
+    order = [F.round("mcc", 9).desc(), F.col("sensitivity").desc(), c % 2, F.floor(c / 2).desc(), c % 3, c]
+    m = E.with_metrics(E.confusion(predictions(spark, sf), by=["config_id"]))
+    return E.select_config(m.withColumn("all", F.lit(1)), order, ["all"]).select("config_id", F.round("mcc", 9).alias("mcc"))
+
+
+@query("e12_tool_grid", f", c AS (SELECT source, config_id, {_CONF} FROM pred GROUP BY 1, 2), r AS (SELECT source, config_id, row_number() OVER (PARTITION BY source ORDER BY {_MCC} DESC, config_id) AS k FROM c) SELECT source, config_id FROM r WHERE k = 1", _PRED)
+def e12(spark: SparkSession, sf: str) -> DataFrame:
+    """Per tool, here a source, the first configuration of the highest MCC."""
+    m = E.with_metrics(E.confusion(predictions(spark, sf), by=["source", "config_id"]))
+    return E.select_config(m, [F.round("mcc", 9).desc(), F.col("config_id")], ["source"]).select("source", "config_id")
+
+
+_SPLIT = "SELECT record_id, y, seed, row_number() OVER (PARTITION BY seed, y ORDER BY md5(concat_ws(':', seed, record_id)), record_id) <= round(count(*) OVER (PARTITION BY seed, y) * 0.7) AS train FROM (SELECT record_id, y, unnest(range({n})) AS seed FROM labelled)"
+
+
+@query("e13_stratified_split", f", t AS ({_SPLIT.format(n=1)}) SELECT record_id, train FROM t", LABELLED_SQL)
+def e13(spark: SparkSession, sf: str) -> DataFrame:
+    return E.stratified_split(labelled(spark, sf), "record_id", ["y"], 0.7).select("record_id", "train")
+
+
+@query("e25_split_stability", f""", sp AS ({_SPLIT.format(n=10)}), c AS (SELECT seed, train, config_id, {_CONF} FROM pred JOIN (SELECT record_id, seed, train FROM sp) USING (record_id) GROUP BY 1, 2, 3), m AS (SELECT seed, train, config_id, {_MCC} AS mcc FROM c),
+ch AS (SELECT seed, config_id FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY mcc DESC, config_id) AS k FROM m WHERE train) WHERE k = 1) SELECT CAST(seed AS INTEGER) AS seed, config_id, h.mcc, d.mcc AS default_mcc, round(h.mcc - d.mcc, 9) AS delta FROM ch JOIN m h USING (seed, config_id) JOIN m d USING (seed) WHERE NOT h.train AND NOT d.train AND d.config_id = 2""", _PRED)
+def e25(spark: SparkSession, sf: str) -> DataFrame:
+    each = labelled(spark, sf).select("record_id", "y", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seed"))
+    splits = E.stratified_split(each, "record_id", ["seed", "y"], 0.7, F.col("seed")).select("seed", "record_id", "train")
+    got = E.split_stability(predictions(spark, sf).drop("s", "t", "lang", "source"), splits, [F.round("mcc", 9).desc(), F.col("config_id")], 2)
+    return got.select("seed", "config_id", *[F.round(c, 9).alias(c) for c in ("mcc", "default_mcc", "delta")])
+
+
+@query("e16_group_assignment", ", r AS (SELECT record_id, CASE WHEN record_id % 3 = 0 THEN record_id - 1 END AS source_record, CASE WHEN record_id % 2 = 0 THEN source ELSE '' END AS family_id FROM labelled) SELECT a.record_id, coalesce(nullif(b.family_id, ''), nullif(a.family_id, ''), CAST(a.record_id AS VARCHAR)) AS group_id FROM r a LEFT JOIN r b ON b.record_id = a.source_record", LABELLED_SQL)
+def e16(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("record_id")
+    r = labelled(spark, sf).select("record_id", F.when(i % 3 == 0, i - 1).alias("source_record"), F.when(i % 2 == 0, F.col("source")).otherwise("").alias("family_id"))
+    return E.assign_groups(r).select("record_id", "group_id")
+
+
+_PAIR = LABELLED_SQL + ", src AS (SELECT *, CASE WHEN s >= 0.95 THEN 1 ELSE 0 END AS p, CASE WHEN n >= 300 THEN 1 ELSE 0 END AS q FROM labelled)"
+_PAIR_COLS = _CONF.replace(" AS ", " AS a_") + ", " + _CONF.replace("p = ", "q = ").replace(" AS ", " AS b_")
+
+
+def _pair_mcc(t: str) -> str:
+    out = _MCC.replace("round(", "", 1).rsplit(", 9)", 1)[0]
+    for c in ("tp", "fp", "tn", "fn"):
+        out = out.replace(c, f"{t}_{c}")
+    return out
+
+
+@query("e21_paired_difference", f", {_boot('record_id', _PAIR_COLS)}, boots AS (SELECT b, " + ", ".join(f"sum({t}_{c} * w) AS {t}_{c}" for t in "ab" for c in ("tp", "fp", "tn", "fn")) + f" FROM wt WHERE w > 0 GROUP BY 1) SELECT CAST(b AS INTEGER) AS b, round({_pair_mcc('a')} - {_pair_mcc('b')}, 9) AS d_mcc, round(a_tp / (a_tp + a_fn) - b_tp / (b_tp + b_fn), 9) AS d_sensitivity, round(a_tn / (a_tn + a_fp) - b_tn / (b_tn + b_fp), 9) AS d_specificity FROM boots WHERE a_tp + a_fn > 0 AND a_tn + a_fp > 0", _PAIR)
+def e21(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences of two calls on the same 200 resamples."""
+    both = called(spark, sf).withColumn("q", (F.col("n") >= 300).cast("int"))
+    return E.paired_difference(both, "p", "q", 200).select("b", *[F.round(c, 9).alias(c) for c in ("d_mcc", "d_sensitivity", "d_specificity")])
+
+
+@query("e23_verdict", "SELECT lo, hi, p, CASE WHEN lo > 0 AND p < 0.05 THEN 'better' WHEN hi < 0 AND p < 0.05 THEN 'worse' WHEN lo > 0 OR hi < 0 THEN 'inconclusive' ELSE 'equivalent' END AS verdict FROM (SELECT l_discount - 0.05 AS lo, l_tax - 0.03 AS hi, l_quantity / 500 AS p FROM lineitem)")
+def e23(spark: SparkSession, sf: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_discount") - 0.05).alias("lo"), (F.col("l_tax") - 0.03).alias("hi"), (F.col("l_quantity") / 500).alias("p"))
+    return t.withColumn("verdict", E.verdict(F.col("lo"), F.col("hi"), F.col("p")))
+
+
+@query("e24_nearest_train", ", m AS (SELECT doc_id * 1000 + pos AS record_id, upper(full_sequence) AS s FROM motifs WHERE length(full_sequence) <= 40), p AS (SELECT a.record_id, b.record_id AS nearest, hamming(a.s, b.s) AS d, length(a.s) AS n FROM m a JOIN m b ON length(a.s) = length(b.s) WHERE a.record_id % 50 = 0 AND b.record_id % 50 <> 0), b AS (SELECT record_id, min((d, nearest, n)) AS m FROM p GROUP BY 1) SELECT m.record_id, b.m[2] AS nearest, 1 - b.m[1] / b.m[3] AS identity FROM m LEFT JOIN b USING (record_id) WHERE m.record_id % 50 = 0", MOTIFS_SQL)
+def e24_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The search as a stated query set: records whose id is divisible by 50 against all others."""
+    m = motifs(spark, sf).where(F.length("full_sequence") <= 40).select((F.col("doc_id") * 1000 + F.col("pos")).alias("record_id"), F.col("full_sequence").alias("seq"))
+    return E.nearest_train(m.where("record_id % 50 = 0"), m.where("record_id % 50 <> 0")).select("record_id", "nearest", "identity")
+
+
+@query("e29_ratio_of_means", f", src AS (SELECT * FROM labelled), {_boot('record_id', 'sum(n) AS a, count(*) AS c')}, boots AS (SELECT b, sum(a * w)::DOUBLE / sum(c * w) AS r FROM wt WHERE w > 0 GROUP BY 1), s AS (SELECT list_sort(list(r)) AS v FROM boots) SELECT round(v[6], 6) AS lo, round(v[196], 6) AS hi FROM s", LABELLED_SQL)
+def e29(spark: SparkSession, sf: str) -> DataFrame:
+    d = labelled(spark, sf).withColumn("one", F.lit(1))
+    return E.ratio_of_means(d, "n", "one", 200).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query("e34_cohort_checks", ", r AS (SELECT record_id, lang AS seq, y AS label FROM labelled WHERE record_id % 7 <> 0 UNION ALL SELECT record_id, upper(source), 5 FROM labelled WHERE record_id % 11 = 0), g AS (SELECT record_id, count(*) AS k FROM r GROUP BY 1) SELECT count(*) FILTER (k > 1) AS repeated, count(*) FILTER (k IS NULL) AS missing, count(*) FILTER (e.record_id IS NULL) AS unexpected FROM g FULL JOIN (SELECT record_id FROM labelled WHERE record_id % 5 <> 0) e USING (record_id)", LABELLED_SQL)
+def e34(spark: SparkSession, sf: str) -> DataFrame:
+    d = labelled(spark, sf)
+    r = d.where("record_id % 7 <> 0").select("record_id", F.col("lang").alias("seq"), F.col("y").alias("label")).unionByName(d.where("record_id % 11 = 0").select("record_id", F.upper("source").alias("seq"), F.lit(5).alias("label")))
+    return E.validate_cohort(r, d.where("record_id % 5 <> 0").select("record_id", F.col("lang").alias("seq"))).select("repeated", "missing", "unexpected")
+
+
+@query("g20_analysed_universe", """SELECT id FROM inserts i WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.seq_id = i.seq_id AND h.start <= (i.start + i."end") // 2 + 50 AND h."end" >= (i.start + i."end") // 2 - 50)""", f"{HITS_SQL}, {INSERTS_SQL}")
+def g20(spark: SparkSession, sf: str) -> DataFrame:
+    return G.analysed_universe(inserts(spark, sf), hits(spark, sf), 50).select("id")
+
+
+@query("g21_selectivity", """, b AS (SELECT i.id, i.id % 2 = 0 AS plus, max(h.total_score) AS best, count(h.start) AS n FROM inserts i LEFT JOIN hits h ON h.seq_id = i.seq_id AND h.start <= i."end" AND h."end" >= i.start GROUP BY 1, 2),
+c AS (SELECT count(*) FILTER (n > 0 AND plus) AS hit_plus, count(*) FILTER (n > 0 AND NOT plus) AS hit_minus, count(*) FILTER (n = 0 AND plus) AS no_hit_plus, count(*) FILTER (n = 0 AND NOT plus) AS no_hit_minus, round(avg(best) FILTER (plus), 6) AS score_plus, round(avg(best) FILTER (NOT plus), 6) AS score_minus FROM b)
+SELECT *, round((hit_plus + 0.5) * (no_hit_minus + 0.5) / ((hit_minus + 0.5) * (no_hit_plus + 0.5)), 6) AS odds_ratio FROM c""", f"{HITS_SQL}, {INSERTS_SQL}")
+def g21(spark: SparkSession, sf: str) -> DataFrame:
+    got = G.selectivity(inserts(spark, sf), hits(spark, sf), F.col("id") % 2 == 0)
+    return got.withColumns({c: F.round(c, 6) for c in ("score_plus", "score_minus", "odds_ratio")})
+
+
+@query("g22_recall", """, m AS (SELECT count(*) AS overlapped FROM inserts i WHERE EXISTS (SELECT 1 FROM hits h WHERE h.seq_id = i.seq_id AND h.start <= i."end" AND h."end" >= i.start)) SELECT count(*) AS called, any_value(overlapped) AS overlapped, any_value(overlapped)::DOUBLE / count(*) AS fraction FROM inserts, m""", f"{HITS_SQL}, {INSERTS_SQL}")
+def g22(spark: SparkSession, sf: str) -> DataFrame:
+    return G.recall(inserts(spark, sf), hits(spark, sf))
+
+
+@query("g24_manifest", f"WITH {DNA_SQL}, m AS (SELECT record_ix AS id, seq_id, CAST(1 + record_ix % 20 AS BIGINT) AS start, substr(seq, CAST(1 + record_ix % 20 + CASE WHEN record_ix % 4 = 0 THEN 1 ELSE 0 END AS BIGINT), 30) AS sequence FROM dna) SELECT id, substr(seq, start, length(sequence)) = sequence AS found, count(*) OVER (PARTITION BY m.seq_id, start) = 1 AS \"unique\" FROM m JOIN dna USING (seq_id)")
+def g24(spark: SparkSession, sf: str) -> DataFrame:
+    records = dna(spark, sf)
+    i = F.col("record_ix")
+    shift = F.when(i % 4 == 0, 1).otherwise(0)
+    m = records.select(i.alias("id"), "seq_id", (1 + i % 20).alias("start"), F.substring("seq", (1 + i % 20 + shift).cast("int"), F.lit(30)).alias("sequence"))
+    return G.verify_manifest(m, records).select("id", "found", "unique")
+
+
+@query("w3_isolated", """, m AS (SELECT *, (id % 10) / 10 AS mappability, CAST(8 + id % 15 AS INTEGER) AS arm_length FROM inserts WHERE id % 3 = 0), o AS (SELECT seq_id, start, "end" FROM inserts WHERE id % 3 = 1), t AS (SELECT seq_id, start, start AS "end" FROM inserts WHERE id % 97 = 2)
+SELECT id, CAST((arm_length >= 8)::INT + (arm_length >= 10)::INT + (arm_length >= 12)::INT + (arm_length >= 15)::INT + (arm_length >= 20)::INT AS INTEGER) AS arm_class FROM m WHERE mappability >= 0.5
+  AND NOT EXISTS (SELECT 1 FROM o WHERE o.seq_id = m.seq_id AND o.start - 100 <= m."end" AND o."end" + 100 >= m.start) AND NOT EXISTS (SELECT 1 FROM t WHERE t.seq_id = m.seq_id AND t.start - 2000 <= m."end" AND t."end" + 2000 >= m.start)""", INSERTS_SQL)
+def w3(spark: SparkSession, sf: str) -> DataFrame:
+    i = inserts(spark, sf)
+    m = i.where("id % 3 = 0").withColumn("mappability", F.col("id") % 10 / 10).withColumn("arm_length", (8 + F.col("id") % 15).cast("int"))
+    return G.isolated(m, i.where("id % 3 = 1"), i.where("id % 97 = 2").withColumn("end", F.col("start")), "mappability").select("id", "arm_class")
+
+
+@query("w4_same_hits", ", a AS (SELECT * FROM hits), b AS (SELECT * REPLACE (ga_pct + CASE WHEN start % 5 = 0 THEN 1 ELSE 0.00001 END AS ga_pct) FROM hits WHERE start % 7 <> 0) SELECT count(*) FILTER (b.id IS NOT NULL AND a.start % 5 <> 0) AS shared, count(*) FILTER (b.id IS NULL OR a.start % 5 = 0) AS only_a, count(*) FILTER (b.id IS NOT NULL AND a.start % 5 = 0) AS only_b FROM a LEFT JOIN b USING (id)", HITS_SQL)
+def w4(spark: SparkSession, sf: str) -> DataFrame:
+    h = hits(spark, sf)
+    return G.same_hits(h, h.where("start % 7 <> 0").withColumn("ga_pct", F.col("ga_pct") + F.when(F.col("start") % 5 == 0, 1.0).otherwise(0.00001)))
+
+
+# Sources and sinks: what is written is read back.
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new place for files that all executors can reach."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="mirrorloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s1_fasta_round_trip", f"WITH {DNA_SQL} SELECT seq_id, upper(seq) AS seq, CAST(1 AS BIGINT) AS seq_offset FROM dna WHERE length(seq) > 0")
+def s1(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark, "fasta")
+    write_fasta(dna(spark, sf), path)
+    return read_fasta(spark, path).select("seq_id", "seq", "seq_offset")
+
+
+@query("s4_named_fasta", f"WITH {DNA_SQL} SELECT seq_id, upper(seq) AS seq FROM dna WHERE length(seq) > 0 AND record_ix < 10")
+def s4(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark, "fasta")
+    write_fasta(dna(spark, sf), path)
+    return read_fasta_named(spark, path, [f"d{i}" for i in range(10)]).select("seq_id", "seq")
+
+
+@query("s6_hits_round_trip", Q.p1_sql(ScanParams(), columns='seq_id, start, "end", arm_length, spacer_length, is_perfect, spacer, total_score'))
+def s6(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark, "hits")
+    write_hits(P.scan(dna(spark, sf)), path)
+    return tables.read_hits(spark, path).select("seq_id", "start", "end", "arm_length", "spacer_length", "is_perfect", "spacer", "total_score")
+
+
+@query("s7_bed_round_trip", 'SELECT seq_id AS chrom, start - 1 AS start0, "end" AS end0 FROM hits', HITS_SQL)
+def s7(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark, "bed")
+    G.to_bed(hits(spark, sf)).select(F.concat_ws("\t", "chrom", F.col("start0").cast("string"), F.col("end0").cast("string")).alias("value")).write.option("compression", "gzip").text(path)
+    return tables.read_bed(spark, path).select("chrom", "start0", "end0")
+
+
+@query("n2_strong_mirror", f"""WITH {_BENCH}, c AS (SELECT record_ix, upper(substr(seq, 1, 60)) AS s FROM dna), l AS (SELECT record_ix, s, unnest(range(8, length(s) - 7)) AS l FROM c WHERE length(s) >= 16), p AS (SELECT *, unnest(range(0, 11)) AS sp FROM l), k AS (SELECT record_ix, s, l, l + sp + 1 AS r, unnest(range(8, least(l, length(s) - l - sp) + 1)) AS k FROM p WHERE l + sp + 8 <= length(s)),
+b AS (SELECT record_ix, max((1 - hamming(reverse(s[l - k + 1:l]), s[r:r + k - 1]) / k, k)) AS m FROM k GROUP BY 1) SELECT c.record_ix, coalesce(round(m[1], 9), 0) AS identity, CAST(coalesce(m[2], 0) AS INTEGER) AS arm, coalesce(m[1], 0) >= 0.8 AS strong FROM c LEFT JOIN b USING (record_ix)""")
+def n2(spark: SparkSession, sf: str) -> DataFrame:
+    """The best mirror of the first sixty bases of each passage, and whether it is a strong one."""
+    s = passages(spark, sf).select("record_ix", F.upper(F.substring("seq", 1, 60)).alias("seq"))
+    return s.select("record_ix", N.best_mirror_column(F.col("seq")).alias("m"), N.strong_mirror_column(F.col("seq")).alias("strong")).select("record_ix", F.round("m.identity", 9).alias("identity"), "m.arm", "strong")

@@ -36,15 +36,37 @@ def read_fasta(spark: SparkSession, path: str, parser: str = "biopython") -> Dat
     return out.where(F.length("seq") > 0)
 
 
+#: Names up to which a list goes to every task.
+NAMED = 100_000
+
+
 def read_fasta_named(spark: SparkSession, path: str, names: list[str], parser: str = "biopython") -> DataFrame:
-    wanted = F.broadcast(spark.createDataFrame([(n,) for n in names], "seq_id string"))  # the caller's list
-    return read_fasta(spark, path, parser).join(wanted, "seq_id", "left_semi")
+    wanted = spark.createDataFrame([(n,) for n in names], "seq_id string")
+    return read_fasta(spark, path, parser).join(F.broadcast(wanted) if len(names) <= NAMED else wanted, "seq_id", "left_semi")
 
 
 def write_hits(hits: DataFrame, path: str, single: bool = False) -> None:
-    """Tab-separated hits with header, CRLF line ends and null as nothing, in order of (seq_id, start)."""
+    """Tab-separated hits with header, CRLF line ends and null as nothing, in order of (seq_id, start).
+
+    A folder of files in order, or with ``single`` one file, for results that one task can write.
+    """
     out = hits.select(*HIT_COLUMNS).orderBy("seq_id", "start")
-    (out.coalesce(1) if single else out).write.mode("overwrite").csv(path, sep="\t", header=True, lineSep="\r\n", nullValue="", emptyValue="")
+    folder = f"{path}.parts" if single else path
+    (out.coalesce(1) if single else out).write.mode("overwrite").csv(folder, sep="\t", header=True, lineSep="\r\n", nullValue="", emptyValue="")
+    if not single:
+        return
+    spark = hits.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [f.getPath() for f in fs.listStatus(at(folder)) if f.getPath().getName().startswith("part-")]
+    fs.delete(at(path), True)
+    if parts:
+        fs.rename(parts[0], at(path))
+    else:  # no hit, no file: the header alone
+        stream = fs.create(at(path))
+        stream.write(bytearray(("\t".join(HIT_COLUMNS) + "\r\n").encode()))
+        stream.close()
+    fs.delete(at(folder), True)
 
 
 def write_fasta(records: DataFrame, path: str, width: int = 80) -> None:

@@ -77,6 +77,11 @@ def test_generators():
     m = N.perfect_mirror(12, 3, 1)
     assert m[:12] == m[15:][::-1] and N.has_strong_mirror(m)
     d = N.disrupt_mirror(m, 2)
-    assert sorted(d) == sorted(m) and not N.has_strong_mirror(d)
+    kinds = str.maketrans("AGCT", "RRYY")
+    assert d.translate(kinds) == m.translate(kinds) and not N.has_strong_mirror(d)
+    r = N.random_like(s, 3)
+    assert sum(map(r.count, "GC")) == sum(map(s.count, "GC"))
+    b = N.random_b_dna(40, 4)
+    assert 12 <= sum(map(b.count, "AG")) <= 28
     assert sum(N.class_quotas(10, {"a": 1, "b": 1, "c": 1}).values()) == 10
     assert len(N.random_like(s, 1)) == len(s)

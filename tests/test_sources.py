@@ -34,6 +34,9 @@ def test_sinks_round_trip(spark, tmp_path):
     back = tables.read_hits(spark, str(tmp_path / "hits"))
     assert sorted((r.seq_id, r.start, r.end, r.total_score) for r in back.collect()) == sorted((r.seq_id, r.start, r.end, r.total_score) for r in hits.collect())
     assert sum(1 for _ in scan_fasta_iter(spark, str(fasta))) == hits.count() > 0
+    assert (tmp_path / "hits").is_file() and not (tmp_path / "hits.parts").exists()
+    write_hits(hits.where("false"), str(tmp_path / "none"), single=True)
+    assert (tmp_path / "none").read_bytes().startswith(b"seq_id\tsource\tstart") and tables.read_hits(spark, str(tmp_path / "none")).count() == 0
     write_fasta(records, str(tmp_path / "out"))
     assert sorted(r.seq for r in read_fasta(spark, str(tmp_path / "out")).collect()) == sorted(r.seq for r in records.collect())
     assert tables.checksums(spark, str(fasta)).first().length == fasta.stat().st_size
@@ -52,6 +55,16 @@ def test_tables(spark, tmp_path):
     assert tables.read_columns(spark, str(tmp_path / "x.bed"), {"c": (0, "string")}).count() == 2
 
 
+def test_command_line(spark, tmp_path):
+    from mirrorloom import cli
+
+    (tmp_path / "in.fa").write_text(">b\n" + "GAAGGAAAGAAAGAAAGGG" * 2 + "\n>a\n" + "GA" * 21 + "GG\n")
+    assert cli.main(["-seq", str(tmp_path / "in.fa"), "-out", str(tmp_path / "x"), "-v", "-purity-rmq", "-skipoverlap"]) == 0
+    lines = (tmp_path / "x_HDNA.tsv").read_text().splitlines()
+    ids = [x.split("\t")[0] for x in lines[1:]]
+    assert len(lines[0].split("\t")) == 19 and ids == sorted(ids) and set(ids) == {"a", "b"}
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.fa").write_text(">a\n" + "GAAGGAAAGAAAGAAAGGG" * 2 + "\n>b\n" + "GA" * 30 + "\n")
