@@ -2,7 +2,8 @@
 
 For a piece of text ``s`` the state is one number per prefix: the last token of that prefix's encoding, which is
 unique.  The candidates at a prefix are the vocabulary entries that are its suffixes, found for all prefixes in one
-pass of a suffix automaton over the vocabulary.  A candidate ``t`` is the last token if it may follow the last token
+pass of an Aho-Corasick automaton over the vocabulary, whose links go from each match to its longest suffix that is an
+entry; it reports the same suffixes as a suffix automaton of the vocabulary would, from fewer states.  A candidate ``t`` is the last token if it may follow the last token
 of the prefix it leaves: ``(u, t)`` is compatible when undoing the merges of both from the highest rank down never
 meets a merge across the border that would have been made earlier.  Following the back-pointers from the whole piece
 gives the ids, exactly those of the merge procedure.

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, keyed, stored, text_or_empty
+from .common import WORD, drop_stored, keyed, stored, text_or_empty
 
 #: Weights by place, repeated along the sources in code-point order (null last).
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -59,8 +59,13 @@ def targets(size_of: dict[str, int], weights=WEIGHTS, cap: float = CAP) -> dict[
         fixed |= {s: float(cap * size_of[s]) for s in over}
 
 
+#: Sources up to which their numbers go to every task; beyond, rows meet them by a join that Spark picks.
+MANY_SOURCES = 50_000
+
+
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))  # a row per source
+    table = spark.createDataFrame(rows, schema)  # a row per source
+    return F.broadcast(table) if len(rows) <= MANY_SOURCES else table
 
 
 def _rate(lam: Column, size: Column, mean: Column, cap: float) -> Column:
@@ -120,6 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     mean = {s: w / n for s, (w, n) in per.items()}
     goal = targets(total, weights, cap)
     lam = solve(hist, goal, mean, total, cap)
+    drop_stored(hist)
 
     def clipped(x: float) -> float:
         return max(-1e300, min(1e300, x))
@@ -134,6 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rated = sized.join(state, "src").withColumn("rate", rate).withColumn("whole", whole.cast("long"))
     rated = rated.withColumn("place", F.when((frac > 1e-9) & (F.col("size") > 0), place)).withColumn("large", F.col("size") > LARGE * F.col("mean"))
     rated = stored(rated.select("id", "src", "size", "source_size", "target", "rate", "whole", "large", "place"), "mix-rates")
+    drop_stored(sized)
 
     whole_words = {r.src: r.w for r in rated.groupBy("src").agg(F.sum(F.col("size") * F.col("whole")).alias("w")).collect()}
     need = {s: goal[s] - whole_words.get(s, 0) for s in goal}

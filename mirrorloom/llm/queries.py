@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention_lm, bpe, exact_dedup, language_id, line_dedup, mixing, pii, quality_fm, rule_ledger, simhash_pigeonring
-from .common import documents, fold, labels
+from .common import documents, fold, labels, stored
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failures").cast("int").alias("failures"))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the latest policy rejects, and what would stay without it, from the stored ledger."""
+    return rule_ledger.ablations(stored(rule_ledger.ledger(documents(spark, sf_dir)).select("doc_id", "failures"), "rule-ledger"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeonring.simhash_groups(documents(spark, sf_dir))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "rule_ablations": rule_ablations,
 }
 
 ORACLE_SQL = {
@@ -125,3 +131,6 @@ SELECT d.doc_id, coalesce(nl.n, 0) AS n_lines, coalesce(nr.n, 0) AS n_removed, c
 FROM documents d LEFT JOIN nl USING (doc_id) LEFT JOIN nr USING (doc_id) LEFT JOIN cnt USING (doc_id) LEFT JOIN stay USING (doc_id)
 """,
 }
+
+ORACLE_SQL["rule_ablations"] = f"""WITH l AS ({ORACLE_SQL["op9_quality_rules"]}), r AS (SELECT unnest({[n for n, _ in rule_ledger.RULES]}) AS rule, unnest(range({len(rule_ledger.RULES)})) AS bit)
+SELECT rule, CAST(bit AS INTEGER) AS bit, count(*) FILTER (failures & (1 << bit) <> 0) AS failing, count(*) FILTER (failures = 1 << bit) AS failing_alone, count(*) FILTER (failures = 0 OR failures = 1 << bit) AS kept_without FROM l, r GROUP BY ALL"""
