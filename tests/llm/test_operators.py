@@ -307,11 +307,11 @@ def test_pii_added_spans(spark):
     texts = [f"the card {card()} was lost" if rng.random() < 0.5 else f"see {card()}-1 or " + " ".join(str(rng.randrange(1000, 9999)) for _ in range(3)) + f" of {card()[:15]}" for _ in range(600)]
     texts += ["token = \"" + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + "\" here" if i % 2 else f"(name_{i}_of_a_long_thing{i} here" for i in range(200)]
     key = "9a" * 20
-    texts += [f"pay 4111111111111112 {card()} now", f"lost {key} here", "a@b.de 1.2.3.4 " * 20_000]
+    texts += [f"pay 4111111111111112 {card()} now", f"lost {key} here", "a@b.de 1.2.3.4 " * 4_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in pii.find(docs).collect()}
     assert [(x.kind, x.s, x.e) for x in got[801].added] == [(4, 5, 45)]
-    assert len(got[802].base) == 40_000 and not got[802].added
+    assert len(got[802].base) == 8_000 and not got[802].added
     for r in got.values():
         assert all(a.e <= b.s or b.e <= a.s for a in r.added for b in [*r.base[:50], *r.added] if a != b)
     redacted = {r.doc_id: r.redacted for r in pii.redact(docs.where("doc_id = 0 or doc_id = 600 or doc_id between 601 and 611"), {}).collect()}
@@ -396,10 +396,11 @@ def test_line_dedup(spark, odd, none):
         rows.append((i, "\n".join(own)))
     rows += [(500, None), (501, ""), (502, "\n \n"), (503, "a\n" * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    found = line_dedup.dedup_lines(docs).collect()
+    got = {r.doc_id: r.text for r in found}
     assert got == brute_lines(rows)
     assert {r.doc_id: r.text for r in line_dedup.rewrite_documents(docs).collect()} == got  # links for removal alone
-    assert {r.doc_id: r.n_links for r in line_dedup.dedup_lines(docs).collect()} == brute_links(rows)
+    assert {r.doc_id: r.n_links for r in found} == brute_links(rows)
     assert line_dedup.dedup_lines(odd).count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
     assert line_dedup.rewrite_documents(odd).columns == odd.columns
 
