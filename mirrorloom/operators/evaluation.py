@@ -267,6 +267,13 @@ def superiority(cases: DataFrame, controls: DataFrame, group: str, value: str) -
     return met.agg((F.sum(F.col("_p") * F.col("_a")) / F.sum("_a")).alias("superiority"), F.sum("_a").alias("cases"))
 
 
+def placebo(controls: DataFrame, group: str, value: str, id_col: str, seed: int = 1) -> DataFrame:
+    """Superiority of one seeded control of each group over the group's others; it should be near one half."""
+    order = Window.partitionBy(group).orderBy(seeded(seed, id_col), id_col)
+    marked = controls.withColumn("_r", F.row_number().over(order))
+    return superiority(marked.where("_r = 1"), marked.where("_r > 1"), group, value)
+
+
 def validate_cohort(records: DataFrame, expected: DataFrame, id_col: str = "record_id") -> DataFrame:
     """Counts of what is wrong: repeated ids, missing, unexpected, changed sequences, labels outside 0/1."""
     ids = records.groupBy(id_col).agg(F.count(F.lit(1)).alias("k"), F.first("seq").alias("seq"), F.first("label").alias("label"))

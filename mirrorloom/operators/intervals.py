@@ -129,6 +129,19 @@ def compare_sets(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return each.agg(F.count_if(F.expr("a = 1 and b = 1")).alias("shared"), F.count_if(F.expr("b = 0")).alias("only_a"), F.count_if(F.expr("a = 0")).alias("only_b"))
 
 
+def coverage_of_sets(a: DataFrame, b: DataFrame, key: str = "seq_id") -> DataFrame:
+    """One row: distinct intervals of each set, those in both, of ``a`` those that overlap ``b`` and their share, and of ``b`` those that overlap none of ``a``."""
+    place = [key, "start", "end"]
+    one = lambda df: df.select(*place).distinct().withColumn("_id", F.concat_ws(":", *[F.col(c).cast("string") for c in place]))
+    x, y = one(a), one(b)
+    sets = compare_sets(x, y, place)
+    covered = any_overlap(x, y, key, "_id").agg(F.count(F.lit(1)).alias("a_covered"))
+    alone = any_overlap(y, x, key, "_id", keep=False).agg(F.count(F.lit(1)).alias("b_alone"))
+    both = sets.join(F.broadcast(covered)).join(F.broadcast(alone))  # one row each
+    n = F.col("shared") + F.col("only_a")
+    return both.select(n.alias("a_loci"), (F.col("shared") + F.col("only_b")).alias("b_loci"), "shared", "a_covered", F.try_divide(F.col("a_covered").cast("double"), n).alias("a_covered_fraction"), "b_alone")
+
+
 def outside(points: DataFrame, hits: DataFrame, pad: int, key: str = "seq_id", id_col: str = "id") -> DataFrame:
     """Intervals that keep ``pad`` positions away from every hit."""
     return any_overlap(points, hits, key, id_col, keep=False, pad=pad)
@@ -174,6 +187,11 @@ def rpkm(count: Column, length: Column, total: Column | int) -> Column:
     return count * 1e9 / (length * total)
 
 
+def log2_enrichment(signal: Column, background: Column, pseudo: float = 0.5) -> Column:
+    """Log ratio of two densities, ``pseudo`` added to both."""
+    return F.log2((signal + pseudo) / (background + pseudo))
+
+
 def prefix_sums(track: DataFrame, key: str = "chrom", pos: str = "bin", value: str = "v") -> DataFrame:
     rows = carried(track, (key,), pos, F.col(value), F.sum)
     within = Window.partitionBy(key, "_bin").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)

@@ -209,12 +209,13 @@ def c9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g26_motif_features", """SELECT doc_id, pos, CAST(length(full_sequence) AS INTEGER) AS n, CAST(length(full_sequence) - length(translate(full_sequence, 'at', '')) AS INTEGER) AS at_bases,
   CAST((length(full_sequence) - length(translate(full_sequence, 'ga', ''))) - (length(full_sequence) - length(translate(full_sequence, 'ct', ''))) AS INTEGER) AS purine_skew,
-  CAST(list_max(list_transform(regexp_extract_all(full_sequence, 'a+|c+|g+|t+|n+'), lambda x: length(x))) AS INTEGER) AS longest_run FROM motifs""", MOTIFS_SQL)
+  CAST(list_max(list_transform(regexp_extract_all(full_sequence, 'a+|c+|g+|t+|n+'), lambda x: length(x))) AS INTEGER) AS longest_run,
+  CAST(coalesce(list_first(list_filter([1, 2, 3, 4], lambda k: (length(full_sequence) - k) - hamming(full_sequence[1:length(full_sequence) - k], full_sequence[k + 1:]) >= 0.9 * (length(full_sequence) - k))), 0) AS INTEGER) AS period FROM motifs""", MOTIFS_SQL)
 def g26(spark: SparkSession, sf: str) -> DataFrame:
     m = motifs(spark, sf)
     f = G.motif_features(F.col("full_sequence"))
     whole = lambda c: F.round(c * F.length("full_sequence")).cast("int")
-    return m.select("doc_id", "pos", F.length("full_sequence").alias("n"), whole(f["at"]).alias("at_bases"), whole(f["skew"]).alias("purine_skew"), whole(f["run"]).alias("longest_run"))
+    return m.select("doc_id", "pos", F.length("full_sequence").alias("n"), whole(f["at"]).alias("at_bases"), whole(f["skew"]).alias("purine_skew"), whole(f["run"]).alias("longest_run"), f["period"].cast("int").alias("period"))
 
 
 # The hit table: predicates, selection, summaries.
@@ -861,3 +862,22 @@ def n2(spark: SparkSession, sf: str) -> DataFrame:
     """The best mirror of the first sixty bases of each passage, and whether it is a strong one."""
     s = passages(spark, sf).select("record_ix", F.upper(F.substring("seq", 1, 60)).alias("seq"))
     return s.select("record_ix", N.best_mirror_column(F.col("seq")).alias("m"), N.strong_mirror_column(F.col("seq")).alias("strong")).select("record_ix", F.round("m.identity", 9).alias("identity"), "m.arm", "strong")
+
+
+@query("g10_covered_sets", """, a AS (SELECT DISTINCT seq_id, start, "end" FROM hits), b AS (SELECT DISTINCT seq_id, start, "end" FROM inserts), c AS (SELECT (SELECT count(*) FROM a) AS a_loci, (SELECT count(*) FROM b) AS b_loci, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS shared,
+(SELECT count(*) FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.seq_id = a.seq_id AND b.start <= a."end" AND b."end" >= a.start)) AS a_covered, (SELECT count(*) FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.seq_id = a.seq_id AND b.start <= a."end" AND b."end" >= a.start)) AS b_alone) SELECT *, a_covered::DOUBLE / a_loci AS a_covered_fraction FROM c""", f"{HITS_SQL}, {INSERTS_SQL}")
+def g10_covered(spark: SparkSession, sf: str) -> DataFrame:
+    return G.coverage_of_sets(hits(spark, sf), inserts(spark, sf))
+
+
+@query("g18_log2_enrichment", ", c AS (SELECT chrom, count(*) FILTER (weight < 20) AS a, count(*) AS b, max(pos) AS len FROM points GROUP BY 1), t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM c) SELECT chrom, round(log2((a * 1e9 / (len * ta) + 0.5) / (b * 1e9 / (len * tb) + 0.5)), 6) AS enrichment FROM c, t", POINTS_SQL)
+def g18_log2(spark: SparkSession, sf: str) -> DataFrame:
+    c = points(spark, sf).groupBy("chrom").agg(F.count_if(F.col("weight") < 20).alias("a"), F.count(F.lit(1)).alias("b"), F.max("pos").alias("len"))
+    t = c.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    both = c.join(F.broadcast(t))  # one row
+    return both.select("chrom", F.round(G.log2_enrichment(G.rpkm(F.col("a"), F.col("len"), F.col("ta")), G.rpkm(F.col("b"), F.col("len"), F.col("tb"))), 6).alias("enrichment"))
+
+
+@query("e33_placebo", ", d AS (SELECT source, n, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', 1, record_id)), record_id) AS r FROM labelled WHERE y = 0), p AS (SELECT c.source, avg(CASE WHEN c.n > o.n THEN 1.0 WHEN c.n = o.n THEN 0.5 ELSE 0.0 END) AS p FROM d c JOIN d o ON c.source = o.source AND c.r = 1 AND o.r > 1 GROUP BY 1) SELECT round(avg(p), 6) AS superiority, count(*) AS cases FROM p", LABELLED_SQL)
+def e33_placebo(spark: SparkSession, sf: str) -> DataFrame:
+    return E.placebo(labelled(spark, sf).where("y = 0"), "source", "n", "record_id").select(F.round("superiority", 6).alias("superiority"), "cases")
