@@ -1,7 +1,7 @@
 """Non-overlapping selection of hits.
 
-No decision reaches beyond an island of transitively overlapping hits, so hits are dealt out by island: a sequence with
-most of all hits is spread over many tasks.  Within a partition they are sorted by place, so one pass sees every island in
+No decision reaches beyond an island of transitively overlapping hits, so hits may be dealt out by sequence or, where a
+sequence holds most of all hits, by island.  Within a partition they are sorted by place, so one pass sees every island in
 order.  ``greedy`` keeps a state of one hit, ``score`` one island, so memory follows the largest island.
 """
 
@@ -25,6 +25,7 @@ from .intervals import carried
 def islands(hits: DataFrame, key: str | tuple[str, ...] = "seq_id", out: str = "island") -> DataFrame:
     """``hits`` with ``island``: hits of a sequence that overlap, directly or through others, share it."""
     keys = (key,) if isinstance(key, str) else tuple(key)
+    hits = hits.persist()  # read for the ends per stretch, the flags per stretch, and both joins
     rows = carried(hits, keys, "start", F.col("end"), F.max)
     within = Window.partitionBy(*keys, "_bin").orderBy("start", "end")
     reach = F.greatest("_carry", F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1)))
@@ -79,7 +80,7 @@ def _by_islands(ordered: Iterator[tuple[tuple, dict]]) -> Iterator[int]:
     yield from sorted(best_first(island))
 
 
-def remove_overlaps(hits: DataFrame, strategy: str = "greedy", key: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+def remove_overlaps(hits: DataFrame, strategy: str = "greedy", key: tuple[str, ...] = ("seq_id",), by_island: bool = False) -> DataFrame:
     """Hits that stay under ``greedy`` or ``score`` (also ``stability``) selection; no two of a key overlap."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown overlap strategy {strategy!r}")
@@ -118,14 +119,20 @@ def remove_overlaps(hits: DataFrame, strategy: str = "greedy", key: tuple[str, .
             picked.append(at)
         yield from flush(total)
 
-    return _by_island(hits, key).mapInArrow(run, schema).drop("_island")
+    return _dealt(hits, key, by_island).mapInArrow(run, schema).drop("_island")
 
 
-def _by_island(hits: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """``hits`` with ``_island``, each island in one partition, in the order of the sweep."""
-    placed = islands(hits, key, "_island")
+def _dealt(hits: DataFrame, key: tuple[str, ...], by_island: bool) -> DataFrame:
+    """``hits`` with ``_island``, dealt out and in the order of the sweep.
+
+    By sequence they are shuffled once, which suits many short ones.  By island a sequence with most of all hits is
+    spread over many tasks, for some passes more over the hits.
+    """
+    placed = islands(hits, key, "_island") if by_island else hits.withColumn("_island", F.lit(0).cast("long"))
+    parts = [*key, "_island"] if by_island else list(key)
+    n = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*key, "_island", F.col("start"), F.col("arm_length").desc(), F.col("spacer_length")]
-    return placed.select(*hits.columns, "_island").repartition(*key, "_island").sortWithinPartitions(*order, "full_sequence")
+    return placed.select(*hits.columns, "_island").repartition(n, *parts).sortWithinPartitions(*order, "full_sequence")
 
 
 def best_first_lazily(island: list[dict], drop_homopolymers: bool = False) -> list[dict]:
@@ -169,7 +176,7 @@ def best_first_lazily(island: list[dict], drop_homopolymers: bool = False) -> li
     return [scored[i] for *_, i in taken]
 
 
-def select_lazily(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), drop_homopolymers: bool = False) -> DataFrame:
+def select_lazily(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), drop_homopolymers: bool = False, by_island: bool = False) -> DataFrame:
     """Same rows as scoring all of ``hits`` and selecting by score, with the four score columns."""
     keys = [*key, "_island"]
     schema = T.StructType([*hits.schema.fields, T.StructField("_island", T.LongType())])
@@ -206,4 +213,4 @@ def select_lazily(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), drop_homo
         if done:
             yield batch_of(done)
 
-    return _by_island(hits, key).mapInArrow(run, schema).drop("_island")
+    return _dealt(hits, key, by_island).mapInArrow(run, schema).drop("_island")

@@ -44,16 +44,16 @@ def _finish(hits: DataFrame) -> DataFrame:
     return hits.select("record_ix", *HIT_COLUMNS)
 
 
-def scan(records: DataFrame, p: ScanParams | None = None, size: int = D.CHUNK, rebalance: bool = False, per: tuple[str, ...] = ("record_ix",)) -> DataFrame:
-    """The whole scan of a table of records.  ``per`` names what overlap removal works within."""
+def scan(records: DataFrame, p: ScanParams | None = None, size: int = D.CHUNK, rebalance: bool = False, per: tuple[str, ...] = ("record_ix",), by_island: bool = False) -> DataFrame:
+    """The whole scan of a table of records.  ``per`` names what overlap removal works within; ``by_island`` suits few long records."""
     p = p or ScanParams()
     hits = composition(detect_candidates(records, p, size, rebalance), p)
     if p.remove_overlaps and p.overlap_strategy != "greedy":
         if p.filter_homopolymers:
             hits = C.filter_homopolymers(hits, C.PRE)
-        return _finish(select_lazily(hits, per, p.filter_homopolymers))
+        return _finish(select_lazily(hits, per, p.filter_homopolymers, by_island))
     if p.remove_overlaps:
-        hits = remove_overlaps(hits, "greedy", per)
+        hits = remove_overlaps(hits, "greedy", per, by_island)
     if p.score:
         hits = with_scores(hits)
     if p.filter_homopolymers:
@@ -71,7 +71,7 @@ def scan_fasta(spark: SparkSession, path: str, parser: str = "biopython", chunk_
 
     p = ScanParams(**kwargs)
     per = ("record_ix",) if p.overlap_strategy == "greedy" else ("seq_id",)
-    return scan(read_fasta(spark, path, parser), p, chunk_size, rebalance=True, per=per)
+    return scan(read_fasta(spark, path, parser), p, chunk_size, rebalance=True, per=per, by_island=True)
 
 
 def scan_fasta_iter(spark: SparkSession, path: str, **kwargs) -> Iterator[Row]:

@@ -127,6 +127,8 @@ def test_selection_equals_global_loops(spark):
         elif (h["arm_length"], -h["spacer_length"]) > (kept[-1]["arm_length"], -kept[-1]["spacer_length"]):
             kept[-1] = h
     got = remove_overlaps(df, "greedy").collect()
+    for how in ("greedy", "score"):
+        assert sorted(map(tuple, remove_overlaps(df, how, by_island=True).collect()), key=repr) == sorted(map(tuple, remove_overlaps(df, how).collect()), key=repr)
     assert sorted((r.seq_id, r.start, r.arm_length, r.spacer_length) for r in got) == sorted((h["seq_id"], h["start"], h["arm_length"], h["spacer_length"]) for h in kept)
     by = {s: [(i, h) for i, h in enumerate(hits) if h["seq_id"] == s] for s in "ab"}
     want = sorted(i for own in by.values() for i in best_first(own))
