@@ -14,8 +14,8 @@ similarity of at least ``NUMERATOR / DENOMINATOR``.
    signatures in bits.  Words that occur once in the corpus, which no other line shares, are not sent.
 4. Candidates are verified by the whole sets, which only lines in a candidate pair send.
 
-Membership tests that save shuffling use a bitmap of eight bits a member, up to 8 MB, with exact handling of what it lets
-through; beyond 8 million members it fills, and more rows take the exact way.  All of it is DataFrame code.
+Membership tests that save shuffling use a bitmap of eight bits a member, up to 2 MB, with exact handling of what it lets
+through; beyond 2 million members it fills, and more rows take the exact way.  All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from .common import SPACE, drop_stored, keyed, stored, text_or_empty
 #: Jaccard threshold as a fraction, so that the test is exact.
 NUMERATOR, DENOMINATOR = 4, 5
 SKETCH_BITS, CLASS_BITS = 16, 4
-#: Bits of a bitmap: eight per member, within these powers of two; a bitmap is 8 MB at most.
-LEAST_BITS, MOST_BITS = 16, 26
+#: Bits of a bitmap: eight per member, within these powers of two; a bitmap is 2 MB at most.
+LEAST_BITS, MOST_BITS = 16, 24
 _HASH_BITS = 63 - CLASS_BITS
 #: A null id stands for a document after all others.
 _LAST = (1 << 63) - 1
