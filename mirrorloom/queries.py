@@ -840,7 +840,11 @@ def w4(spark: SparkSession, sf: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new place for files that all executors can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="mirrorloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="mirrorloom-")  # one process, as in tests
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
