@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One run of ASCII white space, and one word, as Java and DuckDB regular expressions.
@@ -62,6 +62,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def positions(df: DataFrame, group: str, order: list[str], name: str = "positions") -> DataFrame:
+    """``df`` with ``pos`` (0-based place within its ``group`` in the order of ``order``, nulls first) and ``n`` (rows of the group).
+
+    No window holds a group's rows: the rows are range-partitioned and stored with their places in the partition; totals of each
+    (group, partition), at most one row per partition and group more than there are groups, give the offsets.
+    """
+    by = [F.col(c).asc_nulls_first() for c in (group, *order)]
+    placed = stored(df.orderBy(*by).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)), name)
+    totals = placed.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__c"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group, "__part", "__first", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"), F.sum("__c").over(Window.partitionBy(group)).alias("n"))
+    out = placed.join(offsets, [group, "__part"])
+    return out.select(*df.columns, (F.col("__at") - F.col("__first") + F.col("__off")).alias("pos"), "n")
+
+
 def keyed(docs: DataFrame, id_col: str, key: str = "__row") -> DataFrame:
     """``docs`` with a column ``key`` of unique longs in the order of the ids, nulls last.
 

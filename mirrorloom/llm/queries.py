@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, bpe, exact_dedup, language_id, line_dedup, mixing, pii, quality_fm, rule_ledger, simhash_pigeonring
+from . import attention_lm, bpe, conversation_repair, exact_dedup, html_blocks, language_id, line_dedup, merkle_manifest, mixing, pii, quality_fm, rule_ledger, simhash_pigeonring
 from .common import documents, fold, labels, stored
 
 
@@ -68,6 +68,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeonring.simhash_groups(documents(spark, sf_dir))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    # tampered with: every second row by the checksum of its id has lost its line feeds
+    claimed = F.when(fold("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    fields = [F.col(f) for f in merkle_manifest.FIELDS[:-1]]
+    made = merkle_manifest.manifest(docs, claimed=merkle_manifest.leaf([*fields, claimed]))
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.repair_conversations(rows).withColumnRenamed("id", "conv_id")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -79,10 +97,83 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
     "rule_ablations": rule_ablations,
 }
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string: each byte is folded into the register, which then takes eight shifts."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+
+
+def _field_sql(col: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({col} AS VARCHAR)) AS VARCHAR) || ':' || CAST({col} AS VARCHAR), '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
 ORACLE_SQL = {
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE
+     d AS (SELECT doc_id, source, text, {_leaf_sql("text")} AS leaf,
+                  CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS claimed,
+                  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents),
+     up(level, source, pos, h, n) AS (SELECT 0, source, pos, leaf, n FROM d
+                  UNION ALL SELECT level + 1, source, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY level, source, pos // 3, n),
+     sub AS (SELECT source, h AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+     top(level, pos, h, n) AS (SELECT 0, pos, subroot, n FROM sub
+                  UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, pos // 3, n),
+     root AS (SELECT h AS root FROM top WHERE n = 1),
+     sib AS (SELECT d.doc_id, 0 AS tree, u.level, u.pos, u.h FROM d JOIN sub s ON s.source IS NOT DISTINCT FROM d.source JOIN up u ON u.source IS NOT DISTINCT FROM d.source AND u.level < s.height
+                  AND u.pos // 3 = d.pos // CAST(3 ** (u.level + 1) AS BIGINT) AND u.pos <> d.pos // CAST(3 ** u.level AS BIGINT)
+             UNION ALL SELECT d.doc_id, 1, t.level, t.pos, t.h FROM d JOIN sub s ON s.source IS NOT DISTINCT FROM d.source JOIN top t ON t.n > 1
+                  AND t.pos // 3 = s.pos // CAST(3 ** (t.level + 1) AS BIGINT) AND t.pos <> s.pos // CAST(3 ** t.level AS BIGINT)),
+     proof AS (SELECT doc_id, string_agg(h, '' ORDER BY tree, level, pos) AS p FROM sib GROUP BY doc_id),
+     fold(doc_id, source, level, pos, h, n) AS (SELECT doc_id, source, 0, pos, claimed, n FROM d
+                  UNION ALL SELECT f.doc_id, f.source, f.level + 1, f.pos // 3, sha256(string_agg(CASE WHEN u.pos = f.pos THEN f.h ELSE u.h END, '' ORDER BY u.pos)), (f.n + 2) // 3
+                  FROM fold f JOIN up u ON u.source IS NOT DISTINCT FROM f.source AND u.level = f.level AND u.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.doc_id, f.source, f.level, f.pos // 3, f.n),
+     fold2(doc_id, level, pos, h, n) AS (SELECT f.doc_id, 0, s.pos, f.h, s.n FROM fold f JOIN sub s ON s.source IS NOT DISTINCT FROM f.source WHERE f.n = 1
+                  UNION ALL SELECT f.doc_id, f.level + 1, f.pos // 3, sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.h ELSE t.h END, '' ORDER BY t.pos)), (f.n + 2) // 3
+                  FROM fold2 f JOIN top t ON t.level = f.level AND t.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.doc_id, f.level, f.pos // 3, f.n)
+SELECT d.doc_id, d.leaf, s.subroot, r.root, sha256(coalesce(p.p, '')) AS proof_sha256, f.h AS folded_root, f.h = r.root AS verified
+FROM d JOIN sub s ON s.source IS NOT DISTINCT FROM d.source JOIN fold2 f ON f.doc_id = d.doc_id AND f.n = 1 LEFT JOIN proof p ON p.doc_id = d.doc_id, root r
+""",
+    "op13_conversation_repair": f"""
+WITH RECURSIVE
+     c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations),
+     e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                  unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE kind <> 0),
+     o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM e),
+     f AS (SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+                  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                       WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 3 ELSE 0 END AS fault FROM o),
+     stat AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                     count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+     ins(state, k, t) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+     move(state, initial, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+     edit AS (SELECT f.conv_id, f.i, m.state, m.t, 'K' AS edit, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS cost FROM f JOIN move m USING (initial) WHERE fault IN (0, 3)
+              UNION ALL SELECT f.conv_id, f.i, m.state, m.t, 'R', CASE WHEN fault = 3 THEN 3 ELSE 2 END FROM f JOIN move m ON m.initial <> 's' WHERE fault IN (0, 3)
+              UNION ALL SELECT f.conv_id, f.i, s.state, s.state, 'D', 3 FROM f, (SELECT unnest(range(4)) AS state) s),
+     way(conv_id, i, state, best) AS (SELECT conv_id, 0::BIGINT, 0::BIGINT, {{'cost': 0::BIGINT, 'audit': ''}} FROM stat
+              UNION ALL SELECT w.conv_id, w.i + 1, CAST(x.t AS BIGINT), min({{'cost': w.best.cost + 2 * ins.k + x.cost, 'audit': w.best.audit || repeat('I', ins.k) || x.edit}})
+              FROM way w JOIN ins ON ins.state = w.state JOIN edit x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.i = w.i + 1 AND x.state = ins.t GROUP BY w.conv_id, w.i, x.t),
+     won AS (SELECT w.conv_id, min({{'cost': w.best.cost + 2 * ins.k, 'audit': w.best.audit || repeat('I', ins.k)}}) AS best
+             FROM way w JOIN stat s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i JOIN ins ON ins.state = w.state AND ins.t IN (0, 3) GROUP BY w.conv_id),
+     step AS (SELECT conv_id, best, unnest(string_split(best.audit, '')) AS edit, unnest(range(1, len(best.audit) + 1)) AS spot FROM won WHERE best.audit <> ''),
+     placed AS (SELECT *, sum(CASE WHEN edit = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY spot) AS i, sum(CASE WHEN edit = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY spot) AS live FROM step),
+     opening AS (SELECT p.conv_id, bool_or(p.live = 1 AND p.edit = 'K' AND f.initial = 's') AS led FROM placed p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i GROUP BY p.conv_id),
+     said AS (SELECT p.conv_id, p.spot, CASE WHEN p.edit = 'K' THEN f.role WHEN (p.live - CASE WHEN l.led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN p.edit = 'I' THEN '' ELSE f.text END AS line
+              FROM placed p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i LEFT JOIN opening l ON l.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.edit <> 'D'),
+     joined AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY spot) AS t FROM said GROUP BY conv_id)
+SELECT a.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal,
+       coalesce(w.best.cost, 0) AS cost, coalesce(w.best.audit, '') AS audit, sha256(coalesce(t.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN stat s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN won w ON w.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN joined t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+""",
     "op1_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
      g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
