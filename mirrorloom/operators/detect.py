@@ -24,7 +24,7 @@ def chunked(records: DataFrame, p: ScanParams, size: int = CHUNK, rebalance: boo
     """
     binary = records.select("record_ix", "seq_id", "seq_offset", F.col("seq").cast("binary").alias("b")).withColumn("n", F.octet_length("b").cast("long"))
     at = binary.withColumn("c0", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0).cast("long")), F.lit(size).cast("long"))))
-    lead, tail = p.maxrep + p.maxspacer + 1, p.maxspacer + p.maxrep + 2
+    lead, tail = context(p)
     first = F.greatest(F.col("c0") - lead, F.lit(0))
     last = F.least(F.col("c0") + size + tail, F.col("n"))
     out = at.select(
@@ -66,7 +66,16 @@ def _hits(p: ScanParams, extend: bool):
 
 def raw_candidates(records: DataFrame, p: ScanParams, extend: bool = True, size: int = CHUNK, rebalance: bool = False) -> DataFrame:
     """Detector rows (one per centre and spacer), extended inwards; a geometry appears once."""
-    return chunked(records, p, size, rebalance).mapInArrow(_hits(p, extend), RAW_HIT)
+    return candidates_of(chunked(records, p, size, rebalance), p, extend)
+
+
+def context(p: ScanParams) -> tuple[int, int]:
+    """Bases before and after a chunk's own that its arms may reach."""
+    return p.maxrep + p.maxspacer + 1, p.maxspacer + p.maxrep + 2
+
+
+def candidates_of(chunks: DataFrame, p: ScanParams, extend: bool = True) -> DataFrame:
+    return chunks.mapInArrow(_hits(p, extend), RAW_HIT)
 
 
 def deduplicate_geometry(raw: DataFrame) -> DataFrame:

@@ -47,7 +47,12 @@ def _finish(hits: DataFrame) -> DataFrame:
 def scan(records: DataFrame, p: ScanParams | None = None, size: int = D.CHUNK, rebalance: bool = False, per: tuple[str, ...] = ("record_ix",), by_island: bool = False) -> DataFrame:
     """The whole scan of a table of records.  ``per`` names what overlap removal works within; ``by_island`` suits few long records."""
     p = p or ScanParams()
-    hits = composition(detect_candidates(records, p, size, rebalance), p)
+    return after_detection(detect_candidates(records, p, size, rebalance), p, per, by_island)
+
+
+def after_detection(hits: DataFrame, p: ScanParams, per: tuple[str, ...] = ("record_ix",), by_island: bool = False) -> DataFrame:
+    """Filters, overlap removal and scores in the order of the parameters."""
+    hits = composition(hits, p)
     if p.remove_overlaps and p.overlap_strategy != "greedy":
         if p.filter_homopolymers:
             hits = C.filter_homopolymers(hits, C.PRE)
@@ -65,13 +70,23 @@ def scan_sequence(spark: SparkSession, seq: str, seq_offset: int = 1, **kwargs)
     return scan(records_of(spark, seq, seq_offset=seq_offset), ScanParams(**kwargs))
 
 
-def scan_fasta(spark: SparkSession, path: str, parser: str = "biopython", chunk_size: int = 1_000_000, **kwargs) -> DataFrame:
-    """Scan a FASTA file: greedy selection works per record, selection by score per sequence name."""
+def scan_fasta(spark: SparkSession, path: str, parser: str = "biopython", chunk_size: int = 1_000_000, range_bytes: int | None = None, **kwargs) -> DataFrame:
+    """Scan a FASTA file: greedy selection works per record, selection by score per sequence name.
+
+    Plain files that Arrow can open are read by ranges of ``range_bytes``, so a long record is scanned by many tasks and never
+    assembled; compressed files and other stores are read by Spark, a record a row.
+    """
+    from ..sources import fasta_ranges as R
     from ..sources.fasta import read_fasta
 
     p = ScanParams(**kwargs)
     per = ("record_ix",) if p.overlap_strategy == "greedy" else ("seq_id",)
-    return scan(read_fasta(spark, path, parser), p, chunk_size, rebalance=True, per=per, by_island=True)
+    if not R.splittable(path):
+        return scan(read_fasta(spark, path, parser), p, chunk_size, rebalance=True, per=per, by_island=True)
+    size = range_bytes or R.RANGE
+    chunks = R.range_chunks(spark, path, *D.context(p), parser, size, min(chunk_size, D.CHUNK))
+    found = R.placed(D.candidates_of(chunks, p), R.places(spark, path, parser, size))
+    return after_detection(D.materialise(found), p, per, by_island=True)
 
 
 def scan_fasta_iter(spark: SparkSession, path: str, **kwargs) -> Iterator[Row]:

@@ -855,6 +855,14 @@ def s1(spark: SparkSession, sf: str) -> DataFrame:
     return read_fasta(spark, path).select("seq_id", "seq", "seq_offset")
 
 
+@query("s1_scan_by_ranges", Q.p1_sql(ScanParams(), columns='seq_id, start, "end", arm_length, spacer_length, total_score'))
+def s1_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as FASTA, scanned by ranges of a mebibyte that do not care where records begin."""
+    path = _folder(spark, "fasta")
+    write_fasta(dna(spark, sf), path)
+    return P.scan_fasta(spark, path, range_bytes=1 << 20).select("seq_id", "start", "end", "arm_length", "spacer_length", "total_score")
+
+
 @query("s4_named_fasta", f"WITH {DNA_SQL} SELECT seq_id, upper(seq) AS seq FROM dna WHERE length(seq) > 0 AND record_ix < 10")
 def s4(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "fasta")

@@ -11,8 +11,8 @@ PARSERS = ("biopython", "inhouse")
 
 
 def header_columns(header: Column) -> tuple[Column, Column]:
-    """(seq_id, offset): the first word or ``unknown``, and the start of a region that ends it, or 1."""
-    name = F.regexp_extract(header, r"^\s*(\S+)", 1)
+    """(seq_id, offset): the word that the header begins with or ``unknown``, and the start of a region that ends it, or 1."""
+    name = F.regexp_extract(header, r"^(\S+)", 1)
     seq_id = F.when(name == "", "unknown").otherwise(name)
     region = F.regexp_extract(seq_id, r":(\d+)[-–]\d+$", 1)
     return seq_id, F.coalesce(F.nullif(region, F.lit("")).try_cast("long"), F.lit(1))
