@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import positions, stored
+from .common import drop_stored, positions, stored
 
 SEGMENT = 1000
 
@@ -239,16 +239,18 @@ def marked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("blank", last == "").withColumn("closed", last.isin(".", "!", "?"))
 
 
-def repair_long(rows: DataFrame) -> DataFrame:
+def repair_long(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """The result for conversations of any length, cut into segments (see the module)."""
     alive = rows.where("not gone")
-    placed = stored(positions(alive, "key", ["turn", "role", "text", "copy"], "conversation-places"), "conversation-long")
+    ranked = positions(alive, "key", ["turn", "role", "text", "copy"], "conversation-places")
+    placed = stored(ranked, "conversation-long")
+    drop_stored(ranked)
     same = placed.select("key", "pos", F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"), 256).alias("said"))
     first = same.groupBy("key", "said").agg(F.min("pos").alias("first"))
     repeated = same.join(first, ["key", "said"]).where("pos > first").select("key", "pos", F.lit(True).alias("again"))
     small = placed.select("key", "pos", F.substring("role", 1, 1).alias("initial"), "blank", "closed").join(repeated, ["key", "pos"], "left")
     fault = F.when(F.col("blank"), BLANK).when(F.col("again"), DUPLICATE).when(F.col("closed"), NONE).otherwise(TRUNCATED)
-    cut = small.select("key", "pos", F.floor(F.col("pos") / SEGMENT).alias("segment"), F.when(F.col("initial") == "", "\0").otherwise(F.col("initial")).alias("initial"), fault.alias("fault"))
+    cut = small.select("key", "pos", F.floor(F.col("pos") / segment).alias("segment"), F.when(F.col("initial") == "", "\0").otherwise(F.col("initial")).alias("initial"), fault.alias("fault"))
     ways = cut.repartition("key", "segment").sortWithinPartitions("key", "segment", "pos").select("key", "segment", "initial", "fault").mapInArrow(_segments, SEGMENT_SCHEMA)
     chained = stored(ways.repartition("key").sortWithinPartitions("key", "segment").mapInArrow(_chain, "key string, blank long, duplicate long, truncated long, illegal long, cost long, audit string"), "conversation-ways")
     lines = placed.select("key", "pos", "role", "text").unionByName(chained.select("key", F.lit(-1).cast("long").alias("pos"), F.lit("").alias("role"), F.col("audit").alias("text")))
@@ -273,7 +275,7 @@ def repair_conversations(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
     short, rest = rows, None
     if not sizes.isEmpty():
         long = stored(sizes.select("key"), "conversation-sizes")
-        short, rest = rows.join(long, "key", "left_anti"), repair_long(marked(rows.join(long, "key", "left_semi").select(*rows.columns)))
+        short, rest = rows.join(long, "key", "left_anti"), repair_long(marked(rows.join(long, "key", "left_semi").select(*rows.columns)), segment)
     dealt = marked(short).repartition("key").sortWithinPartitions("key", F.col("turn").asc_nulls_first(), "role", "text", "copy")
     out = dealt.mapInArrow(_short, kinds)
     return out if rest is None else out.unionByName(rest)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import positions, stored
+from .common import drop_stored, positions, stored
 
 ARITY, HEIGHT = 3, 7
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -172,9 +172,13 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     own = leaf([F.col(f) for f in fields])
     tree = F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit(""))
     leaves = docs.select(F.col(id_col).alias("id"), tree.alias("tree"), own.alias("digest"), (own if claimed is None else claimed).alias("claimed"))
-    rounds, subroots = climb(positions(leaves, "tree", ["id", "digest"], "merkle-leaves"), arity, height)
+    placed = positions(leaves, "tree", ["id", "digest"], "merkle-leaves")
+    rounds, subroots = climb(placed, arity, height)
+    drop_stored(placed)  # the first round is written
     forest = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("member"), "digest")
-    tops, roots = climb(positions(forest, "tree", ["member"], "merkle-subroots"), arity, height)
+    members = positions(forest, "tree", ["member"], "merkle-subroots")
+    tops, roots = climb(members, arity, height)
+    drop_stored(members)
     crown = _descend(tops, roots.select("tree", F.lit(b"").alias("up"), F.col("digest").alias("root"), F.lit(None).cast("binary").alias("subroot")))
     above = crown.select(F.col("member").alias("tree"), F.col("proof").alias("up"), "root", F.col("digest").alias("subroot"))
     rows = _descend(rounds, above).select("id", "digest", "claimed", "proof", "root", "subroot")
