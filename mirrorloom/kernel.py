@@ -9,6 +9,8 @@ their mismatches rule out every longer arm.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from .params import ScanParams
@@ -46,52 +48,62 @@ def _last_at_least(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, val
     return np.where((pos >= lo) & (levels[0][np.maximum(pos, 0)] >= value), pos, lo - 1)
 
 
-def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend: bool = True) -> dict[str, np.ndarray]:
-    """Longest valid arm per (centre, spacer) whose midpoint lies in ``own``, extended inwards and without repeats.
+class Strand:
+    """A stretch of sequence with its classes of bases and their prefix counts."""
 
-    Extension keeps the midpoint and equal spans share it, so ownership by midpoint leaves no repeats between stretches.
+    def __init__(self, seq: bytes):
+        self.d = np.frombuffer(seq.lower(), dtype=np.uint8)
+        self.cls = _CLASS[self.d]
+        self.ga = np.concatenate([[0], np.cumsum(self.cls == 1)]).astype(np.int64)
+        self.ct = np.concatenate([[0], np.cumsum(self.cls == 2)]).astype(np.int64)
 
-    Returns arrays ``start`` (0-based), ``end`` (exclusive), ``arm``, ``spacer``, ``ga``, ``ct``, ``mis``.
-    """
-    d = np.frombuffer(seq.lower(), dtype=np.uint8)
-    n = len(d)
-    none = {k: np.zeros(0, dtype=np.int64) for k in ("start", "end", "arm", "spacer", "ga", "ct", "mis")}
-    lo, hi = own or (0, n)
-    first, last = p.minrep - 1, n - p.minrep  # centres with room for an arm on either side
-    if hi <= lo or last <= first:
-        return none
-    cls = _CLASS[d]
-    ga = np.concatenate([[0], np.cumsum(cls == 1)]).astype(np.int64)
-    ct = np.concatenate([[0], np.cumsum(cls == 2)]).astype(np.int64)
-    bad = np.flatnonzero(cls == 0)
-    P, M, B = p.purity_percent, p.mismatch_percent, p.mismatch_budget
 
-    r = np.arange(max(lo, first) + 1, min(n - p.minrep, hi + p.maxspacer) + 1, dtype=np.int64)
+def pairs(s: Strand, minrep: int, maxrep: int, maxspacer: int, percent: int, own: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left, right, most): innermost bases of all arm pairs whose midpoint lies in ``own`` and whose right arm can be pure, and a bound of its length."""
+    n, (lo, hi) = len(s.d), own
+    first, last = minrep - 1, n - minrep  # centres with room for an arm on either side
+    if hi <= lo or last <= first:
+        return
+    bad = np.flatnonzero(s.cls == 0)
+    r = np.arange(max(lo, first) + 1, min(n - minrep, hi + maxspacer) + 1, dtype=np.int64)
     stop = np.concatenate([bad, [n]])[np.searchsorted(bad, r)]
-    longest = np.minimum(stop - r, p.maxrep)
-    r, longest = r[longest >= p.minrep], longest[longest >= p.minrep]
+    longest = np.minimum(stop - r, maxrep)
+    r, longest = r[longest >= minrep], longest[longest >= minrep]
     if not len(r):
-        return none
+        return
     reach = np.zeros(len(r), dtype=np.int64)
     place = np.arange(n + 1, dtype=np.int64)
-    for counts in (ga, ct):
-        f = 100 * counts - P * place
-        until = _last_at_least(_range_maxima(f, int(longest.max())), r + p.minrep, r + longest, f[r])
+    for counts in (s.ga, s.ct):
+        f = 100 * counts - percent * place
+        until = _last_at_least(_range_maxima(f, int(longest.max())), r + minrep, r + longest, f[r])
         reach = np.maximum(reach, until - r)
-    r, reach = r[reach >= p.minrep], reach[reach >= p.minrep]
-
-    found = []
-    step = max(1, _PAIRS // (p.maxspacer + 1))
+    r, reach = r[reach >= minrep], reach[reach >= minrep]
+    step = max(1, _PAIRS // (maxspacer + 1))
     for at in range(0, len(r), step):
-        sp = np.arange(p.maxspacer + 1, dtype=np.int64)
+        sp = np.arange(maxspacer + 1, dtype=np.int64)
         right = np.repeat(r[at : at + step], len(sp))
         most = np.repeat(reach[at : at + step], len(sp))
         left = right - np.tile(sp, len(right) // len(sp)) - 1
         most = np.minimum(most, left + 1)
         middle = (left + right) >> 1
-        keep = (middle >= lo) & (middle < hi) & (left >= first) & (left < last) & (most >= p.minrep)
-        keep[keep] = cls[left[keep]] != 0
-        left, right, most = left[keep], right[keep], most[keep]
+        keep = (middle >= lo) & (middle < hi) & (left >= first) & (left < last) & (most >= minrep)
+        keep[keep] = s.cls[left[keep]] != 0
+        yield left[keep], right[keep], most[keep]
+
+
+def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend: bool = True) -> dict[str, np.ndarray]:
+    """Longest valid arm per (centre, spacer) whose midpoint lies in ``own``, extended inwards and without repeats.
+
+    Extension keeps the midpoint and equal spans share it, so ownership by midpoint leaves no repeats between stretches.
+
+    Returns arrays ``start`` (0-based), ``end`` (exclusive), ``arm``, ``spacer``, ``ga``, ``ct``, ``mis``.
+    """
+    s = Strand(seq)
+    none = {k: np.zeros(0, dtype=np.int64) for k in ("start", "end", "arm", "spacer", "ga", "ct", "mis")}
+    d, ga, ct = s.d, s.ga, s.ct
+    P, M, B = p.purity_percent, p.mismatch_percent, p.mismatch_budget
+    found = []
+    for left, right, most in pairs(s, p.minrep, p.maxrep, p.maxspacer, P, own or (0, len(d))):
         best, best_mis = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)
         ids = np.arange(len(left))
         mis = np.zeros(len(left), dtype=np.int64)
@@ -116,7 +128,7 @@ def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend
         return none
     left, right, arm, mis = (np.concatenate(x) for x in zip(*found, strict=True))
     if extend:
-        left, right, arm = _extend(d, cls, ga, ct, left, right, arm, P, p.maxrep)
+        left, right, arm = _extend(s, left, right, arm, P, p.maxrep)
     start, end = left - arm + 1, right + arm
     order = np.lexsort((arm, end, start))
     start, end, arm, right, mis = (x[order] for x in (start, end, arm, right, mis))
@@ -126,8 +138,9 @@ def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend
     return {"start": start, "end": end, "arm": arm, "spacer": end - start - 2 * arm, "ga": ga[right + arm] - ga[right], "ct": ct[right + arm] - ct[right], "mis": mis}
 
 
-def _extend(d, cls, ga, ct, left, right, arm, percent, maxrep):
+def _extend(s: Strand, left, right, arm, percent, maxrep):
     """Move both arms into the spacer while its outer bases agree and the right arm stays pure."""
+    d, cls, ga, ct = s.d, s.cls, s.ga, s.ct
     left, right, arm = left.copy(), right.copy(), arm.copy()
     ids = np.arange(len(left))
     while len(ids):

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from . import detector_sql as Q
 from .functions import scoring, stats
+from .grid import Grid
 from .operators import evaluation as E
 from .operators import filters as C
 from .operators import intervals as G
 from .operators import generators as N
 from .operators import reporting as A
+from .operators.grid import grid_calls, grid_confusion, grid_predictions
 from .operators.overlap import islands, remove_overlaps
 from .params import ScanParams
 from .plans import scan as P
@@ -140,6 +142,57 @@ def e10(spark: SparkSession, sf: str) -> DataFrame:
     return E.prediction_matrix(records, GRID, lambda r, c: P.scan(r, ScanParams(**c)))
 
 
+# The whole grid over all documents in one scan.  SQL scans once per configuration, so it repeats a drawn few of the 576.
+
+WHOLE_GRID = Grid()
+DRAWN = [199, 375, 464]
+
+
+def _drawn_sql() -> str:
+    calls = [f"SELECT {i} AS config_id, record_ix FROM ({Q.p1_sql(WHOLE_GRID.params()[i], columns='DISTINCT record_ix')})" for i in DRAWN]
+    return f"WITH called AS ({' UNION ALL '.join(calls)}) SELECT CAST(c.config_id AS INTEGER) AS config_id, d.doc_id AS record_ix, CAST(k.record_ix IS NOT NULL AS INTEGER) AS p FROM documents d, (SELECT unnest({DRAWN}) AS config_id) c LEFT JOIN called k ON k.config_id = c.config_id AND k.record_ix = d.doc_id"
+
+
+@query("e10_grid_drawn", _drawn_sql())
+def e10_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of the drawn configurations for every document, from the scan of all 576."""
+    return grid_predictions(grid_calls(dna(spark, sf), WHOLE_GRID), WHOLE_GRID, only=DRAWN)
+
+
+@query("e9_parameter_grid")
+def e9(spark: SparkSession, sf: str) -> DataFrame:
+    """All configurations with the number of documents that each calls."""
+    called = grid_predictions(grid_calls(dna(spark, sf), WHOLE_GRID), WHOLE_GRID).groupBy("config_id").agg(F.sum("p").alias("called"))
+    axes = {k: list(getattr(WHOLE_GRID, k)) for k in ("filters", "purity", "mismatch", "minrep", "maxspacer")}
+    return E.parameter_grid(spark, **axes).join(called, "config_id")
+
+
+def grid_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    calls = grid_calls(dna(spark, sf), WHOLE_GRID)
+    truth = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("record_ix"), F.col("quality").alias("y"))
+    return E.with_metrics(grid_confusion(calls, truth, WHOLE_GRID))
+
+
+@query("e11_grid_selection")
+def e11_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the whole grid the configuration with the best MCC, by the order of ties."""
+    axes = {k: list(getattr(WHOLE_GRID, k)) for k in ("filters", "purity", "mismatch", "minrep", "maxspacer")}
+    simple = F.array_position(F.array(*map(F.lit, WHOLE_GRID.filters)), F.col("filters"))
+    m = grid_metrics(spark, sf).withColumn("mcc", F.round("mcc", 9)).join(E.parameter_grid(spark, **axes), "config_id")
+    return m.orderBy(F.col("mcc").desc(), F.col("sensitivity").desc(), simple, F.col("minrep").desc(), "maxspacer", "mismatch", "config_id").limit(1).select("config_id", *axes, *E.COUNTS, "mcc")
+
+
+@query("e15_grid_nested_cv")
+def e15_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold metrics of the configuration selected from the whole grid, five folds, four repeats."""
+    truth = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("record_id"), F.col("quality").alias("y"))
+    calls = grid_calls(dna(spark, sf), WHOLE_GRID).withColumnRenamed("record_ix", "record_id")
+    pred = grid_predictions(calls, WHOLE_GRID, "record_id").join(truth, "record_id")
+    each = truth.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    folds = E.stratified_folds(each, "record_id", ["y"], 5, F.col("rep"), ["rep"]).select("rep", "record_id", "fold")
+    return E.nested_cv(pred, folds, [F.round("mcc", 9).desc(), F.col("config_id")]).select("rep", *E.COUNTS, F.round("mcc", 9).alias("mcc"))
+
+
 VARY = [("minrep", 8), ("minrep", 10), ("maxspacer", 4), ("maxspacer", 10), ("purity", 0.8), ("mismatch", 0.2)]
 
 
@@ -704,11 +757,6 @@ def e7(spark: SparkSession, sf: str) -> DataFrame:
     return E.best_youden(E.roc_points(labelled(spark, sf)), positive_only=False).select("threshold", F.round("j", 9).alias("j"))
 
 
-@query("e9_parameter_grid", "SELECT row_number() OVER (ORDER BY f, m, s, p, x) - 1 AS config_id, ['none', 'at', 'homopolymer', 'both'][f] AS filters, m AS minrep, s AS maxspacer, p AS purity, x AS mismatch FROM (SELECT unnest([1, 2, 3, 4]) AS f), (SELECT unnest([8, 10, 12, 14]::BIGINT[]) AS m), (SELECT unnest([5, 7, 10, 15]::BIGINT[]) AS s), (SELECT unnest([0.8, 0.9, 1.0]::DOUBLE[]) AS p), (SELECT unnest([0.0, 0.1, 0.2]::DOUBLE[]) AS x)")
-def e9(spark: SparkSession, sf: str) -> DataFrame:
-    return E.parameter_grid(spark, filters=["none", "at", "homopolymer", "both"], minrep=[8, 10, 12, 14], maxspacer=[5, 7, 10, 15], purity=[0.8, 0.9, 1.0], mismatch=[0.0, 0.1, 0.2])
-
-
 @query("e11_select_by_six_keys", f", c AS (SELECT config_id, {_CONF} FROM pred GROUP BY 1) SELECT config_id, {_MCC} AS mcc FROM c ORDER BY {_MCC} DESC, tp / (tp + fn) DESC, config_id % 2, config_id // 2 DESC, config_id % 3, config_id LIMIT 1", _PRED)
 def e11_six(spark: SparkSession, sf: str) -> DataFrame:
     """The tie-break order: MCC, sensitivity, fewer filters, larger arms, smaller spacers, fewer mismatches."""
