@@ -17,6 +17,7 @@ from .operators import intervals as G
 from .operators import generators as N
 from .operators import reporting as A
 from .operators.grid import grid_calls, grid_confusion, grid_predictions
+from .operators.inside import best_first_inside, greedy_inside
 from .operators.overlap import islands, remove_overlaps
 from .params import ScanParams
 from .plans import scan as P
@@ -321,6 +322,18 @@ def o2(spark: SparkSession, sf: str) -> DataFrame:
     return remove_overlaps(hits(spark, sf), "score").select(HIT_KEY)
 
 
+@query("o1_greedy_inside", ORACLE_SQL["o1_greedy_sweep"])
+def o1_inside(spark: SparkSession, sf: str) -> DataFrame:
+    """The greedy sweep by successors and pointer jumping."""
+    return greedy_inside(hits(spark, sf)).select(HIT_KEY)
+
+
+@query("o2_score_inside", ORACLE_SQL["o2_score_selection"])
+def o2_inside(spark: SparkSession, sf: str) -> DataFrame:
+    """Selection by score in rounds of hits that outrank all their open neighbours."""
+    return best_first_inside(hits(spark, sf))[0].select(HIT_KEY)
+
+
 @query("o3_islands", """, marked AS (SELECT *, CASE WHEN max("end") OVER (PARTITION BY seq_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS n FROM hits),
 numbered AS (SELECT *, sum(n) OVER (PARTITION BY seq_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM marked)
 SELECT seq_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(start) AS start, max("end") AS "end" FROM numbered GROUP BY 1, 2""", HITS_SQL)
