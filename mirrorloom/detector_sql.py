@@ -115,6 +115,42 @@ def scores_sql(source: str, name: str, stacking: bool = True, search: bool = Tru
 {t} AS (SELECT h.*, o.stacking_score, o.pairing_score, o.total_score, coalesce(o.putative_triplex, '') AS putative_triplex FROM {source} h LEFT JOIN {t}_o o ON o.left_arm = h.left_arm AND o.spacer = h.spacer AND o.right_arm = h.right_arm)"""
 
 
+def linear_scores_sql(source: str, name: str) -> str:
+    """``name``: the source with the four score columns of the whole model, from running sums along each arm instead of all windows.
+
+    In units of 1/200.  A window (lo, hi] with a stacked step is worth a part of ``hi`` plus a part ``g`` of ``lo``, whose running
+    maximum (least ``lo`` on ties, packed into one number) is looked up at the last ``lo`` allowed; one without a stacked step
+    is best from the last ``lo`` allowed.
+    """
+    single = [0, *[5.0 if r <= 2 else round(5.0 ** (min(r - 2, 12) + 1) / 2, 2) for r in range(1, 16)]]
+    fines = [round(200 * x) for x in single]
+    sums = [sum(fines[: k + 1]) for k in range(16)]
+    fine = lambda r: f"list_extract({fines}::BIGINT[], CAST(least({r}, 15) + 1 AS BIGINT))"
+    alone = lambda k: f"(list_extract({sums}::BIGINT[], CAST(least({k}, 15) + 1 AS BIGINT)) + greatest({k} - 15, 0) * {fines[15]})"
+    t = name
+    return f"""{t}_d AS (SELECT row_number() OVER () AS h, * FROM (SELECT DISTINCT left_arm, spacer, right_arm FROM {source})),
+{t}_u AS (SELECT *, length(left_arm) AS arm, upper(left_arm || CASE WHEN spacer = '.' THEN '' ELSE spacer END || right_arm) AS s, length(left_arm) - length(translate(upper(left_arm), 'CT', '')) > length(left_arm) - length(translate(upper(left_arm), 'GA', '')) AS turn FROM {t}_d),
+{t}_t AS (SELECT h, left_arm, spacer, right_arm, arm, CASE WHEN turn THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS s FROM {t}_u),
+{t}_a AS MATERIALIZED (SELECT *, s[1:arm] AS s1, s[arm + 1:length(s) - arm] AS s3, reverse(s[length(s) - arm + 1:]) AS s2, length(s) - 2 * arm AS loop FROM {t}_t),
+{t}_j AS (SELECT h, arm, loop, unnest(range(1, arm + 1)) AS j, unnest(string_split(s1, '')) AS x, unnest(string_split(s2, '')) AS y FROM {t}_a WHERE regexp_full_match(s1 || s2, '[ACGT]*')),
+{t}_m AS (SELECT *, x = y AND x IN ('G', 'A') AS ok, CASE WHEN x = y AND x = 'G' THEN 1520 WHEN x = y AND x = 'A' THEN 766 ELSE -1143 END AS w FROM {t}_j),
+{t}_b AS (SELECT *, sum(w) OVER o AS tops, ok AND coalesce(lag(ok) OVER o, false) AS paired FROM {t}_m WINDOW o AS (PARTITION BY h ORDER BY j)),
+{t}_l AS (SELECT *, max(CASE WHEN paired THEN j END) OVER (PARTITION BY h ORDER BY j) AS last, min(CASE WHEN paired THEN j END) OVER (PARTITION BY h ORDER BY j ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM {t}_b),
+{t}_s AS (SELECT *, sum(CASE WHEN j = 1 THEN 0 WHEN paired THEN 1000 ELSE -{fine('j - greatest(coalesce(last, 0), 1)')} END) OVER (PARTITION BY h ORDER BY j) AS steps FROM {t}_l),
+{t}_f AS MATERIALIZED (SELECT a.*, CASE WHEN a.next IS NOT NULL THEN w - tops - {alone('a.next - 1 - a.j')} - n.steps END AS g FROM {t}_s a LEFT JOIN (SELECT h AS h2, j + 1 AS j2, steps FROM {t}_s) n ON n.h2 = a.h AND n.j2 = a.next),
+{t}_p AS MATERIALIZED (SELECT h, j, tops - w AS base, max(CAST(g AS BIGINT) * 2048 + 2048 - j) OVER (PARTITION BY h ORDER BY j) AS top FROM {t}_f),
+{t}_r AS (SELECT h, arm, j AS hi, tops, steps, coalesce(last - 1, 0) AS both, least(j - least(8, arm), 3 * j - 2 * arm - loop) AS latest FROM {t}_f),
+{t}_c AS (SELECT r.h, r.hi, 2047 - (p.top % 2048 + 2048) % 2048 AS lo, CAST(r.tops + r.steps AS BIGINT) + (p.top - (p.top % 2048 + 2048) % 2048) // 2048 AS value FROM {t}_r r JOIN {t}_p p ON p.h = r.h AND p.j = least(r.latest, r.both - 1) + 1 WHERE least(r.latest, r.both - 1) >= 0 AND p.top IS NOT NULL
+  UNION ALL SELECT r.h, r.hi, r.latest, CAST(r.tops - p.base AS BIGINT) - {alone('r.hi - 1 - r.latest')} FROM {t}_r r JOIN {t}_p p ON p.h = r.h AND p.j = r.latest + 1 WHERE r.latest >= r.both),
+{t}_w AS (SELECT h, max({{'v': value, 'lo': -lo, 'hi': -hi}}) AS b FROM {t}_c GROUP BY h),
+{t}_e AS (SELECT DISTINCT h, arm FROM {t}_j),
+{t}_x AS (SELECT e.h, coalesce(-b.lo, 0) AS lo, coalesce(-b.hi, e.arm) AS hi, b.v AS v FROM {t}_e e LEFT JOIN {t}_w w ON w.h = e.h),
+{t}_y AS (SELECT x.h, x.lo, x.hi, CAST(z.tops - p.base AS BIGINT) AS pair, coalesce(x.v, CAST(z.tops - p.base + z.steps AS BIGINT)) AS total FROM {t}_x x JOIN {t}_f z ON z.h = x.h AND z.j = x.hi JOIN {t}_p p ON p.h = x.h AND p.j = x.lo + 1),
+{t}_o AS (SELECT left_arm, spacer, right_arm, (total - pair) / 200.0 AS stacking_score, pair / 200.0 AS pairing_score, greatest(total / 200.0, 0.0) AS total_score,
+  lower(s1[lo + 1:hi] || '[' || s1[hi + 1:] || s3 || reverse(s2[hi + 1:]) || ']' || reverse(s2[lo + 1:hi])) AS putative_triplex FROM {t}_y JOIN {t}_a USING (h)),
+{t} AS (SELECT q.*, o.stacking_score::DOUBLE AS stacking_score, o.pairing_score::DOUBLE AS pairing_score, o.total_score::DOUBLE AS total_score, coalesce(o.putative_triplex, '') AS putative_triplex FROM {source} q LEFT JOIN {t}_o o ON o.left_arm = q.left_arm AND o.spacer = q.spacer AND o.right_arm = q.right_arm)"""
+
+
 #: A span, or a triplex without its brackets, of one base.
 MIXED = "NOT (length(full_sequence) > 0 AND replace(full_sequence, full_sequence[1], '') = '')"
 MIXED_TRIPLEX = "NOT (length(translate(putative_triplex, '[]', '')) > 0 AND replace(translate(putative_triplex, '[]', ''), translate(putative_triplex, '[]', '')[1], '') = '')"
@@ -137,7 +173,7 @@ def passing_sql(p: ScanParams, dna: str = DNA_SQL) -> str:
     return f"WITH RECURSIVE {dna}, {candidates_sql(p)}, {cool}, {g_rate_sql('cool', 'pass', p.min_g_rate)}"
 
 
-def p1_sql(p: ScanParams, dna: str = DNA_SQL, columns: str = f"{HITS}, {SCORED}") -> str:
+def p1_sql(p: ScanParams, dna: str = DNA_SQL, columns: str = f"{HITS}, {SCORED}", scores_sql=scores_sql) -> str:
     """Greedy: filter, select, score, homopolymers.  By score: filter, score, homopolymers, select."""
     mixed = f"WHERE {MIXED} AND {MIXED_TRIPLEX}" if p.filter_homopolymers else ""
     if not p.remove_overlaps:
@@ -158,12 +194,12 @@ def c2_sql(p: ScanParams) -> str:
 SELECT seq_id, start, "end", arm_length, {bound.replace('left_arm', 's_pairing.left_arm')} AS bound, {', '.join(f's_{m}.total_score AS score_{m}' for m in models)} FROM s_pairing {joins}"""
 
 
-def stages_sql(p: ScanParams) -> str:
+def stages_sql(p: ScanParams, whole=scores_sql) -> str:
     """Hits, mean and highest score after each stage but the first, overlaps removed."""
     row = lambda i, stage, table, score="total_score": f"SELECT {i} AS step, '{stage}' AS stage, count(*) AS hits, round(avg({score}), 6) AS mean_score, max({score}) AS max_score FROM {table}"
-    return f"""{passing_sql(p)}, {greedy_sql('pass', 'kept')}, {scores_sql('kept', 'pairing', False, False)}, {scores_sql('kept', 'stacked', True, False)}, {scores_sql('pass', 'full')},
+    return f"""{passing_sql(p)}, {greedy_sql('pass', 'kept')}, {scores_sql('kept', 'pairing', False, False)}, {scores_sql('kept', 'stacked', True, False)}, {whole('pass', 'full')},
 mixed AS (SELECT * FROM full_ WHERE {MIXED} AND {MIXED_TRIPLEX}), {greedy_sql('mixed', 'complete')}
-{row(0, 'composition', 'kept', 'NULL::DOUBLE')} UNION ALL {row(1, 'pairing', 'pairing')} UNION ALL {row(2, 'pairing_stacking', 'stacked')} UNION ALL {row(3, 'complete', 'complete')}""".replace("full AS (SELECT h.*", "full_ AS (SELECT h.*")
+{row(0, 'composition', 'kept', 'NULL::DOUBLE')} UNION ALL {row(1, 'pairing', 'pairing')} UNION ALL {row(2, 'pairing_stacking', 'stacked')} UNION ALL {row(3, 'complete', 'complete')}""".replace("full AS (SELECT h.*", "full_ AS (SELECT h.*").replace("full AS (SELECT q.*", "full_ AS (SELECT q.*")
 
 
 def detection_sql(p: ScanParams) -> str:

@@ -54,38 +54,59 @@ def orient(left: str, spacer: str, right: str) -> tuple[str, str, str]:
     return s[:arm], s[arm : len(s) - arm], s[len(s) - arm :][::-1]
 
 
+#: All weights are multiples of 1 / UNITS, so that windows are compared in whole numbers.
+UNITS = 200
+_WHOLE_DISCOUNTS = np.rint(_DISCOUNTS * UNITS).astype(np.int64)
+
+
 def best_window(first: str, second: str, loop: int, search: bool = True, stacking: bool = True) -> tuple[int, int]:
-    """The window (L, R) of the arms with the highest score; earliest L, then R, on ties; whole arms if none fits."""
+    """The window (L, R) of the arms with the highest score; earliest L, then R, on ties; whole arms if none fits.
+
+    Linear in the arm.  From the first stacked step after its start on, a window sees the same runs as the whole arm does, so its
+    score is a part that depends on R plus a part that depends on L, and the best L for an R is a prefix maximum.  A window
+    without a stacked step loses more by its last unstacked step than any pair adds, so for an R only the latest L counts.
+    """
     arm = len(first)
     if not search or not arm:
         return 0, arm
     a, b = np.frombuffer(first.encode(), np.uint8), np.frombuffer(second.encode(), np.uint8)
     good = (a == b) & ((a == 71) | (a == 65))
-    pair = np.where(good, np.where(a == 71, PAIRING_GG, PAIRING_AA), PAIRING_OTHER)
+    weights = np.where(good, np.where(a == 71, round(PAIRING_GG * UNITS), round(PAIRING_AA * UNITS)), round(PAIRING_OTHER * UNITS)).astype(np.int64)
     least = min(MIN_WINDOW, arm)
-    tops = np.concatenate([[0.0], np.cumsum(pair)])
-    # From the first stacked step after its start on, a window sees the same runs as the whole arm does; before that its
-    # run grows from 1.  So the stacking sum of any window is a difference of two prefix sums and a table look-up.
-    steps = np.array([0.0, *stacking_steps(good.tolist())]) if stacking else np.zeros(arm)
-    upto = np.concatenate([np.cumsum(steps), [0.0]])  # upto[i]: steps 1..i
-    both = np.flatnonzero(good[1:] & good[:-1]) + 1
-    first_both = np.concatenate([both, [arm]])[np.searchsorted(both, np.arange(arm) + 1)] if stacking else np.arange(arm)
-    alone = np.concatenate([[0.0], np.cumsum(_DISCOUNTS[np.minimum(np.arange(1, arm + 1), 15)])]) if stacking else np.zeros(arm + 1)
-    best, window = -np.inf, (0, arm)
-    last_start = arm - max(least, int(np.ceil(loop / SPACER_PER_ARM)))
-    for at in range(0, last_start + 1, 128):
-        lo = np.arange(at, min(last_start + 1, at + 128))[:, None]
-        hi = np.arange(min(arm, at + least), arm + 1)[None, :]
-        f = first_both[lo]
-        inside = np.maximum(hi - 1 - lo, 0)
-        stack = np.where(hi - 1 < f, -alone[np.minimum(inside, arm)], -alone[np.maximum(f - 1 - lo, 0)] + upto[hi - 1] - upto[np.maximum(f - 1, 0)]) if stacking else 0.0
-        value = np.round(tops[hi] - tops[lo] + stack, 3)
-        value = np.where((hi - lo >= least) & (2 * (arm - hi) + loop <= (hi - lo) * SPACER_PER_ARM), value, -np.inf)
-        top = int(np.argmax(value))  # the first in (L, R) order
-        i, j = divmod(top, value.shape[1])
-        if value[i, j] > best:
-            best, window = float(value[i, j]), (at + i, int(hi[0, j]))
-    return window
+    tops = np.concatenate([[0], np.cumsum(weights)])
+    ends = np.arange(least, arm + 1)
+    latest = np.minimum(ends - least, 3 * ends - 2 * arm - loop)  # what lies outside of the window must fit its length
+    ends, latest = ends[latest >= 0], latest[latest >= 0]
+    if not len(ends):
+        return 0, arm
+    i = np.arange(arm)
+    if not stacking:
+        before, by_start, by_end, open_ = latest, -tops[:-1], tops[ends], np.zeros(len(ends), dtype=bool)
+    else:
+        both = np.concatenate([[False], good[1:] & good[:-1]])
+        seen = np.maximum.accumulate(np.where(both, i, 0))  # last stacked step so far; 0 for none
+        steps = np.where(both, round(STACK_BONUS * UNITS), -_WHOLE_DISCOUNTS[np.minimum(i - seen, 15)])
+        steps[0] = 0
+        upto = np.cumsum(steps)
+        alone = np.cumsum(_WHOLE_DISCOUNTS[np.minimum(i, 15)])
+        nxt = np.minimum.accumulate(np.where(both, i, arm)[::-1])[::-1]
+        nxt = np.concatenate([nxt[1:], [arm]])  # first stacked step after each start
+        by_start = np.where(nxt < arm, -tops[:-1] - alone[np.maximum(nxt - 1 - i, 0)] - upto[np.maximum(nxt - 1, 0)], np.iinfo(np.int64).min // 2)
+        by_end = tops[ends] + upto[ends - 1]
+        before = np.minimum(latest, seen[ends - 1] - 1)  # starts from which the window has a stacked step
+        open_ = latest >= seen[ends - 1]
+    highest = np.maximum.accumulate(by_start)
+    earliest = np.maximum.accumulate(np.where(np.concatenate([[True], by_start[1:] > highest[:-1]]), i, 0))
+    some = before >= 0
+    starts, values, upper = [earliest[before[some]]], [by_end[some] + highest[before[some]]], [ends[some]]
+    if open_.any():
+        lo, hi = latest[open_], ends[open_]
+        starts.append(lo)
+        values.append(tops[hi] - tops[lo] - alone[hi - 1 - lo])
+        upper.append(hi)
+    lo, value, hi = (np.concatenate(x) for x in (starts, values, upper))
+    best = np.lexsort((hi, lo, -value))[0]
+    return int(lo[best]), int(hi[best])
 
 
 def ceiling(left: str, spacer: str, right: str) -> float:

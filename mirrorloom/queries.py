@@ -71,7 +71,7 @@ def p1(spark: SparkSession, sf: str) -> DataFrame:
 SHORT = ScanParams(maxrep=12, maxspacer=3)
 
 
-@query("p1_scan_score_selection")
+@query("p1_scan_score_selection", Q.p1_sql(ScanParams(overlap_strategy="score"), scores_sql=Q.linear_scores_sql))
 def p1_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_scores(P.scan(dna(spark, sf), ScanParams(overlap_strategy="score")))
 
@@ -90,7 +90,7 @@ def stages(records: DataFrame, p: ScanParams) -> DataFrame:
     return out
 
 
-@query("p6_ablation_stages")
+@query("p6_ablation_stages", Q.stages_sql(ScanParams(), Q.linear_scores_sql))
 def p6(spark: SparkSession, sf: str) -> DataFrame:
     return stages(dna(spark, sf), ScanParams())
 
