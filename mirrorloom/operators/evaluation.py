@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.stats import binomial_two_sided
+from .ranks import running, stored
 
 COUNTS = ["tp", "fp", "tn", "fn"]
 
@@ -39,9 +40,8 @@ def _by_score(df: DataFrame, y: str, s: str, by: Sequence[str]) -> DataFrame:
 
 def auroc(df: DataFrame, y: str = "y", s: str = "s", by: Sequence[str] = ()) -> DataFrame:
     """Probability that a positive scores above a negative, ties one half; null without both."""
-    w = Window.partitionBy(*by).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(w), F.lit(0))
-    wins = _by_score(df, y, s, by).withColumn("w", F.col("pos") * (below + F.col("neg") / 2.0))
+    upto = running(_by_score(df, y, s, by), [F.col(s)], {"upto": F.col("neg")}, tuple(by), "auroc")
+    wins = upto.withColumn("w", F.col("pos") * (F.col("upto") - F.col("neg") / 2.0))
     return wins.groupBy(*by).agg(F.try_divide(F.sum("w"), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
 
 
@@ -52,8 +52,8 @@ def roc_points(df: DataFrame, y: str = "y", s: str = "s", by: Sequence[str] = ()
     """
     per = _by_score(df, y, s, by)
     totals = df.groupBy(*by).agg(F.count_if(F.col(y) == 1).alias("P"), F.count_if(F.col(y) != 1).alias("N"))
-    w = Window.partitionBy(*by).orderBy(F.col(s).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    mid = per.select(*by, F.col(s).cast("double").alias("threshold"), F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    sums = running(per, [F.col(s).desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, tuple(by), "roc")
+    mid = sums.select(*by, F.col(s).cast("double").alias("threshold"), "tp", "fp")
     ends = totals.select(*by, F.inline(F.array(
         F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp")),
         F.struct(F.lit(float("-inf")).alias("threshold"), F.col("P").alias("tp"), F.col("N").alias("fp")))))
@@ -185,22 +185,45 @@ def verdict(lo: Column, hi: Column, p: Column, alpha: float = 0.05) -> Column:
     return F.when((lo > 0) & (p < alpha), "better").when((hi < 0) & (p < alpha), "worse").when((lo > 0) | (hi < 0), "inconclusive").otherwise("equivalent")
 
 
-def nearest_train(test: DataFrame, train: DataFrame, id_col: str = "record_id", seq: str = "seq", block: int = 256) -> DataFrame:
+def _equal_bases(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ((x == y) & (x != "")).cast("int")), F.lit(0), lambda t, x: t + x)
+
+
+def _best_of(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a_id").agg(F.min(F.struct((F.col("len") - _equal_bases("a_s", "b_s")).alias("d"), F.col("b_id"), F.col("len"))).alias("m"))
+
+
+def _in_blocks(test: DataFrame, train: DataFrame, block: int) -> DataFrame:
+    """The best of all training records of equal length: each task holds one block of those of one length."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
+    per = train.groupBy("len").agg(F.count(F.lit(1)).alias("n")).select("len", parts.alias("parts"))
+    b = train.join(per, "len").withColumn("part", F.pmod(F.xxhash64("b_id"), F.col("parts")).cast("int")).drop("parts")
+    a = test.join(per, "len").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return _best_of(a.join(b, ["len", "part"]))
+
+
+def nearest_train(test: DataFrame, train: DataFrame, id_col: str = "record_id", seq: str = "seq", block: int = 256, slices: Sequence[int] = (4, 8, 16), shortest: int = 8) -> DataFrame:
     """Per test record the training record of equal length with most equal bases, the smallest id on ties, exactly.
 
-    The test records are a query set against all of training: both go to (length, block of the training ids), so each
-    task holds one block of the training records of one length, and only the best of a block leaves it.  A record
-    without a partner of its length has null.
+    Multi-index search with a growing radius: cut into ``k`` slices, two records that differ in fewer than ``k`` places agree in a
+    slice, so a join on (length, slice) finds every record within that radius, and a record whose best is within it is settled.  The others
+    go on with more, shorter slices.  What is left, or too short for slices of ``shortest`` bases, has no near record at
+    all: these few are a query set against all training records of their length, in blocks.  A record without a partner of its length has null.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
     s = F.upper(F.col(seq))
-    per = train.groupBy(F.length(seq).alias("len")).agg(F.count(F.lit(1)).alias("n")).select("len", parts.alias("parts"))
-    b = train.select(F.col(id_col).alias("b_id"), s.alias("b_s"), F.length(seq).alias("len")).join(per, "len").withColumn("part", F.pmod(F.xxhash64("b_id"), F.col("parts")).cast("int")).drop("parts")
-    a = test.select(F.col(id_col).alias("a_id"), s.alias("a_s"), F.length(seq).alias("len")).join(per, "len").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    differ = F.length("a_s") - F.aggregate(F.zip_with(F.split("a_s", ""), F.split("b_s", ""), lambda x, y: ((x == y) & (x != "")).cast("int")), F.lit(0), lambda t, x: t + x)
-    best = a.join(b, ["len", "part"]).groupBy("a_id").agg(F.min(F.struct(differ.alias("d"), F.col("b_id"), F.col("len"))).alias("m"))
-    found = test.join(best, test[id_col] == best["a_id"], "left")
-    return found.select(*[test[c] for c in test.columns], F.col("m.b_id").alias("nearest"), (1 - F.col("m.d") / F.col("m.len")).alias("identity"))
+    a = stored(test.select(F.col(id_col).alias("a_id"), s.alias("a_s"), F.length(seq).alias("len")), "nearest-test")
+    b = train.select(F.col(id_col).alias("b_id"), s.alias("b_s"), F.length(seq).alias("len")).join(a.select("len").distinct(), "len", "left_semi")
+    best = None
+    for k in slices:
+        edge = lambda i, k=k: F.floor(F.col("len") * i / k).cast("int")
+        cut = lambda df, c, edge=edge, k=k: df.where(F.col("len") >= k * shortest).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_slice", F.substring(c, edge(F.col("_i")) + 1, edge(F.col("_i") + 1) - edge(F.col("_i"))))
+        found = _best_of(cut(a, "a_s").join(cut(b, "b_s"), ["len", "_i", "_slice"])).where(F.col("m.d") < k)
+        found = stored(found, "nearest-found")
+        best = found if best is None else best.unionByName(found)
+        a = stored(a.join(found, "a_id", "left_anti"), "nearest-open")
+    best = best.unionByName(_in_blocks(a, b, block))
+    got = test.join(best, test[id_col] == best["a_id"], "left")
+    return got.select(*[test[c] for c in test.columns], F.col("m.b_id").alias("nearest"), (1 - F.col("m.d") / F.col("m.len")).alias("identity"))
 
 
 def leakage_flags(test: DataFrame, train: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -225,10 +248,9 @@ def ratio_of_means(df: DataFrame, num: str, den: str, n_boot: int, seed: int = 1
 
 def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:
     """(u, n1, n2, ties) of the Mann-Whitney test of rows with group 1 against the others."""
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)  # over distinct values
-    per = _by_score(df.withColumn("_y", F.col(group)), "_y", value, ())
+    per = running(_by_score(df.withColumn("_y", F.col(group)), "_y", value, ()), [F.col(value)], {"upto": F.col("neg")}, (), "rank-sum")
     t = F.col("pos") + F.col("neg")
-    got = per.withColumn("u", F.col("pos") * (F.coalesce(F.sum("neg").over(w), F.lit(0)) + F.col("neg") / 2.0))
+    got = per.withColumn("u", F.col("pos") * (F.col("upto") - F.col("neg") / 2.0))
     return got.agg(F.sum("u").alias("u"), F.sum("pos").alias("n1"), F.sum("neg").alias("n2"), F.sum((t * t * t - t).cast("double")).alias("ties"))
 
 
@@ -237,8 +259,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranked(c: str) -> DataFrame:
         per = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return per.select(F.col(c).alias(f"_{c}"), (before + (F.col("_n") + 1) / 2.0).alias(f"r_{c}"))
+        upto = running(per, [F.col(c)], {"_upto": F.col("_n")}, (), "spearman")
+        return upto.select(F.col(c).alias(f"_{c}"), (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(f"r_{c}"))
 
     both = df.join(ranked(a), F.col(a) == F.col(f"_{a}")).join(ranked(b), F.col(b) == F.col(f"_{b}"))
     return both.agg(F.corr(f"r_{a}", f"r_{b}").alias("rho"))

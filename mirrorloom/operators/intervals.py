@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import odds_ratio
 from .evaluation import seeded, uniform
+from .ranks import running
 
 BIN = 1024
 #: Positions of a bin within which running values are windowed; between bins they are carried.
@@ -94,8 +95,11 @@ def coverage(inserts: DataFrame, hits: DataFrame, key: str = "seq_id", id_col: s
 
 def overlapping_neighbours(hits: DataFrame, key: str = "seq_id") -> DataFrame:
     """Per key, whether two of its intervals overlap."""
-    later = F.lead("start").over(Window.partitionBy(key).orderBy("start", "end"))
-    return hits.select(key, (later <= F.col("end")).alias("o")).groupBy(key).agg(F.coalesce(F.bool_or("o"), F.lit(False)).alias("has_overlap"))
+    # two overlap iff some interval starts no later than the greatest end before it
+    rows = carried(hits.select(key, "start", "end"), (key,), "start", F.col("end"), F.max)
+    before = Window.partitionBy(key, "_bin").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest("_carry", F.max("end").over(before))
+    return rows.select(key, (F.col("start") <= reach).alias("o")).groupBy(key).agg(F.coalesce(F.bool_or("o"), F.lit(False)).alias("has_overlap"))
 
 
 def as_of_region(points: DataFrame, regions: DataFrame, key: str = "seq_id") -> DataFrame:
@@ -151,36 +155,78 @@ def bin_counts(points: DataFrame, width: int = 200, key: str = "chrom", pos: str
     return points.groupBy(key, F.floor((F.col(pos) - 1) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def poisson_tail(lam: Column, k: Column) -> Column:
-    """P(X >= k) for counts as they occur: the lower sum, term by term, in logs so that no mean is too large."""
-    step = lambda a, i: F.struct((a["t"] + F.log(lam) - F.log(i + 1)).alias("t"), (a["s"] + F.exp(a["t"])).alias("s"))
-    terms = F.aggregate(F.sequence(F.lit(0), F.greatest(k.cast("int") - 1, F.lit(0))), F.struct((-lam.cast("double")).alias("t"), F.lit(0.0).alias("s")), step, lambda a: a["s"])
-    return F.when(k <= 0, 1.0).when(lam <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - terms))
+def poisson_tail(lam: Column, k: Column, steps: int = 400) -> Column:
+    """P(X >= k): the regularised incomplete gamma function P(k, lam).
+
+    Below ``k + 1`` by its power series, above by the complement's continued fraction, both from the leading term in logs; ``steps``
+    terms suffice while either is far from its edge, and near it the number grows with the root of ``lam``, not with ``k``.
+    """
+    x, a = lam.cast("double"), k.cast("double")
+    root = F.greatest(F.lit(float(steps)), F.ceil(12 * F.sqrt(F.greatest(x, a)))).cast("int")
+    lead = F.exp(a * F.log(x) - x - _log_gamma(a))
+    series = F.aggregate(
+        F.sequence(F.lit(1), root), F.struct((1 / a).alias("t"), (1 / a).alias("s")),
+        lambda v, i: F.struct((v["t"] * x / (a + i)).alias("t"), (v["s"] + v["t"] * x / (a + i)).alias("s")), lambda v: v["s"])
+    # modified Lentz: b = x + 1 - a, then b + 2 i with partial numerators -i (i - a)
+    tiny = 1e-300
+    b0 = x + 1 - a
+    start = F.struct((1 / b0).alias("d"), F.lit(1 / tiny).alias("c"), (1 / b0).alias("h"))
+
+    def lentz(v: Column, i: Column) -> Column:
+        an, b = -i * (i - a), b0 + 2 * i
+        d = an * v["d"] + b
+        c = b + an / v["c"]
+        d = 1 / F.when(F.abs(d) < tiny, tiny).otherwise(d)
+        c = F.when(F.abs(c) < tiny, tiny).otherwise(c)
+        return F.struct(d.alias("d"), c.alias("c"), (v["h"] * d * c).alias("h"))
+
+    fraction = F.aggregate(F.sequence(F.lit(1), root), start, lentz, lambda v: v["h"])
+    tail = F.when(x < a + 1, lead * series).otherwise(1 - lead * fraction)
+    return F.when(k <= 0, 1.0).when(lam <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
+
+
+def _log_gamma(a: Column) -> Column:
+    """Stirling's series after moving the argument above 10; exact to the last bits for whole numbers."""
+    up = F.greatest(F.lit(0), F.ceil(10 - a)).cast("int")
+    moved = F.aggregate(F.sequence(F.lit(1), up), F.lit(0.0), lambda v, i: v + F.log(a + i - 1))
+    below = F.when(up > 0, moved).otherwise(0.0)
+    z = a + up
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0))) - below
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q") -> DataFrame:
-    """Adjusted p-values over all rows, from the counts per distinct p."""
+    """Adjusted p-values over all rows, from the counts per distinct p, with sums and minima by ranges."""
     per = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per.withColumn("_raw", F.col("_p") * F.sum("_n").over(Window.partitionBy()) / F.sum("_n").over(up))
-    down = Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    adjusted = ranked.select("_p", F.least(F.lit(1.0), F.min("_raw").over(down)).alias(out))
+    ranked = running(per, [F.col("_p")], {"_rank": F.col("_n")}, (), "adjusted-ranks")
+    total = ranked.agg(F.max("_rank").alias("_all"))
+    raw = ranked.join(F.broadcast(total)).select("_p", (F.col("_p") * F.col("_all") / F.col("_rank")).alias("_raw"))  # one row
+    adjusted = running(raw, [F.col("_p").desc()], {"_least": F.col("_raw")}, (), "adjusted", F.min).select("_p", F.least(F.lit(1.0), F.col("_least")).alias(out))
     return df.join(adjusted, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
+def halo(df: DataFrame, key: str, at: str, before: int, after: int, width: int = STRETCH) -> DataFrame:
+    """``df`` with ``_stretch`` and ``_own``: each row in its own stretch of ``at``, and copied to those whose border is within reach."""
+    bin_ = lambda c: F.floor(c / width).cast("long")
+    out = df.withColumn("_stretch", F.explode(F.sequence(bin_(F.col(at) - after), bin_(F.col(at) + before))))
+    return out.withColumn("_own", F.col("_stretch") == bin_(F.col(at)))
+
+
 def enriched_bins(counts: DataFrame, control: DataFrame, scale: float, genome_mean: float, key: str = "chrom", half: int = 25, fdr: float = 0.01) -> DataFrame:
     """Bins whose count beats scale * max(control, mean of 50 bins around, genome mean), among the bins of all keys; bins must be complete per key."""
     both = counts.join(control.withColumnRenamed("n", "c"), [key, "bin"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    around = F.sum("c").over(Window.partitionBy(key).orderBy("bin").rowsBetween(-half, half - 1)) / (2 * half)
+    near = halo(both, key, "bin", half, half)
+    around = F.sum("c").over(Window.partitionBy(key, "_stretch").orderBy("bin").rangeBetween(-half, half - 1)) / (2 * half)
     lam = F.lit(scale) * F.greatest(F.col("c").cast("double"), around, F.lit(genome_mean))
-    tested = both.withColumn("lam", lam).withColumn("p", poisson_tail(F.col("lam"), F.col("n")))
+    tested = near.withColumn("lam", lam).where("_own").drop("_stretch", "_own").withColumn("p", poisson_tail(F.col("lam"), F.col("n")))
     return benjamini_hochberg(tested).where(F.col("q") <= fdr)
 
 
 def merge_bins(bins: DataFrame, width: int = 200, key: str = "chrom") -> DataFrame:
     """Neighbouring bins as intervals (0-based, half-open)."""
-    island = F.col("bin") - F.row_number().over(Window.partitionBy(key).orderBy("bin"))
-    return bins.select(key, "bin").distinct().withColumn("g", island).groupBy(key, "g").agg((F.min("bin") * width).alias("start0"), ((F.max("bin") + 1) * width).alias("end0")).drop("g")
+    distinct = bins.select(key, "bin").distinct()
+    numbered = carried(distinct, (key,), "bin", F.lit(1).cast("long"), F.sum)
+    place = F.coalesce("_carry", F.lit(0)) + F.row_number().over(Window.partitionBy(key, "_bin").orderBy("bin"))
+    return numbered.withColumn("g", F.col("bin") - place).groupBy(key, "g").agg((F.min("bin") * width).alias("start0"), ((F.max("bin") + 1) * width).alias("end0")).drop("g")
 
 
 def rpkm(count: Column, length: Column, total: Column | int) -> Column:

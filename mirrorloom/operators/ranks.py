@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,23 +38,26 @@ def drop_stored(df: DataFrame) -> None:
             at(folder).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at(folder), True)
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column], by: tuple[str, ...] = (), name: str = "running") -> DataFrame:
-    """``df`` with, for each of ``sums``, its sum over the rows of the same ``by`` up to and with this one in ``order``; exact for whole numbers.
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], by: tuple[str, ...] = (), name: str = "running", how: Callable[[Column | str], Column] = F.sum) -> DataFrame:
+    """``df`` with, for each of ``sums``, its sum (or ``how``) over the rows of the same ``by`` up to and with this one in ``order``; exact for whole numbers.
 
     Sorted rows are dealt out by ranges and stored with the number of their range; sums run within (by, range), and the totals
     of the ranges before, one row per range and group, are added.  No task sees more rows than a range has.
     """
     keys = [F.col(c).asc_nulls_first() for c in by]
     placed = stored(df.withColumns({f"_{k}": v for k, v in sums.items()}).orderBy(*keys, *order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)), name)
-    totals = placed.groupBy(*by, "_range").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in sums])
+    totals = placed.groupBy(*by, "_range").agg(*[how(f"_{k}").alias(f"_{k}") for k in sums])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     if not by:
         # one row per range: the only window without a key, over as many rows as there are partitions
         before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}_before") for k in sums])
+    offsets = totals.select(*by, "_range", *[how(f"_{k}").over(before).alias(f"_{k}_before") for k in sums])
     within = Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     joined = placed.join(offsets, [*by, "_range"])
-    return joined.select(*df.columns, *[(F.sum(f"_{k}").over(within) + F.col(f"_{k}_before")).alias(k) for k in sums])
+    own = {k: how(f"_{k}").over(within) for k in sums}
+    before_ = lambda k: F.col(f"_{k}_before")
+    both = {k: v + F.coalesce(before_(k), F.lit(0)) if how is F.sum else (F.least if how is F.min else F.greatest)(v, before_(k)) for k, v in own.items()}
+    return joined.select(*df.columns, *[v.alias(k) for k, v in both.items()])
 
 
 def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), out: str = "rank") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluation import seeded
+from .ranks import running
 
 
 def compute_stats(hits: DataFrame) -> DataFrame:
@@ -69,8 +70,8 @@ def page_count(hits: DataFrame, size: int) -> DataFrame:
 def score_range(df: DataFrame, col: str = "total_score") -> DataFrame:
     """Minimum, upper median (the element at n // 2) and maximum, from the value counts' running sum."""
     rows = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    run = Window.orderBy(col)  # over distinct values
-    upto = rows.select(col, F.sum("n").over(run).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    sums = running(rows, [F.col(col)], {"upto": F.col("n")}, (), "score-range")
+    upto = sums.join(F.broadcast(sums.agg(F.max("upto").alias("total"))))  # one row
     return upto.agg(F.min(col).alias("min_score"), F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col(col))).alias("median_score"), F.max(col).alias("max_score"))
 
 

@@ -280,7 +280,7 @@ def c9(spark: SparkSession, sf: str) -> DataFrame:
 @query("g26_motif_features", """SELECT doc_id, pos, CAST(length(full_sequence) AS INTEGER) AS n, CAST(length(full_sequence) - length(translate(full_sequence, 'at', '')) AS INTEGER) AS at_bases,
   CAST((length(full_sequence) - length(translate(full_sequence, 'ga', ''))) - (length(full_sequence) - length(translate(full_sequence, 'ct', ''))) AS INTEGER) AS purine_skew,
   CAST(list_max(list_transform(regexp_extract_all(full_sequence, 'a+|c+|g+|t+|n+'), lambda x: length(x))) AS INTEGER) AS longest_run,
-  CAST(coalesce(list_first(list_filter([1, 2, 3, 4], lambda k: (length(full_sequence) - k) - hamming(full_sequence[1:length(full_sequence) - k], full_sequence[k + 1:]) >= 0.9 * (length(full_sequence) - k))), 0) AS INTEGER) AS period FROM motifs""", MOTIFS_SQL)
+  CAST(coalesce(list_first(list_filter(range(1, least(4, length(full_sequence) - 1) + 1), lambda k: (length(full_sequence) - k) - hamming(full_sequence[1:length(full_sequence) - k], full_sequence[k + 1:]) >= 0.9 * (length(full_sequence) - k))), 0) AS INTEGER) AS period FROM motifs""", MOTIFS_SQL)
 def g26(spark: SparkSession, sf: str) -> DataFrame:
     m = motifs(spark, sf)
     f = G.motif_features(F.col("full_sequence"))
@@ -834,10 +834,10 @@ def e23(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("verdict", E.verdict(F.col("lo"), F.col("hi"), F.col("p")))
 
 
-@query("e24_nearest_train", ", m AS (SELECT doc_id * 1000 + pos AS record_id, upper(full_sequence) AS s FROM motifs WHERE length(full_sequence) <= 40), p AS (SELECT a.record_id, b.record_id AS nearest, hamming(a.s, b.s) AS d, length(a.s) AS n FROM m a JOIN m b ON length(a.s) = length(b.s) WHERE a.record_id % 50 = 0 AND b.record_id % 50 <> 0), b AS (SELECT record_id, min((d, nearest, n)) AS m FROM p GROUP BY 1) SELECT m.record_id, b.m[2] AS nearest, 1 - b.m[1] / b.m[3] AS identity FROM m LEFT JOIN b USING (record_id) WHERE m.record_id % 50 = 0", MOTIFS_SQL)
+@query("e24_nearest_train", ", m AS (SELECT doc_id * 1000 + pos AS record_id, upper(full_sequence) AS s FROM motifs), p AS (SELECT a.record_id, b.record_id AS nearest, hamming(a.s, b.s) AS d, length(a.s) AS n FROM m a JOIN m b ON length(a.s) = length(b.s) WHERE a.record_id % 50 = 0 AND b.record_id % 50 <> 0), b AS (SELECT record_id, min((d, nearest, n)) AS m FROM p GROUP BY 1) SELECT m.record_id, b.m[2] AS nearest, 1 - b.m[1] / b.m[3] AS identity FROM m LEFT JOIN b USING (record_id) WHERE m.record_id % 50 = 0", MOTIFS_SQL)
 def e24_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The search as a stated query set: records whose id is divisible by 50 against all others."""
-    m = motifs(spark, sf).where(F.length("full_sequence") <= 40).select((F.col("doc_id") * 1000 + F.col("pos")).alias("record_id"), F.col("full_sequence").alias("seq"))
+    m = motifs(spark, sf).select((F.col("doc_id") * 1000 + F.col("pos")).alias("record_id"), F.col("full_sequence").alias("seq"))
     return E.nearest_train(m.where("record_id % 50 = 0"), m.where("record_id % 50 <> 0")).select("record_id", "nearest", "identity")
 
 
@@ -945,11 +945,11 @@ def s7(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_bed(spark, path).select("chrom", "start0", "end0")
 
 
-@query("n2_strong_mirror", f"""WITH {_BENCH}, c AS (SELECT record_ix, upper(substr(seq, 1, 60)) AS s FROM dna), l AS (SELECT record_ix, s, unnest(range(8, length(s) - 7)) AS l FROM c WHERE length(s) >= 16), p AS (SELECT *, unnest(range(0, 11)) AS sp FROM l), k AS (SELECT record_ix, s, l, l + sp + 1 AS r, unnest(range(8, least(l, length(s) - l - sp) + 1)) AS k FROM p WHERE l + sp + 8 <= length(s)),
+@query("n2_strong_mirror", f"""WITH {_BENCH}, c AS (SELECT record_ix, upper(seq) AS s FROM dna), l AS (SELECT record_ix, s, unnest(range(8, length(s) - 7)) AS l FROM c WHERE length(s) >= 16), p AS (SELECT *, unnest(range(0, 13)) AS sp FROM l), k AS (SELECT record_ix, s, l, l + sp + 1 AS r, unnest(range(8, least(l, length(s) - l - sp) + 1)) AS k FROM p WHERE l + sp + 8 <= length(s)),
 b AS (SELECT record_ix, max((1 - hamming(reverse(s[l - k + 1:l]), s[r:r + k - 1]) / k, k)) AS m FROM k GROUP BY 1) SELECT c.record_ix, coalesce(round(m[1], 9), 0) AS identity, CAST(coalesce(m[2], 0) AS INTEGER) AS arm, coalesce(m[1], 0) >= 0.8 AS strong FROM c LEFT JOIN b USING (record_ix)""")
 def n2(spark: SparkSession, sf: str) -> DataFrame:
-    """The best mirror of the first sixty bases of each passage, and whether it is a strong one."""
-    s = passages(spark, sf).select("record_ix", F.upper(F.substring("seq", 1, 60)).alias("seq"))
+    """The best mirror of each passage, and whether it is a strong one."""
+    s = passages(spark, sf).select("record_ix", F.upper("seq").alias("seq"))
     return s.select("record_ix", N.best_mirror_column(F.col("seq")).alias("m"), N.strong_mirror_column(F.col("seq")).alias("strong")).select("record_ix", F.round("m.identity", 9).alias("identity"), "m.arm", "strong")
 
 

@@ -39,10 +39,10 @@ def dna(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def motifs(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of documents as candidate spans: two arms of a third each and what lies between."""
+    """Lines of documents as candidate spans: two arms of a third each and what lies between; fewer than three bases have no arms."""
     bases = F.translate(F.regexp_replace(F.lower("text"), "[^a-z\n]", ""), LETTERS, BASES)
     # cut after the letters are read, so that a span is a column of its own and not an expression repeated in all others
-    s = _texts(spark, sf).select("doc_id", F.posexplode(F.split(bases, "\n")).alias("pos", "full_sequence")).where(F.length("full_sequence") >= 24)
+    s = _texts(spark, sf).select("doc_id", F.posexplode(F.split(bases, "\n")).alias("pos", "full_sequence")).where(F.length("full_sequence") >= 3)
     n = F.length("full_sequence")
     arm = F.floor(n / 3).cast("int")
     s = s.withColumn("arm_length", arm).withColumn("left_arm", F.substring("full_sequence", F.lit(1), F.col("arm_length"))).withColumn("right_arm", F.substring("full_sequence", n - F.col("arm_length") + 1, F.col("arm_length")))
@@ -55,7 +55,7 @@ DNA_SQL = f"""dna AS (SELECT doc_id AS record_ix, 'd' || doc_id AS seq_id, {_DNA
 
 MOTIFS_SQL = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 spans AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, {_DNA_SQL.format('line')} AS full_sequence FROM lines),
-arms AS (SELECT *, CAST(length(full_sequence) // 3 AS INTEGER) AS arm_length FROM spans WHERE length(full_sequence) >= 24),
+arms AS (SELECT *, CAST(length(full_sequence) // 3 AS INTEGER) AS arm_length FROM spans WHERE length(full_sequence) >= 3),
 cut AS (SELECT *, substr(full_sequence, 1, arm_length) AS left_arm, substr(full_sequence, length(full_sequence) - arm_length + 1, arm_length) AS right_arm FROM arms),
 motifs AS (SELECT *, (length(right_arm) - length(translate(right_arm, 'ga', ''))) * 100 / arm_length AS ga_pct, (length(right_arm) - length(translate(right_arm, 'ct', ''))) * 100 / arm_length AS ct_pct FROM cut)"""
 

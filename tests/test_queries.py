@@ -69,6 +69,26 @@ def test_auroc_is_pairs(spark):
     assert E.auroc(spark.createDataFrame(rows, "y int, s double")).first()[0] == pytest.approx(wins)
 
 
+def every_mirror(s, least, loop):
+    """(identity, arm, start, spacer) by arm, start and spacer, all of them."""
+    best = (0.0, 0, 0, 0)
+    for arm in range(least, len(s) // 2 + 1):
+        for i in range(len(s) - 2 * arm + 1):
+            for sp in range(min(loop, len(s) - 2 * arm - i) + 1):
+                same = sum(a == b for a, b in zip(s[i : i + arm], s[i + arm + sp : i + 2 * arm + sp][::-1], strict=True)) / arm
+                if (same, arm) > best[:2]:
+                    best = (same, arm, i, sp)
+    return best
+
+
+def test_best_mirror_is_the_best_of_all():
+    rng = random.Random(2)
+    for _ in range(400):
+        letters, least = rng.choice(["ACGT", "AG", "ACGTN", "ABCDEFGHIJKLMNOP"]), rng.choice([3, 5, 8])
+        s = "".join(rng.choice(letters) for _ in range(rng.choice([0, 5, 16, 30, 45])))
+        assert N.best_mirror(s, least) == every_mirror(s, least, 12)
+
+
 def test_generators():
     s = "GATTACAGATTACCAGGAATTCCGGTTAACC"
     t = N.dinucleotide_shuffle(s, 5)
@@ -76,12 +96,16 @@ def test_generators():
     assert pairs(s) == pairs(t) and s[0] == t[0] and s[-1] == t[-1]
     m = N.perfect_mirror(12, 3, 1)
     assert m[:12] == m[15:][::-1] and N.has_strong_mirror(m)
+    assert N.BALANCED[0] <= N.purine_fraction(m[:12]) <= N.BALANCED[1]
     d = N.disrupt_mirror(m, 2)
     kinds = str.maketrans("AGCT", "RRYY")
     assert d.translate(kinds) == m.translate(kinds) and not N.has_strong_mirror(d)
     r = N.random_like(s, 3)
     assert sum(map(r.count, "GC")) == sum(map(s.count, "GC"))
-    b = N.random_b_dna(40, 4)
-    assert 12 <= sum(map(b.count, "AG")) <= 28
+    b = N.random_b_dna(24, 4)
+    assert 0.4 <= N.purine_fraction(b) <= 0.6 and not N.has_strong_mirror(b)
+    assert N.perfect_mirror(5, 2, 1, "GA")[:5] == N.perfect_mirror(5, 2, 1, "GA")[7:][::-1]
+    with pytest.raises(ValueError):
+        N.random_b_dna(1, 1, tries=50)
     assert sum(N.class_quotas(10, {"a": 1, "b": 1, "c": 1}).values()) == 10
     assert len(N.random_like(s, 1)) == len(s)
