@@ -91,14 +91,29 @@ def pairs(s: Strand, minrep: int, maxrep: int, maxspacer: int, percent: int, own
         yield left[keep], right[keep], most[keep]
 
 
-def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend: bool = True) -> dict[str, np.ndarray]:
+def centre_spacer_pairs(s: Strand, p: ScanParams, own: tuple[int, int]) -> int:
+    """Pairs of a centre and a spacer that leave room for both arms and whose midpoint lies in ``own``: what a scan has to look at."""
+    bases = np.concatenate([[0], np.cumsum(s.cls != 0)])
+    total = 0
+    for sp in range(p.maxspacer + 1):
+        lo = max(p.minrep - 1, own[0] - (sp + 1) // 2)
+        hi = min(len(s.d) - p.minrep - sp, own[1] - (sp + 1) // 2)
+        total += int(bases[hi] - bases[lo]) if hi > lo else 0
+    return total
+
+
+def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend: bool = True, counters: dict[str, int] | None = None) -> dict[str, np.ndarray]:
     """Longest valid arm per (centre, spacer) whose midpoint lies in ``own``, extended inwards and without repeats.
 
     Extension keeps the midpoint and equal spans share it, so ownership by midpoint leaves no repeats between stretches.
 
-    Returns arrays ``start`` (0-based), ``end`` (exclusive), ``arm``, ``spacer``, ``ga``, ``ct``, ``mis``.
+    Returns arrays ``start`` (0-based), ``end`` (exclusive), ``arm``, ``spacer``, ``ga``, ``ct``, ``mis``.  ``counters`` gets the
+    pairs of centre and spacer in ``own`` and the comparisons of bases that were made for them.
     """
     s = Strand(seq)
+    if counters is not None:
+        counters["ctr_sp_pairs"] = centre_spacer_pairs(s, p, own or (0, len(s.d)))
+        counters["inner_iters"] = 0
     none = {k: np.zeros(0, dtype=np.int64) for k in ("start", "end", "arm", "spacer", "ga", "ct", "mis")}
     d, ga, ct = s.d, s.ga, s.ct
     P, M, B = p.purity_percent, p.mismatch_percent, p.mismatch_budget
@@ -109,6 +124,8 @@ def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend
         mis = np.zeros(len(left), dtype=np.int64)
         k = 0
         while len(ids):
+            if counters is not None:
+                counters["inner_iters"] += len(ids)
             before = mis
             mis = mis + (d[left[ids] - k] != d[right[ids] + k])
             k += 1

@@ -34,14 +34,17 @@ def chunked(records: DataFrame, p: ScanParams, size: int = CHUNK, rebalance: boo
     return out.repartition(4 * records.sparkSession.sparkContext.defaultParallelism) if rebalance else out
 
 
-def _hits(p: ScanParams, extend: bool):
+def _hits(p: ScanParams, extend: bool, kept: list[dict] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
             parts, spans, rows = [], [], []
             for i in range(batch.num_rows):
                 seq = (cols["b"][i] or b"").lower()
-                got = detect(seq, p, (cols["own_from"][i], cols["own_to"][i]), extend)
+                counters = None if kept is None else {}
+                got = detect(seq, p, (cols["own_from"][i], cols["own_to"][i]), extend, counters)
+                if kept is not None:
+                    kept.append(counters)
                 if not len(got["arm"]):
                     continue
                 shift = cols["shift"][i] + (cols["seq_offset"][i] or 1)
@@ -74,6 +77,28 @@ def context(p: ScanParams) -> tuple[int, int]:
     return p.maxrep + p.maxspacer + 1, p.maxspacer + p.maxrep + 2
 
 
+COUNTERS = ("ctr_sp_pairs", "inner_iters")
+
+
+def counted_candidates(chunks: DataFrame, p: ScanParams, extend: bool = True) -> DataFrame:
+    """:func:`candidates_of` and, for every chunk, a row with null coordinates that carries its counters (``COUNTERS``)."""
+    names = [c.split()[0].strip("`") for c in RAW_HIT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept: list[dict] = []
+            for hits in _hits(p, extend, kept)(iter([batch])):
+                nulls = [pa.nulls(hits.num_rows, pa.int64())] * len(COUNTERS)
+                yield pa.RecordBatch.from_arrays([*hits.select(names).columns, *nulls], names=[*names, *COUNTERS])
+            ids = batch.column(batch.schema.names.index("record_ix"))
+            types = {"record_ix": ids.type, "seq_id": pa.string(), "full_sequence": pa.string(), "is_perfect": pa.bool_(), "start": pa.int64(), "end": pa.int64()}
+            types |= dict.fromkeys(["ga_pct", "ct_pct", "mirror_identity"], pa.float64())
+            empty = [ids if c == "record_ix" else pa.nulls(batch.num_rows, types.get(c, pa.int32())) for c in names]
+            yield pa.RecordBatch.from_arrays([*empty, *[pa.array([k[c] for k in kept], pa.int64()) for c in COUNTERS]], names=[*names, *COUNTERS])
+
+    return chunks.mapInArrow(run, RAW_HIT + "".join(f", {c} long" for c in COUNTERS))
+
+
 def candidates_of(chunks: DataFrame, p: ScanParams, extend: bool = True) -> DataFrame:
     return chunks.mapInArrow(_hits(p, extend), RAW_HIT)
 

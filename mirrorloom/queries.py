@@ -125,6 +125,16 @@ def d14(spark: SparkSession, sf: str) -> DataFrame:
     return per.groupBy("lang").agg(F.count(F.lit(1)).alias("records"), F.sum("b").alias("bases"), F.sum(F.coalesce("c", F.lit(0))).alias("candidates"))
 
 
+@query("x8_centre_spacer_pairs", f"WITH {DNA_SQL}, c AS (SELECT record_ix, length(seq) AS n, unnest(range(1, length(seq) + 1)) AS i, unnest(string_split(seq, '')) AS b FROM dna WHERE seq <> '') SELECT record_ix, CAST(coalesce(sum(least(10, n - 8 - i) + 1) FILTER (b IN ('a', 'c', 'g', 't') AND i >= 8 AND i <= n - 8), 0) AS BIGINT) AS ctr_sp_pairs FROM (SELECT record_ix, n, i, b FROM c UNION ALL SELECT record_ix, 0, 0, '' FROM dna WHERE seq = '') GROUP BY 1")
+def x8(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan's counter of centre-spacer pairs by record, summed over its chunks."""
+    from .operators import detect as D
+
+    p = ScanParams()
+    counted = D.counted_candidates(D.chunked(dna(spark, sf), p), p).where("start is null")
+    return counted.groupBy("record_ix").agg(F.sum("ctr_sp_pairs").alias("ctr_sp_pairs"))
+
+
 # Grids, ladders and panels of scans over the benchmark's passages as short records.
 
 _BENCH = DNA_SQL.replace("doc_id", "item_id").replace("documents", "benchmark")

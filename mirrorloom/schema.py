@@ -9,7 +9,7 @@ RAW_HIT = (
     "record_ix long, seq_id string, start long, `end` long, arm_length int, spacer_length int, ga int, ct int, mismatches int, "
     "ga_pct double, ct_pct double, mirror_identity double, is_perfect boolean, full_sequence string"
 )
-#: The hit table, in the order of the tab-separated output.
+#: The hit table's columns in the order of the tab-separated output, and the score columns.
 HIT_COLUMNS = [
     "seq_id", "source", "start", "end", "arm_length", "spacer_length", "total_length", "ga_pct", "ct_pct", "mirror_identity",
     "is_perfect", "left_arm", "spacer", "right_arm", "full_sequence", "stacking_score", "pairing_score", "total_score", "putative_triplex",

@@ -48,24 +48,36 @@ def read_fasta_named(spark: SparkSession, path: str, names: list[str], parser: s
 def write_hits(hits: DataFrame, path: str, single: bool = False) -> None:
     """Tab-separated hits with header, CRLF line ends and null as nothing, in order of (seq_id, start).
 
-    A folder of files in order, or with ``single`` one file, for results that one task can write.
+    A folder of files in order, each with the header, or with ``single`` one file: its parts are sorted and written by many
+    tasks and then joined in order, by the file system where it can (``concat``), else by copying their streams.
     """
     out = hits.select(*HIT_COLUMNS).orderBy("seq_id", "start")
-    folder = f"{path}.parts" if single else path
-    (out.coalesce(1) if single else out).write.mode("overwrite").csv(folder, sep="\t", header=True, lineSep="\r\n", nullValue="", emptyValue="")
+    text = {"sep": "\t", "lineSep": "\r\n", "nullValue": "", "emptyValue": ""}
     if not single:
+        out.write.mode("overwrite").csv(path, header=True, **text)
         return
+    folder = f"{path}.parts"
+    out.write.mode("overwrite").csv(folder, header=False, **text)
     spark = hits.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = at(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = [f.getPath() for f in fs.listStatus(at(folder)) if f.getPath().getName().startswith("part-")]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(folder).getFileSystem(conf)
+    parts = sorted((f.getPath() for f in fs.listStatus(at(folder)) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getName())
     fs.delete(at(path), True)
-    if parts:
-        fs.rename(parts[0], at(path))
-    else:  # no hit, no file: the header alone
-        stream = fs.create(at(path))
-        stream.write(bytearray(("\t".join(HIT_COLUMNS) + "\r\n").encode()))
-        stream.close()
+    stream = fs.create(at(path))
+    stream.write(bytearray(("\t".join(HIT_COLUMNS) + "\r\n").encode()))
+    joined = fs.getScheme() == "hdfs"
+    if not joined:
+        for part in parts:
+            source = fs.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, conf, False)
+            source.close()
+    stream.close()
+    if joined and parts:
+        array = spark.sparkContext._gateway.new_array(at, len(parts))
+        for i, part in enumerate(parts):
+            array[i] = part
+        fs.concat(at(path), array)
     fs.delete(at(folder), True)
 
 

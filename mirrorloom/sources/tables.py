@@ -40,10 +40,14 @@ def read_columns(spark: SparkSession, path: str, columns: dict[str, tuple[int, s
 
 def read_wig(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos, span, value) of variableStep WIG files: each header line holds for the lines below it."""
+    from ..operators.intervals import carried
+
     lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
-    above = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.when(F.col("value").startswith("variableStep"), F.col("value"))
-    lines = lines.withColumn("header", F.last(header, ignorenulls=True).over(above)).where(F.col("value").rlike(r"^\d") & F.col("header").isNotNull())
+    header = F.when(F.col("value").startswith("variableStep"), F.struct("line", F.col("value").alias("text")))
+    # a stretch is what one task read: its last header is carried to the tasks after it
+    stretches = carried(lines, ("file",), "line", header, F.max, 1 << 33)
+    above = Window.partitionBy("file", "_bin").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    lines = stretches.withColumn("header", F.coalesce(F.max(header).over(above), "_carry")["text"]).where(F.col("value").rlike(r"^\d") & F.col("header").isNotNull())
     f = F.split(F.trim("value"), r"\s+")
     span = F.coalesce(F.nullif(F.regexp_extract("header", r"span=(\d+)", 1), F.lit("")).try_cast("long"), F.lit(1))
     return lines.select(F.regexp_extract("header", r"chrom=(\S+)", 1).alias("chrom"), F.get(f, F.lit(0)).cast("long").alias("pos"), span.alias("span"), F.get(f, F.lit(1)).cast("double").alias("value"))

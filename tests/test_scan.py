@@ -159,3 +159,25 @@ def test_ablation_ends_like_the_pipeline(spark):
     assert sorted(a) == sorted(P.scan(records, p).select("start", "end", "total_score").collect())
     with pytest.raises(ValueError):
         P.scan_ablation(records, "x")
+
+
+def test_profile_does_not_depend_on_chunks(spark):
+    from mirrorloom.plans.profile import ScanProfile
+    from mirrorloom.plans.scan import detect_candidates
+
+    p = ScanParams(maxrep=20, maxspacer=4)
+    records = spark.createDataFrame([(0, "a", "GA" * 400 + "NN" + "AAGGAAGGAC" * 30, 1), (1, "b", "ACGT", 1), (2, "c", "", 1)], "record_ix long, seq_id string, seq string, seq_offset long")
+    profile, seen = ScanProfile(), []
+    for size in (1 << 18, 97, 30):
+        hits = profile.detect(records, p, size)
+        assert sorted(map(repr, hits.collect())) == sorted(map(repr, detect_candidates(records, p).collect()))
+        seen.append(profile.info())
+    assert len({(s["ctr_sp_pairs"], s["inner_iters"]) for s in seen}) == 1 and seen[0]["inner_iters"] > 0
+    n = 800 + 2 + 300  # by the definition: every centre but the unknown bases, every spacer that leaves room for an arm
+    assert seen[0]["ctr_sp_pairs"] == sum(min(4, n - 8 - c - 1) + 1 for c in range(7, n - 8) if c not in (800, 801))
+    assert seen[2]["total_inner_iters"] == 3 * seen[0]["inner_iters"] and seen[2]["scans_completed"] == 3
+    profile.detect(records.where("record_ix = 2"), p).collect()
+    last = profile.info()
+    assert last["inner_iters"] == last["ctr_sp_pairs"] == 0 and last["total_inner_iters"] == seen[2]["total_inner_iters"] and last["scans_completed"] == 4
+    profile.reset()
+    assert profile.info()["scans_completed"] == 0

@@ -3,6 +3,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from mirrorloom.operators import filters
 from mirrorloom.params import ScanParams
@@ -149,3 +150,25 @@ def test_stream(spark, tmp_path):
 def test_homopolymer_mode(spark):
     with pytest.raises(ValueError):
         filters.filter_homopolymers(spark.range(1), "x")
+
+
+def test_one_file_from_many_parts(spark, tmp_path):
+    rows = spark.range(3000).select(F.concat(F.lit("s"), F.col("id") % 7).alias("seq_id"), F.lit("GA" * 40).alias("seq"), F.lit(1).alias("seq_offset"), F.col("id").alias("record_ix"))
+    hits = scan(rows).withColumn("start", F.col("start") + F.monotonically_increasing_id())  # no ties
+    write_hits(hits.repartition(5), str(tmp_path / "joined"), single=True)
+    hits.select(*tables.HIT_COLUMNS).orderBy("seq_id", "start").coalesce(1).write.csv(str(tmp_path / "one"), sep="\t", header=True, lineSep="\r\n", nullValue="", emptyValue="")
+    assert (tmp_path / "joined").read_bytes() == next((tmp_path / "one").glob("part-*")).read_bytes()
+
+
+def test_wig_headers_cross_tasks(spark, tmp_path):
+    lines = []
+    for c in range(4):
+        lines += [f"variableStep chrom=c{c} span={c + 1}", *[f"{i} {i / 10}" for i in range(1, 500)]]
+    (tmp_path / "x.wig").write_text("\n".join(["track type=wiggle", *lines]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        got = tables.read_wig(spark, str(tmp_path / "x.wig")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.chrom, r.pos, r.span, r.value) for r in got) == sorted((f"c{c}", i, c + 1, i / 10) for c in range(4) for i in range(1, 500))
