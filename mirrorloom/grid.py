@@ -80,24 +80,19 @@ def _tables(g: Grid) -> np.ndarray:
 
 def detect_grid(seq: bytes, g: Grid, own: tuple[int, int] | None = None) -> dict[str, np.ndarray]:
     """Every geometry that a configuration detects: ``start`` (0-based), ``end`` (exclusive), ``arm``, ``ga``, ``ct``, and ``mask`` [hits, detections]."""
-    s = Strand(seq)
+    s = Strand([seq], [own])
     d, ga, ct = s.d, s.ga, s.ct
     some = [g.base.but(purity=p) for p in g.purity], [g.base.but(mismatch=m) for m in g.mismatch]
     percents = [p.purity_percent for p in some[0]]
     limits = [(p.mismatch_percent, p.mismatch_budget) for p in some[1]]
     shortest, loosest, most_mis, budget = g.minrep[0], min(percents), max(m for m, _ in limits), max(b for _, b in limits)
     tables, rows = _tables(g), []
-    for left, right, most in pairs(s, shortest, g.base.maxrep, g.maxspacer[-1], loosest, own or (0, len(d))):
+    for left, right, most, mis, k in pairs(s, shortest, g.base.maxrep, g.maxspacer[-1], loosest, most_mis):
         best = np.zeros((len(percents), len(limits), len(left)), dtype=np.int16 if g.base.maxrep < 1 << 15 else np.int64)
-        ids = np.arange(len(left))
-        mis = np.zeros(len(left), dtype=np.int64)
-        k = 0
+        ids, before = np.arange(len(left)), mis
         while len(ids):
-            before = mis
-            mis = mis + (d[left[ids] - k] != d[right[ids] + k])
-            k += 1
+            rr = right[ids]
             if k >= shortest:
-                rr = right[ids]
                 share = 100 * np.maximum(ga[rr + k] - ga[rr], ct[rr + k] - ct[rr])
                 few = [(mis * 100 <= m * k) & ((before <= b) if k > shortest else True) for m, b in limits]
                 for i, percent in enumerate(percents):
@@ -108,6 +103,9 @@ def detect_grid(seq: bytes, g: Grid, own: tuple[int, int] | None = None) -> dict
             if k >= shortest:
                 alive &= mis <= budget
             ids, mis = ids[alive], mis[alive]
+            before = mis
+            mis = mis + (d[left[ids] - k] != d[right[ids] + k])
+            k += 1
         sp = right - left - 1
         spacer = np.searchsorted(g.maxspacer, sp)
         for i, percent in enumerate(percents):

@@ -9,7 +9,7 @@ their mismatches rule out every longer arm.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -18,7 +18,36 @@ from .params import ScanParams
 _CLASS = np.zeros(256, dtype=np.uint8)
 for _bases, _value in ((b"gaGA", 1), (b"ctCT", 2)):
     _CLASS[list(_bases)] = _value
-_PAIRS = 1 << 21  # pairs grown at once
+_PLACES = 1 << 17  # right arms paired with all their spacers at once
+#: Bases of sequences that go through the kernel together: short ones share the cost of its array operations.
+TOGETHER = 1 << 19
+
+
+class Strand:
+    """Sequences one after the other, with a separator that no arm crosses: bases, their classes and prefix counts, what belongs to whom."""
+
+    def __init__(self, seqs: Sequence[bytes], owns: Sequence[tuple[int, int] | None]):
+        self.lengths = np.array([len(s) for s in seqs], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+        self.d = np.frombuffer(b"\n".join(s.lower() for s in seqs) + b"\n", dtype=np.uint8)
+        self.cls = _CLASS[self.d]
+        self.ga = np.concatenate([[0], np.cumsum(self.cls == 1, dtype=np.int32)]).astype(np.int32)
+        self.ct = np.concatenate([[0], np.cumsum(self.cls == 2, dtype=np.int32)]).astype(np.int32)
+        self.begin = np.repeat(self.starts, self.lengths + 1).astype(np.int32)
+        self.own = None if all(o is None for o in owns) else self._owned(owns)
+
+    def upto(self, letters: bytes) -> np.ndarray:
+        """Prefix counts of the bases among ``letters``."""
+        mine = np.zeros(256, dtype=bool)
+        mine[list(letters)] = True
+        return np.concatenate([[0], np.cumsum(mine[self.d], dtype=np.int64)])
+
+    def _owned(self, owns: Sequence[tuple[int, int] | None]) -> np.ndarray:
+        own = np.zeros(len(self.d), dtype=bool)
+        for at, n, o in zip(self.starts.tolist(), self.lengths.tolist(), owns, strict=True):
+            lo, hi = o or (0, n)
+            own[at + max(lo, 0) : at + max(min(hi, n), 0)] = True
+        return own
 
 
 def _range_maxima(f: np.ndarray, longest: int) -> list[np.ndarray]:
@@ -32,7 +61,21 @@ def _range_maxima(f: np.ndarray, longest: int) -> list[np.ndarray]:
 
 def _last_at_least(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
     """For each query the last index in [lo, hi] whose entry is at least ``value``, or lo - 1."""
-    pos = hi.copy()
+    out = lo - 1
+    # whether there is one at all, by two overlapping ranges; few queries go on
+    power = np.frexp(hi - lo + 1)[1] - 1
+    some = np.zeros(len(lo), dtype=bool)
+    for level in range(len(levels)):
+        mine = np.flatnonzero(power == level) if level < len(levels) - 1 else np.flatnonzero(power >= level)
+        if not len(mine) or not len(levels[level]):
+            continue
+        table, size = levels[level], 1 << level
+        if level < len(levels) - 1 or (1 << len(levels)) > int((hi[mine] - lo[mine]).max()) + 1:
+            some[mine] = np.maximum(table[lo[mine]], table[hi[mine] - size + 1]) >= value[mine]
+        else:
+            some[mine] = True
+    ids = np.flatnonzero(some)
+    lo, pos, value = lo[ids], hi[ids].copy(), value[ids]
     for level in range(len(levels) - 1, -1, -1):
         size = 1 << level
         table = levels[level]
@@ -45,105 +88,114 @@ def _last_at_least(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, val
             skip[fits] = table[first[fits]] < value[fits]
             pos = np.where(skip, pos - size, pos)
     # what is left is shorter than the smallest power tried; one entry may remain
-    return np.where((pos >= lo) & (levels[0][np.maximum(pos, 0)] >= value), pos, lo - 1)
-
+    out[ids] = np.where((pos >= lo) & (levels[0][np.maximum(pos, 0)] >= value), pos, lo - 1)
+    return out
 
-class Strand:
-    """A stretch of sequence with its classes of bases and their prefix counts."""
-
-    def __init__(self, seq: bytes):
-        self.d = np.frombuffer(seq.lower(), dtype=np.uint8)
-        self.cls = _CLASS[self.d]
-        self.ga = np.concatenate([[0], np.cumsum(self.cls == 1)]).astype(np.int64)
-        self.ct = np.concatenate([[0], np.cumsum(self.cls == 2)]).astype(np.int64)
 
-
-def pairs(s: Strand, minrep: int, maxrep: int, maxspacer: int, percent: int, own: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(left, right, most): innermost bases of all arm pairs whose midpoint lies in ``own`` and whose right arm can be pure, and a bound of its length."""
-    n, (lo, hi) = len(s.d), own
-    first, last = minrep - 1, n - minrep  # centres with room for an arm on either side
-    if hi <= lo or last <= first:
-        return
-    bad = np.flatnonzero(s.cls == 0)
-    r = np.arange(max(lo, first) + 1, min(n - minrep, hi + maxspacer) + 1, dtype=np.int64)
-    stop = np.concatenate([bad, [n]])[np.searchsorted(bad, r)]
-    longest = np.minimum(stop - r, maxrep)
-    r, longest = r[longest >= minrep], longest[longest >= minrep]
+def pairs(s: Strand, minrep: int, maxrep: int, maxspacer: int, percent: int, mismatch_percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(left, right, most, mismatches, k): innermost bases of all arm pairs whose midpoint is owned and whose right arm can be pure, a bound of its
+    length, and the mismatches of the first ``k`` bases, which do not yet rule the pair out.
+    """
+    n = len(s.d)
+    place = np.arange(n, dtype=np.int32)
+    bad = np.flatnonzero(s.cls == 0).astype(np.int32)  # the last base is a separator
+    longest = np.minimum(bad[np.searchsorted(bad, place)] - place, maxrep)
+    r = np.flatnonzero((longest >= minrep) & (place - s.begin >= minrep)).astype(np.int32)
     if not len(r):
         return
-    reach = np.zeros(len(r), dtype=np.int64)
-    place = np.arange(n + 1, dtype=np.int64)
+    longest = longest[r]
+    reach = np.zeros(len(r), dtype=np.int32)
+    steps = percent * np.arange(n + 1, dtype=np.int64)
+    top = int(longest.max())
     for counts in (s.ga, s.ct):
-        f = 100 * counts - percent * place
-        until = _last_at_least(_range_maxima(f, int(longest.max())), r + minrep, r + longest, f[r])
-        reach = np.maximum(reach, until - r)
+        f = 100 * counts.astype(np.int64) - steps
+        f = f.astype(np.int32) if 100 * n < 1 << 31 else f
+        reach = np.maximum(reach, _last_at_least(_range_maxima(f, top), r + minrep, r + longest, f[r]) - r)
     r, reach = r[reach >= minrep], reach[reach >= minrep]
-    step = max(1, _PAIRS // (maxspacer + 1))
-    for at in range(0, len(r), step):
-        sp = np.arange(maxspacer + 1, dtype=np.int64)
-        right = np.repeat(r[at : at + step], len(sp))
-        most = np.repeat(reach[at : at + step], len(sp))
-        left = right - np.tile(sp, len(right) // len(sp)) - 1
-        most = np.minimum(most, left + 1)
-        middle = (left + right) >> 1
-        keep = (middle >= lo) & (middle < hi) & (left >= first) & (left < last) & (most >= minrep)
-        keep[keep] = s.cls[left[keep]] != 0
-        yield left[keep], right[keep], most[keep]
-
-
-def centre_spacer_pairs(s: Strand, p: ScanParams, own: tuple[int, int]) -> int:
-    """Pairs of a centre and a spacer that leave room for both arms and whose midpoint lies in ``own``: what a scan has to look at."""
-    bases = np.concatenate([[0], np.cumsum(s.cls != 0)])
-    total = 0
-    for sp in range(p.maxspacer + 1):
-        lo = max(p.minrep - 1, own[0] - (sp + 1) // 2)
-        hi = min(len(s.d) - p.minrep - sp, own[1] - (sp + 1) // 2)
-        total += int(bases[hi] - bases[lo]) if hi > lo else 0
-    return total
-
-
-def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend: bool = True, counters: dict[str, int] | None = None) -> dict[str, np.ndarray]:
-    """Longest valid arm per (centre, spacer) whose midpoint lies in ``own``, extended inwards and without repeats.
+    depth = min(4, minrep)
+    sp = np.arange(maxspacer + 1, dtype=np.int32)
+    for at in range(0, len(r), max(1, _PLACES // len(sp))):
+        rr = r[at : at + max(1, _PLACES // len(sp))]
+        left = rr[:, None] - 1 - sp
+        most = np.minimum(reach[at : at + len(rr), None], left - s.begin[rr][:, None] + 1)
+        mis = np.zeros(left.shape, dtype=np.int32)
+        for k in range(depth):
+            mis += s.d.take(left - k, mode="wrap") != s.d[rr + k][:, None]  # wraps where the arm has no room, which ``most`` rules out
+        i, j = np.nonzero((most >= minrep) & (mis * 100 <= mismatch_percent * most))
+        right, left, most, mis = (x.astype(np.int64) for x in (rr[i], left[i, j], most[i, j], mis[i, j]))
+        keep = s.cls[left] != 0
+        if s.own is not None:
+            keep &= s.own[(left + right) >> 1]
+        yield left[keep], right[keep], most[keep], mis[keep], depth
+
+
+def centre_spacer_pairs(s: Strand, p: ScanParams) -> list[int]:
+    """For each sequence, pairs of a centre and a spacer that leave room for both arms and whose midpoint it owns: what a scan has to look at."""
+    known = s.cls != 0
+    total = np.zeros(len(s.lengths), dtype=np.int64)
+    for at, (start, n) in enumerate(zip(s.starts.tolist(), s.lengths.tolist(), strict=True)):
+        for sp in range(p.maxspacer + 1):
+            lo, hi = start + p.minrep - 1, start + n - p.minrep - sp
+            if hi > lo:
+                half = (sp + 1) // 2
+                total[at] += int((known[lo:hi] & (True if s.own is None else s.own[lo + half : hi + half])).sum())
+    return total.tolist()
+
+
+def detect_many(seqs: Sequence[bytes], owns: Sequence[tuple[int, int] | None], p: ScanParams, extend: bool = True, counters: dict[str, list[int]] | None = None, composed: bool = False) -> dict[str, np.ndarray]:
+    """Longest valid arm per (centre, spacer) whose midpoint lies in its sequence's ``own``, extended inwards and without repeats.
 
     Extension keeps the midpoint and equal spans share it, so ownership by midpoint leaves no repeats between stretches.
 
-    Returns arrays ``start`` (0-based), ``end`` (exclusive), ``arm``, ``spacer``, ``ga``, ``ct``, ``mis``.  ``counters`` gets the
-    pairs of centre and spacer in ``own`` and the comparisons of bases that were made for them.
+    Returns arrays ``row`` (of the sequence), ``start`` (0-based), ``end`` (exclusive), ``arm``, ``spacer``, ``ga``, ``ct``, ``mis``.
+    ``composed`` leaves out what the composition filters of ``p`` drop, judged by prefix counts before any span is cut.
+    ``counters`` gets, for each sequence, the pairs of centre and spacer it owns and the comparisons of bases made for them.
     """
-    s = Strand(seq)
-    if counters is not None:
-        counters["ctr_sp_pairs"] = centre_spacer_pairs(s, p, own or (0, len(s.d)))
-        counters["inner_iters"] = 0
-    none = {k: np.zeros(0, dtype=np.int64) for k in ("start", "end", "arm", "spacer", "ga", "ct", "mis")}
+    s = Strand(seqs, owns)
     d, ga, ct = s.d, s.ga, s.ct
+    if counters is not None:
+        counters["ctr_sp_pairs"] = centre_spacer_pairs(s, p)
+        counters["inner_iters"] = [0] * len(seqs)
+    row_of = lambda at: np.searchsorted(s.starts, at, side="right") - 1
+
+    def count(at: np.ndarray, times: int = 1) -> None:
+        for i, c in enumerate(np.bincount(row_of(at), minlength=len(seqs)).tolist()):
+            counters["inner_iters"][i] += c * times
+
     P, M, B = p.purity_percent, p.mismatch_percent, p.mismatch_budget
     found = []
-    for left, right, most in pairs(s, p.minrep, p.maxrep, p.maxspacer, P, own or (0, len(d))):
+    for left, right, most, mis, k in pairs(s, p.minrep, p.maxrep, p.maxspacer, P, M):
+        if counters is not None:
+            count(right, k)
         best, best_mis = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)
-        ids = np.arange(len(left))
-        mis = np.zeros(len(left), dtype=np.int64)
-        k = 0
-        while len(ids):
-            if counters is not None:
-                counters["inner_iters"] += len(ids)
-            before = mis
-            mis = mis + (d[left[ids] - k] != d[right[ids] + k])
-            k += 1
+        limit = M * most // 100
+        state = [np.arange(len(left)), left, right, most, limit, mis, ga[right].astype(np.int64), ct[right].astype(np.int64)]
+        before = mis
+        while len(state[0]):
+            ids, ll, rr, most, limit, mis, ga0, ct0 = state
             if k >= p.minrep:
-                rr = right[ids]
-                ok = (mis * 100 <= M * k) & ((100 * (ga[rr + k] - ga[rr]) >= P * k) | (100 * (ct[rr + k] - ct[rr]) >= P * k))
+                at = rr + k
+                # at the shortest arm the budget does not count yet
+                ok = (mis * 100 <= M * k) & (np.maximum(ga.take(at) - ga0, ct.take(at) - ct0) * 100 >= P * k)
                 if k > p.minrep:
                     ok &= before <= B
-                best[ids[ok]], best_mis[ids[ok]] = k, mis[ok]
-            alive = (most[ids] > k) & (mis * 100 <= M * most[ids])
-            if k >= p.minrep:
-                alive &= mis <= B
-            ids, mis = ids[alive], mis[alive]
+                if ok.any():
+                    which = ids if ok.all() else ids[ok]
+                    best[which], best_mis[which] = k, mis if len(which) == len(ids) else mis[ok]
+            alive = (most > k) & (mis <= (np.minimum(limit, B) if k >= p.minrep else limit))
+            if not alive.all():
+                state = [x[alive] for x in state]
+                ids, ll, rr, most, limit, mis, ga0, ct0 = state
+            if counters is not None:
+                count(rr)
+            before = mis
+            state[5] = mis + (d.take(ll - k) != d.take(rr + k))
+            k += 1
         hit = best > 0
         found.append((left[hit], right[hit], best[hit], best_mis[hit]))
     if not found:
-        return none
-    left, right, arm, mis = (np.concatenate(x) for x in zip(*found, strict=True))
+        return {k: np.zeros(0, dtype=np.int64) for k in ("row", "start", "end", "arm", "spacer", "ga", "ct", "mis")}
+    left, right, arm, mis = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
     if extend:
         left, right, arm = _extend(s, left, right, arm, P, p.maxrep)
     start, end = left - arm + 1, right + arm
@@ -152,7 +204,44 @@ def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend
     first = np.ones(len(start), dtype=bool)
     first[1:] = (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (arm[1:] != arm[:-1])
     start, end, arm, right, mis = (x[first] for x in (start, end, arm, right, mis))
-    return {"start": start, "end": end, "arm": arm, "spacer": end - start - 2 * arm, "ga": ga[right + arm] - ga[right], "ct": ct[right + arm] - ct[right], "mis": mis}
+    if composed:
+        keep = passes(s, p, start, end, arm, right)
+        start, end, arm, right, mis = (x[keep] for x in (start, end, arm, right, mis))
+    row = row_of(start)
+    shift = s.starts[row]
+    counts = {"ga": ga[right + arm] - ga[right], "ct": ct[right + arm] - ct[right]}
+    return {"row": row, "start": start - shift, "end": end - shift, "arm": arm, "spacer": end - start - 2 * arm, "mis": mis} | {k: v.astype(np.int64) for k, v in counts.items()}
+
+
+def passes(s: Strand, p: ScanParams, start: np.ndarray, end: np.ndarray, arm: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which hits (half-open, in places of the strand) the A/T and the G-rate filter of ``p`` keep."""
+    keep = np.ones(len(start), dtype=bool)
+    if p.at_threshold is not None:
+        warm = s.upto(b"at")
+        keep &= (warm[end] - warm[start]) / (end - start) < p.at_threshold
+    if p.min_g_rate:
+        purine = s.ga[right + arm] - s.ga[right] >= s.ct[right + arm] - s.ct[right]
+        g, c = s.upto(b"g"), s.upto(b"c")
+        most = lambda n: np.maximum(n[start + arm] - n[start], n[end] - n[end - arm])
+        keep &= np.where(purine, most(g), most(c)) / arm >= p.min_g_rate
+    return keep
+
+
+def detect(seq: bytes, p: ScanParams, own: tuple[int, int] | None = None, extend: bool = True) -> dict[str, np.ndarray]:
+    """:func:`detect_many` of one sequence."""
+    return detect_many([seq], [own], p, extend)
+
+
+def together(lengths: Sequence[int], most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Ranges of sequences that go through the kernel together: up to ``most`` bases, or one longer sequence."""
+    start, total = 0, 0
+    for i, n in enumerate(lengths):
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if lengths:
+        yield start, len(lengths)
 
 
 def _extend(s: Strand, left, right, arm, percent, maxrep):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernel import detect, percentages
+from ..kernel import detect_many, percentages, together
 from ..params import ScanParams
 from ..schema import NO_SPACER, RAW_HIT, SOURCE
 
@@ -34,31 +34,30 @@ def chunked(records: DataFrame, p: ScanParams, size: int = CHUNK, rebalance: boo
     return out.repartition(4 * records.sparkSession.sparkContext.defaultParallelism) if rebalance else out
 
 
-def _hits(p: ScanParams, extend: bool, kept: list[dict] | None = None):
+def _hits(p: ScanParams, extend: bool, kept: list[dict] | None = None, composed: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            parts, spans, rows = [], [], []
-            for i in range(batch.num_rows):
-                seq = (cols["b"][i] or b"").lower()
+            names = batch.schema.names
+            cols = {n: batch.column(names.index(n)).to_pylist() for n in ("b", "own_from", "own_to", "shift", "seq_offset")}
+            seqs = [(b or b"").lower() for b in cols["b"]]
+            owns = list(zip(cols["own_from"], cols["own_to"], strict=True))
+            shifts = np.array([a + (o or 1) for a, o in zip(cols["shift"], cols["seq_offset"], strict=True)], dtype=np.int64)
+            parts, spans = [], []
+            for lo, hi in together([len(x) for x in seqs]):
                 counters = None if kept is None else {}
-                got = detect(seq, p, (cols["own_from"][i], cols["own_to"][i]), extend, counters)
+                got = detect_many(seqs[lo:hi], owns[lo:hi], p, extend, counters, composed)
                 if kept is not None:
-                    kept.append(counters)
-                if not len(got["arm"]):
-                    continue
-                shift = cols["shift"][i] + (cols["seq_offset"][i] or 1)
-                spans += [seq[a:b].decode("latin-1") for a, b in zip(got["start"].tolist(), got["end"].tolist(), strict=True)]
-                rows.append(np.full(len(got["arm"]), i))
-                parts.append(got | {"start": got["start"] + shift, "end": got["end"] + shift - 1})
-            if not parts:
+                    kept.extend(dict(zip(counters, c, strict=True)) for c in zip(*counters.values(), strict=True))
+                row = got["row"] + lo
+                spans += [seqs[i][a:b].decode("latin-1") for i, a, b in zip(row.tolist(), got["start"].tolist(), got["end"].tolist(), strict=True)]
+                parts.append(got | {"row": row, "start": got["start"] + shifts[row], "end": got["end"] + shifts[row] - 1})
+            if not spans:
                 continue
             g = {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
-            row = pa.array(np.concatenate(rows))
+            row = pa.array(g["row"])
             ga, ct, mirror = percentages(g["ga"], g["ct"], g["mis"], g["arm"])
             perfect = ((g["ga"] == g["arm"]) | (g["ct"] == g["arm"])) & (g["mis"] == 0)
             i32 = lambda k: pa.array(g[k].astype(np.int32))
-            names = batch.schema.names
             yield pa.RecordBatch.from_arrays(
                 [batch.column(names.index("record_ix")).take(row), batch.column(names.index("seq_id")).take(row), pa.array(g["start"]), pa.array(g["end"]), i32("arm"), i32("spacer"), i32("ga"), i32("ct"), i32("mis"), pa.array(ga), pa.array(ct), pa.array(mirror), pa.array(perfect), pa.array(spans, pa.string())],
                 names=["record_ix", "seq_id", "start", "end", "arm_length", "spacer_length", "ga", "ct", "mismatches", "ga_pct", "ct_pct", "mirror_identity", "is_perfect", "full_sequence"],
@@ -67,9 +66,9 @@ def _hits(p: ScanParams, extend: bool, kept: list[dict] | None = None):
     return run
 
 
-def raw_candidates(records: DataFrame, p: ScanParams, extend: bool = True, size: int = CHUNK, rebalance: bool = False) -> DataFrame:
+def raw_candidates(records: DataFrame, p: ScanParams, extend: bool = True, size: int = CHUNK, rebalance: bool = False, composed: bool = False) -> DataFrame:
     """Detector rows (one per centre and spacer), extended inwards; a geometry appears once."""
-    return candidates_of(chunked(records, p, size, rebalance), p, extend)
+    return candidates_of(chunked(records, p, size, rebalance), p, extend, composed)
 
 
 def context(p: ScanParams) -> tuple[int, int]:
@@ -99,8 +98,9 @@ def counted_candidates(chunks: DataFrame, p: ScanParams, extend: bool = True) ->
     return chunks.mapInArrow(run, RAW_HIT + "".join(f", {c} long" for c in COUNTERS))
 
 
-def candidates_of(chunks: DataFrame, p: ScanParams, extend: bool = True) -> DataFrame:
-    return chunks.mapInArrow(_hits(p, extend), RAW_HIT)
+def candidates_of(chunks: DataFrame, p: ScanParams, extend: bool = True, composed: bool = False) -> DataFrame:
+    """Detector rows of chunks; with ``composed`` only those that the composition filters of ``p`` keep, whose strings alone are cut and sent."""
+    return chunks.mapInArrow(_hits(p, extend, composed=composed), RAW_HIT)
 
 
 def deduplicate_geometry(raw: DataFrame) -> DataFrame:

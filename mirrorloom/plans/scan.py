@@ -47,12 +47,11 @@ def _finish(hits: DataFrame) -> DataFrame:
 def scan(records: DataFrame, p: ScanParams | None = None, size: int = D.CHUNK, rebalance: bool = False, per: tuple[str, ...] = ("record_ix",), by_island: bool = False) -> DataFrame:
     """The whole scan of a table of records.  ``per`` names what overlap removal works within; ``by_island`` suits few long records."""
     p = p or ScanParams()
-    return after_detection(detect_candidates(records, p, size, rebalance), p, per, by_island)
+    return after_detection(D.materialise(D.raw_candidates(records, p, True, size, rebalance, composed=True)), p, per, by_island)
 
 
 def after_detection(hits: DataFrame, p: ScanParams, per: tuple[str, ...] = ("record_ix",), by_island: bool = False) -> DataFrame:
-    """Filters, overlap removal and scores in the order of the parameters."""
-    hits = composition(hits, p)
+    """Overlap removal, scores and homopolymers in the order of the parameters, for hits that the composition filters have passed."""
     if p.remove_overlaps and p.overlap_strategy != "greedy":
         if p.filter_homopolymers:
             hits = C.filter_homopolymers(hits, C.PRE)
@@ -85,7 +84,7 @@ def scan_fasta(spark: SparkSession, path: str, parser: str = "biopython", chunk_
         return scan(read_fasta(spark, path, parser), p, chunk_size, rebalance=True, per=per, by_island=True)
     size = range_bytes or R.RANGE
     chunks = R.range_chunks(spark, path, *D.context(p), parser, size, min(chunk_size, D.CHUNK))
-    found = R.placed(D.candidates_of(chunks, p), R.places(spark, path, parser, size))
+    found = R.placed(D.candidates_of(chunks, p, composed=True), R.places(spark, path, parser, size))
     return after_detection(D.materialise(found), p, per, by_island=True)
 
 
