@@ -202,5 +202,16 @@ mixed AS (SELECT * FROM full_ WHERE {MIXED} AND {MIXED_TRIPLEX}), {greedy_sql('m
 {row(0, 'composition', 'kept', 'NULL::DOUBLE')} UNION ALL {row(1, 'pairing', 'pairing')} UNION ALL {row(2, 'pairing_stacking', 'stacked')} UNION ALL {row(3, 'complete', 'complete')}""".replace("full AS (SELECT h.*", "full_ AS (SELECT h.*").replace("full AS (SELECT q.*", "full_ AS (SELECT q.*")
 
 
+def stage_metrics_sql(p: ScanParams, truth: str) -> str:
+    """Counts and AUROC of the calls of each stage but the first against ``truth`` (record_ix, y), records without a hit scoring 0."""
+    head = stages_sql(p, linear_scores_sql).split("\nSELECT 0 AS step")[0]
+    per = lambda i, stage, table, score: f"SELECT {i} AS step, '{stage}' AS stage, record_ix, max({score}) AS s FROM {table} GROUP BY record_ix"
+    rows = " UNION ALL ".join(per(i, st, t, sc) for i, (st, t, sc) in enumerate([("composition", "kept", "0.0::DOUBLE"), ("pairing", "pairing", "total_score"), ("pairing_stacking", "stacked", "total_score"), ("complete", "complete", "total_score")]))
+    return f"""{head}, truth AS ({truth}), calls AS ({rows}), grid AS (SELECT s.step, s.stage, t.record_ix, t.y, coalesce(c.s, 0) AS s, c.record_ix IS NOT NULL AS p FROM (SELECT DISTINCT step, stage FROM calls) s, truth t LEFT JOIN calls c ON c.step = s.step AND c.record_ix = t.record_ix),
+ranked AS (SELECT *, rank() OVER (PARTITION BY step ORDER BY s) + (count(*) OVER (PARTITION BY step, s) - 1) / 2 AS r FROM grid)
+SELECT step, stage, count(*) FILTER (y = 1 AND p) AS tp, count(*) FILTER (y <> 1 AND p) AS fp, count(*) FILTER (y <> 1 AND NOT p) AS tn, count(*) FILTER (y = 1 AND NOT p) AS fn,
+  round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y <> 1), 0), 6) AS auroc FROM ranked GROUP BY 1, 2"""
+
+
 def detection_sql(p: ScanParams) -> str:
     return f"WITH RECURSIVE {DNA_SQL}, {candidates_sql(p.but(purity=0.0))}, {greedy_sql('cand', 'kept')} SELECT seq_id, start, \"end\", arm_length, spacer_length FROM kept"

@@ -68,5 +68,27 @@ def acgt_only(records: DataFrame, col: str = "seq") -> DataFrame:
     return records.where(F.col(col).rlike("^[ACGTacgt]+$"))
 
 
+def label_of(label: Column) -> Column:
+    """1 for ``forming``, 0 for ``non-forming`` in any spelling of case, spaces and underscores; null otherwise."""
+    plain = F.replace(F.lower(F.trim(label)), F.lit("_"), F.lit("-"))
+    return F.when(plain == "forming", 1).when(plain == "non-forming", 0)
+
+
+def curated(records: DataFrame, subset: str = "all", seq: str = "seq") -> DataFrame:
+    """Rows of a labelled table that belong in an analysis, with ``y`` from ``label`` and ``valid``, whether the sequence has only A, C, G and T.
+
+    A table with a column ``curation_decision`` keeps the rows that say ``kept``; a ``subset`` other than ``all`` keeps the rows of
+    that ``record_type``, which the table must then have.
+    """
+    if "curation_decision" in records.columns:
+        records = records.where(F.trim("curation_decision") == "kept")
+    if subset != "all":
+        if "record_type" not in records.columns:
+            raise ValueError(f"the subset {subset!r} needs a column record_type")
+        records = records.where(F.trim("record_type") == subset)
+    clean = F.coalesce(F.upper(F.trim(seq)).rlike("^[ACGT]+$"), F.lit(False))
+    return records.withColumn("y", label_of(F.col("label"))).withColumn("valid", clean)
+
+
 def composition_group(s: Column) -> Column:
     return F.when(is_homopolymer(s), "homopolymer").when(count_of(s, "atAT") >= 0.8 * F.length(s), "at_rich").otherwise("mixed")

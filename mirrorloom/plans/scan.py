@@ -111,6 +111,32 @@ def scan_ablation(records: DataFrame, model: str = "complete", p: ScanParams | N
     return _finish(hits)
 
 
+def scan_fasta_ablation(spark: SparkSession, path: str, model: str = "complete", parser: str = "biopython", **kwargs) -> DataFrame:
+    """One stage of the pipeline over all records of a FASTA file."""
+    from ..sources.fasta import read_fasta
+
+    return scan_ablation(read_fasta(spark, path, parser), model, ScanParams(**kwargs))
+
+
+def stage_metrics(records: DataFrame, truth: DataFrame, p: ScanParams | None = None, models: tuple[str, ...] = ABLATION) -> DataFrame:
+    """Per stage the confusion of its calls with ``truth`` (record_ix, y), the metrics, and the AUROC of the records' highest scores.
+
+    A record without a hit is not called and scores 0; a stage without a model scores every record 0.
+    """
+    from ..operators import evaluation as E
+
+    calls = None
+    for i, model in enumerate(models):
+        hits = scan_ablation(records, model, p)
+        per = hits.groupBy("record_ix").agg(F.coalesce(F.max("total_score"), F.lit(0.0)).alias("s")).select(F.lit(i).alias("step"), F.lit(model).alias("stage"), "record_ix", "s")
+        calls = per if calls is None else calls.unionByName(per)
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(m).alias("stage")) for i, m in enumerate(models)])
+    every = truth.select("record_ix", "y", F.inline(steps)).join(calls, ["step", "stage", "record_ix"], "left")
+    scored = every.select("step", "stage", "y", F.coalesce("s", F.lit(0.0)).alias("s"), F.col("s").isNotNull().cast("int").alias("p"))
+    areas = E.auroc(scored, by=["step", "stage"])
+    return E.with_metrics(E.confusion(scored, by=["step", "stage"])).join(areas, ["step", "stage"])
+
+
 #: Steps by which a scan is relaxed one after the other; a step that relaxes nothing is left out.
 LADDER = (
     ("AT filter", {"at_threshold": None}), ("homopolymer filter", {"filter_homopolymers": False}), ("arm length 8-9", {"minrep": 8}), ("arm length 6-7", {"minrep": 6}),

@@ -21,7 +21,6 @@ from .operators.inside import best_first_inside, greedy_inside
 from .operators.overlap import islands, remove_overlaps
 from .params import ScanParams
 from .plans import scan as P
-from .schema import RECORD
 from .sources import tables
 from .sources.fasta import read_fasta, read_fasta_named, write_fasta, write_hits
 from .views import DNA_SQL, HITS_SQL, INSERTS_SQL, LABELLED_SQL, MOTIFS_SQL, POINTS_SQL, dna, dna_of, hits, inserts, labelled, motifs, points
@@ -244,16 +243,34 @@ def g25(spark: SparkSession, sf: str) -> DataFrame:
     return P.reasons(records, records.select("record_ix", (third + 1).alias("start"), (2 * third).alias("end")), _STRICT)
 
 
-PANEL = [("poly_a15", "A" * 15), ("poly_a30", "A" * 30), ("poly_t25", "T" * 25), ("poly_g30", "G" * 30), ("poly_c20", "C" * 20), ("mixed", "GGAAGAAGAAGGAGGAGAGAGGGAAGGAA")]
 PANEL_FILTERS = {"none": {"at_threshold": None, "filter_homopolymers": False}, "at_only": {"at_threshold": 0.8, "filter_homopolymers": False}, "homopolymer_only": {"at_threshold": None}, "both": {"at_threshold": 0.8}}
-_PANEL_DNA = "dna AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{x.lower()}')" for i, (n, x) in enumerate(PANEL)) + ") t(record_ix, seq_id, seq))"
 
-
-@query("e35_homopolymer_panel", "SELECT seq_id, " + ", ".join(f"count(*) FILTER (state = '{f}') > 0 AS {f}" for f in PANEL_FILTERS) + " FROM (SELECT unnest(" + str([n for n, _ in PANEL]) + ") AS seq_id) LEFT JOIN (" + " UNION ALL ".join(f"SELECT '{f}' AS state, seq_id FROM ({Q.p1_sql(ScanParams(**k), _PANEL_DNA, 'seq_id')})" for f, k in PANEL_FILTERS.items()) + ") USING (seq_id) GROUP BY seq_id")
+@query("e35_homopolymer_panel", f"WITH calls AS (" + " UNION ALL ".join(f"SELECT '{f}' AS state, seq_id FROM ({Q.p1_sql(ScanParams(**k), _BENCH, 'seq_id')})" for f, k in PANEL_FILTERS.items()) + "), names AS (SELECT 'd' || item_id AS seq_id FROM benchmark) SELECT seq_id, " + ", ".join(f"count(*) FILTER (state = '{f}') > 0 AS {f}" for f in PANEL_FILTERS) + " FROM names LEFT JOIN calls USING (seq_id) GROUP BY seq_id")
 def e35(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether runs of one base are called under each state of the filters."""
-    records = spark.createDataFrame([(i, n, x, 1) for i, (n, x) in enumerate(PANEL)], RECORD)
-    return P.panel(records, PANEL_FILTERS)
+    """Whether each passage is called under each state of the filters."""
+    return P.panel(passages(spark, sf), PANEL_FILTERS)
+
+
+@query("e28_stage_metrics", Q.stage_metrics_sql(ScanParams(), "SELECT doc_id AS record_ix, quality AS y FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)"))
+def e28_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """Confusion and AUROC of the stages' calls against the labels of quality."""
+    records = dna(spark, sf)
+    truth = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("record_ix"), F.col("quality").alias("y")).join(records.select("record_ix"), "record_ix", "left_semi")
+    got = P.stage_metrics(records.join(truth.select("record_ix"), "record_ix", "left_semi"), truth, ScanParams(), P.ABLATION[1:])
+    return got.select("step", "stage", *E.COUNTS, F.round("auroc", 6).alias("auroc"))
+
+
+_CURATED = """r AS (SELECT doc_id, replace(lower(trim(CASE WHEN doc_id % 3 = 0 THEN ' Forming' WHEN doc_id % 3 = 1 THEN 'non_forming ' ELSE 'other' END)), '_', '-') AS label, trim(CASE WHEN doc_id % 5 = 0 THEN 'removed' ELSE ' kept' END) AS decision, trim(coalesce(lang, '')) AS kind, upper(trim(split_part(coalesce(text, ''), ' ', 1))) AS s FROM documents)"""
+
+
+@query("f6_curated_rows", f"WITH {_CURATED} SELECT doc_id, CASE label WHEN 'forming' THEN 1 WHEN 'non-forming' THEN 0 END AS y, regexp_full_match(s, '[ACGT]+') AS valid FROM r WHERE decision = 'kept' AND kind = 'en'")
+def f6(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as curated rows: decision and label by id, type by language, the first word as the sequence."""
+    i = F.col("doc_id")
+    t = spark.read.parquet(f"{sf}/documents.parquet").select(
+        "doc_id", F.when(i % 3 == 0, " Forming").when(i % 3 == 1, "non_forming ").otherwise("other").alias("label"), F.when(i % 5 == 0, "removed").otherwise(" kept").alias("curation_decision"),
+        F.coalesce("lang", F.lit("")).alias("record_type"), F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(1)).alias("seq"))
+    return C.curated(t, "en").select("doc_id", "y", "valid")
 
 
 # Filters and projections over lines as spans.

@@ -181,3 +181,34 @@ def test_profile_does_not_depend_on_chunks(spark):
     assert last["inner_iters"] == last["ctr_sp_pairs"] == 0 and last["total_inner_iters"] == seen[2]["total_inner_iters"] and last["scans_completed"] == 4
     profile.reset()
     assert profile.info()["scans_completed"] == 0
+
+
+#: Runs of one base and one mixed motif.
+PANEL = [("poly_a15", "A" * 15), ("poly_a30", "A" * 30), ("poly_t25", "T" * 25), ("poly_g30", "G" * 30), ("poly_c20", "C" * 20), ("mixed", "GGAAGAAGAAGGAGGAGAGAGGGAAGGAA")]
+
+
+def test_homopolymer_panel(spark):
+    from mirrorloom.plans.scan import panel
+    from mirrorloom.queries import PANEL_FILTERS
+
+    records = spark.createDataFrame([(i, n, x, 1) for i, (n, x) in enumerate(PANEL)], "record_ix long, seq_id string, seq string, seq_offset long")
+    got = {r.seq_id: r.asDict() for r in panel(records, PANEL_FILTERS, ScanParams(min_g_rate=0.0)).collect()}
+    assert [n for n, _ in PANEL if not got[n]["none"]] == ["poly_a15"]  # no room for two arms of eight
+    assert [n for n, _ in PANEL if got[n]["both"]] == ["mixed"]
+    assert [n for n, _ in PANEL if got[n]["at_only"]] == ["poly_g30", "poly_c20", "mixed"] and [n for n, _ in PANEL if got[n]["homopolymer_only"]] == ["mixed"]
+
+
+def test_files_in_order_and_by_stage(spark, tmp_path):
+    from mirrorloom.plans.scan import scan_ablation, scan_fasta_ablation, scan_fasta_iter
+    from mirrorloom.sources.fasta import read_fasta
+
+    body = "".join(f">r{9 - i}\n{'GAAGGAAAGAAAGAAAGGG' * (i + 1)}\n" for i in range(9))
+    (tmp_path / "x.fa").write_text(body)
+    path = str(tmp_path / "x.fa")
+    rows = list(scan_fasta_iter(spark, path, range_bytes=50))
+    # records in the order of the file, whatever their names and however it was cut, and hits in order within them
+    assert [r.seq_id for r in rows] == sorted((r.seq_id for r in rows), reverse=True) and len({r.seq_id for r in rows}) == 9
+    assert all(a.start < b.start for a, b in zip(rows, rows[1:], strict=False) if a.seq_id == b.seq_id)
+    for model in ("composition", "complete"):
+        got, want = scan_fasta_ablation(spark, path, model), scan_ablation(read_fasta(spark, path), model)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 0
