@@ -38,7 +38,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     base = pii.span_text(F.col("base"))
     kinds = [F.size(F.filter("base", pii.of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), pii.span_text(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    listed = F.filter("added", lambda c: c["kind"] < len(pii.KINDS))
+    secrets = F.filter("added", lambda c: c["kind"] >= len(pii.KINDS))
+    return found.select(
+        "doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), pii.span_text(F.array_sort(F.concat("base", listed))).alias("spans"),
+        pii.span_text(F.array_sort(secrets)).alias("secrets"), F.size("added").cast("long").alias("n_added"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
