@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..grid import Grid, Sweep, detect_grid, scan_grid, with_filters
 from . import detect as D
 from .overlap import _dealt
+from .ranks import stored
 
 
 def _whole(g: Grid):
@@ -35,9 +36,10 @@ def _hits(g: Grid):
             for row in batch.to_pylist():
                 seq = (row["b"] or b"").lower()
                 found = detect_grid(seq, g, (row["own_from"], row["own_to"]))
-                rows = [(row["record_ix"], a + row["shift"], b + row["shift"], arm, sp, span, mask.tobytes()) for a, b, arm, sp, span, mask in with_filters(seq.decode("latin-1"), found, g)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                # a row without configurations, so that every record has one
+                none = (row["record_ix"], row["shift"], row["shift"], 0, 0, "", bytes(2 * -(-g.detections // 8)))
+                rows = [none] + [(row["record_ix"], a + row["shift"], b + row["shift"], arm, sp, span, mask.tobytes()) for a, b, arm, sp, span, mask in with_filters(seq.decode("latin-1"), found, g)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
 
@@ -70,11 +72,11 @@ def grid_calls(records: DataFrame, g: Grid, size: int = D.CHUNK) -> DataFrame:
     """
     short = records.where(F.length("seq") <= size).select("record_ix", "seq").mapInArrow(_whole(g), "record_ix long, words array<long>")
     long = records.where(F.length("seq") > size)
-    hits = D.chunked(long, g.base.but(maxspacer=g.maxspacer[-1], minrep=g.minrep[0]), size).mapInArrow(_hits(g), HITS)
+    # stored, as the islands read the hits several times
+    hits = stored(D.chunked(long, g.base.but(maxspacer=g.maxspacer[-1], minrep=g.minrep[0]), size).mapInArrow(_hits(g), HITS), "grid-hits")
     parts = _dealt(hits, ("record_ix",), True).mapInArrow(_sweeps(g), "record_ix long, words array<long>")
-    none = long.select("record_ix", F.array_repeat(F.lit(0).cast("long"), g.words).alias("words"))
     any_ = [F.bit_or(F.get("words", F.lit(i))).alias(f"w{i}") for i in range(g.words)]
-    cut = parts.unionByName(none).groupBy("record_ix").agg(*any_).select("record_ix", F.array(*[f"w{i}" for i in range(g.words)]).alias("words"))
+    cut = parts.groupBy("record_ix").agg(*any_).select("record_ix", F.array(*[f"w{i}" for i in range(g.words)]).alias("words"))
     return short.unionByName(cut)
 
 
