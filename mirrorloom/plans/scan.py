@@ -15,6 +15,7 @@ from ..functions.scoring import with_scores
 from ..operators import detect as D
 from ..operators import filters as C
 from ..operators.overlap import remove_overlaps, select_lazily
+from ..operators.ranks import stored
 from ..params import ScanParams
 from ..schema import HIT_COLUMNS, SCORES
 
@@ -33,6 +34,7 @@ def detect_candidates(records: DataFrame, p: ScanParams | None = None, size: int
 
 
 def composition(hits: DataFrame, p: ScanParams) -> DataFrame:
+    """The composition filters as predicates, for hits from elsewhere; scans apply them to prefix counts in the kernel."""
     if p.at_threshold is not None:
         hits = C.filter_at_content(hits, p.at_threshold)
     return C.filter_g_rate(hits, p.min_g_rate) if p.min_g_rate else hits
@@ -93,14 +95,14 @@ def scan_fasta_iter(spark: SparkSession, path: str, **kwargs) -> Iterator[Row]:
     yield from scan_fasta(spark, path, **kwargs).orderBy("record_ix", "start").toLocalIterator()
 
 
-def scan_ablation(records: DataFrame, model: str = "complete", p: ScanParams | None = None) -> DataFrame:
-    """The pipeline up to one stage, then overlap removal if the parameters ask for it, last."""
-    if model not in ABLATION:
-        raise ValueError(f"unknown model {model!r}")
-    p = p or ScanParams()
-    hits = detect_candidates(records, p.but(purity=0.0) if model == "detection" else p)
-    if model != "detection":
-        hits = composition(hits, p)
+def _ablation_hits(records: DataFrame, model: str, p: ScanParams) -> DataFrame:
+    """What a stage starts from: everything detected without purity, or what the composition filters pass."""
+    if model == "detection":
+        return detect_candidates(records, p.but(purity=0.0))
+    return D.materialise(D.raw_candidates(records, p, composed=True))
+
+
+def _ablation_stage(hits: DataFrame, model: str, p: ScanParams) -> DataFrame:
     if model in ("pairing", "pairing_stacking", "complete"):
         hits = with_scores(hits, model)
     if model == "complete" and p.filter_homopolymers:
@@ -111,6 +113,26 @@ def scan_ablation(records: DataFrame, model: str = "complete", p: ScanParams | N
     return _finish(hits)
 
 
+def scan_ablation(records: DataFrame, model: str = "complete", p: ScanParams | None = None) -> DataFrame:
+    """The pipeline up to one stage, then overlap removal if the parameters ask for it, last."""
+    if model not in ABLATION:
+        raise ValueError(f"unknown model {model!r}")
+    p = p or ScanParams()
+    return _ablation_stage(_ablation_hits(records, model, p), model, p)
+
+
+def scan_stages(records: DataFrame, p: ScanParams | None = None, models: tuple[str, ...] = ABLATION) -> dict[str, DataFrame]:
+    """:func:`scan_ablation` of several stages; those after the first share one detection, whose hits are stored."""
+    p, shared, out = p or ScanParams(), None, {}
+    for model in models:
+        if model == "detection":
+            out[model] = scan_ablation(records, model, p)
+            continue
+        shared = stored(_ablation_hits(records, model, p), "stages") if shared is None else shared
+        out[model] = _ablation_stage(shared, model, p)
+    return out
+
+
 def scan_fasta_ablation(spark: SparkSession, path: str, model: str = "complete", parser: str = "biopython", **kwargs) -> DataFrame:
     """One stage of the pipeline over all records of a FASTA file."""
     from ..sources.fasta import read_fasta
@@ -126,8 +148,7 @@ def stage_metrics(records: DataFrame, truth: DataFrame, p: ScanParams | None = N
     from ..operators import evaluation as E
 
     calls = None
-    for i, model in enumerate(models):
-        hits = scan_ablation(records, model, p)
+    for i, (model, hits) in enumerate(scan_stages(records, p, models).items()):
         per = hits.groupBy("record_ix").agg(F.coalesce(F.max("total_score"), F.lit(0.0)).alias("s")).select(F.lit(i).alias("step"), F.lit(model).alias("stage"), "record_ix", "s")
         calls = per if calls is None else calls.unionByName(per)
     steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(m).alias("stage")) for i, m in enumerate(models)])

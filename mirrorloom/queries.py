@@ -83,8 +83,8 @@ def p1_score_short(spark: SparkSession, sf: str) -> DataFrame:
 def stages(records: DataFrame, p: ScanParams) -> DataFrame:
     """Hits, mean and highest score of each stage of the pipeline but the first."""
     out = None
-    for i, model in enumerate(P.ABLATION[1:]):
-        got = P.scan_ablation(records, model, p).agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg("total_score"), 6).alias("mean_score"), F.max("total_score").alias("max_score")).select(F.lit(i).alias("step"), F.lit(model).alias("stage"), "*")
+    for i, (model, hits) in enumerate(P.scan_stages(records, p, P.ABLATION[1:]).items()):
+        got = hits.agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg("total_score"), 6).alias("mean_score"), F.max("total_score").alias("max_score")).select(F.lit(i).alias("step"), F.lit(model).alias("stage"), "*")
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -201,7 +201,7 @@ def test_files_in_order_and_by_stage(spark, tmp_path):
     from mirrorloom.plans.scan import scan_ablation, scan_fasta_ablation, scan_fasta_iter
     from mirrorloom.sources.fasta import read_fasta
 
-    body = "".join(f">r{9 - i}\n{'GAAGGAAAGAAAGAAAGGG' * (i + 1)}\n" for i in range(9))
+    body = "".join(f">r{9 - i}\n{'GAAGGAAAGAAAGAAAGGG' * (i + 2)}\n" for i in range(9))
     (tmp_path / "x.fa").write_text(body)
     path = str(tmp_path / "x.fa")
     rows = list(scan_fasta_iter(spark, path, range_bytes=50))
@@ -211,3 +211,15 @@ def test_files_in_order_and_by_stage(spark, tmp_path):
     for model in ("composition", "complete"):
         got, want = scan_fasta_ablation(spark, path, model), scan_ablation(read_fasta(spark, path), model)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 0
+
+
+def test_kernel_filters_equal_predicates(spark):
+    from mirrorloom.operators import detect as D
+    from mirrorloom.plans.scan import composition, detect_candidates
+
+    rng = random.Random(8)
+    rows = [(i, "s", "".join(rng.choice(["GA" * 5, "AATA" * 4, "TTC" * 5, "GGAAGG", "N", "acgt", "TATA"]) for _ in range(rng.randint(0, 30))), 1) for i in range(40)]
+    records = spark.createDataFrame(rows, "record_ix long, seq_id string, seq string, seq_offset long")
+    for p in (ScanParams(), ScanParams(at_threshold=0.6), ScanParams(at_threshold=0.8, min_g_rate=0.0, purity=0.8)):
+        got, want = D.materialise(D.raw_candidates(records, p, composed=True)), composition(detect_candidates(records, p), p)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 0

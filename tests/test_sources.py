@@ -172,3 +172,26 @@ def test_wig_headers_cross_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted((r.chrom, r.pos, r.span, r.value) for r in got) == sorted((f"c{c}", i, c + 1, i / 10) for c in range(4) for i in range(1, 500))
+
+
+def test_outputs_of_other_finders(spark, tmp_path):
+    from mirrorloom.sources import comparators as K
+
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    put = lambda name, text: ((tmp_path / name).write_text(text), str(tmp_path / name))[1]
+    assert rows(K.read_triplex(spark, put("t.csv", "start,end,score,record_id,more\n3,9,1.5,r1,x\n"))) == [("r1", 3, 9, 1.5)]
+    sites = put("sites", "# head\n\nr1\t2\t9\t4.5\tx\nr2\t0\t3\t1\tx\n")
+    assert rows(K.read_triplexator(spark, sites)) == [("r1", 3, 9, 4.5), ("r2", 1, 3, 1.0)]
+    pairs = put("pairs", "# head\nr1\t0\t5\tr1\t2\t9\t4.5\nr1\t0\t5\tr2\t2\t9\t4.5\n")
+    assert rows(K.read_triplexator(spark, pairs, same_molecule=True)) == [("r1", 3, 9, 4.5)]
+    table = put("n.tsv", "Sequence_name\tStart\tStop\tSubset\nr1\t1\t5\t0\nr1\t7\t9\t1\n")
+    assert rows(K.read_nbmst(spark, table)) == [("r1", 1, 5, None), ("r1", 7, 9, None)] and rows(K.read_nbmst(spark, table, True)) == [("r1", 7, 9, None)]
+    blocks = "$|9|lost\n>r1 text\n@indexes:4|\n$|12|a\n@indexes:5|8|\n$|7|b\n@indexes:|\n>r2\n$|3|c\nother\n@indexes: 0|\n"
+    want = [("r1", 6, 17, None, 12), ("r1", None, None, None, 7), ("r2", 1, 3, None, 3)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("10", before):  # blocks over many tasks and in one
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert rows(K.read_nessie(spark, put("n", blocks))) == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
