@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,10 +103,10 @@ def poisson_weight(u: Column) -> Column:
 
 
 def stratified_split(df: DataFrame, id_col: str, strata: Sequence[str], share: float, seed: int = 0) -> DataFrame:
-    """``train`` marks round(share * n) records of each stratum, in the order of a seeded hash."""
+    """``train`` marks round(share * n) records of each stratum, in the order of a seeded hash; the product is a decimal, so that halves go up."""
     w = Window.partitionBy(*strata)
     r = F.row_number().over(w.orderBy(seeded(seed, id_col), id_col))
-    return df.withColumn("train", r <= F.round(F.count(F.lit(1)).over(w) * share))
+    return df.withColumn("train", r <= F.round(F.count(F.lit(1)).over(w) * F.lit(Decimal(str(share)))))
 
 
 def stratified_folds(df: DataFrame, id_col: str, strata: Sequence[str], k: int, seed: int | Column = 0, by: Sequence[str] = ()) -> DataFrame:

@@ -63,6 +63,14 @@ def test_enriched_bins_equal_brute_force(spark):
     assert any(lam > 745 for lam, _ in got.values())
 
 
+def test_split_rounds_halves_up(spark, con):
+    """45 * 0.7 is 31.5, as a double less."""
+    sizes = [5, 15, 35, 45, 90]
+    rows = spark.createDataFrame([(1000 * n + i, n) for n in sizes for i in range(n)], "record_id long, y int")
+    got = {r.y: r.n for r in E.stratified_split(rows, "record_id", ["y"], 0.7).where("train").groupBy("y").count().withColumnRenamed("count", "n").collect()}
+    assert got == {n: int(con.sql(f"SELECT round({n}::BIGINT * 0.7)").fetchall()[0][0]) for n in sizes} == {5: 4, 15: 11, 35: 25, 45: 32, 90: 63}
+
+
 def test_auroc_is_pairs(spark):
     rows = [(y, s) for y, s in [(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1), (1, 0.1)]]
     wins = sum(1 if a > b else 0.5 if a == b else 0 for y, a in rows if y for z, b in rows if not z) / 6
