@@ -10,12 +10,12 @@ state per configuration, and stop as soon as every configuration of the record i
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 
-from .functions.scoring import score_hit
+from .functions.scoring import MIN_WINDOW, score_hit
 from .kernel import Strand, _extend, pairs
 from .params import ScanParams
 from .schema import NO_SPACER
@@ -64,62 +64,101 @@ class Grid:
         """Configurations that differ in what they detect."""
         return len(self.purity) * len(self.mismatch) * len(self.minrep) * len(self.maxspacer)
 
+    @property
+    def detection_words(self) -> int:
+        return -(-self.detections // 64)
+
     @property
     def words(self) -> int:
         return -(-self.size // 64)
 
 
 def _tables(g: Grid) -> np.ndarray:
-    """[purity, mismatch, number of minreps met, first spacer allowed] -> configurations (booleans) that detect such an arm."""
+    """[purity, mismatch, number of minreps met, first spacer allowed] -> configurations that detect such an arm, as words of packed bits."""
     P, M, J, L = len(g.purity), len(g.mismatch), len(g.minrep), len(g.maxspacer)
     out = np.zeros((P, M, J + 1, L, P, M, J, L), dtype=bool)
     for p, m, j, s in itertools.product(range(P), range(M), range(J + 1), range(L)):
         out[p, m, j, s, p, m, :j, s:] = True
-    return out.reshape(P, M, J + 1, L, g.detections)
+    bits = np.zeros((P, M, J + 1, L, 64 * g.detection_words), dtype=bool)
+    bits[..., : g.detections] = out.reshape(P, M, J + 1, L, g.detections)
+    return np.packbits(bits, axis=-1).view(np.uint64)
+
 
+_EVENTS = 1 << 20  # arms noted before they are written down
 
-def detect_grid(seq: bytes, g: Grid, own: tuple[int, int] | None = None) -> dict[str, np.ndarray]:
-    """Every geometry that a configuration detects: ``start`` (0-based), ``end`` (exclusive), ``arm``, ``ga``, ``ct``, and ``mask`` [hits, detections]."""
-    s = Strand([seq], [own])
+
+def detect_grid(s: Strand, g: Grid) -> dict[str, np.ndarray]:
+    """Every geometry that a configuration detects, in places of the strand: ``start``, ``end`` (exclusive), ``arm``, ``ga``, ``ct``, and ``mask`` [hits, words]."""
     d, ga, ct = s.d, s.ga, s.ct
     some = [g.base.but(purity=p) for p in g.purity], [g.base.but(mismatch=m) for m in g.mismatch]
     percents = [p.purity_percent for p in some[0]]
     limits = [(p.mismatch_percent, p.mismatch_budget) for p in some[1]]
     shortest, loosest, most_mis, budget = g.minrep[0], min(percents), max(m for m, _ in limits), max(b for _, b in limits)
     tables, rows = _tables(g), []
+    kind = np.uint8 if max(len(percents), len(limits)) <= 8 else np.uint64
     for left, right, most, mis, k in pairs(s, shortest, g.base.maxrep, g.maxspacer[-1], loosest, most_mis):
         best = np.zeros((len(percents), len(limits), len(left)), dtype=np.int16 if g.base.maxrep < 1 << 15 else np.int64)
-        ids, before = np.arange(len(left)), mis
-        while len(ids):
-            rr = right[ids]
-            if k >= shortest:
-                share = 100 * np.maximum(ga[rr + k] - ga[rr], ct[rr + k] - ct[rr])
-                few = [(mis * 100 <= m * k) & ((before <= b) if k > shortest else True) for m, b in limits]
-                for i, percent in enumerate(percents):
-                    pure = share >= percent * k
-                    for j, ok in enumerate(few):
-                        best[i, j, ids[pure & ok]] = k
-            alive = (most[ids] > k) & (mis * 100 <= most_mis * most[ids])
+        noted: list[tuple[np.ndarray, ...]] = []
+
+        def write(best=best, noted=noted) -> None:
+            """The noted arms come by rising length, so the longest of a pair stays."""
+            if noted:
+                at, length, pure, few = (np.concatenate(x) for x in zip(*noted, strict=True))
+                for i in range(best.shape[0]):
+                    mine = np.flatnonzero(pure & kind(1 << i))
+                    there, long, those = at[mine], length[mine], few[mine]
+                    for j in range(best.shape[1]):
+                        which = (those & kind(1 << j)) != 0
+                        best[i, j, there[which]] = long[which]
+                noted.clear()
+
+        state = [np.arange(len(left)), left, right, most_mis * most // 100, most, mis, ga[right], ct[right]]
+        before, held = mis, 0
+        while len(state[0]):
+            ids, ll, rr, limit, most_, mis, ga0, ct0 = state
             if k >= shortest:
-                alive &= mis <= budget
-            ids, mis = ids[alive], mis[alive]
+                at = rr + k
+                share = 100 * np.maximum(ga.take(at) - ga0, ct.take(at) - ct0)
+                ok = (share >= loosest * k) & (mis * 100 <= most_mis * k)
+                if k > shortest:
+                    ok &= before <= budget
+                which = np.flatnonzero(ok)
+                if len(which):
+                    share, now, was = share[which], mis[which] * 100, before[which]
+                    pure, few = np.zeros(len(which), dtype=kind), np.zeros(len(which), dtype=kind)
+                    for i, percent in enumerate(percents):
+                        pure += (share >= percent * k) * kind(1 << i)
+                    for j, (m, b) in enumerate(limits):
+                        few += (((now <= m * k) & (was <= b)) if k > shortest else (now <= m * k)) * kind(1 << j)
+                    noted.append((ids[which], np.full(len(which), k, dtype=best.dtype), pure, few))
+                    held += len(which)
+                    if held > _EVENTS:
+                        write()
+                        held = 0
+            alive = (most_ > k) & (mis <= (np.minimum(limit, budget) if k >= shortest else limit))
+            if not alive.all():
+                state = [x[alive] for x in state]
+                ids, ll, rr, limit, most_, mis, ga0, ct0 = state
             before = mis
-            mis = mis + (d[left[ids] - k] != d[right[ids] + k])
+            state[5] = mis + (d.take(ll - k) != d.take(rr + k))
             k += 1
-        sp = right - left - 1
-        spacer = np.searchsorted(g.maxspacer, sp)
+        write()
+        spacer = np.searchsorted(g.maxspacer, right - left - 1)
         for i, percent in enumerate(percents):
-            j, at = np.nonzero(best[i])
-            if not len(at):
-                continue
-            k = best[i][j, at].astype(np.int64)
-            a, b, arm = _extend(s, left[at], right[at], k, percent, g.base.maxrep)
-            mask = tables[i][j, np.searchsorted(g.minrep, k, side="right"), spacer[at]]
-            rows.append((a - arm + 1, b + arm, arm, b, np.packbits(mask, axis=1)))
-    width = -(-g.detections // 8)
+            mask = np.zeros((len(left), tables.shape[-1]), dtype=np.uint64)
+            for j in range(len(limits)):
+                arm = best[i, j]
+                at = np.flatnonzero(arm)
+                mask[at] |= tables[i, j, np.searchsorted(g.minrep, arm[at], side="right"), spacer[at]]
+                if j + 1 < len(limits):  # an arm that the next limit has too goes with it
+                    at = at[best[i, j + 1, at] != arm[at]]
+                if len(at):
+                    a, b, n = _extend(s, left[at], right[at], arm[at].astype(np.int64), percent, g.base.maxrep)
+                    rows.append((a - n + 1, b + n, n, b, mask[at]))
+                    mask[at] = 0
     if not rows:
         none = np.zeros(0, dtype=np.int64)
-        return {"start": none, "end": none, "arm": none, "ga": none, "ct": none, "mask": np.zeros((0, width), dtype=np.uint8)}
+        return {"start": none, "end": none, "arm": none, "ga": none, "ct": none, "mask": np.zeros((0, tables.shape[-1]), dtype=np.uint64)}
     start, end, arm, right, mask = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.lexsort((arm, end, start))
     start, end, arm, right, mask = (x[order] for x in (start, end, arm, right, mask))
@@ -129,22 +168,23 @@ def detect_grid(seq: bytes, g: Grid, own: tuple[int, int] | None = None) -> dict
     return {"start": start, "end": end, "arm": arm, "ga": ga[right + arm] - ga[right], "ct": ct[right + arm] - ct[right], "mask": mask}
 
 
-def with_filters(seq: str, found: dict[str, np.ndarray], g: Grid) -> Iterator[tuple[int, int, int, int, str, np.ndarray]]:
-    """(start, end, arm, spacer, span, mask) in the order of the sweep, of the hits that pass the filters before it.
+def with_filters(s: Strand, found: dict[str, np.ndarray], g: Grid) -> dict[str, np.ndarray]:
+    """``found`` with ``spacer``, in the order of the sweep, without the hits that no configuration keeps before it.
 
-    The mask has two halves, configurations without and with the A/T filter.  Starts are 0-based, ends exclusive.
+    The mask has two halves, configurations without and with the A/T filter.
     """
-    spacer = found["end"] - found["start"] - 2 * found["arm"]
-    for i in np.lexsort((spacer, -found["arm"], found["start"])).tolist():
-        a, b, arm = (int(found[k][i]) for k in ("start", "end", "arm"))
-        span = seq[a:b]
-        if g.base.min_g_rate:
-            base = "g" if found["ga"][i] >= found["ct"][i] else "c"
-            if max(span.count(base, 0, arm), span.count(base, len(span) - arm)) / arm < g.base.min_g_rate:
-                continue
-        cool = (span.count("a") + span.count("t")) / len(span) < FILTERS["at"][0]
-        mask = found["mask"][i]
-        yield a, b, arm, int(spacer[i]), span, np.concatenate([mask, mask if cool else np.zeros_like(mask)])
+    start, end, arm, mask = (found[k] for k in ("start", "end", "arm", "mask"))
+    spacer = end - start - 2 * arm
+    keep = np.lexsort((spacer, -arm, start))
+    if g.base.min_g_rate:
+        n = {b: s.upto(b) for b in (b"g", b"c")}
+        rate = {b: np.maximum(x[start + arm] - x[start], x[end] - x[end - arm]) / arm for b, x in n.items()}
+        ok = np.where(found["ga"] >= found["ct"], rate[b"g"], rate[b"c"]) >= g.base.min_g_rate
+        keep = keep[ok[keep]]
+    start, end, arm, spacer, mask = (x[keep] for x in (start, end, arm, spacer, mask))
+    warm = s.upto(b"at")
+    cool = (warm[end] - warm[start]) / (end - start) < FILTERS["at"][0]
+    return {"start": start, "end": end, "arm": arm, "spacer": spacer, "mask": np.concatenate([mask, np.where(cool[:, None], mask, np.uint64(0))], axis=1)}
 
 
 def is_uniform(s: str) -> bool:
@@ -163,7 +203,7 @@ class Sweep:
     """Greedy selection with a state per configuration, reduced to which configurations have a hit at all and a mixed one that stays."""
 
     def __init__(self, g: Grid):
-        self.g, n = g, 2 * 8 * -(-g.detections // 8)
+        self.g, n = g, 2 * 64 * g.detection_words
         self.any, self.mixed = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
         self.end, self.arm, self.spacer, self.at = (np.full(n, -1, dtype=np.int64) for _ in range(4))
         self.held: dict[int, tuple[str, int]] = {}
@@ -175,7 +215,7 @@ class Sweep:
                 self.mixed |= which & (self.at == i)
 
     def hit(self, start: int, end: int, arm: int, spacer: int, span: str, mask: np.ndarray) -> None:
-        """The next hit in order of (start, -arm, spacer); ``end`` exclusive."""
+        """The next hit in order of (start, -arm, spacer); ``end`` exclusive, ``mask`` in bytes."""
         has = np.unpackbits(mask).view(bool)
         self.any |= has
         has = has & ~self.mixed
@@ -216,10 +256,46 @@ class Sweep:
         return np.packbits(padded, bitorder="little").view("<i8").tolist()
 
 
+def surely_mixed(s: Strand, start: np.ndarray, end: np.ndarray, arm: np.ndarray) -> np.ndarray:
+    """Hits that pass the homopolymer filter whatever window scores best: what every window's triplex holds, the spacer and the bases of
+    the shortest window on both sides of it, is not one base alone.
+    """
+    inner = arm - np.minimum(arm, MIN_WINDOW)
+    changes = np.concatenate([[0], np.cumsum(s.d[1:] != s.d[:-1])])
+    return changes[end - inner - 1] > changes[start + inner]
+
+
+def scan_grid_many(seqs: Sequence[bytes], g: Grid) -> list[list[int]]:
+    """Which configurations call each of the sequences, as words of bits.
+
+    In an island whose hits are all surely mixed, any configuration with a hit there keeps a mixed one, so only the other islands
+    are swept.
+    """
+    s = Strand(seqs, [None] * len(seqs))
+    hits = with_filters(s, detect_grid(s, g), g)
+    start, end, arm, spacer, mask = (hits[k] for k in ("start", "end", "arm", "spacer", "mask"))
+    sweeps: dict[int, Sweep] = {}
+    if len(start):
+        row = np.searchsorted(s.starts, start, side="right") - 1
+        island = np.flatnonzero(np.concatenate([[True], start[1:] >= np.maximum.accumulate(end)[:-1]]))
+        size = np.diff(np.append(island, len(start)))
+        settled = np.repeat(np.logical_and.reduceat(surely_mixed(s, start, end, arm), island), size)
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        any_ = np.bitwise_or.reduceat(mask, first, axis=0)
+        mixed_ = np.bitwise_or.reduceat(np.where(settled[:, None], mask, np.uint64(0)), first, axis=0)
+        for r, a, b in zip(row[first].tolist(), any_, mixed_, strict=True):
+            sweeps[r] = sweep = Sweep(g)
+            sweep.any, sweep.mixed = (np.unpackbits(x.view(np.uint8)).view(bool) for x in (a, b))
+        opens = np.zeros(len(start), dtype=bool)
+        opens[island] = True
+        for i in np.flatnonzero(~settled).tolist():
+            if opens[i]:
+                sweeps[int(row[i])].island()
+            sweeps[int(row[i])].hit(int(start[i]), int(end[i]), int(arm[i]), int(spacer[i]), bytes(s.d[start[i] : end[i]]).decode("latin-1"), mask[i].view(np.uint8))
+    none = Sweep(g).words()
+    return [sweeps[i].words() if i in sweeps else none for i in range(len(seqs))]
+
+
 def scan_grid(seq: str, g: Grid) -> list[int]:
     """Which configurations call a whole record, as words of bits."""
-    seq = seq.lower()
-    sweep = Sweep(g)
-    for hit in with_filters(seq, detect_grid(seq.encode("latin-1", "replace"), g), g):
-        sweep.hit(*hit)
-    return sweep.words()
+    return scan_grid_many([seq.lower().encode("latin-1", "replace")], g)[0]

@@ -122,7 +122,12 @@ def nested_cv(pred: DataFrame, folds: DataFrame, order: Sequence[Column], id_col
     are summed once; a training confusion is the total less the fold, so predictions are joined with folds once.
     """
     extra = [c for c in pred.columns if c not in ("config_id", id_col, "y", "p")]
-    per = confusion(pred.join(folds, id_col), by=["rep", "fold", "config_id", *extra])
+    return nested_cv_of(confusion(pred.join(folds, id_col), by=["rep", "fold", "config_id", *extra]), order)
+
+
+def nested_cv_of(per: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """:func:`nested_cv` from the confusions per (rep, fold, config_id) and parameter columns."""
+    extra = [c for c in per.columns if c not in ("rep", "fold", "config_id", *COUNTS)]
     w = Window.partitionBy("rep", "config_id")
     train = per.select("rep", "fold", "config_id", *extra, *[(F.sum(c).over(w) - F.col(c)).alias(c) for c in COUNTS])
     chosen = select_config(with_metrics(train), order, ["rep", "fold"]).select("rep", "fold", "config_id")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..grid import Grid, Sweep, detect_grid, scan_grid, with_filters
+from ..grid import Grid, Sweep, detect_grid, scan_grid_many, with_filters
+from ..kernel import Strand, together
 from . import detect as D
 from .overlap import _dealt
 from .ranks import stored
@@ -18,8 +20,9 @@ from .ranks import stored
 def _whole(g: Grid):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [scan_grid(s or "", g) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["record_ix", "words"])
+            seqs = [(s or "").lower().encode("latin-1", "replace") for s in batch.column(1).to_pylist()]
+            for lo, hi in together([len(x) for x in seqs]):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(scan_grid_many(seqs[lo:hi], g), pa.list_(pa.int64()))], names=["record_ix", "words"])
 
     return run
 
@@ -34,12 +37,15 @@ def _hits(g: Grid):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                seq = (row["b"] or b"").lower()
-                found = detect_grid(seq, g, (row["own_from"], row["own_to"]))
+                s = Strand([row["b"] or b""], [(row["own_from"], row["own_to"])])
+                found = with_filters(s, detect_grid(s, g), g)
                 # a row without configurations, so that every record has one
-                none = (row["record_ix"], row["shift"], row["shift"], 0, 0, "", bytes(2 * -(-g.detections // 8)))
-                rows = [none] + [(row["record_ix"], a + row["shift"], b + row["shift"], arm, sp, span, mask.tobytes()) for a, b, arm, sp, span, mask in with_filters(seq.decode("latin-1"), found, g)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                none = (row["record_ix"], row["shift"], row["shift"], 0, 0, "", bytes(2 * 8 * g.detection_words))
+                seq = s.d.tobytes().decode("latin-1")
+                places = zip(*(found[k].tolist() for k in ("start", "end", "arm", "spacer")), found["mask"], strict=True)
+                rows = itertools.chain([none], ((row["record_ix"], a + row["shift"], b + row["shift"], arm, sp, seq[a:b], mask.tobytes()) for a, b, arm, sp, mask in places))
+                for part in itertools.batched(rows, 1 << 14):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=names)
 
     return run
 
@@ -89,8 +95,42 @@ def grid_predictions(calls: DataFrame, g: Grid, id_col: str = "record_ix", only:
     return each.select("config_id", id_col, bit.cast("int").alias("p"))
 
 
-def grid_confusion(calls: DataFrame, labels: DataFrame, g: Grid, id_col: str = "record_ix") -> DataFrame:
-    """tp, fp, tn, fn of every configuration against (id, y): counts per bit, a row per configuration and map task shuffled."""
-    pred = grid_predictions(calls.join(labels.select(id_col, "y"), id_col).select("words", "y", id_col), g, "y")
-    hit = lambda p, y: F.count_if((F.col("p") == p) & (F.col("y") == y))
-    return pred.groupBy("config_id").agg(hit(1, 1).alias("tp"), hit(1, 0).alias("fp"), hit(0, 0).alias("tn"), hit(0, 1).alias("fn"))
+def grid_counts(calls: DataFrame, g: Grid, by: Sequence[str] = ()) -> DataFrame:
+    """(by, config_id, called, total): how many records of each group every configuration calls, and how many there are.
+
+    Each task adds up the bits of its records, so what is shuffled is a row per group and task, not one per record and configuration.
+    """
+    by = list(by)
+    kinds = [f for f in calls.schema.fields if f.name in by]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kinds] + ["counts array<long>", "total long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        totals: dict[tuple, int] = {}
+        types = []
+        for batch in batches:
+            types = [batch.schema.field(f.name).type for f in kinds]
+            keys = list(zip(*[batch.column(f.name).to_pylist() for f in kinds], strict=True)) if kinds else [()] * batch.num_rows
+            words = batch.column("words").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, g.words)
+            numbers = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            group = np.array([numbers[k] for k in keys], dtype=np.int64)
+            for k, i in numbers.items():
+                mine = np.ascontiguousarray(words[group == i])
+                ones = np.unpackbits(mine.astype("<i8").view(np.uint8), axis=1, bitorder="little")[:, : g.size].sum(axis=0, dtype=np.int64)
+                sums[k] = sums[k] + ones if k in sums else ones
+                totals[k] = totals.get(k, 0) + len(mine)
+        if sums:
+            cols = [pa.array([k[i] for k in sums], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64())), pa.array(list(totals.values()), pa.int64())], names=[*[f.name for f in kinds], "counts", "total"])
+
+    parts = calls.select(*[f.name for f in kinds], "words").mapInArrow(run, schema)
+    each = parts.select(*by, "total", F.posexplode("counts").alias("config_id", "called"))
+    return each.groupBy(*by, "config_id").agg(F.sum("called").alias("called"), F.sum("total").alias("total"))
+
+
+def grid_confusion(calls: DataFrame, labels: DataFrame, g: Grid, id_col: str = "record_ix", by: Sequence[str] = ()) -> DataFrame:
+    """tp, fp, tn, fn of every configuration against (id, y, by)."""
+    counts = grid_counts(calls.join(labels.select(id_col, "y", *by), id_col), g, [*by, "y"])
+    of = lambda y, c: F.coalesce(F.sum(F.when(F.col("y") == y, c)), F.lit(0).cast("long"))
+    called, left = F.col("called"), F.col("total") - F.col("called")
+    return counts.groupBy(*by, "config_id").agg(of(1, called).alias("tp"), of(0, called).alias("fp"), of(0, left).alias("tn"), of(1, left).alias("fn"))

@@ -16,7 +16,7 @@ from .operators import filters as C
 from .operators import intervals as G
 from .operators import generators as N
 from .operators import reporting as A
-from .operators.grid import grid_calls, grid_confusion, grid_predictions
+from .operators.grid import grid_calls, grid_confusion, grid_counts, grid_predictions
 from .operators.inside import best_first_inside, greedy_inside
 from .operators.overlap import islands, remove_overlaps
 from .params import ScanParams
@@ -172,7 +172,7 @@ def e10_drawn(spark: SparkSession, sf: str) -> DataFrame:
 @query("e9_parameter_grid")
 def e9(spark: SparkSession, sf: str) -> DataFrame:
     """All configurations with the number of documents that each calls."""
-    called = grid_predictions(grid_calls(dna(spark, sf), WHOLE_GRID), WHOLE_GRID).groupBy("config_id").agg(F.sum("p").alias("called"))
+    called = grid_counts(grid_calls(dna(spark, sf), WHOLE_GRID), WHOLE_GRID).drop("total")
     axes = {k: list(getattr(WHOLE_GRID, k)) for k in ("filters", "purity", "mismatch", "minrep", "maxspacer")}
     return E.parameter_grid(spark, **axes).join(called, "config_id")
 
@@ -197,10 +197,10 @@ def e15_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold metrics of the configuration selected from the whole grid, five folds, four repeats."""
     truth = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("record_id"), F.col("quality").alias("y"))
     calls = grid_calls(dna(spark, sf), WHOLE_GRID).withColumnRenamed("record_ix", "record_id")
-    pred = grid_predictions(calls, WHOLE_GRID, "record_id").join(truth, "record_id")
     each = truth.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(3))))
     folds = E.stratified_folds(each, "record_id", ["y"], 5, F.col("rep"), ["rep"]).select("rep", "record_id", "fold")
-    return E.nested_cv(pred, folds, [F.round("mcc", 9).desc(), F.col("config_id")]).select("rep", *E.COUNTS, F.round("mcc", 9).alias("mcc"))
+    per = grid_confusion(calls, truth.join(folds, "record_id"), WHOLE_GRID, "record_id", ["rep", "fold"])
+    return E.nested_cv_of(per, [F.round("mcc", 9).desc(), F.col("config_id")]).select("rep", *E.COUNTS, F.round("mcc", 9).alias("mcc"))
 
 
 VARY = [("minrep", 8), ("minrep", 10), ("maxspacer", 4), ("maxspacer", 10), ("purity", 0.8), ("mismatch", 0.2)]

@@ -5,9 +5,9 @@ import random
 import pytest
 
 from mirrorloom import kernel
-from mirrorloom.grid import FILTERS, Grid, mixed, scan_grid
+from mirrorloom.grid import FILTERS, Grid, mixed, scan_grid, scan_grid_many
 from mirrorloom.operators import evaluation as E
-from mirrorloom.operators.grid import grid_calls, grid_confusion, grid_predictions
+from mirrorloom.operators.grid import grid_calls, grid_confusion, grid_counts, grid_predictions
 from mirrorloom.params import ScanParams
 from mirrorloom.plans.scan import scan
 
@@ -81,3 +81,23 @@ def test_grid_checks():
     for bad in ({"minrep": (10, 8)}, {"maxspacer": (5, 5)}, {"base": ScanParams(overlap_strategy="score")}):
         with pytest.raises(ValueError):
             Grid(**bad)
+
+
+def test_counts_shuffle_a_row_per_group(spark, small):
+    """Confusions per fold from sums of bits; the explode of every configuration for every record is gone."""
+    rng = random.Random(5)
+    rows = [(i, f"s{i}", sequence(rng, 2), 1) for i in range(20)]
+    records = spark.createDataFrame(rows, "record_ix long, seq_id string, seq string, seq_offset long")
+    truth = spark.createDataFrame([(i, i % 2, i % 3) for i in range(20)], "record_ix long, y int, fold int")
+    calls = grid_calls(records, small)
+    want = E.confusion(grid_predictions(calls, small).join(truth, "record_ix"), by=["fold", "config_id"])
+    got = grid_confusion(calls, truth, small, by=["fold"])
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect())
+    assert {(r.config_id, r.total) for r in grid_counts(calls, small).collect()} == {(i, 20) for i in range(small.size)}
+
+
+def test_records_scanned_together_equal_single_ones():
+    """Islands of long runs are swept, all others settled at once."""
+    rng, g = random.Random(6), Grid()
+    seqs = [sequence(rng, rng.randint(0, 6)).lower().encode() for _ in range(6)] + [b"", b"g" * 60, b"g" * 20 + b"ttac" + b"ga" * 9]
+    assert [bits(w, g.size) for w in scan_grid_many(seqs, g)] == [[called(s.decode(), p) for p in g.params()] for s in seqs]
