@@ -217,18 +217,26 @@ def nearest_train(test: DataFrame, train: DataFrame, id_col: str = "record_id",
     all: these few are a query set against all training records of their length, in blocks.  A record without a partner of its length has null.
     """
     s = F.upper(F.col(seq))
-    a = stored(test.select(F.col(id_col).alias("a_id"), s.alias("a_s"), F.length(seq).alias("len")), "nearest-test")
-    b = train.select(F.col(id_col).alias("b_id"), s.alias("b_s"), F.length(seq).alias("len")).join(a.select("len").distinct(), "len", "left_semi")
-    best = None
+    # copies share their nearest record: a search per distinct test sequence, and of equal training sequences the smallest id
+    asked = stored(test.select(F.col(id_col).alias("a_record"), s.alias("a_s")), "nearest-asked")
+    each = asked.select("a_s").where("a_s is not null").distinct()
+    b = train.groupBy(s.alias("b_s")).agg(F.min(id_col).alias("b_id")).withColumn("len", F.length("b_s"))
+    b = stored(b.join(each.select(F.length("a_s").alias("len")).distinct(), "len", "left_semi"), "nearest-train")
+    # an equal sequence is the nearest; what has none goes on
+    equal = each.join(b, F.col("a_s") == F.col("b_s"), "left").select(F.monotonically_increasing_id().alias("a_id"), "a_s", F.length("a_s").alias("len"), "b_id")
+    equal = stored(equal, "nearest-equal")
+    a = equal.where("b_id is null").drop("b_id")
+    best = equal.where("b_id is not null").select("a_id", F.struct(F.lit(0).alias("d"), "b_id", "len").alias("m"))
     for k in slices:
         edge = lambda i, k=k: F.floor(F.col("len") * i / k).cast("int")
         cut = lambda df, c, edge=edge, k=k: df.where(F.col("len") >= k * shortest).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_slice", F.substring(c, edge(F.col("_i")) + 1, edge(F.col("_i") + 1) - edge(F.col("_i"))))
         found = _best_of(cut(a, "a_s").join(cut(b, "b_s"), ["len", "_i", "_slice"])).where(F.col("m.d") < k)
         found = stored(found, "nearest-found")
-        best = found if best is None else best.unionByName(found)
+        best = best.unionByName(found)
         a = stored(a.join(found, "a_id", "left_anti"), "nearest-open")
     best = best.unionByName(_in_blocks(a, b, block))
-    got = test.join(best, test[id_col] == best["a_id"], "left")
+    best = equal.select("a_id", "a_s").join(best, "a_id").join(asked, "a_s").groupBy("a_record").agg(F.min("m").alias("m"))
+    got = test.join(best, test[id_col] == best["a_record"], "left")
     return got.select(*[test[c] for c in test.columns], F.col("m.b_id").alias("nearest"), (1 - F.col("m.d") / F.col("m.len")).alias("identity"))
 
 

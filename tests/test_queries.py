@@ -71,6 +71,37 @@ def test_split_rounds_halves_up(spark, con):
     assert got == {n: int(con.sql(f"SELECT round({n}::BIGINT * 0.7)").fetchall()[0][0]) for n in sizes} == {5: 4, 15: 11, 35: 25, 45: 32, 90: 63}
 
 
+def test_nearest_of_many_copies(spark):
+    """A thousand copies on either side are one comparison each; equal ids of different sequences take the best of both."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(6)]
+    near = [s[:7] + ("A" if s[7] != "A" else "C") + s[8:] for s in base]
+    test = [(i, base[i % 6]) for i in range(600)] + [(0, "ACGTACGT"), (900, "ACG"), (901, None)]
+    train = [(10_000 + i, near[i % 5]) for i in range(1000)] + [(5, "ACGTACGT"), (7, base[3])]
+    table = lambda rows: spark.createDataFrame(rows, "record_id long, seq string")
+    pairs = {}
+    for i, a in test:
+        for j, b in set(train):
+            if a and len(a) == len(b):
+                d = sum(x != y for x, y in zip(a, b, strict=True))
+                pairs[i] = min(pairs.get(i, (99, 0, 0)), (d, j, len(a)))
+    got = E.nearest_train(table(test), table(train)).collect()
+    assert len(got) == len(test)
+    for r in got:
+        want = pairs.get(r.record_id)
+        assert (r.nearest, r.identity) == ((want[1], 1 - want[0] / want[2]) if want else (None, None))
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    """What is searched are distinct sequences without an equal one."""
+    seen = []
+    whole = E._in_blocks
+    monkeypatch.setattr(E, "_in_blocks", lambda test, train, block: (seen.append((test.count(), train.count())), whole(test, train, block))[1])
+    table = lambda rows: spark.createDataFrame(rows, "record_id long, seq string")
+    E.nearest_train(table([(i, "ACGTACG") for i in range(50)] + [(99, "GGGTACG")]), table([(1000 + i, "ACGTACG") for i in range(50)])).collect()
+    assert seen == [(1, 1)]
+
+
 def test_auroc_is_pairs(spark):
     rows = [(y, s) for y, s in [(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1), (1, 0.1)]]
     wins = sum(1 if a > b else 0.5 if a == b else 0 for y, a in rows if y for z, b in rows if not z) / 6
