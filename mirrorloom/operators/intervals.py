@@ -7,8 +7,10 @@ needed.  Adaptive execution can split a bin that holds too many rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,11 +256,28 @@ def signal_means(intervals: DataFrame, track: DataFrame, key: str = "chrom") ->
 
 
 def windows_of(records: DataFrame, width: int, step: int) -> DataFrame:
-    """(seq_id, pos, gc, skew) of windows without other letters, composition from the window's bases."""
-    at = records.select("seq_id", F.col("seq").cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length(F.col("seq").cast("binary")) - width, F.lit(0)), F.lit(step))).alias("pos"))
-    w = at.select("seq_id", "pos", F.upper(F.substring("b", F.col("pos") + 1, F.lit(width)).cast("string")).alias("w")).where(F.col("w").rlike(f"^[ACGT]{{{width}}}$"))
-    n = lambda x: F.length("w") - F.length(F.translate("w", x, ""))
-    return w.select("seq_id", "pos", (n("GC") / width).alias("gc"), (F.abs(n("GA") - n("CT")) / width).alias("asymmetry"))
+    """(seq_id, pos, gc, asymmetry) of windows without other letters, by prefix counts: a record is read once however many windows it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, seqs = batch.column("seq_id"), batch.column("b")
+            for i in range(batch.num_rows):
+                d = np.frombuffer(seqs[i].as_py() or b"", dtype=np.uint8)
+                if len(d) < width:
+                    continue
+                upto = {}
+                for letters in (b"GC", b"GA", b"CT", b"ACGT"):
+                    mine = np.zeros(256, dtype=bool)
+                    mine[list(letters + letters.lower())] = True
+                    upto[letters] = np.concatenate([[0], np.cumsum(mine[d])])
+                pos = np.arange(0, len(d) - width + 1, step)
+                n = {k: v[pos + width] - v[pos] for k, v in upto.items()}
+                pos, gc, skew = (x[n[b"ACGT"] == width] for x in (pos, n[b"GC"] / width, np.abs(n[b"GA"] - n[b"CT"]) / width))
+                for at in range(0, len(pos), 1 << 14):
+                    few = pos[at : at + (1 << 14)]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(few), i))), pa.array(few.astype(np.int32)), pa.array(gc[at : at + len(few)]), pa.array(skew[at : at + len(few)])], names=["seq_id", "pos", "gc", "asymmetry"])
+
+    return records.select("seq_id", F.col("seq").cast("binary").alias("b")).mapInArrow(run, "seq_id string, pos int, gc double, asymmetry double")
 
 
 def matched_controls(cases: DataFrame, pool: DataFrame, cells: list[str], per_cell: int = 200, draws: int = 10, widen: str | None = None, seed: int = 1, key: str = "seq_id") -> DataFrame:

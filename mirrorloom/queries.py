@@ -19,6 +19,7 @@ from .operators import reporting as A
 from .operators.grid import grid_calls, grid_confusion, grid_counts, grid_predictions
 from .operators.inside import best_first_inside, greedy_inside
 from .operators.overlap import islands, remove_overlaps
+from .operators.ranks import stored
 from .params import ScanParams
 from .plans import scan as P
 from .sources import tables
@@ -566,13 +567,18 @@ _CASES = f"""cases AS (SELECT seq_id || ':' || pos AS id, seq_id, pos AS start,
 pool AS (SELECT seq_id, pos, {_CELLS} FROM w10 WHERE asymmetry < 0.35 AND NOT EXISTS (SELECT 1 FROM cases c WHERE c.seq_id = w10.seq_id AND c.start - 100 <= w10.pos + 199 AND c."end" + 100 >= w10.pos))"""
 
 
-def cases_and_pool(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Lopsided windows, and windows every ten bases that keep a hundred away from them, with their composition cells."""
+def cases_and_pool(spark: SparkSession, sf: str, own: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lopsided windows, and windows every ten bases that keep a hundred away from them, with their composition cells; with ``own`` only
+    those in a sequence and cell that hold a case, all that controls of the same sequence can come from.
+    """
     cells = {"gc_cell": F.round(F.col("gc") * 20).cast("int"), "skew_cell": F.round(F.col("asymmetry") * 10).cast("int")}
     seqs = dna(spark, sf)
     cases = G.windows_of(seqs, 200, 100).where("asymmetry >= 0.3").withColumns(cells).select(F.concat_ws(":", "seq_id", F.col("pos").cast("string")).alias("id"), "seq_id", F.col("pos").alias("start"), (F.col("pos") + 199).alias("end"), *cells)
     pool = G.windows_of(seqs, 200, 10).where("asymmetry < 0.35").withColumns(cells).select(F.concat_ws(":", "seq_id", F.col("pos").cast("string")).alias("id"), "seq_id", "pos", F.col("pos").alias("start"), (F.col("pos") + 199).alias("end"), *cells)
-    return cases, G.outside(pool, cases, 100).select("seq_id", "pos", *cells)
+    cases = stored(cases, "cases")  # both are read several times
+    if own:
+        pool = pool.join(cases.select("seq_id", *cells).distinct(), ["seq_id", *cells], "left_semi")
+    return cases, stored(G.outside(pool, cases, 100).select("seq_id", "pos", *cells), "pool")
 
 
 @query("g13_matched_controls", f"""WITH {DNA_SQL}, {_WINDOWS.format(n=100)}, {_WINDOWS.format(n=10)}, {_CASES},
@@ -592,7 +598,7 @@ num AS (SELECT *, row_number() OVER (PARTITION BY seq_id, gc_cell, skew_cell ORD
 asked AS (SELECT id, seq_id, gc_cell, skew_cell, n, unnest(range(0, least(30, n))) AS i FROM cases JOIN size USING (seq_id, gc_cell, skew_cell)), numbered AS (SELECT *, CAST(floor((('0x' || md5(concat_ws(':', 1, id))[1:8])::BIGINT + 0.5) / 4294967296.0 * n) + i AS BIGINT) % n AS k FROM asked)
 SELECT id, 'local' AS scope, CAST(pos AS INTEGER) AS pos FROM loc WHERE r <= 30 UNION ALL SELECT id, 'chromosome', CAST(pos AS INTEGER) FROM numbered JOIN num USING (seq_id, gc_cell, skew_cell, k)""")
 def g14(spark: SparkSession, sf: str) -> DataFrame:
-    cases, pool = cases_and_pool(spark, sf)
+    cases, pool = cases_and_pool(spark, sf, own=True)
     return G.local_controls(cases, pool, ["gc_cell", "skew_cell"], reach=1000)
 
 

@@ -102,6 +102,17 @@ def test_copies_are_compared_once(spark, monkeypatch):
     assert seen == [(1, 1)]
 
 
+def test_windows_read_a_record_once(spark):
+    """No copy of the record for each of its windows."""
+    records = spark.createDataFrame([("a", "acgtNNgaga" * 3 + "ggcc" * 5), ("b", "acg"), ("c", None)], "seq_id string, seq string")
+    got = G.windows_of(records, 4, 1)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    s = ("acgtNNgaga" * 3 + "ggcc" * 5).upper()
+    n = lambda w, x: sum(w.count(c) for c in x)
+    want = [("a", i, n(s[i : i + 4], "GC") / 4, abs(n(s[i : i + 4], "GA") - n(s[i : i + 4], "CT")) / 4) for i in range(len(s) - 3) if "N" not in s[i : i + 4]]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_auroc_is_pairs(spark):
     rows = [(y, s) for y, s in [(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1), (1, 0.1)]]
     wins = sum(1 if a > b else 0.5 if a == b else 0 for y, a in rows if y for z, b in rows if not z) / 6
