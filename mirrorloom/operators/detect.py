@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ..params import ScanParams
 from ..schema import NO_SPACER, RAW_HIT, SOURCE
 
 CHUNK = 1 << 18
+ROWS = 1 << 12  # hits of a batch that leaves a worker: spans of long repeats run to thousands of bases
 
 
 def chunked(records: DataFrame, p: ScanParams, size: int = CHUNK, rebalance: bool = False) -> DataFrame:
@@ -38,30 +40,31 @@ def _hits(p: ScanParams, extend: bool, kept: list[dict] | None = None, composed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            cols = {n: batch.column(names.index(n)).to_pylist() for n in ("b", "own_from", "own_to", "shift", "seq_offset")}
-            seqs = [(b or b"").lower() for b in cols["b"]]
-            owns = list(zip(cols["own_from"], cols["own_to"], strict=True))
-            shifts = np.array([a + (o or 1) for a, o in zip(cols["shift"], cols["seq_offset"], strict=True)], dtype=np.int64)
-            parts, spans = [], []
-            for lo, hi in together([len(x) for x in seqs]):
+            column = lambda n: batch.column(names.index(n))  # noqa: E731, B023
+            lengths = pc.fill_null(pc.binary_length(column("b")), 0).to_pylist()
+            # hits leave by the sequences that go through the kernel together and by slices of these, so memory does not follow the batch
+            for lo, hi in together(lengths):
+                few = batch.slice(lo, hi - lo)
+                cols = {n: few.column(names.index(n)).to_pylist() for n in ("b", "own_from", "own_to", "shift", "seq_offset")}
+                seqs = [(b or b"").lower() for b in cols["b"]]
+                owns = list(zip(cols["own_from"], cols["own_to"], strict=True))
+                shifts = np.array([a + (o or 1) for a, o in zip(cols["shift"], cols["seq_offset"], strict=True)], dtype=np.int64)
                 counters = None if kept is None else {}
-                got = detect_many(seqs[lo:hi], owns[lo:hi], p, extend, counters, composed)
+                got = detect_many(seqs, owns, p, extend, counters, composed)
                 if kept is not None:
                     kept.extend(dict(zip(counters, c, strict=True)) for c in zip(*counters.values(), strict=True))
-                row = got["row"] + lo
-                spans += [seqs[i][a:b].decode("latin-1") for i, a, b in zip(row.tolist(), got["start"].tolist(), got["end"].tolist(), strict=True)]
-                parts.append(got | {"row": row, "start": got["start"] + shifts[row], "end": got["end"] + shifts[row] - 1})
-            if not spans:
-                continue
-            g = {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
-            row = pa.array(g["row"])
-            ga, ct, mirror = percentages(g["ga"], g["ct"], g["mis"], g["arm"])
-            perfect = ((g["ga"] == g["arm"]) | (g["ct"] == g["arm"])) & (g["mis"] == 0)
-            i32 = lambda k: pa.array(g[k].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(names.index("record_ix")).take(row), batch.column(names.index("seq_id")).take(row), pa.array(g["start"]), pa.array(g["end"]), i32("arm"), i32("spacer"), i32("ga"), i32("ct"), i32("mis"), pa.array(ga), pa.array(ct), pa.array(mirror), pa.array(perfect), pa.array(spans, pa.string())],
-                names=["record_ix", "seq_id", "start", "end", "arm_length", "spacer_length", "ga", "ct", "mismatches", "ga_pct", "ct_pct", "mirror_identity", "is_perfect", "full_sequence"],
-            )
+                for at in range(0, len(got["row"]), ROWS):
+                    g = {k: v[at : at + ROWS] for k, v in got.items()}
+                    spans = [seqs[i][a:b].decode("latin-1") for i, a, b in zip(g["row"].tolist(), g["start"].tolist(), g["end"].tolist(), strict=True)]
+                    row = pa.array(g["row"])
+                    ga, ct, mirror = percentages(g["ga"], g["ct"], g["mis"], g["arm"])
+                    perfect = ((g["ga"] == g["arm"]) | (g["ct"] == g["arm"])) & (g["mis"] == 0)
+                    start, end = g["start"] + shifts[g["row"]], g["end"] + shifts[g["row"]] - 1
+                    i32 = lambda k: pa.array(g[k].astype(np.int32))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays(
+                        [few.column(names.index("record_ix")).take(row), few.column(names.index("seq_id")).take(row), pa.array(start), pa.array(end), i32("arm"), i32("spacer"), i32("ga"), i32("ct"), i32("mis"), pa.array(ga), pa.array(ct), pa.array(mirror), pa.array(perfect), pa.array(spans, pa.string())],
+                        names=["record_ix", "seq_id", "start", "end", "arm_length", "spacer_length", "ga", "ct", "mismatches", "ga_pct", "ct_pct", "mirror_identity", "is_perfect", "full_sequence"],
+                    )
 
     return run
 

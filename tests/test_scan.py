@@ -223,3 +223,18 @@ def test_kernel_filters_equal_predicates(spark):
     for p in (ScanParams(), ScanParams(at_threshold=0.6), ScanParams(at_threshold=0.8, min_g_rate=0.0, purity=0.8)):
         got, want = D.materialise(D.raw_candidates(records, p, composed=True)), composition(detect_candidates(records, p), p)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 0
+
+
+def test_batches_of_hits_are_bounded():
+    """Hits of many sequences of one Arrow batch leave in slices."""
+    import pyarrow as pa
+
+    from mirrorloom.operators import detect as D
+
+    n = 400
+    batch = pa.RecordBatch.from_pydict({
+        "record_ix": pa.array(range(n), pa.int64()), "seq_id": [f"s{i}" for i in range(n)], "seq_offset": pa.array([1] * n, pa.int64()), "shift": pa.array([0] * n, pa.int64()),
+        "own_from": pa.array([0] * n, pa.int32()), "own_to": pa.array([400] * n, pa.int32()), "b": pa.array([b"ga" * 200] * n, pa.binary())})
+    got = list(D._hits(ScanParams(), True)(iter([batch])))
+    assert max(b.num_rows for b in got) <= D.ROWS < sum(b.num_rows for b in got)
+    assert {c for b in got for c in b.column("record_ix").to_pylist()} == set(range(n))
