@@ -53,17 +53,21 @@ def read_wig(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_extract("header", r"chrom=(\S+)", 1).alias("chrom"), F.get(f, F.lit(0)).cast("long").alias("pos"), span.alias("span"), F.get(f, F.lit(1)).cast("double").alias("value"))
 
 
+PIECE = 4096  # rows of a piece: texts of some kilobytes each
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows``, dealt out evenly if their source has fewer pieces than the session has cores.
+    """``rows``, dealt out evenly if their source has fewer pieces than the session has cores, or pieces of too many rows.
 
     One row group or one gzip file is one task however large it is, and the scan after it costs far more than moving its
-    rows.  A source of many files is read where it lies, and nothing is shuffled.
+    rows.  The number of pieces follows the number of rows, so a task does not grow with the input.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if len(rows.inputFiles()) >= 2 * cores:
+    sizes = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))  # by the footers
+    pieces, total, most = sizes.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+    if pieces >= cores and most <= 2 * PIECE:
         return rows
-    pieces = rows.select(F.spark_partition_id().alias("p")).distinct().count()  # of a few files, by their footers
-    return rows.repartition(4 * cores) if pieces < cores else rows
+    return rows.repartition(max(4 * cores, -(-(total or 0) // PIECE)))
 
 
 def write_csv(tables: list[DataFrame], path: str) -> None:

@@ -238,3 +238,13 @@ def test_batches_of_hits_are_bounded():
     got = list(D._hits(ScanParams(), True)(iter([batch])))
     assert max(b.num_rows for b in got) <= D.ROWS < sum(b.num_rows for b in got)
     assert {c for b in got for c in b.column("record_ix").to_pylist()} == set(range(n))
+
+
+def test_pieces_follow_the_rows(spark, tmp_path):
+    from mirrorloom.sources import tables as S
+
+    spark.range(50 * 1000).repartition(16).write.parquet(f"{tmp_path}/t")
+    few = spark.read.parquet(f"{tmp_path}/t")
+    assert S.spread(few).rdd.getNumPartitions() >= 32 or few.rdd.getNumPartitions() >= 8
+    spark.range(400 * 1000).repartition(16).write.parquet(f"{tmp_path}/u")
+    assert S.spread(spark.read.parquet(f"{tmp_path}/u")).rdd.getNumPartitions() >= 400_000 // S.PIECE
