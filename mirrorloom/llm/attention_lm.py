@@ -8,8 +8,8 @@ The probability of an id is that of its class, given the ids before it, times it
 * The class is predicted from the log of smoothed counts after the previous id, plus a correction by one head of causal
   self-attention with relative positions and a tanh layer.
 * Neighbours and counts after an id come from one table of all pairs of adjoining ids of all training documents.
-* The correction is trained by Adam, first on windows of ``SAMPLE`` documents, then by shards over windows of every
-  training document, at least one each and one in ``EVERY`` of a long one; the weights of the shards are averaged.
+* The correction is trained by Adam, first on windows of ``SAMPLE`` documents, then by shards over all windows of every
+  training document; the weights of the shards are averaged.
 
 A word's probability is the mean, weighted ``ATTENTION`` to the model, of the product over its ids and its unigram share
 among all training words, however rare; a word that no training document has gets the share of an unseen word, so
@@ -42,8 +42,8 @@ from .common import drop_stored, fold, stored, text_or_empty
 
 #: Documents whose windows start the weights, in the order of a hash of the id; counts cover all documents.
 SAMPLE = 2500
-#: Documents of a shard of the training that follows, about, and the share of a document's windows in it.
-SHARD, EVERY = 2500, 16
+#: Documents of a shard of the training that follows, about; windows that are put in random order together, and windows of a piece of a text.
+SHARD, MIXED, PIECE = 2500, 4096, 1024
 #: Words that are looked up on the workers, at most.
 HOT_WORDS = 120_000
 WINDOW, CONTEXT = 32, 8
@@ -477,32 +477,45 @@ def train(docs: DataFrame, words: DataFrame, n_documents: int, vocabulary: str,
 
 
 def train_windows(model: Model, train: DataFrame, vocabulary: str) -> DataFrame:
-    """(h, rows, target, ok) of windows of every document (columns h, t): at least one each, one in ``EVERY`` of a long one."""
+    """(h, first, rows, target) of every document (columns h, t), in pieces of ``PIECE`` windows that together hold every place once.
+
+    ``rows`` and ``target`` are the input rows and classes of the piece's places, windows are cut by :func:`cut` where they are learned
+    from, so that nothing is sent twice but a piece's context.
+    """
     shared = train.sparkSession.sparkContext.broadcast((model.row, model.cls))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, (row, cls) = encoder(vocabulary), shared.value
-        place = np.arange(WINDOW)
+        step = PIECE * (WINDOW - CONTEXT)
         for batch in batches:
+            out: list[tuple] = []
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = mine.document(text.encode().lower().split())
-                _, first, skip = windows(np.array([len(ids)]))
-                every = min(EVERY, len(first))
-                first, skip = first[h % every :: every], skip[h % every :: every]
-                at = first[:, None] + place
-                ok = (at < len(ids)) & (place >= skip[:, None])
-                at = np.minimum(at, len(ids) - 1)
-                before = row[ids[at - 1]].astype("<i2")  # place -1 is the end
-                target = cls[ids[at]].astype(np.uint8)
-                for i in range(0, len(first), 1024):
-                    part = slice(i, i + 1024)
-                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(first[part]), pa.int64()), *(pa.array([x.tobytes() for x in v[part]], pa.binary()) for v in (before, target, ok))], names=["h", "rows", "target", "ok"])
+                before = row[np.append(ids[-1:], ids[:-1])].astype("<i2")  # an end stands before the text
+                target = cls[ids].astype(np.uint8)
+                for at in range(0, max(1, len(ids) - CONTEXT), step):
+                    part = slice(at, at + step + CONTEXT)
+                    out.append((h, at == 0, before[part].tobytes(), target[part].tobytes()))
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["h", "first", "rows", "target"])
+
+    return train.mapInArrow(run, "h long, first boolean, rows binary, target binary").withColumn("h", F.xxhash64("h", "rows", "target"))  # copies go apart
 
-    return train.mapInArrow(run, "h long, rows binary, target binary, ok binary").withColumn("h", F.xxhash64("h", "rows", "target"))  # copies go apart
+
+def cut(first: list[bool], rows: list[bytes], target: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, target, ok) of the windows of pieces of texts; ``ok`` marks each place once, but for the context of a piece that is not its text's first."""
+    flat, classes = np.frombuffer(b"".join(rows), "<i2"), np.frombuffer(b"".join(target), np.uint8)
+    lengths = np.array([len(x) for x in target])
+    doc, at, skip = windows(lengths)
+    skip = np.where((at > 0) | np.array(first)[doc], skip, CONTEXT)
+    place = np.arange(WINDOW)
+    ok = (place < (lengths[doc] - at)[:, None]) & (place >= skip[:, None])
+    where = np.minimum(((np.cumsum(lengths) - lengths)[doc] + at)[:, None] + place, len(flat) - 1)
+    return flat[where], classes[where], ok
 
 
 def train_all(model: Model, train: DataFrame, n_documents: int, vocabulary: str) -> Model:
-    """Goes on from ``model`` by shards over windows of all documents, at the rate at which it ended, and averages them."""
+    """Goes on from ``model`` by shards over all windows of all documents, at the rate at which it ended, and averages them."""
     shards = max(1, n_documents // SHARD)
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(pickle.dumps(model))
@@ -510,39 +523,51 @@ def train_all(model: Model, train: DataFrame, n_documents: int, vocabulary: str)
     names = sorted(model.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight, now, own, moments, step, seen = None, 0, None, None, None, 0, 0
-        held: list[tuple] = []
-
-        def learn() -> None:
-            nonlocal step, seen
-            rows, target, ok = (np.frombuffer(b"".join(x), dtype=t).reshape(len(held), WINDOW) for x, t in zip(zip(*held, strict=True), ("<i2", np.uint8, np.bool_), strict=True))
-            step, seen = step + 1, seen + len(held)
-            own.learn(rows.astype(np.int64), target.astype(np.int64), ok, moments, step, RATE * 0.1)
-            held.clear()
+        total, weight, now, own, moments, step, seen, mix = None, 0, None, None, None, 0, 0, None
+        pieces: list[tuple] = []
+        held, waiting = 0, None  # places of the pieces; windows that did not fill a batch
+
+        def learn(last: bool) -> None:
+            """Cuts the pieces and learns from their windows in a random order, by whole batches unless it is the last time."""
+            nonlocal step, seen, held, waiting
+            if pieces:
+                got = cut(*map(list, zip(*pieces, strict=True)))
+                waiting = got if waiting is None else tuple(np.concatenate(x) for x in zip(waiting, got, strict=True))
+                pieces.clear()
+                held = 0
+            if waiting is None:
+                return
+            order = mix.permutation(len(waiting[0]))
+            upto = len(order) if last else len(order) // BATCH * BATCH
+            for at in range(0, upto, BATCH):
+                rows, target, ok = (x[order[at : min(at + BATCH, upto)]] for x in waiting)
+                step, seen = step + 1, seen + len(rows)
+                own.learn(rows.astype(np.int64), target.astype(np.int64), ok, moments, step, RATE * 0.1)
+            waiting = None if upto == len(order) else tuple(x[order[upto:]] for x in waiting)
 
         def close() -> None:
             nonlocal total, weight
             if own is not None:
-                if held:
-                    learn()
+                learn(True)
                 flat = np.concatenate([own.p[n].ravel() for n in names]).astype(np.float64) * seen
                 total, weight = flat if total is None else total + flat, weight + seen
 
         for batch in batches:
-            for shard, *window in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, *piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != now:
                     close()
-                    now, own, step, seen = shard, pickle.loads(shared.value), 0, 0
+                    now, own, step, seen, mix = shard, pickle.loads(shared.value), 0, 0, np.random.default_rng(shard)
                     moments = own.moments()
-                held.append(window)
-                if len(held) == BATCH:
-                    learn()
+                pieces.append(piece)
+                held += len(piece[2])
+                if held >= MIXED * (WINDOW - CONTEXT):
+                    learn(False)
         close()
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight], pa.int64())], names=["p", "n"])
 
-    dealt = train_windows(model, train, vocabulary).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).repartition(tasks, "shard").sortWithinPartitions("shard", "h", "rows", "target")
-    got = stored(dealt.select("shard", "rows", "target", "ok").mapInArrow(run, "p binary, n long"), "lm-weights")  # a row a task
+    dealt = train_windows(model, train, vocabulary).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).repartition(tasks, "shard").sortWithinPartitions("shard", "h", "first", "rows", "target")
+    got = stored(dealt.select("shard", "first", "rows", "target").mapInArrow(run, "p binary, n long"), "lm-weights")  # a row a task
     total, weight = 0.0, 0
     for r in got.toLocalIterator():
         total, weight = total + np.frombuffer(r.p, dtype=np.float64), weight + r.n

@@ -168,6 +168,24 @@ def test_lm_learns_from_every_document(spark, monkeypatch):
     assert seen == [300] and model.after == pytest.approx(a.after, abs=1e-5)  # not the counts of the five documents
 
 
+def test_lm_learns_from_every_place(spark, monkeypatch):
+    """Of a long document all windows, not one in so many: every place of every text is learned once, and texts of several pieces lose none."""
+    texts = [*prose(20, 6), "", "a", "one two three four five six seven eight nine ten " * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "h long, t string")
+    own = attention_lm.encoder(VOCAB)
+    ids = [own.document(t.encode().lower().split()) for t in texts]
+    model = attention_lm.Model(np.bincount(np.concatenate(ids), minlength=own.size).astype(float), ids)
+    monkeypatch.setattr(attention_lm, "PIECE", 20)
+    rows = attention_lm.train_windows(model, docs, VOCAB).collect()
+    assert len(rows) > len(texts)
+    places, want = collections.Counter(), collections.Counter()
+    got, target, ok = attention_lm.cut([r.first for r in rows], [bytes(r.rows) for r in rows], [bytes(r.target) for r in rows])
+    places.update(zip(got[ok].tolist(), target[ok].tolist(), strict=True))
+    for x in ids:
+        want.update(zip(model.row[np.append(x[-1:], x[:-1])].tolist(), model.cls[x].tolist(), strict=True))
+    assert places == want
+
+
 def test_each_place_is_scored_once():
     for n in (1, 7, 8, 31, 32, 33, 100, 1000):
         doc, first, skip = attention_lm.windows(np.array([n, 5]))
