@@ -164,8 +164,10 @@ def bootstrap_counts(df: DataFrame, n_boot: int, seed: int = 1, cluster: str = "
     """
     per = df.groupBy(cluster).agg(*[F.sum(c).alias(c) for c in cols])
     weight = poisson_weight(uniform(seeded(seed, cluster, "b")))
-    each = per.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", weight).where("w > 0")
-    return each.groupBy("b").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in cols])
+    # rows of weight 0 add nothing; a filter on the weight would be pushed below it and digest every row once per end of its ranges
+    each = per.repartition(per.sparkSession.sparkContext.defaultParallelism, cluster).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).select("b", *cols, weight.alias("w"))
+    sums = each.groupBy("b").agg(F.max("w").alias("_most"), *[F.sum(F.col(c) * F.col("w")).alias(c) for c in cols])
+    return sums.where("_most > 0").drop("_most")
 
 
 def percentile_interval(df: DataFrame, col: str, n_boot: int) -> DataFrame:

@@ -159,3 +159,14 @@ def test_generators():
         N.random_b_dna(1, 1, tries=50)
     assert sum(N.class_quotas(10, {"a": 1, "b": 1, "c": 1}).values()) == 10
     assert len(N.random_like(s, 1)) == len(s)
+
+
+def test_bootstrap_runs_in_many_tasks_and_digests_a_row_once(spark):
+    from mirrorloom.operators import evaluation as E
+
+    df = spark.range(50).selectExpr("id AS record_id", "id % 2 AS tp", "1L AS fp")
+    got = E.bootstrap_counts(df, 20, cols=("tp", "fp"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == len(E.POISSON)  # a filter on the weight would repeat them all
+    assert "RepartitionByExpression" in plan  # small groups of clusters have 200 times the rows: they must not be joined into one task
+    assert got.count() == 20
