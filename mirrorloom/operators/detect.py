@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernel import detect_many, percentages, together
@@ -111,11 +111,19 @@ def deduplicate_geometry(raw: DataFrame) -> DataFrame:
     return raw.dropDuplicates(["record_ix", "start", "end", "arm_length"])
 
 
+def parts() -> dict[str, Column]:
+    """What follows from a span and its lengths: columns that need not go along where hits are shuffled or sent to a worker."""
+    arm, sp, s = F.col("arm_length"), F.col("spacer_length"), F.col("full_sequence")
+    return {
+        "source": F.lit(SOURCE), "total_length": arm * 2 + sp, "left_arm": F.substring(s, F.lit(1), arm),
+        "spacer": F.when(sp == 0, NO_SPACER).otherwise(F.substring(s, arm + 1, sp)), "right_arm": F.substring(s, arm + sp + 1, arm),
+    }
+
+
 def materialise(raw: DataFrame) -> DataFrame:
     """Arm, spacer and total columns from the span."""
-    arm, sp, s = F.col("arm_length"), F.col("spacer_length"), F.col("full_sequence")
+    more = {n: c.alias(n) for n, c in parts().items()}
     return raw.select(
-        "record_ix", "seq_id", F.lit(SOURCE).alias("source"), "start", "end", "arm_length", "spacer_length", (arm * 2 + sp).alias("total_length"),
-        "ga_pct", "ct_pct", "mirror_identity", "is_perfect", F.substring(s, F.lit(1), arm).alias("left_arm"),
-        F.when(sp == 0, NO_SPACER).otherwise(F.substring(s, arm + 1, sp)).alias("spacer"), F.substring(s, arm + sp + 1, arm).alias("right_arm"), s.alias("full_sequence"), "ga", "ct", "mismatches",
+        "record_ix", "seq_id", more["source"], "start", "end", "arm_length", "spacer_length", more["total_length"],
+        "ga_pct", "ct_pct", "mirror_identity", "is_perfect", more["left_arm"], more["spacer"], more["right_arm"], "full_sequence", "ga", "ct", "mismatches",
     )

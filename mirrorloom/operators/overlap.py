@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from ..functions.scoring import ceiling, score_hit
 from ..params import STRATEGIES
-from ..schema import SCORES
 from .intervals import carried
 
 
@@ -174,43 +173,3 @@ def best_first_lazily(island: list[dict], drop_homopolymers: bool = False) -> li
         if not clashes(island[i]):
             insort(taken, (island[i]["start"], island[i]["end"], i))
     return [scored[i] for *_, i in taken]
-
-
-def select_lazily(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), drop_homopolymers: bool = False, by_island: bool = False) -> DataFrame:
-    """Same rows as scoring all of ``hits`` and selecting by score, with the four score columns."""
-    keys = [*key, "_island"]
-    schema = T.StructType([*hits.schema.fields, T.StructField("_island", T.LongType())])
-    for part in SCORES.split(", "):
-        schema = schema.add(*part.split())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        done: list[dict] = []
-        at, upto, kind = None, 0, None
-
-        def batch_of(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(rows, schema=kind)
-
-        for batch in batches:
-            if kind is None:
-                kind = batch.schema
-                for n in ("stacking_score", "pairing_score", "total_score"):
-                    kind = kind.append(pa.field(n, pa.float64()))
-                kind = kind.append(pa.field("putative_triplex", pa.string()))
-            for h in batch.to_pylist():
-                k = tuple(h[x] for x in keys)
-                if held and (k != at or h["start"] > upto):
-                    done += best_first_lazily(held, drop_homopolymers)
-                    held = []
-                    if len(done) >= 4096:
-                        yield batch_of(done)
-                        done = []
-                upto = max(upto, h["end"]) if held else h["end"]
-                at = k
-                held.append(h)
-        if held:
-            done += best_first_lazily(held, drop_homopolymers)
-        if done:
-            yield batch_of(done)
-
-    return _dealt(hits, key, by_island).mapInArrow(run, schema).drop("_island")

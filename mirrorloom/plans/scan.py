@@ -11,10 +11,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import with_scores
+from ..functions.scoring import MODELS, with_model_scores, with_scores
 from ..operators import detect as D
 from ..operators import filters as C
-from ..operators.overlap import remove_overlaps, select_lazily
+from ..operators.overlap import remove_overlaps
 from ..operators.ranks import stored
 from ..params import ScanParams
 from ..schema import HIT_COLUMNS, SCORES
@@ -52,14 +52,22 @@ def scan(records: DataFrame, p: ScanParams | None = None, size: int = D.CHUNK, r
     return after_detection(D.materialise(D.raw_candidates(records, p, True, size, rebalance, composed=True)), p, per, by_island)
 
 
+def _without_overlaps(hits: DataFrame, strategy: str, per: tuple[str, ...], by_island: bool = False) -> DataFrame:
+    """:func:`remove_overlaps` of materialised hits; their arms are cut again afterwards and do not go through the shuffle and the workers."""
+    parts = D.parts()
+    return remove_overlaps(hits.drop(*parts), strategy, per, by_island).withColumns(parts)
+
+
 def after_detection(hits: DataFrame, p: ScanParams, per: tuple[str, ...] = ("record_ix",), by_island: bool = False) -> DataFrame:
     """Overlap removal, scores and homopolymers in the order of the parameters, for hits that the composition filters have passed."""
     if p.remove_overlaps and p.overlap_strategy != "greedy":
+        # scored where they are found: arms of one length together cost less than the search for hits that need no score
+        hits = with_scores(C.filter_homopolymers(hits, C.PRE) if p.filter_homopolymers else hits)
         if p.filter_homopolymers:
-            hits = C.filter_homopolymers(hits, C.PRE)
-        return _finish(select_lazily(hits, per, p.filter_homopolymers, by_island))
+            hits = C.filter_homopolymers(hits, C.POST)
+        return _finish(_without_overlaps(hits, p.overlap_strategy, per, by_island))
     if p.remove_overlaps:
-        hits = remove_overlaps(hits, "greedy", per, by_island)
+        hits = _without_overlaps(hits, "greedy", per, by_island)
     if p.score:
         hits = with_scores(hits)
     if p.filter_homopolymers:
@@ -103,13 +111,16 @@ def _ablation_hits(records: DataFrame, model: str, p: ScanParams) -> DataFrame:
 
 
 def _ablation_stage(hits: DataFrame, model: str, p: ScanParams) -> DataFrame:
-    if model in ("pairing", "pairing_stacking", "complete"):
+    if f"_{model}" in hits.columns:
+        hits = hits.select("*", f"_{model}.*")
+    elif model in MODELS:
         hits = with_scores(hits, model)
+    hits = hits.drop(*[f"_{m}" for m in MODELS])
     if model == "complete" and p.filter_homopolymers:
         hits = C.filter_homopolymers(hits, C.POST)
     if p.remove_overlaps:
         strategy = p.overlap_strategy if "total_score" in hits.columns else "greedy"
-        hits = remove_overlaps(hits, strategy, ("record_ix",))
+        hits = _without_overlaps(hits, strategy, ("record_ix",))
     return _finish(hits)
 
 
@@ -122,13 +133,17 @@ def scan_ablation(records: DataFrame, model: str = "complete", p: ScanParams | N
 
 
 def scan_stages(records: DataFrame, p: ScanParams | None = None, models: tuple[str, ...] = ABLATION) -> dict[str, DataFrame]:
-    """:func:`scan_ablation` of several stages; those after the first share one detection, whose hits are stored."""
+    """:func:`scan_ablation` of several stages; those after the first share one detection, whose hits are stored with the scores of all models: they are
+    scored in the tasks that find them, which are many, and not in those that read them back, which are as few as their bytes.
+    """
     p, shared, out = p or ScanParams(), None, {}
+    scored, parts = tuple(m for m in models if m in MODELS), D.parts()
     for model in models:
         if model == "detection":
             out[model] = scan_ablation(records, model, p)
             continue
-        shared = stored(_ablation_hits(records, model, p), "stages") if shared is None else shared
+        if shared is None:
+            shared = stored(with_model_scores(_ablation_hits(records, model, p), scored).drop(*parts), "stages").withColumns(parts)
         out[model] = _ablation_stage(shared, model, p)
     return out
 
@@ -151,6 +166,7 @@ def stage_metrics(records: DataFrame, truth: DataFrame, p: ScanParams | None = N
     for i, (model, hits) in enumerate(scan_stages(records, p, models).items()):
         per = hits.groupBy("record_ix").agg(F.coalesce(F.max("total_score"), F.lit(0.0)).alias("s")).select(F.lit(i).alias("step"), F.lit(model).alias("stage"), "record_ix", "s")
         calls = per if calls is None else calls.unionByName(per)
+    calls = stored(calls, "stage-calls")  # read for the confusion and for the areas
     steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(m).alias("stage")) for i, m in enumerate(models)])
     every = truth.select("record_ix", "y", F.inline(steps)).join(calls, ["step", "stage", "record_ix"], "left")
     scored = every.select("step", "stage", "y", F.coalesce("s", F.lit(0.0)).alias("s"), F.col("s").isNotNull().cast("int").alias("p"))

@@ -109,10 +109,8 @@ def p6_detection(spark: SparkSession, sf: str) -> DataFrame:
 @query("c2_score_components", Q.c2_sql(ScanParams()))
 def c2(spark: SparkSession, sf: str) -> DataFrame:
     base = P.scan(dna(spark, sf), ScanParams(score=False))
-    out = base.select("seq_id", "start", "end", "arm_length", "left_arm", "spacer", "right_arm", F.round(scoring.upper_bound(F.col("left_arm")), 3).alias("bound"))
-    for m in scoring.MODELS:
-        out = scoring.with_scores(out, m).withColumnRenamed("total_score", f"score_{m}").drop("stacking_score", "pairing_score", "putative_triplex")
-    return out.drop("left_arm", "spacer", "right_arm")
+    out = scoring.with_model_scores(base.select("seq_id", "start", "end", "arm_length", "left_arm", "spacer", "right_arm", F.round(scoring.upper_bound(F.col("left_arm")), 3).alias("bound")))
+    return out.select("seq_id", "start", "end", "arm_length", "bound", *[F.col(f"_{m}.total_score").alias(f"score_{m}") for m in scoring.MODELS])
 
 
 @query("d14_scan_profile", f"WITH {DNA_SQL}, {Q.candidates_sql(ScanParams())}, n AS (SELECT record_ix, count(*) AS c FROM cand GROUP BY 1) SELECT lang, count(*) AS records, CAST(sum(length(seq)) AS BIGINT) AS bases, CAST(sum(coalesce(c, 0)) AS BIGINT) AS candidates FROM dna JOIN documents ON doc_id = record_ix LEFT JOIN n USING (record_ix) GROUP BY 1")
