@@ -21,10 +21,10 @@ from ..params import STRATEGIES
 from .intervals import carried
 
 
-def islands(hits: DataFrame, key: str | tuple[str, ...] = "seq_id", out: str = "island") -> DataFrame:
-    """``hits`` with ``island``: hits of a sequence that overlap, directly or through others, share it."""
+def islands(hits: DataFrame, key: str | tuple[str, ...] = "seq_id", out: str = "island", keep: bool = True) -> DataFrame:
+    """``hits`` with ``island``: hits of a sequence that overlap, directly or through others, share it.  ``keep`` holds them in memory or on disk, which a stored table does not need."""
     keys = (key,) if isinstance(key, str) else tuple(key)
-    hits = hits.persist()  # read for the ends per stretch, the flags per stretch, and both joins
+    hits = hits.persist() if keep else hits  # read for the ends per stretch, the flags per stretch, and both joins
     rows = carried(hits, keys, "start", F.col("end"), F.max)
     within = Window.partitionBy(*keys, "_bin").orderBy("start", "end")
     reach = F.greatest("_carry", F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1)))

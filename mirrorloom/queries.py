@@ -364,7 +364,8 @@ def o2_inside(spark: SparkSession, sf: str) -> DataFrame:
 numbered AS (SELECT *, sum(n) OVER (PARTITION BY seq_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM marked)
 SELECT seq_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(start) AS start, max("end") AS "end" FROM numbered GROUP BY 1, 2""", HITS_SQL)
 def o3(spark: SparkSession, sf: str) -> DataFrame:
-    return islands(hits(spark, sf)).groupBy("seq_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    # places alone: what a task sorts does not hold the hits' other columns
+    return islands(stored(hits(spark, sf).select("seq_id", "start", "end"), "islands-places"), keep=False).groupBy("seq_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 @query("a1_stats", """SELECT count(*) AS total, count(*) FILTER (is_perfect) AS perfect, count(*) FILTER (NOT is_perfect) AS imperfect, round(count(*) FILTER (is_perfect) * 100.0 / count(*), 1) AS perfect_pct,

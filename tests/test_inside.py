@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mirrorloom.operators import inside
-from mirrorloom.operators.overlap import remove_overlaps
+from mirrorloom.operators.overlap import islands, remove_overlaps
 from mirrorloom.operators.ranks import numbered, running
 
 SCHEMA = "seq_id string, start long, end long, arm_length int, spacer_length int, total_score double, full_sequence string, n long"
@@ -59,3 +59,11 @@ def test_ranks(spark):
     for r in sorted(rows, key=lambda r: (r[1], r[2])):
         total[r[0]] = sums[r] = total.get(r[0], 0) + r[2]
     assert {(r.k, r.v, r.w): r.s for r in running(df, [F.col("v"), F.col("w")], {"s": F.col("w")}, ("k",)).collect()} == sums
+
+
+def test_islands_of_a_stored_table_hold_nothing(spark):
+    """What is read again from files need not be kept by the executors as well."""
+    df = spark.createDataFrame([("s", 1, 5), ("s", 4, 9), ("s", 20, 30)], "seq_id string, start long, end long")
+    islands(df, keep=False).collect()
+    assert not df.is_cached
+    assert sorted(r.island for r in islands(df, keep=False).collect()) == [1, 1, 2]
