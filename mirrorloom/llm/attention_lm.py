@@ -294,6 +294,11 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, k * step, np.where(k == 0, 0, CONTEXT)
 
 
+def _along(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` as one product of two matrices, not one for each window."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[-1])
+
+
 class Model:
     def __init__(self, counts: np.ndarray, pairs: Pairs | list[np.ndarray], seed: int = 5):
         """From the count of every id and the pairs of adjoining ones, or the documents that hold them."""
@@ -327,17 +332,22 @@ class Model:
     def attend(self, rows: np.ndarray, keep: bool = True) -> tuple:
         """rows: (windows, WINDOW) of input rows.  Hidden states and, with ``keep``, what backpropagation needs."""
         p = self.p
-        e = p["e"][rows]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-        s = (q @ k.transpose(0, 2, 1)) * np.float32(1 / math.sqrt(WIDTH)) + p["r"][self.far]
-        w = np.exp(np.minimum(s, np.float32(60)))
+        e = p["e"].take(rows, axis=0)
+        q, k, v = (_along(e, p[n]) for n in "qkv")
+        s = q @ k.transpose(0, 2, 1)
+        s *= np.float32(1 / math.sqrt(WIDTH))
+        s += p["r"][self.far]
+        w = np.exp(np.minimum(s, np.float32(60), out=s), out=s)
         w *= self.causal
-        total = w.sum(axis=2, keepdims=True)
+        total = w @ np.ones((WINDOW, 1), np.float32)
         if not keep:
-            return (np.tanh(e @ p["a"] + ((w @ v) / total) @ p["b"] + p["c"]),)
+            return (np.tanh(_along(e, p["a"]) + _along((w @ v) / total, p["b"]) + p["c"]),)
         w /= total
         m = w @ v
-        return np.tanh(e @ p["a"] + m @ p["b"] + p["c"]), e, q, k, v, w, m
+        h = _along(e, p["a"])
+        h += _along(m, p["b"])
+        h += p["c"]
+        return np.tanh(h, out=h), e, q, k, v, w, m
 
     def train(self, sample: list[np.ndarray], seed: int = 6, steps: int = STEPS) -> Model:
         if not sample:
@@ -367,31 +377,51 @@ class Model:
         p, (m1, m2) = self.p, moments
         scale = np.float32(1 / math.sqrt(WIDTH))
         h, e, q, k, v, w, mm = self.attend(rows)
-        logit = h @ p["o"] + p["d"] + self.after[rows]
-        logit -= logit.max(axis=2, keepdims=True)
-        y = np.exp(logit)
-        y /= y.sum(axis=2, keepdims=True)
-        g = y
-        np.put_along_axis(g, target[:, :, None], np.take_along_axis(g, target[:, :, None], 2) - 1, 2)
-        g *= (ok / max(1, ok.sum()))[:, :, None].astype(np.float32)
         flat2 = lambda x: x.reshape(-1, x.shape[-1])
-        d = {"o": flat2(h).T @ flat2(g), "d": g.sum(axis=(0, 1))}
-        gh = (g @ p["o"].T) * (1 - h * h)
-        d |= {"a": flat2(e).T @ flat2(gh), "b": flat2(mm).T @ flat2(gh), "c": gh.sum(axis=(0, 1))}
-        gm = gh @ p["b"].T
-        gw = gm @ v.transpose(0, 2, 1)
-        gs = w * (gw - (gw * w).sum(axis=2, keepdims=True))
+        at = np.flatnonzero(ok)  # the gradient of all other places is zero
+        some, h2 = np.arange(len(at)), flat2(h).take(at, axis=0)
+        g = h2 @ p["o"]
+        g += p["d"]
+        g += self.after.take(rows.ravel().take(at), axis=0)
+        g -= g.max(axis=1, keepdims=True)
+        np.exp(g, out=g)
+        g /= g @ np.ones((self.k, 1), np.float32)
+        g[some, target.ravel().take(at)] -= 1
+        g *= np.float32(1 / max(1, len(at)))
+        d = {"o": h2.T @ g, "d": np.ones(len(at), np.float32) @ g}
+        gh = np.zeros_like(h)
+        flat2(gh)[at] = (g @ p["o"].T) * (1 - h2 * h2)
+        d |= {"a": flat2(e).T @ flat2(gh), "b": flat2(mm).T @ flat2(gh), "c": np.ones(rows.size, np.float32) @ flat2(gh)}
+        gm = _along(gh, p["b"].T)
+        gs = gm @ v.transpose(0, 2, 1)
+        gs -= (gm * mm) @ np.ones((WIDTH, 1), np.float32)  # the sum of gs * w over a place's keys, since mm is w @ v
+        gs *= w
         gv = w.transpose(0, 2, 1) @ gm
-        gq, gk = gs @ k * scale, gs.transpose(0, 2, 1) @ q * scale
+        gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
+        gq *= scale
+        gk *= scale
         d |= {"q": flat2(e).T @ flat2(gq), "k": flat2(e).T @ flat2(gk), "v": flat2(e).T @ flat2(gv)}
         d["r"] = np.bincount(self.far[self.causal > 0], weights=gs.sum(axis=0)[self.causal > 0], minlength=WINDOW).astype(np.float32)
-        ge = gh @ p["a"].T + gq @ p["q"].T + gk @ p["k"].T + gv @ p["v"].T
-        d["e"] = np.zeros_like(p["e"])
-        np.add.at(d["e"], rows, ge)
+        ge = _along(gh, p["a"].T)
+        for x, n in ((gq, "q"), (gk, "k"), (gv, "v")):
+            ge += _along(x, p[n].T)
+        cells = rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        d["e"] = np.bincount(cells.ravel(), weights=ge.ravel(), minlength=p["e"].size).astype(np.float32).reshape(p["e"].shape)
+        first, second = np.float32(rate / (1 - 0.9**step)), np.float32(1 / math.sqrt(1 - 0.99**step))
         for name, x in d.items():
-            m1[name] += 0.1 * (x - m1[name])
-            m2[name] += 0.01 * (x * x - m2[name])
-            p[name] -= (rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            a, b = m1[name], m2[name]
+            a *= np.float32(0.9)
+            a += np.float32(0.1) * x
+            b *= np.float32(0.99)
+            x *= x
+            x *= np.float32(0.01)
+            b += x
+            by = np.sqrt(b, out=x)
+            by *= second
+            by += np.float32(1e-8)
+            np.divide(a, by, out=by)
+            by *= first
+            p[name] -= by
 
     @staticmethod
     def _end(sample: list[np.ndarray]) -> int:

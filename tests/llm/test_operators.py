@@ -195,6 +195,37 @@ def test_each_place_is_scored_once():
         assert set(seen.values()) == {1} and len(seen) == n + 5
 
 
+def test_lm_step_follows_the_gradient():
+    """The first moments after one step are a tenth of the slopes of the loss, by differences; places that are not marked count nothing."""
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, 300, 70) for _ in range(6)]
+    m = attention_lm.Model(np.bincount(np.concatenate(ids), minlength=4000).astype(float), ids)
+    m.p = {n: x.astype(float) for n, x in m.p.items()}
+    m.p["r"] += rng.standard_normal(attention_lm.WINDOW) * 0.1
+    rows, target = m.row[rng.integers(0, 300, (4, attention_lm.WINDOW))].astype(np.int64), rng.integers(0, m.k, (4, attention_lm.WINDOW))
+    ok = rng.random(rows.shape) < 0.7
+
+    def loss():
+        logit = m.attend(rows)[0] @ m.p["o"] + m.p["d"] + m.after[rows]
+        each = np.log(np.exp(logit).sum(axis=2)) - np.take_along_axis(logit, target[:, :, None], 2)[:, :, 0]
+        return each[ok].mean()
+
+    slopes = {}
+    for name, x in m.p.items():
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in x.shape) if name != "e" else (int(rng.choice(rows.ravel())), int(rng.integers(x.shape[1])))
+            was, parts = x[at], []
+            for step in (1e-5, -1e-5):
+                x[at] = was + step
+                parts.append(loss())
+            x[at] = was
+            slopes[name, at] = (parts[0] - parts[1]) / 2e-5
+    moments = m.moments()
+    m.learn(rows, target, ok, moments, 1, 0.001)
+    for (name, at), slope in slopes.items():
+        assert abs(moments[0][name][at] * 10 - slope) < 1e-5 + 1e-3 * abs(slope), (name, at)
+
+
 def test_attention_is_causal_and_sums_to_one():
     own = attention_lm.encoder(VOCAB)
     ids = [own.document(t.encode().split()) for t in prose(30, 8)]
