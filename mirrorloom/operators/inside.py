@@ -6,6 +6,8 @@ either.  Only the best hit of each start can ever be held.  Stretches of positio
 of what follows as a hit can reach, and each hit's exit: where the chain from it leaves the stretch.  Which exits the chain
 passes is then found by pointer jumping between stretches, in as many rounds as the logarithm of the stretches of an island.
 
+Both first set apart the hits that overlap no other, which stay under any selection; where hits are sparse, these are most.
+
 By score.  In each round every open hit that outranks all open hits near it is accepted and strikes what it overlaps.  The best open hit
 is always among them, so the rounds end, and each accepted hit would have been accepted in its turn.
 """
@@ -19,6 +21,24 @@ from .intervals import carried
 from .ranks import drop_stored, numbered, stored
 
 STRETCH = 512
+APART = 1 << 16
+
+
+def _apart(hits: DataFrame, key: tuple[str, ...], by_start: bool, width: int = APART) -> tuple[DataFrame, DataFrame]:
+    """(hits that overlap no other, the rest); ``by_start`` leaves of each start only the hit that the greedy sweep can hold.
+
+    Stretches of ``width`` positions are looked at on their own; at their edges, where a hit of another may reach, hits count as the rest.
+    """
+    first = Window.partitionBy(*key, "_wide").orderBy(F.col("start"), F.col("arm_length").desc(), F.col("spacer_length"), F.col("full_sequence"))
+    placed = hits.where(F.col("start").isNotNull()).withColumn("_wide", F.floor(F.col("start") / width).cast("long"))
+    if by_start:
+        placed = placed.withColumn("_before", F.lag("start").over(first)).where("_before is null or _before < start").drop("_before")
+    reach = F.max("end").over(first.rowsBetween(Window.unboundedPreceding, -1))
+    marked = stored(placed.withColumns({"_reach": reach, "_next": F.lead("start").over(first)}), "selection-marked")
+    longest = marked.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 1
+    after, upto = F.col("_wide") * width, (F.col("_wide") + 1) * width
+    alone = (F.col("start") - after >= longest) & F.coalesce(F.col("_reach") < F.col("start"), F.lit(True)) & F.coalesce(F.col("_next") > F.col("end"), F.col("end") < upto)
+    return marked.where(alone).select(*hits.columns), marked.where(~alone).select(*hits.columns)
 
 
 def _successors(hits: Column, starts: Column, border: Column) -> Column:
@@ -46,8 +66,9 @@ def _successors(hits: Column, starts: Column, border: Column) -> Column:
 
 def greedy_inside(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), stretch: int = STRETCH) -> DataFrame:
     """The hits that the greedy sweep keeps.  Stretches widen to twice the longest hit, so no array grows with the sequence."""
-    place = F.struct((-F.col("arm_length")).alias("a"), F.col("spacer_length").alias("b"), F.col("full_sequence").alias("c"))
-    best = stored(hits.groupBy(*key, "start").agg(F.min_by(F.struct(*hits.columns), place).alias("h")).select("h.*"), "greedy-best")
+    # those that overlap no other stay where they were stored, and the rest is what follows is about
+    alone, rest = _apart(hits, key, True)
+    best = stored(rest, "greedy-best")
     reach = best.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 1
     width = max(stretch, 2 * reach)
     bare = best.select(*key, F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.col("arm_length").cast("int").alias("a"), (-F.col("spacer_length")).cast("int").alias("m"))
@@ -68,13 +89,15 @@ def greedy_inside(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), stretch:
     links = chained.select(*key, F.inline("out")).where("x is not null").select(*key, "s", "x")
     targets = links.select(*key, F.col("x").alias("s")).distinct().unionByName(roots).distinct()
     jump = stored(links.join(targets, [*key, "s"], "left_semi"), "greedy-links")
-    reached = roots
-    scratch = [roots, jump]
+    # of the roots, those with a link are followed
+    front = stored(roots.join(jump, [*key, "s"], "left_semi"), "greedy-reached")
+    scratch = [roots, jump, front]
     while not jump.isEmpty():
         to = jump.select(*key, F.col("s").alias("x"), F.col("x").alias("y"))
-        reached = stored(reached.unionByName(reached.join(jump, [*key, "s"]).select(*key, F.col("x").alias("s"))).distinct(), "greedy-reached")
+        front = stored(front.unionByName(front.join(jump, [*key, "s"]).select(*key, F.col("x").alias("s"))).distinct(), "greedy-reached")
         jump = stored(jump.join(to, [*key, "x"]).select(*key, "s", F.col("y").alias("x")), "greedy-links")
-        scratch += [reached, jump]
+        scratch += [front, jump]
+    reached = roots.unionByName(front)
     entries = reached.withColumn("_st", bin_(F.col("s"))).groupBy(*key, "_st").agg(F.collect_set("s").alias("entries"))  # at most a stretch's starts
     walk = F.struct(F.lit(None).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("kept"))
 
@@ -87,7 +110,7 @@ def greedy_inside(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), stretch:
     kept = stored(best.join(kept, [*key, "start"], "left_semi").select(*hits.columns), "greedy-kept")
     for df in (best, arrays, chained, *scratch):
         drop_stored(df)
-    return kept
+    return alone.unionByName(kept)
 
 
 def best_first_inside(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), width: int = 64, rounds: int = 40) -> tuple[DataFrame, int]:
@@ -101,7 +124,8 @@ def best_first_inside(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), width
     score = F.col("total_score")
     unscored = score.isNull() | F.isnan(score)
     order = [unscored, F.when(unscored, 0.0).otherwise(-score), -F.col("arm_length"), F.col("spacer_length"), F.col("start"), F.col("end"), F.col("full_sequence")]
-    all_ = stored(numbered(hits, order, out="_rank"), "score-ranked")
+    alone, rest = _apart(hits, key, False)
+    all_ = stored(numbered(rest, order, out="_rank"), "score-ranked")
     left, taken, done = all_.select(*key, "_rank", "start", "end"), None, 0
     bins = lambda df: df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width).cast("long"), F.floor(F.col("end") / width).cast("long"))))
     scratch = [all_]
@@ -121,4 +145,4 @@ def best_first_inside(hits: DataFrame, key: tuple[str, ...] = ("seq_id",), width
     kept = stored(kept.select(*hits.columns), "score-kept")
     for df in scratch:
         drop_stored(df)
-    return kept, done
+    return alone.unionByName(kept), done

@@ -351,13 +351,13 @@ def o2(spark: SparkSession, sf: str) -> DataFrame:
 @query("o1_greedy_inside", ORACLE_SQL["o1_greedy_sweep"])
 def o1_inside(spark: SparkSession, sf: str) -> DataFrame:
     """The greedy sweep by successors and pointer jumping."""
-    return greedy_inside(hits(spark, sf)).select(HIT_KEY)
+    return greedy_inside(hits(spark, sf).select(*HIT_KEY, "full_sequence")).select(HIT_KEY)
 
 
 @query("o2_score_inside", ORACLE_SQL["o2_score_selection"])
 def o2_inside(spark: SparkSession, sf: str) -> DataFrame:
     """Selection by score in rounds of hits that outrank all their open neighbours."""
-    return best_first_inside(hits(spark, sf))[0].select(HIT_KEY)
+    return best_first_inside(hits(spark, sf).select(*HIT_KEY, "total_score", "full_sequence"))[0].select(HIT_KEY)
 
 
 @query("o3_islands", """, marked AS (SELECT *, CASE WHEN max("end") OVER (PARTITION BY seq_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS n FROM hits),

@@ -67,3 +67,32 @@ def test_islands_of_a_stored_table_hold_nothing(spark):
     islands(df, keep=False).collect()
     assert not df.is_cached
     assert sorted(r.island for r in islands(df, keep=False).collect()) == [1, 1, 2]
+
+
+@pytest.mark.parametrize("width", [16, 64, 4096])
+def test_hits_that_overlap_no_other_are_set_apart(spark, width):
+    df = hits(spark, random.Random(width), 200, 3000, 9)
+    rows = df.collect()
+    alone, rest = inside._apart(df, ("seq_id",), False, width)
+    meets = lambda r: any(o.n != r.n and o.seq_id == r.seq_id and o.start <= r.end and o.end >= r.start for o in rows)
+    got = alone.collect()
+    assert not any(meets(r) for r in got) and sorted(r.n for r in [*got, *rest.collect()]) == list(range(200))
+    if width == 4096:
+        assert {r.n for r in rows if not meets(r) and r.start > 20} <= {r.n for r in got}
+
+
+@pytest.mark.parametrize("strategy", ["greedy", "score"])
+def test_sparse_hits_do_not_go_through_the_rounds(spark, monkeypatch, strategy):
+    """What is ranked or linked is only what overlaps."""
+    df = hits(spark, random.Random(7), 600, 60_000, 6)
+    seen, plain = {}, inside.stored
+
+    def watched(rows, name):
+        out = plain(rows, name)
+        seen[name] = max(seen.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(inside, "stored", watched)
+    got = inside.greedy_inside(df) if strategy == "greedy" else inside.best_first_inside(df)[0]
+    assert geometry(got) == geometry(remove_overlaps(df, strategy))
+    assert max(n for name, n in seen.items() if name != "selection-marked") < 200
