@@ -454,6 +454,40 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.rewrite_documents(odd).columns == odd.columns
 
 
+def test_links_of_families_are_counted_not_listed(spark, monkeypatch):
+    """Two families of near copies that are near each other, one apart and other lines: the same links and texts, few of them as pairs."""
+    rng = random.Random(4)
+
+    def family(words, n, most, others):
+        for _ in range(n):
+            own = list(words)
+            for _ in range(rng.randint(0, most)):
+                at, new = rng.randrange(len(own)), rng.choice(others)
+                own[at : at + rng.randint(0, 1)] = [new] if rng.random() < 0.7 else []
+            yield " ".join(own)
+
+    base = [f"w{i}" for i in range(40)]
+    lines = [*family(base, 150, 9, ["x1", "x2", "x3", "x4"]), *family([*base[:36], "q1", "q2", "q3", "q4"], 120, 7, ["x1", "x2", "x3"]), *family([f"v{i}" for i in range(22)], 90, 4, [f"y{i}" for i in range(300)]), *prose(40, 7, 25)]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(len(lines) // 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "FAMILY", 16)
+    got = line_dedup.dedup_lines(docs).collect()
+    want = brute_links(rows)
+    assert {r.doc_id: r.n_links for r in got} == want and {r.doc_id: r.text for r in got} == brute_lines(rows)
+    _, links, sure = line_dedup.similar_lines(docs)
+    assert sure is not None and links.count() < sum(want.values()) // 4  # each link counts for two lines
+
+
+def test_prefix_rows_build_the_sets_once(spark, monkeypatch):
+    """No filter that the joins ask for goes below the sets, where each of its columns would build them again."""
+    plans, keep = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    line_dedup.similar_lines(spark.createDataFrame([(i, t) for i, t in enumerate(prose(20, 7))], "doc_id long, text string"))
+    filters = [x for p in plans for x in p.split("\n") if x.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any("array_distinct" in x for x in filters)
+
+
 # 7
 
 
