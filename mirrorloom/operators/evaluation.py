@@ -7,10 +7,13 @@ import math
 from collections.abc import Callable, Sequence
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.hamming import nearest
 from ..functions.stats import binomial_two_sided
 from .ranks import running, stored
 
@@ -193,51 +196,50 @@ def verdict(lo: Column, hi: Column, p: Column, alpha: float = 0.05) -> Column:
     return F.when((lo > 0) & (p < alpha), "better").when((hi < 0) & (p < alpha), "worse").when((lo > 0) | (hi < 0), "inconclusive").otherwise("equivalent")
 
 
-def _equal_bases(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ((x == y) & (x != "")).cast("int")), F.lit(0), lambda t, x: t + x)
-
-
-def _best_of(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a_id").agg(F.min(F.struct((F.col("len") - _equal_bases("a_s", "b_s")).alias("d"), F.col("b_id"), F.col("len"))).alias("m"))
-
-
 def _in_blocks(test: DataFrame, train: DataFrame, block: int) -> DataFrame:
-    """The best of all training records of equal length: each task holds one block of those of one length."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    per = train.groupBy("len").agg(F.count(F.lit(1)).alias("n")).select("len", parts.alias("parts"))
-    b = train.join(per, "len").withColumn("part", F.pmod(F.xxhash64("b_id"), F.col("parts")).cast("int")).drop("parts")
-    a = test.join(per, "len").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return _best_of(a.join(b, ["len", "part"]))
-
+    """(a_id, m): the best of all training records of equal length.
 
-def nearest_train(test: DataFrame, train: DataFrame, id_col: str = "record_id", seq: str = "seq", block: int = 256, slices: Sequence[int] = (4, 8, 16), shortest: int = 8) -> DataFrame:
+    Each task holds up to ``block`` letters of either side of one length, so its memory does not follow the input; where one length has
+    more, every block of one side meets every block of the other.
+    """
+    count = lambda df, c: df.groupBy("len").agg(F.ceil(F.count(F.lit(1)) * F.greatest(F.col("len"), F.lit(1)) / block).cast("int").alias(c))
+    per = F.broadcast(count(test, "_as").join(count(train, "_bs"), "len"))  # one row per length: fewer than the root of twice the input's letters
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = test.join(per, "len").withColumn("_a", part("a_s", "_as")).withColumn("_b", every("_bs")).select("len", "_a", "_b", "a_id", "a_s")
+    b = train.join(per, "len").withColumn("_b", part("b_s", "_bs")).withColumn("_a", every("_as")).select(F.col("len").alias("_len"), F.col("_a").alias("_c"), F.col("_b").alias("_d"), "b_id", "b_s")
+    # a given number of partitions: by their few bytes they would be joined into too few tasks
+    session, keys, same = test.sparkSession, ["len", "_a", "_b"], ["_len", "_c", "_d"]
+    n = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+
+    def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, [("b_id", "ascending")], null_placement="at_start"))
+        # without one side there is no pair
+        at, d = nearest(left["a_s"].to_pylist(), right["b_s"].to_pylist(), key[0].as_py()) if len(left) and len(right) else ([], [])
+        return pa.Table.from_arrays([left["a_id"].slice(0, len(at)), pa.array(d, pa.int32()), right["b_id"].take(pa.array(at, pa.int64()))], names=["a_id", "d", "b_id"])
+
+    kind = train.schema["b_id"].dataType.simpleString()
+    found = a.repartition(n, *keys).groupBy(*keys).cogroup(b.repartition(n, *same).groupBy(*same)).applyInArrow(best, f"a_id long, d int, b_id {kind}")
+    return found.groupBy("a_id").agg(F.min(F.struct("d", "b_id")).alias("m"))
+
+
+def nearest_train(test: DataFrame, train: DataFrame, id_col: str = "record_id", seq: str = "seq", block: int = 1 << 23) -> DataFrame:
     """Per test record the training record of equal length with most equal bases, the smallest id on ties, exactly.
 
-    Multi-index search with a growing radius: cut into ``k`` slices, two records that differ in fewer than ``k`` places agree in a
-    slice, so a join on (length, slice) finds every record within that radius, and a record whose best is within it is settled.  The others
-    go on with more, shorter slices.  What is left, or too short for slices of ``shortest`` bases, has no near record at
-    all: these few are a query set against all training records of their length, in blocks.  A record without a partner of its length has null.
+    One pass over all distinct sequences tells which test sequences have an equal training sequence, their nearest.  The others are held
+    against all training sequences of their length, each sequence packed to a few bits a letter and 64 letters compared at once; what
+    is shuffled for it is each sequence once, whatever its number of pairs, up to ``block`` letters of a length.
+    A record without a partner of its length has null.
     """
-    s = F.upper(F.col(seq))
+    s, kind = F.upper(F.col(seq)).alias("s"), train.schema[id_col].dataType
     # copies share their nearest record: a search per distinct test sequence, and of equal training sequences the smallest id
-    asked = stored(test.select(F.col(id_col).alias("a_record"), s.alias("a_s")), "nearest-asked")
-    each = asked.select("a_s").where("a_s is not null").distinct()
-    b = train.groupBy(s.alias("b_s")).agg(F.min(id_col).alias("b_id")).withColumn("len", F.length("b_s"))
-    b = stored(b.join(each.select(F.length("a_s").alias("len")).distinct(), "len", "left_semi"), "nearest-train")
-    # an equal sequence is the nearest; what has none goes on
-    equal = each.join(b, F.col("a_s") == F.col("b_s"), "left").select(F.monotonically_increasing_id().alias("a_id"), "a_s", F.length("a_s").alias("len"), "b_id")
-    equal = stored(equal, "nearest-equal")
-    a = equal.where("b_id is null").drop("b_id")
-    best = equal.where("b_id is not null").select("a_id", F.struct(F.lit(0).alias("d"), "b_id", "len").alias("m"))
-    for k in slices:
-        edge = lambda i, k=k: F.floor(F.col("len") * i / k).cast("int")
-        cut = lambda df, c, edge=edge, k=k: df.where(F.col("len") >= k * shortest).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_slice", F.substring(c, edge(F.col("_i")) + 1, edge(F.col("_i") + 1) - edge(F.col("_i"))))
-        found = _best_of(cut(a, "a_s").join(cut(b, "b_s"), ["len", "_i", "_slice"])).where(F.col("m.d") < k)
-        found = stored(found, "nearest-found")
-        best = best.unionByName(found)
-        a = stored(a.join(found, "a_id", "left_anti"), "nearest-open")
-    best = best.unionByName(_in_blocks(a, b, block))
-    best = equal.select("a_id", "a_s").join(best, "a_id").join(asked, "a_s").groupBy("a_record").agg(F.min("m").alias("m"))
+    both = test.select(s, F.lit(None).cast(kind).alias("b_id"), F.lit(True).alias("asked")).unionByName(train.select(s, F.col(id_col).alias("b_id"), F.lit(False).alias("asked")))
+    each = both.where("s is not null").groupBy("s").agg(F.min("b_id").alias("b_id"), F.bool_or("asked").alias("asked"), F.bool_or(~F.col("asked")).alias("known"))
+    each = stored(each.select(F.monotonically_increasing_id().alias("a_id"), "s", F.length("s").alias("len"), "b_id", "asked", "known"), "nearest-each")
+    searched = _in_blocks(each.where("asked and b_id is null").select("a_id", F.col("s").alias("a_s"), "len"), each.where("known").select("b_id", F.col("s").alias("b_s"), "len"), block)
+    own = F.when(F.col("b_id").isNotNull(), F.struct(F.lit(0).alias("d"), "b_id")).otherwise(F.col("m"))
+    best = each.where("asked").join(searched, "a_id", "left").select("s", F.when(own.isNotNull(), F.struct(own["d"].alias("d"), own["b_id"].alias("b_id"), "len")).alias("m"))
+    best = test.select(F.col(id_col).alias("a_record"), s).join(best, "s").groupBy("a_record").agg(F.min("m").alias("m"))
     got = test.join(best, test[id_col] == best["a_record"], "left")
     return got.select(*[test[c] for c in test.columns], F.col("m.b_id").alias("nearest"), (1 - F.col("m.d") / F.col("m.len")).alias("identity"))
 

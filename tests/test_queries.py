@@ -102,6 +102,42 @@ def test_copies_are_compared_once(spark, monkeypatch):
     assert seen == [(1, 1)]
 
 
+def test_nearest_in_blocks_of_both_sides(spark):
+    """Blocks of a few letters, letters beyond ASCII, ids that are texts, ties across blocks."""
+    rng = random.Random(3)
+    of = lambda n: "".join(rng.choice("ACGTN\u03a9\U0001f600") for _ in range(n))
+    test, train = ([(f"{side}{i}", of(rng.choice([1, 5, 66]))) for i in range(40)] for side in "ab")
+    want = {}
+    for i, a in test:
+        fits = [(sum(x != y for x, y in zip(a, b, strict=True)), j, len(a)) for j, b in train if len(a) == len(b)]
+        want[i] = min(fits) if fits else None
+    table = lambda rows: spark.createDataFrame(rows, "record_id string, seq string")
+    for block in (1, 150, 1 << 23):
+        got = {r.record_id: (r.nearest, r.identity) for r in E.nearest_train(table(test), table(train), block=block).collect()}
+        assert got == {i: (m[1], 1 - m[0] / m[2]) for i, m in want.items()}
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_nearest_shuffles_a_sequence_a_few_times(spark):
+    """No copy of a sequence for each of its slices, or for each block that it meets."""
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("ACGT") for _ in range(400))) for i in range(1500)]
+    table = spark.createDataFrame(rows, "record_id long, seq string")
+    before, limit = shuffled_bytes(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large for it
+    try:
+        assert E.nearest_train(table.where("record_id % 50 = 0"), table.where("record_id % 50 <> 0")).where("nearest is not null").count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert 0 < shuffled_bytes(spark) - before < 4 * 400 * 1500
+
+
 def test_windows_read_a_record_once(spark):
     """No copy of the record for each of its windows."""
     records = spark.createDataFrame([("a", "acgtNNgaga" * 3 + "ggcc" * 5), ("b", "acg"), ("c", None)], "seq_id string, seq string")
