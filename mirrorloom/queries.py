@@ -869,7 +869,7 @@ def e23(spark: SparkSession, sf: str) -> DataFrame:
 @query("e24_nearest_train", ", m AS (SELECT doc_id * 1000 + pos AS record_id, upper(full_sequence) AS s FROM motifs), p AS (SELECT a.record_id, b.record_id AS nearest, hamming(a.s, b.s) AS d, length(a.s) AS n FROM m a JOIN m b ON length(a.s) = length(b.s) WHERE a.record_id % 50 = 0 AND b.record_id % 50 <> 0), b AS (SELECT record_id, min((d, nearest, n)) AS m FROM p GROUP BY 1) SELECT m.record_id, b.m[2] AS nearest, 1 - b.m[1] / b.m[3] AS identity FROM m LEFT JOIN b USING (record_id) WHERE m.record_id % 50 = 0", MOTIFS_SQL)
 def e24_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The search as a stated query set: records whose id is divisible by 50 against all others."""
-    m = stored(motifs(spark, sf).select((F.col("doc_id") * 1000 + F.col("pos")).alias("record_id"), F.col("full_sequence").alias("seq")), "motifs")  # both sides read it
+    m = stored(motifs(spark, sf, streamed=True).select((F.col("doc_id") * 1000 + F.col("pos")).alias("record_id"), F.col("full_sequence").alias("seq")), "motifs")  # both sides read it
     return E.nearest_train(m.where("record_id % 50 = 0"), m.where("record_id % 50 <> 0")).select("record_id", "nearest", "identity")
 
 

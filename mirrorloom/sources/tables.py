@@ -56,16 +56,17 @@ def read_wig(spark: SparkSession, path: str) -> DataFrame:
 PIECE = 4096  # rows of a piece: texts of some kilobytes each
 
 
-def spread(rows: DataFrame) -> DataFrame:
+def spread(rows: DataFrame, streamed: bool = False) -> DataFrame:
     """``rows``, dealt out evenly if their source has fewer pieces than the session has cores, or pieces of too many rows.
 
     One row group or one gzip file is one task however large it is, and the scan after it costs far more than moving its
-    rows.  The number of pieces follows the number of rows, so a task does not grow with the input.
+    rows.  The number of pieces follows the number of rows, so a task does not grow with the input.  What is ``streamed``, a row at a time
+    and at little cost, is not moved for the rows of its pieces.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     sizes = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))  # by the footers
     pieces, total, most = sizes.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
-    if pieces >= cores and most <= 2 * PIECE:
+    if pieces >= cores and (streamed or most <= 2 * PIECE):
         return rows
     return rows.repartition(max(4 * cores, -(-(total or 0) // PIECE)))
 

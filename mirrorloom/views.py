@@ -21,8 +21,8 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(_table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+def _texts(spark: SparkSession, sf: str, streamed: bool = False) -> DataFrame:
+    return spread(_table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), streamed)
 
 
 def _dna(c: Column) -> Column:
@@ -38,11 +38,11 @@ def dna(spark: SparkSession, sf: str) -> DataFrame:
     return dna_of(_texts(spark, sf), "doc_id")
 
 
-def motifs(spark: SparkSession, sf: str) -> DataFrame:
+def motifs(spark: SparkSession, sf: str, streamed: bool = False) -> DataFrame:
     """Lines of documents as candidate spans: two arms of a third each and what lies between; fewer than three bases have no arms."""
     bases = F.translate(F.regexp_replace(F.lower("text"), "[^a-z\n]", ""), LETTERS, BASES)
     # cut after the letters are read, so that a span is a column of its own and not an expression repeated in all others
-    s = _texts(spark, sf).select("doc_id", F.posexplode(F.split(bases, "\n")).alias("pos", "full_sequence")).where(F.length("full_sequence") >= 3)
+    s = _texts(spark, sf, streamed).select("doc_id", F.posexplode(F.split(bases, "\n")).alias("pos", "full_sequence")).where(F.length("full_sequence") >= 3)
     n = F.length("full_sequence")
     arm = F.floor(n / 3).cast("int")
     s = s.withColumn("arm_length", arm).withColumn("left_arm", F.substring("full_sequence", F.lit(1), F.col("arm_length"))).withColumn("right_arm", F.substring("full_sequence", n - F.col("arm_length") + 1, F.col("arm_length")))

@@ -248,3 +248,15 @@ def test_pieces_follow_the_rows(spark, tmp_path):
     assert S.spread(few).rdd.getNumPartitions() >= 32 or few.rdd.getNumPartitions() >= 8
     spark.range(400 * 1000).repartition(16).write.parquet(f"{tmp_path}/u")
     assert S.spread(spark.read.parquet(f"{tmp_path}/u")).rdd.getNumPartitions() >= 400_000 // S.PIECE
+
+
+def test_streamed_rows_stay_where_they_are(spark, tmp_path):
+    """Pieces of many rows are not moved for work that holds one row at a time; too few pieces still are."""
+    from mirrorloom.sources import tables as S
+
+    spark.range(400 * 1000).repartition(16).write.parquet(f"{tmp_path}/m")
+    many = spark.read.parquet(f"{tmp_path}/m")
+    moved = lambda df: "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    assert moved(S.spread(many)) and not moved(S.spread(many, streamed=True))
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    assert moved(S.spread(spark.read.parquet(f"{tmp_path}/one"), streamed=True))
