@@ -9,6 +9,7 @@ their mismatches rule out every longer arm.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,12 +36,44 @@ class Strand:
         self.ct = np.concatenate([[0], np.cumsum(self.cls == 2, dtype=np.int32)]).astype(np.int32)
         self.begin = np.repeat(self.starts, self.lengths + 1).astype(np.int32)
         self.own = None if all(o is None for o in owns) else self._owned(owns)
+        self._upto: dict[bytes, np.ndarray] = {}
+        self._words: tuple[list[np.ndarray], list[np.ndarray]] | None = None
 
     def upto(self, letters: bytes) -> np.ndarray:
         """Prefix counts of the bases among ``letters``."""
-        mine = np.zeros(256, dtype=bool)
-        mine[list(letters)] = True
-        return np.concatenate([[0], np.cumsum(mine[self.d], dtype=np.int64)])
+        if letters not in self._upto:
+            mine = np.zeros(256, dtype=bool)
+            mine[list(letters)] = True
+            self._upto[letters] = np.concatenate([[0], np.cumsum(mine[self.d], dtype=np.int64)])
+        return self._upto[letters]
+
+    def words(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each bit of a letter's number, that bit of the 64 letters from every place on, and of those from every place back."""
+        if self._words is None:
+            seen = np.zeros(256, dtype=bool)
+            seen[self.d] = True
+            number = (np.cumsum(seen) - 1).astype(np.uint8)[self.d]
+            bits = [(number >> b & 1).astype(np.uint64) for b in range(max(1, int(seen.sum() - 1).bit_length()))]
+            self._words = [_packed(b) for b in bits], [_packed(b[::-1])[::-1] for b in bits]
+            two = (number & 3).astype(np.uint64)
+            self._short = _packed(two, 2), _packed(two[::-1], 2)[::-1]
+        return self._words
+
+    def short_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two bits of the numbers of the 32 letters from every place on, and of those from every place back: where they differ the letters do."""
+        self.words()
+        return self._short
+
+    def differ(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Bit ``k`` tells whether ``left - k`` and ``right + k`` differ, for 64 bases; what lies beyond the ends counts for nothing."""
+        on, back = self.words()
+        out = on[0].take(right, mode="clip")
+        out ^= back[0].take(left, mode="clip")
+        for x, y in zip(on[1:], back[1:], strict=True):
+            other = x.take(right, mode="clip")
+            other ^= y.take(left, mode="clip")
+            out |= other
+        return out
 
     def _owned(self, owns: Sequence[tuple[int, int] | None]) -> np.ndarray:
         own = np.zeros(len(self.d), dtype=bool)
@@ -50,6 +83,38 @@ class Strand:
         return own
 
 
+def _packed(values: np.ndarray, bits: int = 1) -> np.ndarray:
+    """64 bits of values from every place on, each of 1 or 2 ``bits``."""
+    out, width = np.concatenate([values, np.zeros(64, dtype=np.uint64)]), 1
+    while width * bits < 64:
+        out[:-width] |= out[width:] << np.uint64(width * bits)
+        width *= 2
+    return out[: len(values)]
+
+
+def bounded(s: Strand, left: np.ndarray, right: np.ndarray, most: np.ndarray, minrep: np.ndarray, mismatch_percent: np.ndarray) -> np.ndarray:
+    """``most`` of each pair, not beyond the last length at which its mismatches allow an arm; 0 if there is none.
+
+    The shortest arm with a budget of ``c`` mismatches stands for all with it, so 64 bases are judged by one count for each ``c``.
+    """
+    out = np.zeros_like(most)
+    for percent, shortest in itertools.product(np.flatnonzero(np.bincount(mismatch_percent)).tolist(), np.flatnonzero(np.bincount(minrep)).tolist()):
+        mine = np.flatnonzero((mismatch_percent == percent) & (minrep == shortest))
+        top, at, mis = int(most[mine].max(initial=0)), 0, np.zeros(len(mine), dtype=np.int64)
+        # (shortest arm with this budget, longest one, budget)
+        arms = [(max(shortest, -(-100 * c // percent)), -(-100 * (c + 1) // percent) - 1, c) for c in range(percent * shortest // 100, percent * top // 100 + 1)] if percent else [(shortest, top, 0)]
+        while len(mine):
+            word = s.differ(left[mine] - at, right[mine] + at)
+            for least, longest, c in arms:
+                if at < least <= at + 64:
+                    few = mis + np.bitwise_count(word & np.uint64((1 << (least - at)) - 1)) <= c
+                    out[mine[few & (most[mine] >= least)]] = longest
+            mis, at = mis + np.bitwise_count(word), at + 64
+            go = (most[mine] > at) & (mis * 100 <= percent * most[mine])
+            mine, mis = mine[go], mis[go]
+    return np.minimum(out, most)
+
+
 def _range_maxima(f: np.ndarray, longest: int) -> list[np.ndarray]:
     levels, span = [f], 1
     while 2 * span <= longest + 1:
@@ -92,41 +157,80 @@ def _last_at_least(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, val
     return out
 
 
-def pairs(s: Strand, minrep: int, maxrep: int, maxspacer: int, percent: int, mismatch_percent: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(left, right, most, mismatches, k): innermost bases of all arm pairs whose midpoint is owned and whose right arm can be pure, a bound of its
-    length, and the mismatches of the first ``k`` bases, which do not yet rule the pair out.
-    """
+def places(s: Strand, minrep: int, maxrep: int, percents: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(right, reach [percentage, place]): where a right arm can be pure by the first of the ascending ``percents``, and for each a bound of its length, 0 if none is pure."""
     n = len(s.d)
     place = np.arange(n, dtype=np.int32)
     bad = np.flatnonzero(s.cls == 0).astype(np.int32)  # the last base is a separator
     longest = np.minimum(bad[np.searchsorted(bad, place)] - place, maxrep)
     r = np.flatnonzero((longest >= minrep) & (place - s.begin >= minrep)).astype(np.int32)
-    if not len(r):
-        return
-    longest = longest[r]
-    reach = np.zeros(len(r), dtype=np.int32)
-    steps = percent * np.arange(n + 1, dtype=np.int64)
-    top = int(longest.max())
-    for counts in (s.ga, s.ct):
-        f = 100 * counts.astype(np.int64) - steps
-        f = f.astype(np.int32) if 100 * n < 1 << 31 else f
-        reach = np.maximum(reach, _last_at_least(_range_maxima(f, top), r + minrep, r + longest, f[r]) - r)
-    r, reach = r[reach >= minrep], reach[reach >= minrep]
+    longest, top = longest[r], int(longest[r].max(initial=0))
+    reach = np.zeros((len(percents), len(r)), dtype=np.int32)
+    for i, percent in enumerate(percents):
+        mine = np.flatnonzero(reach[i - 1]) if i else np.arange(len(r))
+        if not len(mine):
+            break
+        far = np.zeros(len(mine), dtype=np.int32)
+        steps = percent * np.arange(n + 1, dtype=np.int64)
+        for counts in (s.ga, s.ct):
+            f = 100 * counts.astype(np.int64) - steps
+            f = f.astype(np.int32) if 100 * n < 1 << 31 else f
+            far = np.maximum(far, _last_at_least(_range_maxima(f, top), r[mine] + minrep, r[mine] + (reach[i - 1] if i else longest)[mine], f[r[mine]]) - r[mine])
+        reach[i, mine] = np.where(far >= minrep, far, 0)
+    some = reach[0] > 0
+    return r[some], reach[:, some]
+
+
+def paired(s: Strand, r: np.ndarray, reach: np.ndarray, minrep: int, maxspacer: int, mismatch_percent: int) -> tuple[np.ndarray, ...]:
+    """What :func:`pairs` yields for some places."""
     depth = min(4, minrep)
-    sp = np.arange(maxspacer + 1, dtype=np.int32)
-    for at in range(0, len(r), max(1, _PLACES // len(sp))):
-        rr = r[at : at + max(1, _PLACES // len(sp))]
-        left = rr[:, None] - 1 - sp
-        most = np.minimum(reach[at : at + len(rr), None], left - s.begin[rr][:, None] + 1)
-        mis = np.zeros(left.shape, dtype=np.int32)
-        for k in range(depth):
-            mis += s.d.take(left - k, mode="wrap") != s.d[rr + k][:, None]  # wraps where the arm has no room, which ``most`` rules out
-        i, j = np.nonzero((most >= minrep) & (mis * 100 <= mismatch_percent * most))
-        right, left, most, mis = (x.astype(np.int64) for x in (rr[i], left[i, j], most[i, j], mis[i, j]))
-        keep = s.cls[left] != 0
-        if s.own is not None:
-            keep &= s.own[(left + right) >> 1]
-        yield left[keep], right[keep], most[keep], mis[keep], depth
+    left = r[:, None] - 1 - np.arange(maxspacer + 1, dtype=np.int32)
+    most = np.minimum(reach[:, None], left - s.begin[r][:, None] + 1)
+    mis = np.zeros(left.shape, dtype=np.int32)
+    for k in range(depth):
+        mis += s.d.take(left - k, mode="wrap") != s.d[r + k][:, None]  # wraps where the arm has no room, which ``most`` rules out
+    i, j = np.nonzero((most >= minrep) & (mis * 100 <= mismatch_percent * most))
+    right, left, most, mis = (x.astype(np.int64) for x in (r[i], left[i, j], most[i, j], mis[i, j]))
+    keep = s.cls[left] != 0
+    if s.own is not None:
+        keep &= s.own[(left + right) >> 1]
+    return left[keep], right[keep], most[keep], mis[keep], depth
+
+
+def likely(s: Strand, r: np.ndarray, reach: np.ndarray, minrep: np.ndarray, maxspacer: np.ndarray, mismatch_percent: np.ndarray, shortest: int, widest: int) -> tuple[np.ndarray, ...]:
+    """(left, right, most, place in ``r``) of what :func:`paired` yields, without most of the pairs that their mismatches rule out.
+
+    An arm of up to twice a length has no more mismatches than its budget before that length; 32 bases are counted at once.
+    """
+    on, back = s.short_words()
+    left = r[:, None] - 1 - np.arange(widest + 1, dtype=np.int32)
+    most = np.minimum(reach[:, None], left - s.begin[r][:, None] + 1)
+    x = back.take(left, mode="clip")
+    x ^= on[r][:, None]
+    x |= x >> np.uint64(1)
+    x &= np.uint64(0x5555555555555555)
+    percent = mismatch_percent.astype(np.int32)[:, None]
+    some = (most > 32) & (np.bitwise_count(x) * np.int32(100) <= percent * most)
+    length = shortest
+    while length <= 32:
+        some |= np.bitwise_count(x & np.uint64((1 << 2 * length) - 1)) <= (percent * 2 * length // 100).astype(np.uint8)
+        length *= 2
+    i, j = np.nonzero(some & (most >= minrep[:, None]) & (np.arange(widest + 1) <= maxspacer[:, None]))
+    right, left, most = (a.astype(np.int64) for a in (r[i], left[i, j], most[i, j]))
+    keep = s.cls[left] != 0
+    if s.own is not None:
+        keep &= s.own[(left + right) >> 1]
+    return left[keep], right[keep], most[keep], i[keep]
+
+
+def pairs(s: Strand, minrep: int, maxrep: int, maxspacer: int, percent: int, mismatch_percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(left, right, most, mismatches, k): innermost bases of all arm pairs whose midpoint is owned and whose right arm can be pure, a bound of its
+    length, and the mismatches of the first ``k`` bases, which do not yet rule the pair out.
+    """
+    r, (reach,) = places(s, minrep, maxrep, [percent])
+    step = max(1, _PLACES // (maxspacer + 1))
+    for at in range(0, len(r), step):
+        yield paired(s, r[at : at + step], reach[at : at + step], minrep, maxspacer, mismatch_percent)
 
 
 def centre_spacer_pairs(s: Strand, p: ScanParams) -> list[int]:

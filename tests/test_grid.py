@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from mirrorloom import kernel
+from mirrorloom import grid, kernel
 from mirrorloom.grid import FILTERS, Grid, mixed, scan_grid, scan_grid_many
 from mirrorloom.operators import evaluation as E
 from mirrorloom.operators.grid import grid_calls, grid_confusion, grid_counts, grid_predictions
@@ -101,3 +102,35 @@ def test_records_scanned_together_equal_single_ones():
     rng, g = random.Random(6), Grid()
     seqs = [sequence(rng, rng.randint(0, 6)).lower().encode() for _ in range(6)] + [b"", b"g" * 60, b"g" * 20 + b"ttac" + b"ga" * 9]
     assert [bits(w, g.size) for w in scan_grid_many(seqs, g)] == [[called(s.decode(), p) for p in g.params()] for s in seqs]
+
+
+def test_what_is_settled_is_not_looked_for_again(monkeypatch):
+    """A long repeat settles all configurations in its first places."""
+    grown, whole = [], grid._grown
+    monkeypatch.setattr(grid, "_grown", lambda s, g, tables, chunk, mismatch: (grown.append(len(chunk[0])), whole(s, g, tables, chunk, mismatch))[1])
+    g = Grid()
+    assert bits(scan_grid("ga" * 2000, g), g.size) == [1] * 576
+    assert 0 < sum(grown) < 1000  # of some 30,000 pairs
+
+
+def test_runs_anywhere_equal_single_scans():
+    """Runs, which may not be mixed, at the start, inside, at the end, twice, and nothing else."""
+    rng, g = random.Random(11), Grid(purity=(0.85, 1.0), mismatch=(0.0, 0.15), minrep=(8, 12), maxspacer=(5, 15), base=ScanParams(maxrep=60))
+    repeat = lambda: rng.choice(["ggaag", "gagg", "tcctc", "gggac", "ctctt"]) * rng.randint(4, 30)
+    long = lambda: rng.choice("gatc") * rng.randint(14, 120)
+    shapes = [(long, repeat), (repeat, long), (repeat, long, repeat), (long, long), (long, repeat, long, repeat), (repeat, repeat), (long,)]
+    seqs = ["".join(part() + rng.choice(["", "n", "acgt"]) for part in shape).encode() for shape in shapes for _ in range(6)]
+    assert [bits(w, g.size) for w in scan_grid_many(seqs, g)] == [[called(s.decode(), p) for p in g.params()] for s in seqs]
+
+
+def test_bounds_of_pairs_are_those_of_their_mismatches():
+    rng = random.Random(12)
+    s = kernel.Strand(["".join(rng.choice("gggagn") for _ in range(400)).encode()], [None])
+    d = s.d.tolist()
+    pairs = [(i, i + 1 + rng.randint(0, 5), rng.randint(1, 190), rng.choice([6, 12, 70]), rng.choice([0, 5, 15, 40])) for i in range(190, 205) for _ in range(60)]
+    left, right, most, minrep, percent = (np.array(x) for x in zip(*pairs, strict=True))
+    got = kernel.bounded(s, left, right, most, minrep, percent).tolist()
+    for (a, b, far, shortest, m), bound in zip(pairs, got, strict=True):
+        mis = np.cumsum([d[a - k] != d[b + k] for k in range(far)])
+        fits = [k for k in range(shortest, far + 1) if mis[k - 1] * 100 <= m * k]
+        assert bound == 0 if not fits else max(fits) <= bound <= far
