@@ -22,6 +22,8 @@ for _bases, _value in ((b"gaGA", 1), (b"ctCT", 2)):
 _PLACES = 1 << 17  # right arms paired with all their spacers at once
 #: Bases of sequences that go through the kernel together: short ones share the cost of its array operations.
 TOGETHER = 1 << 19
+#: Midpoints whose hits are held at once.
+STRETCH = 1 << 15
 
 
 class Strand:
@@ -227,10 +229,26 @@ def pairs(s: Strand, minrep: int, maxrep: int, maxspacer: int, percent: int, mis
     """(left, right, most, mismatches, k): innermost bases of all arm pairs whose midpoint is owned and whose right arm can be pure, a bound of its
     length, and the mismatches of the first ``k`` bases, which do not yet rule the pair out.
     """
+    for stretch in pairs_by_stretch(s, minrep, maxrep, maxspacer, percent, mismatch_percent, len(s.d)):
+        yield from stretch
+
+
+def pairs_by_stretch(s: Strand, minrep: int, maxrep: int, maxspacer: int, percent: int, mismatch_percent: int, size: int) -> Iterator[Iterator[tuple[np.ndarray, ...]]]:
+    """:func:`pairs`, those of every ``size`` midpoints apart from the others."""
     r, (reach,) = places(s, minrep, maxrep, [percent])
     step = max(1, _PLACES // (maxspacer + 1))
-    for at in range(0, len(r), step):
-        yield paired(s, r[at : at + step], reach[at : at + step], minrep, maxspacer, mismatch_percent)
+
+    def stretch(first: int) -> Iterator[tuple[np.ndarray, ...]]:
+        lo, hi = np.searchsorted(r, [first, first + size + maxspacer // 2 + 1])
+        for at in range(lo, hi, step):
+            mine = slice(at, min(at + step, hi))
+            left, right, most, mis, depth = paired(s, r[mine], reach[mine], minrep, maxspacer, mismatch_percent)
+            middle = (left + right) >> 1
+            keep = (middle >= first) & (middle < first + size)
+            yield left[keep], right[keep], most[keep], mis[keep], depth
+
+    for first in range(0, len(s.d), size):
+        yield stretch(first)
 
 
 def centre_spacer_pairs(s: Strand, p: ScanParams) -> list[int]:
@@ -246,12 +264,14 @@ def centre_spacer_pairs(s: Strand, p: ScanParams) -> list[int]:
     return total.tolist()
 
 
-def detect_many(seqs: Sequence[bytes], owns: Sequence[tuple[int, int] | None], p: ScanParams, extend: bool = True, counters: dict[str, list[int]] | None = None, composed: bool = False) -> dict[str, np.ndarray]:
+def detect_stretches(seqs: Sequence[bytes], owns: Sequence[tuple[int, int] | None], p: ScanParams, extend: bool = True, counters: dict[str, list[int]] | None = None, composed: bool = False, size: int = STRETCH) -> Iterator[dict[str, np.ndarray]]:
     """Longest valid arm per (centre, spacer) whose midpoint lies in its sequence's ``own``, extended inwards and without repeats.
 
     Extension keeps the midpoint and equal spans share it, so ownership by midpoint leaves no repeats between stretches.
 
-    Returns arrays ``row`` (of the sequence), ``start`` (0-based), ``end`` (exclusive), ``arm``, ``spacer``, ``ga``, ``ct``, ``mis``.
+    Hits come by stretches of ``size`` midpoints, as one long repeat has a hit for each of its bases and spacers.
+
+    Yields arrays ``row`` (of the sequence), ``start`` (0-based), ``end`` (exclusive), ``arm``, ``spacer``, ``ga``, ``ct``, ``mis``.
     ``composed`` leaves out what the composition filters of ``p`` drop, judged by prefix counts before any span is cut.
     ``counters`` gets, for each sequence, the pairs of centre and spacer it owns and the comparisons of bases made for them.
     """
@@ -267,54 +287,63 @@ def detect_many(seqs: Sequence[bytes], owns: Sequence[tuple[int, int] | None], p
             counters["inner_iters"][i] += c * times
 
     P, M, B = p.purity_percent, p.mismatch_percent, p.mismatch_budget
-    found = []
-    for left, right, most, mis, k in pairs(s, p.minrep, p.maxrep, p.maxspacer, P, M):
-        if counters is not None:
-            count(right, k)
-        best, best_mis = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)
-        limit = M * most // 100
-        state = [np.arange(len(left)), left, right, most, limit, mis, ga[right].astype(np.int64), ct[right].astype(np.int64)]
-        before = mis
-        while len(state[0]):
-            ids, ll, rr, most, limit, mis, ga0, ct0 = state
-            if k >= p.minrep:
-                at = rr + k
-                # at the shortest arm the budget does not count yet
-                ok = (mis * 100 <= M * k) & (np.maximum(ga.take(at) - ga0, ct.take(at) - ct0) * 100 >= P * k)
-                if k > p.minrep:
-                    ok &= before <= B
-                if ok.any():
-                    which = ids if ok.all() else ids[ok]
-                    best[which], best_mis[which] = k, mis if len(which) == len(ids) else mis[ok]
-            alive = (most > k) & (mis <= (np.minimum(limit, B) if k >= p.minrep else limit))
-            if not alive.all():
-                state = [x[alive] for x in state]
-                ids, ll, rr, most, limit, mis, ga0, ct0 = state
+    for stretch in pairs_by_stretch(s, p.minrep, p.maxrep, p.maxspacer, P, M, size):
+        found = []
+        for left, right, most, mis, k in stretch:
             if counters is not None:
-                count(rr)
+                count(right, k)
+            best, best_mis = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)
+            limit = M * most // 100
+            state = [np.arange(len(left)), left, right, most, limit, mis, ga[right].astype(np.int64), ct[right].astype(np.int64)]
             before = mis
-            state[5] = mis + (d.take(ll - k) != d.take(rr + k))
-            k += 1
-        hit = best > 0
-        found.append((left[hit], right[hit], best[hit], best_mis[hit]))
-    if not found:
-        return {k: np.zeros(0, dtype=np.int64) for k in ("row", "start", "end", "arm", "spacer", "ga", "ct", "mis")}
-    left, right, arm, mis = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
-    if extend:
-        left, right, arm = _extend(s, left, right, arm, P, p.maxrep)
-    start, end = left - arm + 1, right + arm
-    order = np.lexsort((arm, end, start))
-    start, end, arm, right, mis = (x[order] for x in (start, end, arm, right, mis))
-    first = np.ones(len(start), dtype=bool)
-    first[1:] = (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (arm[1:] != arm[:-1])
-    start, end, arm, right, mis = (x[first] for x in (start, end, arm, right, mis))
-    if composed:
-        keep = passes(s, p, start, end, arm, right)
-        start, end, arm, right, mis = (x[keep] for x in (start, end, arm, right, mis))
-    row = row_of(start)
-    shift = s.starts[row]
-    counts = {"ga": ga[right + arm] - ga[right], "ct": ct[right + arm] - ct[right]}
-    return {"row": row, "start": start - shift, "end": end - shift, "arm": arm, "spacer": end - start - 2 * arm, "mis": mis} | {k: v.astype(np.int64) for k, v in counts.items()}
+            while len(state[0]):
+                ids, ll, rr, most, limit, mis, ga0, ct0 = state
+                if k >= p.minrep:
+                    at = rr + k
+                    # at the shortest arm the budget does not count yet
+                    ok = (mis * 100 <= M * k) & (np.maximum(ga.take(at) - ga0, ct.take(at) - ct0) * 100 >= P * k)
+                    if k > p.minrep:
+                        ok &= before <= B
+                    if ok.any():
+                        which = ids if ok.all() else ids[ok]
+                        best[which], best_mis[which] = k, mis if len(which) == len(ids) else mis[ok]
+                alive = (most > k) & (mis <= (np.minimum(limit, B) if k >= p.minrep else limit))
+                if not alive.all():
+                    state = [x[alive] for x in state]
+                    ids, ll, rr, most, limit, mis, ga0, ct0 = state
+                if counters is not None:
+                    count(rr)
+                before = mis
+                state[5] = mis + (d.take(ll - k) != d.take(rr + k))
+                k += 1
+            hit = best > 0
+            found.append((left[hit], right[hit], best[hit], best_mis[hit]))
+        if not found:
+            continue
+        left, right, arm, mis = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+        if extend:
+            left, right, arm = _extend(s, left, right, arm, P, p.maxrep)
+        start, end = left - arm + 1, right + arm
+        order = np.lexsort((arm, end, start))
+        start, end, arm, right, mis = (x[order] for x in (start, end, arm, right, mis))
+        first = np.ones(len(start), dtype=bool)
+        first[1:] = (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (arm[1:] != arm[:-1])
+        start, end, arm, right, mis = (x[first] for x in (start, end, arm, right, mis))
+        if composed:
+            keep = passes(s, p, start, end, arm, right)
+            start, end, arm, right, mis = (x[keep] for x in (start, end, arm, right, mis))
+        row = row_of(start)
+        shift = s.starts[row]
+        counts = {"ga": ga[right + arm] - ga[right], "ct": ct[right + arm] - ct[right]}
+        yield {"row": row, "start": start - shift, "end": end - shift, "arm": arm, "spacer": end - start - 2 * arm, "mis": mis} | {k: v.astype(np.int64) for k, v in counts.items()}
+
+
+def detect_many(seqs: Sequence[bytes], owns: Sequence[tuple[int, int] | None], p: ScanParams, extend: bool = True, counters: dict[str, list[int]] | None = None, composed: bool = False) -> dict[str, np.ndarray]:
+    """All hits of :func:`detect_stretches` in order."""
+    names, parts = ("row", "start", "end", "arm", "spacer", "mis", "ga", "ct"), list(detect_stretches(seqs, owns, p, extend, counters, composed))
+    got = {n: np.concatenate([x[n] for x in parts]) if parts else np.zeros(0, dtype=np.int64) for n in names}
+    order = np.lexsort((got["arm"], got["end"], got["start"], got["row"]))
+    return {n: x[order] for n, x in got.items()}
 
 
 def passes(s: Strand, p: ScanParams, start: np.ndarray, end: np.ndarray, arm: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..kernel import detect_many, percentages, together
+from ..kernel import detect_stretches, percentages, together
 from ..params import ScanParams
 from ..schema import NO_SPACER, RAW_HIT, SOURCE
 
@@ -50,21 +50,21 @@ def _hits(p: ScanParams, extend: bool, kept: list[dict] | None = None, composed:
                 owns = list(zip(cols["own_from"], cols["own_to"], strict=True))
                 shifts = np.array([a + (o or 1) for a, o in zip(cols["shift"], cols["seq_offset"], strict=True)], dtype=np.int64)
                 counters = None if kept is None else {}
-                got = detect_many(seqs, owns, p, extend, counters, composed)
+                for got in detect_stretches(seqs, owns, p, extend, counters, composed):
+                    for at in range(0, len(got["row"]), ROWS):
+                        g = {k: v[at : at + ROWS] for k, v in got.items()}
+                        spans = [seqs[i][a:b].decode("latin-1") for i, a, b in zip(g["row"].tolist(), g["start"].tolist(), g["end"].tolist(), strict=True)]
+                        row = pa.array(g["row"])
+                        ga, ct, mirror = percentages(g["ga"], g["ct"], g["mis"], g["arm"])
+                        perfect = ((g["ga"] == g["arm"]) | (g["ct"] == g["arm"])) & (g["mis"] == 0)
+                        start, end = g["start"] + shifts[g["row"]], g["end"] + shifts[g["row"]] - 1
+                        i32 = lambda k: pa.array(g[k].astype(np.int32))  # noqa: E731, B023
+                        yield pa.RecordBatch.from_arrays(
+                            [few.column(names.index("record_ix")).take(row), few.column(names.index("seq_id")).take(row), pa.array(start), pa.array(end), i32("arm"), i32("spacer"), i32("ga"), i32("ct"), i32("mis"), pa.array(ga), pa.array(ct), pa.array(mirror), pa.array(perfect), pa.array(spans, pa.string())],
+                            names=["record_ix", "seq_id", "start", "end", "arm_length", "spacer_length", "ga", "ct", "mismatches", "ga_pct", "ct_pct", "mirror_identity", "is_perfect", "full_sequence"],
+                        )
                 if kept is not None:
                     kept.extend(dict(zip(counters, c, strict=True)) for c in zip(*counters.values(), strict=True))
-                for at in range(0, len(got["row"]), ROWS):
-                    g = {k: v[at : at + ROWS] for k, v in got.items()}
-                    spans = [seqs[i][a:b].decode("latin-1") for i, a, b in zip(g["row"].tolist(), g["start"].tolist(), g["end"].tolist(), strict=True)]
-                    row = pa.array(g["row"])
-                    ga, ct, mirror = percentages(g["ga"], g["ct"], g["mis"], g["arm"])
-                    perfect = ((g["ga"] == g["arm"]) | (g["ct"] == g["arm"])) & (g["mis"] == 0)
-                    start, end = g["start"] + shifts[g["row"]], g["end"] + shifts[g["row"]] - 1
-                    i32 = lambda k: pa.array(g[k].astype(np.int32))  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays(
-                        [few.column(names.index("record_ix")).take(row), few.column(names.index("seq_id")).take(row), pa.array(start), pa.array(end), i32("arm"), i32("spacer"), i32("ga"), i32("ct"), i32("mis"), pa.array(ga), pa.array(ct), pa.array(mirror), pa.array(perfect), pa.array(spans, pa.string())],
-                        names=["record_ix", "seq_id", "start", "end", "arm_length", "spacer_length", "ga", "ct", "mismatches", "ga_pct", "ct_pct", "mirror_identity", "is_perfect", "full_sequence"],
-                    )
 
     return run
 

@@ -260,3 +260,14 @@ def test_streamed_rows_stay_where_they_are(spark, tmp_path):
     assert moved(S.spread(many)) and not moved(S.spread(many, streamed=True))
     spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
     assert moved(S.spread(spark.read.parquet(f"{tmp_path}/one"), streamed=True))
+
+
+def test_hits_of_a_long_repeat_come_by_stretches():
+    """What is held at once follows the stretch and not the repeat; together they are the hits of the whole."""
+    from mirrorloom.kernel import detect_many, detect_stretches
+
+    p, seqs = ScanParams(maxrep=60), [b"ga" * 1500 + b"ttcagg" * 40, b"", b"ggaag" * 300]
+    parts = list(detect_stretches(seqs, [None] * 3, p, size=256))
+    assert max(len(x["row"]) for x in parts) <= 256 * (p.maxspacer + 1) < sum(len(x["row"]) for x in parts)
+    rows = lambda x: list(zip(*(x[k].tolist() for k in ("row", "start", "end", "arm", "spacer", "mis", "ga", "ct")), strict=True))
+    assert sorted(r for x in parts for r in rows(x)) == sorted(rows(detect_many(seqs, [None] * 3, p))) == sorted(rows(next(detect_stretches(seqs, [None] * 3, p, size=1 << 20))))
